@@ -1,4 +1,4 @@
-"""Name -> query and name -> DuckDB SQL, filled by the modules of this package."""
+"""Name -> query and name -> DuckDB SQL, from the modules of this package."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.fixtures import with_views
+from . import evidence
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (evidence,)
 
 
 def all_queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {name: with_views(sql) for m in MODULES for name, sql in m.ORACLES.items()}
