@@ -54,7 +54,7 @@ def pick_candidate(rows: DataFrame, keys: list[str], strategy: str, label: str =
         lead = (n_i > n_t) | ((n_i == n_t) & (F.col("_rank_infection") < F.col("_rank_tumor")))
         pick, scores = F.when(n_i + n_t == 0, F.col("_first")).when(lead, F.col("_best_infection")).otherwise(F.col("_best_tumor")), (n_i, n_t)
     elif strategy == "conf_weighted_vote":
-        pick = F.when(n_i + n_t == 0, F.col("_first")).when(s_i == s_t, F.col("_any")).when(s_i > s_t, F.col("_best_infection")).otherwise(F.col("_best_tumor"))
+        pick = F.when(n_i + n_t == 0, F.col("_first")).when((n_i > 0) & (n_t > 0) & (s_i == s_t), F.col("_any")).when((n_t == 0) | ((n_i > 0) & (s_i > s_t)), F.col("_best_infection")).otherwise(F.col("_best_tumor"))
         scores = (s_i, s_t)
     else:
         raise ValueError(f"unknown strategy {strategy}")

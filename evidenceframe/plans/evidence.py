@@ -53,7 +53,7 @@ from (select *, case when a = 0 and b = 0 then case when num_no_candidate_slices
 
 def _short(rows: DataFrame) -> DataFrame:
     """Doubles to six places."""
-    return rows.withColumns({n: F.round(n, 6) for n, t in rows.dtypes if t == "double"})
+    return rows.withColumns({n: F.round(n, 6) + F.lit(0.0) for n, t in rows.dtypes if t == "double"})
 
 
 def _votes(keys: list[str], strategy: str):
@@ -184,15 +184,15 @@ _PICK_SQL = f"""with {W}, g as (select sample_id, count(*) filter (pred_label =
   coalesce(round(sum(conf) filter (pred_label = 'infection'), 9), 0) as si, coalesce(round(sum(conf) filter (pred_label = 'tumor'), 9), 0) as st,
   min(component_rank) filter (pred_label = 'infection') as ri, min(component_rank) filter (pred_label = 'tumor') as rt from w group by sample_id),
 c as (select w.*, g.* exclude (sample_id), pred_label in ('infection', 'tumor') as valid,
-  case when ni > nt or (ni = nt and ri < rt) then 'infection' else 'tumor' end as majority, case when si = st then pred_label when si > st then 'infection' else 'tumor' end as heavier from w join g using (sample_id))
-select sample_id, component_rank as selected_rank, pred_label, round(conf, 6) as selected_conf, {{a}} as vote_score_infection, {{b}} as vote_score_tumor
+  case when ni > nt or (ni = nt and ri < rt) then 'infection' else 'tumor' end as majority, case when ni > 0 and nt > 0 and si = st then pred_label when nt = 0 or (ni > 0 and si > st) then 'infection' else 'tumor' end as heavier from w join g using (sample_id))
+select sample_id, component_rank as selected_rank, pred_label, round(conf, 6) + 0 as selected_conf, {{a}} as vote_score_infection, {{b}} as vote_score_tumor
 from c qualify row_number() over (partition by sample_id order by {{order}}) = 1"""
 _ZERO = "0.0::double"
 for _name, (_order, _a, _b) in {
     "top1_conf": ("component_rank", _ZERO, _ZERO),
     "first_valid": ("not valid, component_rank", _ZERO, _ZERO),
     "majority_vote": ("case when ni + nt = 0 then 0 when pred_label = majority then 0 else 1 end, case when ni + nt = 0 then 0 else -conf end, component_rank", "ni::double", "nt::double"),
-    "conf_weighted_vote": ("case when ni + nt = 0 then 0 when valid and pred_label = heavier then 0 else 1 end, case when ni + nt = 0 then 0 else -conf end, component_rank", "round(si, 6)", "round(st, 6)"),
+    "conf_weighted_vote": ("case when ni + nt = 0 then 0 when valid and pred_label = heavier then 0 else 1 end, case when ni + nt = 0 then 0 else -conf end, component_rank", "round(si, 6) + 0", "round(st, 6) + 0"),
 }.items():
     QUERIES[f"pick_{_name}"] = _pick(_name)
     ORACLES[f"pick_{_name}"] = _PICK_SQL.format(order=_order, a=_a, b=_b)
@@ -215,8 +215,8 @@ _ABL = f"""with {W}, t as (select * from w where component_rank <= 3), n as (sel
   min_by(pred_label, component_rank) as l1, min_by(score, component_rank) as s1, min_by(pred_label, component_rank) filter (pred_label <> '') as lv, min_by(score, component_rank) filter (pred_label <> '') as sv from t group by sample_id),
 x as (select s.sample_id, s.pred_label as old, s.vote_score_infection as oi, s.vote_score_tumor as ot, s.valid_component_votes as ov, s.final_candidate_source as src, coalesce(ni, 0) as ni, coalesce(nt, 0) as nt, si, st, wi, wt, l1, s1, lv, sv from fx_slice s left join n using (sample_id)),
 y as (select *, {{label}} as label, {{ok}} as ok, {{a}} as a, {{b}} as b, {{votes}} as votes from x)
-select sample_id, case when old = 'no_candidate' then old when ok then label else 'no_candidate' end as pred_label, round(case when old = 'no_candidate' then oi when ok then a else 0 end, 6)::double as vote_score_infection,
-  round(case when old = 'no_candidate' then ot when ok then b else 0 end, 6)::double as vote_score_tumor, (case when old = 'no_candidate' then ov when ok then votes else 0 end)::bigint as valid_component_votes from y"""
+select sample_id, case when old = 'no_candidate' then old when ok then label else 'no_candidate' end as pred_label, round(case when old = 'no_candidate' then oi when ok then a else 0 end, 6)::double + 0 as vote_score_infection,
+  round(case when old = 'no_candidate' then ot when ok then b else 0 end, 6)::double + 0 as vote_score_tumor, (case when old = 'no_candidate' then ov when ok then votes else 0 end)::bigint as valid_component_votes from y"""
 _HIGH = "case when {0} > {1} then 'infection' when {1} > {0} then 'tumor' else 'no_candidate' end"
 _ONE = lambda l, s: {"label": l, "ok": f"coalesce({l} in ('infection', 'tumor'), false)", "a": f"case when {l} = 'infection' then {s} else 0 end", "b": f"case when {l} = 'tumor' then {s} else 0 end", "votes": "1"}
 for _name, _parts in {

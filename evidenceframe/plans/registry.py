@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import with_views
-from . import evidence
+from . import evidence, geometry, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evidence,)
+MODULES = (evidence, geometry, records)
 
 
 def all_queries() -> dict[str, Query]:
