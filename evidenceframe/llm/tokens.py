@@ -83,7 +83,7 @@ def _bounds(ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes arrays of texts; keeps about ``limit`` parts and as many pre-tokens."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
