@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import with_views
-from . import evidence, geometry, records
+from . import evidence, geometry, records, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evidence, geometry, records)
+MODULES = (evidence, geometry, records, statistics)
 
 
 def all_queries() -> dict[str, Query]:
