@@ -2,7 +2,7 @@
 
 Words and lines are interned per text, so equal numbers mean equal words; a rolling hash over the numbers gives
 each n-gram's hash for every n in one numpy pass, and grams found again are marked. For long n-grams (``SPANS``)
-the characters of all words inside a gram found twice or more are measured, for short ones (``TOPS``) those of the
+the characters inside a gram that the text held before are measured (what deduplication would remove), for short ones (``TOPS``) those of the
 most frequent gram, for lines those of lines seen before.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows and null ids get a row
@@ -21,8 +21,9 @@ from .common import column
 SYMBOLS = b"#*$%&|<>"
 #: Largest share of a text's word characters that may stand in the most frequent n-gram, by n.
 TOPS = {2: 0.20, 3: 0.18, 4: 0.16}
-#: Largest share that may stand in n-grams found twice or more, by n.
+#: Largest share that may stand in n-grams found before, by n.
 SPANS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Largest share of lines that repeat an earlier one, with two such lines at least, and of characters in them.
 LINES, LINE_CHARS = 0.30, 0.20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,10 +89,12 @@ def measure(text: bytes) -> dict:
             where = np.sort(order[fresh[best] : fresh[best] + counts[best]])
             tops[k] = _covered(where, k, ends) if counts[best] > 1 else 0
         if k in SPANS or k == 3:
-            where = np.sort(order[np.repeat(counts > 1, counts)])
             if k in SPANS:
-                spans[k] = _covered(where, k, ends)
+                later = np.ones(len(order), bool)
+                later[fresh] = False
+                spans[k] = _covered(np.sort(order[later]), k, ends)
             if k == 3:
+                where = np.sort(order[np.repeat(counts > 1, counts)])
                 out["n_repeat_words"] = _covered(where, k, np.arange(n + 1))
     share = lambda x: x / chars if chars else 0.0
     out["top_chars"] = [tops[k] for k in TOPS]
@@ -99,7 +102,7 @@ def measure(text: bytes) -> dict:
     out["line_share"] = dup_lines / len(lines) if lines else 0.0
     out["base_failed"] = n < 50 or 100 * out["n_repeat_words"] > 50 * n
     out["kept"] = not (
-        out["base_failed"] or out["line_share"] > LINES or share(dup_line_chars) > LINE_CHARS
+        out["base_failed"] or (dup_lines > 1 and out["line_share"] > LINES) or share(dup_line_chars) > LINE_CHARS
         or any(share(tops[k]) > t for k, t in TOPS.items()) or any(share(spans[k]) > t for k, t in SPANS.items())
     )
     return out
