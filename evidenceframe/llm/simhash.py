@@ -15,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -77,30 +78,39 @@ def _reordered(fp: Column, order: tuple[int, ...]) -> Column:
     return out
 
 
-def near_fingerprints(prints: DataFrame, budget: int = 2) -> DataFrame:
-    """(a, b), once each, for distinct fingerprints that differ in 1 to ``budget`` (2 at most) bits."""
-    if not 0 <= budget <= 2:
-        raise ValueError("the trie's ways hold for a budget of two bits at most")
-    orders = [(*w, *(k for k in range(4) if k not in w)) for w in WAYS]
-    fp = F.col("fingerprint")
-    ways = F.array(*(F.struct(F.lit(i).alias("way"), _reordered(fp, o).alias("leaf")) for i, o in enumerate(orders)))
-    leaves = prints.select("fingerprint").distinct().select(F.inline(ways))
-    roots = leaves.groupBy("way", F.shiftrightunsigned("leaf", 32).alias("node")).count().where("count > 1").select("way", "node")
-    alive = materialise(leaves.withColumn("node", F.shiftrightunsigned("leaf", 32)).join(roots, ["way", "node"], "left_semi").select("way", "leaf"))
-    pairs = alive.select("way", F.shiftrightunsigned("leaf", 32).alias("left")).distinct().select("way", "left", F.col("left").alias("right"), F.lit(0).alias("errors"))
-    for shift in (24, 16, 8, 0):
-        down = F.shiftrightunsigned("leaf", shift) if shift else F.col("leaf")
-        kids = alive.groupBy("way", F.shiftrightunsigned("leaf", shift + 8).alias("node")).agg(F.collect_set(down).alias("kids"), F.count(F.lit(1)).alias("leaves"))
+def _walk(leaves: DataFrame, exact: int, steps: list[int], budget: int) -> DataFrame:
+    """(way, left, right, errors) for leaves(way, leaf) of one trie per way that differ in 1 to ``budget`` bits, all
+    below depth ``exact``. steps: levels taken at a time from there to the leaves, 8 at most.
+    """
+    below = sum(steps)
+    node = F.shiftrightunsigned("leaf", below)
+    roots = leaves.groupBy("way", node.alias("node")).count().where("count > 1").select("way", "node")
+    alive = materialise(leaves.withColumn("node", node).join(roots, ["way", "node"], "left_semi").select("way", "leaf"))
+    pairs = alive.select("way", node.alias("left")).distinct().select("way", "left", F.col("left").alias("right"), F.lit(0).alias("errors"))
+    for step in steps:
+        above, below = below, below - step
+        down = F.shiftrightunsigned("leaf", below) if below else F.col("leaf")
+        kids = alive.groupBy("way", F.shiftrightunsigned("leaf", above).alias("node")).agg(F.collect_set(down).alias("kids"), F.count(F.lit(1)).alias("leaves"))
         x = kids.select("way", F.col("node").alias("left"), F.col("kids").alias("xs"), "leaves")
         y = kids.select("way", F.col("node").alias("right"), F.col("kids").alias("ys"))
         met = pairs.join(x, ["way", "left"]).where("left <> right or leaves > 1").join(y, ["way", "right"])
         met = met.select("way", (F.col("left") == F.col("right")).alias("same"), "errors", F.explode("xs").alias("x"), "ys")
-        bits = lambda y: F.bit_count(F.col("x").bitwiseXOR(y).bitwiseAND(255))
+        bits = lambda y: F.bit_count(F.col("x").bitwiseXOR(y).bitwiseAND((1 << step) - 1))  # noqa: E731, B023
         near = F.filter("ys", lambda y: (F.col("errors") + bits(y) <= budget) & (~F.col("same") | (F.col("x") <= y)))
         met = met.select("way", "x", "errors", F.explode(near).alias("y"))
         pairs = met.select("way", F.col("x").alias("left"), F.col("y").alias("right"), (F.col("errors") + bits(F.col("y"))).alias("errors"))
+    return pairs.where("left <> right")
+
+
+def near_fingerprints(prints: DataFrame, budget: int = 2) -> DataFrame:
+    """(a, b), once each, for distinct fingerprints that differ in 1 to ``budget`` (2 at most) bits."""
+    if not 0 <= budget <= 2:
+        raise ValueError("the trie's ways hold for a budget of two bits at most")
+    orders = [(*w, *(k for k in range(4) if k not in w)) for w in WAYS]
+    fp = F.col("fingerprint")
+    ways = F.array(*(F.struct(F.lit(i).alias("way"), _reordered(fp, o).alias("leaf")) for i, o in enumerate(orders)))
+    found = _walk(prints.select("fingerprint").distinct().select(F.inline(ways)), 32, [8, 8, 8, 8], budget)
     # Back to fingerprints; a pair is taken from the first way whose two leading blocks agree.
-    found = pairs.where("left <> right")
     home = lambda c: F.element_at(F.array(*(_reordered(F.col(c), tuple(sorted(range(4), key=o.__getitem__))) for o in orders)), F.col("way") + 1)
     found = found.select("way", home("left").alias("a"), home("right").alias("b"))
     apart = [_block(F.col("a").bitwiseXOR(F.col("b")), k) != 0 for k in range(4)]
@@ -110,6 +120,108 @@ def near_fingerprints(prints: DataFrame, budget: int = 2) -> DataFrame:
     return found.where(F.col("way") == first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def bit_error(similarity: float) -> float:
+    """Chance that a fingerprint bit differs between texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan_segments(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits of a segment and number of segments for n texts: few chance meetings, and ``recall`` of pairs that
+    are just similar enough meet in a segment with one error at most.
+    """
+    bits, p = 2 * math.ceil((math.log2(max(n, 2)) + 6) / 2), bit_error(similarity)
+    meet = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
+    """(id, prints): fingerprints of ``words`` times 64 bits, from as many mixes of each shingle's hash."""
+
+    def scan(batches):
+        salts = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(words)]
+
+        def mixed(h, salt):
+            h = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x94D049BB133111EB)
+            return h ^ (h >> np.uint64(32))
+
+        for batch in batches:
+            prints = []
+            for t in column(batch, "text", pa.binary()):
+                h = shingle_hashes(t.as_py(), width, seed)
+                prints.append([majority(mixed(h, s)) for s in salts])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(prints, pa.list_(pa.int64()))], ["id", "prints"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    return named.mapInArrow(scan, "id long, prints array<long>")
+
+
+def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, shingles): the distinct shingle hashes of each text."""
+
+    def scan(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width, seed)).view(np.int64) for t in column(batch, "text", pa.binary())]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    return texts.mapInArrow(scan, "key long, shingles array<long>")
+
+
+def _segment(prints: Column, k: int, bits: int) -> Column:
+    """Bits k * bits onward of an array of 64-bit words, as a number."""
+    word, shift = divmod(k * bits, 64)
+    out = F.shiftrightunsigned(prints[word], shift)
+    if shift + bits > 64:
+        out = out.bitwiseOR(F.shiftleft(prints[word + 1], 64 - shift))
+    return out.bitwiseAND((1 << bits) - 1)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42) -> DataFrame:
+    """(id, component_id) for every row, linking texts whose shingle sets have a Jaccard similarity of ``similarity``.
+
+    Fingerprints have several segments. For each segment a trie is walked in node pairs with a budget of one bit,
+    from either half of the segment equal; what meets there and differs in no more bits over the whole fingerprints
+    than a similarity lower by 0.1 would allow is compared exactly, by shingle sets. Equal segments are compared with
+    the first text that has them, so a large group of copies costs a comparison a segment each. An id names one text;
+    texts whose ids are all null are linked by their bits. Texts without words are linked with each other only.
+    """
+    n = docs.count()
+    bits, segments = plan_segments(n, similarity, recall)
+    words = -(-segments * bits // 64)
+    limit = int(bit_error(similarity - 0.1) * 64 * words)
+    rows = materialise(wide_fingerprints(docs, words, id_col, text_col, width, seed))
+    classes = materialise(rows.groupBy("prints").agg(F.min("id").alias("least")).withColumn("key", F.xxhash64("prints")))
+    half = bits // 2
+    cells = F.array(*(F.struct(F.lit(k).alias("segment"), _segment(F.col("prints"), k, bits).alias("value")) for k in range(segments)))
+    held = materialise(classes.select("key", F.inline(cells)))
+    groups = materialise(held.groupBy("segment", "value").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")))
+    turned = F.shiftright("value", half).bitwiseOR(F.shiftleft(F.col("value").bitwiseAND((1 << half) - 1), half))
+    leaves = groups.select(F.inline(F.array(F.struct((F.col("segment") * 2).alias("way"), F.col("value").alias("leaf")), F.struct((F.col("segment") * 2 + 1).alias("way"), turned.alias("leaf")))))
+    steps = [-(-half // 2), half // 2] if half <= 16 else [8] * (half // 8) + ([half % 8] if half % 8 else [])
+    met = _walk(leaves, half, steps, 1)
+    back = lambda c: F.when(F.col("way") % 2 == 0, F.col(c)).otherwise(F.shiftright(c, half).bitwiseOR(F.shiftleft(F.col(c).bitwiseAND((1 << half) - 1), half)))
+    met = met.select(F.floor(F.col("way") / 2).cast("int").alias("segment"), back("left").alias("left"), back("right").alias("right"))
+    heads = groups.select("segment", "value", "head")
+    met = met.join(heads.select("segment", F.col("value").alias("left"), F.col("head").alias("a")), ["segment", "left"]).join(heads.select("segment", F.col("value").alias("right"), F.col("head").alias("b")), ["segment", "right"])
+    stars = held.join(groups.where("size > 1"), ["segment", "value"]).select(F.col("key").alias("a"), F.col("head").alias("b"))
+    edges = met.select("a", "b").union(stars).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    p = classes.select("key", "prints")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    close = edges.join(p.select(F.col("key").alias("a"), F.col("prints").alias("x")), "a").join(p.select(F.col("key").alias("b"), F.col("prints").alias("y")), "b").where(apart <= limit).select("a", "b")
+    close = materialise(close)
+    # The exact check, for what is close: shingle sets of the texts that stand for their classes.
+    named = close.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least").alias("id")), "key").where("id is not null")
+    sets = shingle_sets(docs.join(named, docs[id_col] == named["id"]).select("key", text_or_empty(text_col).alias("text")).dropDuplicates(["key"]), width, seed)
+    both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "left").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b", "left")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(F.coalesce(common >= similarity * (F.size("x") + F.size("y") - common), F.lit(True))).select("a", "b")
+    roots = components(links).select(F.col("vertex").alias("key"), "root")
+    named = materialise(classes.join(roots, "key", "left").select("prints", "least", F.coalesce("root", "key").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(least, "root").select("prints", "component_id"), "prints").select("id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 2, seed: int = 42) -> DataFrame:
     """(id, fingerprint, component_id) for every row; component_id is the smallest id reachable over links."""
     prints = materialise(fingerprints(docs, id_col, text_col, width, seed))
