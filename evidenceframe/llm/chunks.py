@@ -80,8 +80,8 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
             for i, text in enumerate(texts):
                 data = text.as_py()
                 ends = cut_points(data, bits, least, most)
-                starts = [0, *ends[:-1]]
                 n = len(ends)
+                starts = [0, *ends[:-1]][:n]
                 for c, values in zip(cols, ([ids[i]] * n, [rows[i]] * n, range(n), starts, [b - a for a, b in zip(starts, ends)], [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts, ends)])):
                     c.extend(values)
                 if len(cols[0]) > 200_000:
