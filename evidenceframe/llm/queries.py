@@ -101,6 +101,38 @@ def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+OP5_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+n as (select least(65536, greatest(1, cast(ceil(count(*) / 1024) as bigint))) as shards from d),
+k as (select d.*, ('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '') || '|' || size), 1, 8))::bigint as key, shards from d, n),
+r as (select *, key % shards as shard from k),
+s as (select source, sum(size)::bigint as source_size from r group by source),
+w as (select *, row_number() over (order by source is null, source) - 1 as place, 2.0::double * source_size as bound from s),
+v as (select *, (case place % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double as weight from w),
+f as (select *, coalesce(sum(bound) over (order by bound / weight, place rows between unbounded preceding and 1 preceding), 0) as given,
+  sum(weight) over (order by bound / weight, place rows between current row and unbounded following) as open, least(1.5::double * sum(source_size) over (), sum(bound) over ()) as goal from v),
+l as (select *, greatest(0, goal - given) / open as level from f),
+t as (select place, source, source_size, least(bound, coalesce((select level from l where level * weight <= bound order by bound / weight, place limit 1), 0) * weight) as target from l),
+b as (select cast(round(sum(target) / 16) as bigint) as blocks from t),
+q as (select place, target, unnest(range(1, cast(ceil(target / 16) as bigint) + 50)) as i from t where target > 0),
+u as (select place, row_number() over (order by target / (2 * i - 1) desc, place, i) as rank from q),
+a as (select place, count(*) as seats from u, b where rank <= blocks group by place),
+c as (select source, shard, sum(size)::bigint as words from r group by all),
+m as (select c.*, t.place, t.source_size, t.target, coalesce(a.seats, 0) as seats from c join t on c.source is not distinct from t.source left join a on t.place = a.place),
+x as (select place, shard, seats, words, unnest(range(1, cast(ceil(seats * words / source_size) as bigint) + 50)) as i from m where words > 0 and seats > 0),
+y as (select place, shard, seats, row_number() over (partition by place order by words / (2 * i - 1) desc, shard, i) as rank from x),
+z as (select place, shard, count(*) as quota from y where rank <= seats group by all),
+g as (select m.*, least(coalesce(quota, 0) * 16, 2 * words) as take, cast(ceil(words / 16) as bigint) as blocks from m left join z using (place, shard)),
+h as (select *, case when words > 0 then take // words else 0 end as laps, ('0x' || substr(md5('42|start|' || place || '|' || shard), 1, 8))::bigint % greatest(blocks, 1) * 16 as first from g),
+j as (select *, take - laps * words as rest from h),
+e as (select *, sum(size) over (partition by source, shard order by key, doc_id nulls last, size rows unbounded preceding) as stop from r),
+o as (select e.doc_id, e.size, j.source_size, j.target, j.laps,
+  greatest(0, least(stop, first + rest) - greatest(stop - size, first)) + greatest(0, least(stop, first + rest - words) - (stop - size)) as run
+  from e join j on e.source is not distinct from j.source and e.shard = j.shard)
+select doc_id, size, source_size, target, cast(case when size > 0 then laps * size + run else 0 end as bigint) as taken from o
+"""
+
+
 def op6_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -144,4 +176,4 @@ QUERIES = {
         op6_gear_chunk_dedup, op7_ppm_language, op8_progressive_exact_dedup, op9_simhash_trie, op10_license_sentences,
     )
 }
-ORACLES = {"op2_revisit_resolution": OP2_SQL, "op8_progressive_exact_dedup": OP8_SQL}
+ORACLES = {"op2_revisit_resolution": OP2_SQL, "op5_sainte_lague_mixing": OP5_SQL, "op8_progressive_exact_dedup": OP8_SQL}
