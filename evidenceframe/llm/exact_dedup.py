@@ -13,7 +13,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialise, text_or_empty
@@ -48,3 +48,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = (rows["size"] == groups["size"]) & (rows["prefix"] == groups["prefix"]) & rows["sha"].eqNullSafe(groups["sha"])
     out = rows.join(groups, same).select(rows["id"], "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1), rows["times"].cast("int"))).alias("copy"))
     return out.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, with their columns."""
+    groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
+    fate = groups.groupBy("id", "digest").agg(F.max("kept").alias("_one"), F.count(F.lit(1)).alias("_rows")).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "_one", "_rows")
+    fate = materialise(fate.where("not _one or _rows > 1"))
+    content = docs.withColumn("_sha", F.sha2(normalised(text_col).cast("binary"), 256))
+    met = content.join(fate.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left")
+    alone = met.where("_one is null").select(*docs.columns)
+    if fate.where("_one").isEmpty():
+        return alone
+    # Rows that repeat whole: id and text of the one that stays.
+    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(text_col))
+    again = met.where("_one").withColumn("_place", first).where("_place = 1").select(*docs.columns)
+    return alone.unionByName(again)

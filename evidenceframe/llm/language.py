@@ -200,8 +200,9 @@ def train(
     return build_model([tuple(r) for r in rows], order)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and bits_per_byte (of the predicted language) for every row.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, held_out, text, the columns to carry, lang_pred, score (0 to 1) and bits_per_byte (of the predicted
+    language) for every row; carried columns are named carry_0 onward.
 
     score is the predicted language's share when each language has weight 2 ** -code length.
     """
@@ -231,7 +232,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 begin = end
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], fields)
 
-    named = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kept, fields = (0, 1, 2), ["id", "held_out", "text", "lang_pred", "score", "bits_per_byte"]
-    kind = named.schema["id"].dataType.simpleString()
-    return named.mapInArrow(score, f"id {kind}, held_out boolean, text string, lang_pred string, score double, bits_per_byte double")
+    named = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    names = named.columns[:-1]
+    kept, fields = range(len(names)), [*names, "lang_pred", "score", "bits_per_byte"]
+    kinds = ", ".join(f"{n} {named.schema[n].dataType.simpleString()}" for n in names)
+    return named.mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double")

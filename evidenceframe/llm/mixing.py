@@ -73,13 +73,13 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 42, shard_docs: int = 1024,
 ) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, begin, run, laps, taken.
+    """One row per row of docs: id, source, row (hash of id and text), size, source_size, target, begin, run, laps, taken.
 
     ``laps`` whole copies are taken and, if ``run`` > 0, words ``begin`` to ``begin + run`` once more (for a run that
     wraps around the shard's end, ``begin`` counts on from the document's start again).
     A source's shards hold about ``shard_docs`` documents at most, and 65,536 shards are the most.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     rows = materialise(rows)
     shards = min(65_536, max(1, -(-rows.count() // shard_docs)))
     rows = rows.withColumn("key", _number(F.lit(seed), F.col("id"), F.col("size"))).withColumn("shard", F.col("key") % shards)
@@ -96,7 +96,7 @@ def mix(
     quotas = quotas.withColumn("take", take).withColumn("laps", F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(0).cast("long"))
     quotas = quotas.withColumn("rest", F.col("take") - F.col("laps") * F.col("words"))
     quotas = quotas.withColumn("from", F.when(n_blocks > 0, (_number(F.lit(seed), F.lit("start"), F.col("place"), F.col("shard")) % F.greatest(n_blocks, F.lit(1))) * block).otherwise(0))
-    order = Window.partitionBy("source", "shard").orderBy("key", F.col("id").asc_nulls_last(), "size")
+    order = Window.partitionBy("source", "shard").orderBy("key", F.col("id").asc_nulls_last(), "size", "row")
     placed = rows.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
     r, q = placed.alias("r"), quotas.alias("q")
     met = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard")))
@@ -105,5 +105,5 @@ def mix(
     first = F.greatest(F.lit(0), F.least(F.col("end"), stop) - F.greatest(F.col("start"), F.col("from")))
     second = F.greatest(F.lit(0), F.least(F.col("end"), stop - F.col("words")) - F.col("start"))
     begin = F.when(first > 0, F.greatest(F.col("from") - F.col("start"), F.lit(0))).otherwise(0)
-    out = met.select(F.col("r.id").alias("id"), F.col("r.source").alias("source"), "size", "source_size", "target", begin.cast("long").alias("begin"), (first + second).cast("long").alias("run"), "laps")
+    out = met.select(F.col("r.id").alias("id"), F.col("r.source").alias("source"), "row", "size", "source_size", "target", begin.cast("long").alias("begin"), (first + second).cast("long").alias("run"), "laps")
     return out.withColumn("taken", F.when(F.col("size") > 0, F.col("laps") * F.col("size") + F.col("run")).otherwise(0).cast("long"))

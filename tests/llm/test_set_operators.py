@@ -43,6 +43,14 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(documents(spark, rows).where("false")).count() == 0
 
 
+def test_keep_first_keeps_columns_and_repeated_rows_once(spark):
+    rows = [(5, "a b", "s"), (3, "a b", "t"), (3, "a b", "t"), (None, "a  b", "s"), (None, "c", "s"), (None, "c", "s"), (9, None, "s"), (8, "d", "s")]
+    df = documents(spark, rows)
+    got = exact_dedup.keep_first(df)
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, "a b"), (None, "c"), (9, None), (8, "d")], key=str)
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(documents(spark, [(1, "x", "s"), (2, "x", "s"), (3, "y", "s")])).collect()) == [1, 3]
+
+
 def test_only_survivors_are_hashed(spark):
     got = {r.id: r.digest for r in exact_dedup.exact_groups(documents(spark, [(1, "abc", "s"), (2, "abd", "s"), (3, "abc", "s")])).collect()}
     assert got[2] is None and got[1] == got[3] == hashlib.sha256(b"abc").hexdigest()
