@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,22 +99,41 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.col("error")) / F.sum("n")).alias("ece"))
 
 
-def calibration_fit(rows: DataFrame, y: str = "y", p: str = "p", steps: int = 100) -> DataFrame:
+def _newton_sums_local(cells: list[tuple[float, float, int]]):
+    x, y, n = (np.array(c, float) for c in zip(*cells)) if cells else (np.zeros(0),) * 3
+
+    def sums(a: float, b: float) -> tuple[float, ...]:
+        fitted = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        w, g = np.maximum(fitted * (1 - fitted), EPS) * n, (y - fitted) * n
+        return tuple(float(v) for v in (g.sum(), (g * x).sum(), w.sum(), (w * x).sum(), (w * x * x).sum()))
+
+    return sums
+
+
+def _newton_sums_spark(cells: DataFrame):
+    def sums(a: float, b: float) -> tuple[float, ...]:
+        linear = F.least(F.greatest(F.lit(a) + F.lit(b) * F.col("x"), F.lit(-30.0)), F.lit(30.0))
+        fitted = 1 / (1 + F.exp(-linear))
+        w, g = F.greatest(fitted * (1 - fitted), F.lit(EPS)) * F.col("n"), (F.col("y") - fitted) * F.col("n")
+        return tuple(cells.agg(F.sum(g), F.sum(g * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first())
+
+    return sums
+
+
+def calibration_fit(rows: DataFrame, y: str = "y", p: str = "p", steps: int = 100, local_cells: int = 50_000) -> DataFrame:
     """Intercept and slope of a logistic recalibration, by Newton steps; NULLs if it fails or runs off.
 
-    A step is one aggregation of five sums over the distinct (score, outcome) pairs with their counts; two numbers
-    come to the driver.
+    Steps need five sums over the distinct (score, outcome) pairs with their counts. Up to ``local_cells`` pairs the
+    pairs come to the driver; with more, each step is an aggregation and the sums do.
     """
     clipped = F.least(F.greatest(F.col(p), F.lit(EPS)), F.lit(1 - EPS))
     cells = rows.groupBy(F.ln(clipped / (1 - clipped)).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).persist()
+    few = cells.limit(local_cells + 1).count() <= local_cells
+    sums = _newton_sums_local([tuple(r) for r in cells.collect()]) if few else _newton_sums_spark(cells)
     a, b, ok = 0.0, 1.0, True
     for _ in range(steps):
-        linear = F.least(F.greatest(F.lit(a) + F.lit(b) * F.col("x"), F.lit(-30.0)), F.lit(30.0))
-        fitted = 1 / (1 + F.exp(-linear))
-        w = F.greatest(fitted * (1 - fitted), F.lit(EPS)) * F.col("n")
-        g = (F.col("y") - fitted) * F.col("n")
-        s = cells.agg(F.sum(g), F.sum(g * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first()
-        if s[0] is None or (det := s[2] * s[4] - s[3] * s[3]) == 0:
+        s = sums(a, b)
+        if s[0] is None or not all(map(math.isfinite, s)) or (det := s[2] * s[4] - s[3] * s[3]) == 0:
             ok = False
             break
         da, db = (s[4] * s[0] - s[3] * s[1]) / det, (s[2] * s[1] - s[3] * s[0]) / det
