@@ -84,9 +84,9 @@ def same_shape(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.where(~F.col(a).eqNullSafe(F.col(b)))
 
 
-#: Columns that hold or derive from the truth, which no decision may read.
-TRUTH_COLUMNS = frozenset({"gt_label", "det_iou_qwen_bbox", "det_iom_qwen_bbox", "gt_coverage_by_pred_bbox", "pred_precision_to_gt_bbox", "center_hit", "strict_localization_hit", "relaxed_localization_hit"})
+#: Beginnings of the names of columns that hold or derive from the truth, which no decision may read.
+TRUTH_PREFIXES = ("gt_", "det_iou", "det_iom", "pred_precision_to_gt", "center_hit", "strict_localization", "relaxed_localization", "strict_hit", "relaxed_hit")
 
 
 def reads_truth(columns: list[str]) -> list[str]:
-    return sorted(TRUTH_COLUMNS.intersection(columns))
+    return sorted(c for c in columns if c.startswith(TRUTH_PREFIXES))

@@ -173,14 +173,14 @@ def test_checks_raise(spark):
     with pytest.raises(checks.CheckFailed):
         checks.require_columns(r, ["k", "z"])
     assert checks.same_keys(r, r.where("k = 1"), "k").collect()[0].only_in == "left"
-    assert checks.reads_truth(["gt_label", "pred_label"]) == ["gt_label"]
+    assert checks.reads_truth(["gt_label", "pred_label", "det_iou"]) == ["det_iou", "gt_label"]
 
 
 def test_quality_reads_no_truth():
     import inspect
 
     source = inspect.getsource(aggregate.quality_rest) + inspect.getsource(aggregate.vote_scores)
-    assert not any(c in source for c in checks.TRUTH_COLUMNS)
+    assert not any(c in source for c in checks.TRUTH_PREFIXES)
 
 
 def test_wide_and_long(spark):
