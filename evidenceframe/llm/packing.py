@@ -91,6 +91,7 @@ def pack(
                     [ids.slice(a, b - a).take(pa.array(doc)), pa.array(row), pa.array(start), pa.array(total[doc]), pa.array(blobs, pa.binary()), pa.array((key % np.uint64(shards)).astype(np.int64))],
                     ["id", "row", "start", "doc_tokens", "ids", "shard"],
                 )
+        enc.clear()
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("row", "ascending"), ("start", "ascending")]).combine_chunks()

@@ -159,6 +159,10 @@ class Encoder:
             lens, flat = np.fromiter(map(len, rows), np.int64, len(rows)), np.concatenate(rows)
         self.parts.learn(flat, lens)
 
+    def clear(self) -> None:
+        """Forget all parts, so that an idle worker holds little memory."""
+        self.parts, self.pieces = _Store(), _Store()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text. texts: strings without nulls."""
         if len(self.parts) > self.limit or self.parts.used > 20 * self.limit:
