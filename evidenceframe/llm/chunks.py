@@ -70,32 +70,39 @@ def cut_points(text: bytes, bits: int, least: int, most: int) -> list[int]:
 
 
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 16, most: int = 256) -> DataFrame:
-    """One row per chunk: id, row, place, start, length (bytes), digest."""
+    """One row per chunk: id, row, at, high, low; at holds start and length (bytes), high and low the digest."""
 
     def cut(batches):
         for batch in batches:
             ids, rows = column(batch, "id").to_pylist(), column(batch, "row").to_pylist()
             texts = column(batch, "text", pa.binary())
-            cols: list[list] = [[], [], [], [], [], []]
+            held: tuple[list, list, list, list] = ([], [], [], [])
             for i, text in enumerate(texts):
                 data = text.as_py()
                 ends = cut_points(data, bits, least, most)
                 n = len(ends)
                 starts = [0, *ends[:-1]][:n]
-                for c, values in zip(cols, ([ids[i]] * n, [rows[i]] * n, range(n), starts, [b - a for a, b in zip(starts, ends)], [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts, ends)])):
-                    c.extend(values)
-                if len(cols[0]) > 200_000:
-                    yield _rows(cols)
-                    cols = [[], [], [], [], [], []]
-            yield _rows(cols)
-
-    def _rows(cols):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "row", "place", "start", "length", "digest"])
-
+                held[0].extend([ids[i]] * n)
+                held[1].extend([rows[i]] * n)
+                held[2].extend([(a << LENGTH_BITS) + b - a for a, b in zip(starts, ends)])
+                held[3].extend([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts, ends)])
+                if len(held[0]) > 200_000:
+                    yield _rows(held)
+                    held = ([], [], [], [])
+            yield _rows(held)
+
+    def _rows(held):
+        digest = np.frombuffer(b"".join(held[3]), ">i8").astype(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in held[:3]), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["id", "row", "at", "high", "low"])
+
+    if most >= 1 << LENGTH_BITS:
+        raise ValueError("chunks are too long")
     text = text_or_empty(text_col)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
-    return named.mapInArrow(cut, "id long, row long, place int, start long, length int, digest binary")
+    return named.mapInArrow(cut, "id long, row long, at long, high long, low long")
+
+
+LENGTH_BITS = 20
 
 
 def repeated_spans(
@@ -107,17 +114,22 @@ def repeated_spans(
     first_id (of the first occurrence of its first chunk) and copies (the most occurrences of a chunk in it).
     """
     chunks = materialise(chunk(docs, id_col, text_col, bits, least, most))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")).alias("first")
-    repeated = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), first).where("copies > 1")
-    met = chunks.join(repeated, "digest").select("id", "row", "place", "start", "length", "copies", "first")
-    removed = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start")))
-    met = met.withColumn("removed", removed).withColumn("first", F.col("first.id"))
-    # Chunks of one text that follow each other share place - rank. Equal rows of the table share their spans.
-    met = met.groupBy("id", "row", "place", "start", "length", "copies", "first").agg(F.max("removed").alias("removed"))
-    run = F.col("place") - F.row_number().over(Window.partitionBy("row", "id").orderBy("place"))
-    spans = met.withColumn("run", run).groupBy("id", "row", "run").agg(
+    key = ["high", "low"]
+    repeated = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # Only chunks that repeat go on; of those the first occurrence stays.
+    met = materialise(chunks.join(repeated, key))
+    firsts = met.groupBy(*key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")).alias("first"))
+    met = met.join(firsts, key)
+    removed = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.row") == F.col("row")) & (F.col("first.at") == F.col("at")))
+    # Equal rows of the table share their spans.
+    met = met.groupBy("id", "row", "at", "copies", F.col("first.id").alias("first")).agg(F.max(removed).alias("removed"))
+    met = met.withColumn("start", F.shiftright("at", LENGTH_BITS)).withColumn("length", F.col("at").bitwiseAND((1 << LENGTH_BITS) - 1))
+    w = Window.partitionBy("row", "id").orderBy("at")
+    met = met.withColumn("begins", (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("length")).over(w), F.lit(-1))).cast("int"))
+    met = met.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = met.groupBy("id", "row", "run").agg(
         F.min("start").alias("start"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("chunks"),
         F.sum(F.when(F.col("removed"), F.col("length")).otherwise(0)).alias("removed_bytes"),
-        F.min_by("first", "place").alias("first_id"), F.max("copies").alias("copies"),
+        F.min_by("first", "at").alias("first_id"), F.max("copies").alias("copies"),
     )
     return spans.where(F.col("length") >= span).select("id", "start", "length", "chunks", "removed_bytes", "first_id", "copies")
