@@ -80,23 +80,29 @@ def _reordered(fp: Column, order: tuple[int, ...]) -> Column:
 
 def _walk(leaves: DataFrame, exact: int, steps: list[int], budget: int) -> DataFrame:
     """(way, left, right, errors) for leaves(way, leaf) of one trie per way that differ in 1 to ``budget`` bits, all
-    below depth ``exact``. steps: levels taken at a time from there to the leaves, 8 at most.
+    below depth ``exact``. steps: levels taken at a time from there to the leaves; a node has 2 ** step children at
+    most, which bounds what a row holds.
     """
     below = sum(steps)
     node = F.shiftrightunsigned("leaf", below)
     roots = leaves.groupBy("way", node.alias("node")).count().where("count > 1").select("way", "node")
     alive = materialise(leaves.withColumn("node", node).join(roots, ["way", "node"], "left_semi").select("way", "leaf"))
-    pairs = alive.select("way", node.alias("left")).distinct().select("way", "left", F.col("left").alias("right"), F.lit(0).alias("errors"))
+    pairs = None
     for step in steps:
         above, below = below, below - step
         down = F.shiftrightunsigned("leaf", below) if below else F.col("leaf")
         kids = alive.groupBy("way", F.shiftrightunsigned("leaf", above).alias("node")).agg(F.collect_set(down).alias("kids"), F.count(F.lit(1)).alias("leaves"))
-        x = kids.select("way", F.col("node").alias("left"), F.col("kids").alias("xs"), "leaves")
-        y = kids.select("way", F.col("node").alias("right"), F.col("kids").alias("ys"))
-        met = pairs.join(x, ["way", "left"]).where("left <> right or leaves > 1").join(y, ["way", "right"])
-        met = met.select("way", (F.col("left") == F.col("right")).alias("same"), "errors", F.explode("xs").alias("x"), "ys")
+        if pairs is None:  # roots meet themselves only
+            met = kids.where("leaves > 1").select("way", F.lit(True).alias("same"), F.lit(0).alias("errors"), F.explode("kids").alias("x"), F.col("kids").alias("ys"))
+        else:
+            x = kids.select("way", F.col("node").alias("left"), F.col("kids").alias("xs"), "leaves")
+            y = kids.select("way", F.col("node").alias("right"), F.col("kids").alias("ys"))
+            met = pairs.join(x, ["way", "left"]).where("left <> right or leaves > 1").join(y, ["way", "right"])
+            met = met.select("way", (F.col("left") == F.col("right")).alias("same"), "errors", F.explode("xs").alias("x"), "ys")
         bits = lambda y: F.bit_count(F.col("x").bitwiseXOR(y).bitwiseAND((1 << step) - 1))  # noqa: E731, B023
-        near = F.filter("ys", lambda y: (F.col("errors") + bits(y) <= budget) & (~F.col("same") | (F.col("x") <= y)))
+        # the last level has no use for nodes that meet themselves
+        order = (lambda y: F.col("x") < y) if not below else (lambda y: F.col("x") <= y)
+        near = F.filter("ys", lambda y: (F.col("errors") + bits(y) <= budget) & (~F.col("same") | order(y)))  # noqa: B023
         met = met.select("way", "x", "errors", F.explode(near).alias("y"))
         pairs = met.select("way", F.col("x").alias("left"), F.col("y").alias("right"), (F.col("errors") + bits(F.col("y"))).alias("errors"))
     return pairs.where("left <> right")
@@ -198,7 +204,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = materialise(held.groupBy("segment", "value").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")))
     turned = F.shiftright("value", half).bitwiseOR(F.shiftleft(F.col("value").bitwiseAND((1 << half) - 1), half))
     leaves = groups.select(F.inline(F.array(F.struct((F.col("segment") * 2).alias("way"), F.col("value").alias("leaf")), F.struct((F.col("segment") * 2 + 1).alias("way"), turned.alias("leaf")))))
-    steps = [-(-half // 2), half // 2] if half <= 16 else [8] * (half // 8) + ([half % 8] if half % 8 else [])
+    # Roots hold n / 2 ** half texts; up to a thousand are compared in one step, more are split first.
+    steps = [half] if n >> half <= 1024 else [-(-half // 2), half // 2]
     met = _walk(leaves, half, steps, 1)
     back = lambda c: F.when(F.col("way") % 2 == 0, F.col(c)).otherwise(F.shiftright(c, half).bitwiseOR(F.shiftleft(F.col(c).bitwiseAND((1 << half) - 1), half)))
     met = met.select(F.floor(F.col("way") / 2).cast("int").alias("segment"), back("left").alias("left"), back("right").alias("right"))
