@@ -55,12 +55,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
     fate = groups.groupBy("id", "digest").agg(F.max("kept").alias("_one"), F.count(F.lit(1)).alias("_rows")).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "_one", "_rows")
     fate = materialise(fate.where("not _one or _rows > 1"))
-    content = docs.withColumn("_sha", F.sha2(normalised(text_col).cast("binary"), 256))
-    met = content.join(fate.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left")
-    alone = met.where("_one is null").select(*docs.columns)
+    # The columns of docs travel as one, so that none of their names can clash.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    content = docs.select(whole, F.col(id_col).cast("long").alias("_own"), F.sha2(normalised(text_col).cast("binary"), 256).alias("_sha"))
+    met = content.join(fate.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left")
+    alone = met.where("_one is null").select("_doc.*")
     if fate.where("_one").isEmpty():
         return alone
     # Rows that repeat whole: id and text of the one that stays.
-    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(text_col))
-    again = met.where("_one").withColumn("_place", first).where("_place = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.col(f"_doc.`{text_col}`")))
+    again = met.where("_one").withColumn("_place", first).where("_place = 1").select("_doc.*")
     return alone.unionByName(again)

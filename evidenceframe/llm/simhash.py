@@ -219,7 +219,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     close = materialise(close)
     # The exact check, for what is close: shingle sets of the texts that stand for their classes.
     named = close.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least").alias("id")), "key").where("id is not null")
-    sets = shingle_sets(docs.join(named, docs[id_col] == named["id"]).select("key", text_or_empty(text_col).alias("text")).dropDuplicates(["key"]), width, seed)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    sets = shingle_sets(texts.join(named, "id").select("key", "text").dropDuplicates(["key"]), width, seed)
     both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "left").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b", "left")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(F.coalesce(common >= similarity * (F.size("x") + F.size("y") - common), F.lit(True))).select("a", "b")

@@ -232,6 +232,7 @@ def test_pipeline_stages(spark):
     b[70] = "other"
     rows = [(1, " ".join(a), "s0"), (2, " ".join(a), "s0"), (3, " ".join(b), "s1"), (4, " ".join(words(120)), "s1"), (5, "12 34", "s1"), (6, None, "s0")] + [(k, " ".join(words(80)), f"s{k % 3}") for k in range(10, 40)]
     df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = df.withColumns({c: F.lit(1) for c in ("id", "key", "row", "run", "laps", "size", "begin", "_id", "_doc", "component_id")})
     stages = dict(corpus_pipeline.STAGES)
     kept = lambda d: {r.doc_id for r in d.collect()}
     one = stages["language"](spark, df, SF)
@@ -248,6 +249,10 @@ def test_pipeline_stages(spark):
         found[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text)
     assert four.columns == df.columns and all(found[i] == taken[i] <= 2 * sizes[i] for i in sizes)
+    for name, before, after in (("language", df, one), ("exact", one, two), ("near", two, three), ("mix", three, four)):
+        more = before.withColumns({c: F.lit(1) for c in clash.columns if c not in before.columns})
+        assert kept(stages[name](spark, more, SF)) == kept(after)
+        assert stages[name](spark, before.where("false"), SF).count() == 0
     packed = stages["pack"](spark, four, SF).collect()
     assert {r.doc_id for r in packed} == set(found)
 
