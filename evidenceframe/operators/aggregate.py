@@ -139,7 +139,7 @@ def sequence_evidence(slices: DataFrame) -> DataFrame:
     total = F.col("score_infection_raw") + F.col("score_tumor_raw")
     return g.select(
         "patient_id", "seq", "gt_label", "num_slices", "num_candidate_slices", "num_no_candidate_slices", "score_infection_raw", "score_tumor_raw",
-        F.round(safe_div("score_infection_raw", total), DIGITS).alias("prob_infection"), F.round(safe_div("score_tumor_raw", total), DIGITS).alias("prob_tumor"), (total > 0).cast("int").alias("has_class_evidence"),
+        safe_div("score_infection_raw", total).alias("prob_infection"), safe_div("score_tumor_raw", total).alias("prob_tumor"), (total > 0).cast("int").alias("has_class_evidence"),
     )
 
 

@@ -54,7 +54,7 @@ def localization_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir).select(*KEY, boxes.center_hit(p, g).alias("center_hit"), boxes.strict_hit(p, g).alias("strict_hit"), boxes.relaxed_hit(p, g).alias("relaxed_hit"))
 
 
-@query(f"""select {KEYS}, round(iou3d, 6) as iou3d from (select *, case when u = 0 then 0.0::double else i / u end as iou3d from (select *, pa * pd + ga * gd - i as u from (
+@query(f"""select {KEYS}, round(iou3d, 9) as iou3d from (select *, case when u = 0 then 0.0::double else i / u end as iou3d from (select *, pa * pd + ga * gd - i as u from (
   select {KEYS}, greatest(0, px2 - px1) * greatest(0, py2 - py1) as pa, greatest(0, gx2 - gx1) * greatest(0, gy2 - gy1) as ga, 3 as pd, 4 as gd,
     greatest(0, least(px2, gx2) - greatest(px1, gx1)) * greatest(0, least(py2, gy2) - greatest(py1, gy1)) * greatest(0, least(l_linenumber + 3, l_linenumber % 3 + 4) - greatest(l_linenumber, l_linenumber % 3)) as i from fx_box)))""")
 def box_overlap_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,19 +104,19 @@ def box_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with r as (select *, greatest(1, px2 - px1) as bw, greatest(1, py2 - py1) as bh from fx_box), n as (select *, (px1 + bw / 2) / 280 as cx, (py1 + bh / 2) / 280 as cy, bw / 280 as w, bh / 280 as h from r),
 b as (select *, round_even(cx * 280 - (w * 280) / 2, 0)::int as gx1_, round_even(cy * 280 - (h * 280) / 2, 0)::int as gy1_, round_even(cx * 280 + (w * 280) / 2, 0)::int as gx2_, round_even(cy * 280 + (h * 280) / 2, 0)::int as gy2_ from n)
-select {KEYS}, round(cx, 6) as cx, round(cy, 6) as cy, round(w, 6) as w, round(h, 6) as h, greatest(0, least(gx1_, 279)) as x1, greatest(0, least(gy1_, 279)) as y1, greatest(0, least(gx2_, 279)) as x2, greatest(0, least(gy2_, 279)) as y2 from b""")
+select {KEYS}, round(cx, 9) as cx, round(cy, 9) as cy, round(w, 9) as w, round(h, 9) as h, greatest(0, least(gx1_, 279)) as x1, greatest(0, least(gy1_, 279)) as y1, greatest(0, least(gx2_, 279)) as x2, greatest(0, least(gy2_, 279)) as y2 from b""")
 def box_yolo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _boxes(spark, sf_dir).select(*KEY, boxes.to_relative(F.col("p"), 280, 280).alias("r"))
     return _short(rows.select(*KEY, "r.*", boxes.from_relative(F.col("r"), 280, 280).alias("b")).select(*KEY, "cx", "cy", "w", "h", "b.*"))
 
 
-@query(f"with {O}, t as (select unnest([0.3, 0.5, 0.7])::double as threshold) select threshold, count(*) filter (iou >= threshold) as hits, count(*) as total, round(count(*) filter (iou >= threshold) / count(*), 6) as recall from m, t group by threshold")
+@query(f"with {O}, t as (select unnest([0.3, 0.5, 0.7])::double as threshold) select threshold, count(*) filter (iou >= threshold) as hits, count(*) as total, round(count(*) filter (iou >= threshold) / count(*), 9) as recall from m, t group by threshold")
 def recall_at_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _boxes(spark, sf_dir).withColumn("iou", boxes.iou(F.col("p"), F.col("g")))
     return _short(metrics.recall_at(rows, [0.3, 0.5, 0.7], "iou"))
 
 
-@query(f"""with {O}, b as (select *, l_partkey % 3 = 0 as right_label from h) select count(*) as total, round(avg(iou), 6) as mean_iou, count(*) filter (strict) as strict_hits, count(*) filter (relaxed) as relaxed_hits,
+@query(f"""with {O}, b as (select *, l_partkey % 3 = 0 as right_label from h) select count(*) as total, round(avg(iou), 9) as mean_iou, count(*) filter (strict) as strict_hits, count(*) filter (relaxed) as relaxed_hits,
   count(*) filter (strict and right_label) as strict_joint, count(*) filter (relaxed and right_label) as relaxed_joint from b""")
 def joint_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g, right = F.col("p"), F.col("g"), F.col("l_partkey") % 3 == 0
@@ -136,7 +136,7 @@ _RANKED = f"with {O}, k as (select *, row_number() over (partition by l_orderkey
 
 @query(f"""{_RANKED}, b as (select l_orderkey, max(iou) filter (rank <= 1) as b1, max(iou) filter (rank <= 3) as b3 from k group by l_orderkey),
 g as (select unnest([1, 3]) as top_k), t as (select unnest([0.3, 0.5])::double as threshold)
-select top_k, threshold, count(*) filter (case when top_k = 1 then b1 else b3 end >= threshold) as hits, count(*) as total, round(count(*) filter (case when top_k = 1 then b1 else b3 end >= threshold) / count(*), 6) as recall from b, g, t group by all""")
+select top_k, threshold, count(*) filter (case when top_k = 1 then b1 else b3 end >= threshold) as hits, count(*) as total, round(count(*) filter (case when top_k = 1 then b1 else b3 end >= threshold) / count(*), 9) as recall from b, g, t group by all""")
 def topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(metrics.topk_recall(_ranked_boxes(spark, sf_dir), "l_orderkey", "rank", "iou", [1, 3], [0.3, 0.5]))
 
@@ -167,7 +167,7 @@ def mask_bbox_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.boxes3d(_mask(spark, sf_dir), "gt")
 
 
-@query("select case_id, z, round(case when sum(pred) + sum(gt) = 0 then 1.0::double else 2.0::double * sum(pred * gt) / (sum(pred) + sum(gt)) end, 6) as dice from fx_mask group by all")
+@query("select case_id, z, round(case when sum(pred) + sum(gt) = 0 then 1.0::double else 2.0::double * sum(pred * gt) / (sum(pred) + sum(gt)) end, 9) as dice from fx_mask group by all")
 def mask_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(masks.dice(_mask(spark, sf_dir), keys=["case_id", "z"]))
 
@@ -196,7 +196,7 @@ u as (select *, round(1.35::double * ratio + 0.45::double * area / (w * h) + 0.3
     - case when touches_border then 0.15::double else 0.0::double end, 9) as score from t)"""
 
 
-@query(_STATS + " select case_id, z, component, area, touches_border, round(ratio, 6) as area_ratio, round(score, 6) as score, row_number() over (partition by case_id, z order by score desc, area desc, component) as rank from u where area >= 2 and ratio >= 0.15 qualify rank <= 3")
+@query(_STATS + " select case_id, z, component, area, touches_border, round(ratio, 9) as area_ratio, round(score, 9) as score, row_number() over (partition by case_id, z order by score desc, area desc, component) as rank from u where area >= 2 and ratio >= 0.15 qualify rank <= 3")
 def component_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = masks.component_stats(masks.components(_mask(spark, sf_dir)), 8, 8)
     out = candidates.component_candidates(stats, 3, 2, 0.15)
@@ -269,6 +269,6 @@ def slice_boxes_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
   min(x) filter (gt > 0) as gx1, min(y) filter (gt > 0) as gy1, min(z) filter (gt > 0) as gz1, max(x + 1) filter (gt > 0) as gx2, max(y + 1) filter (gt > 0) as gy2, max(z + 1) filter (gt > 0) as gz2,
   2.0::double * sum(pred * gt) / (sum(pred) + sum(gt)) as dice from fx_mask group by case_id),
 o as (select *, greatest(0, least(px2, gx2) - greatest(px1, gx1)) * greatest(0, least(py2, gy2) - greatest(py1, gy1)) * greatest(0, least(pz2, gz2) - greatest(pz1, gz1)) as i from b)
-select count(*) as cases, round(avg(dice), 6) as mean_dice, round(count(*) filter (i / ((px2 - px1) * (py2 - py1) * (pz2 - pz1) + (gx2 - gx1) * (gy2 - gy1) * (gz2 - gz1) - i) >= 0.5) / count(*), 6) as recall_3d from o""")
+select count(*) as cases, round(avg(dice), 9) as mean_dice, round(count(*) filter (i / ((px2 - px1) * (py2 - py1) * (pz2 - pz1) + (gx2 - gx1) * (gy2 - gy1) * (gz2 - gz1) - i) >= 0.5) / count(*), 9) as recall_3d from o""")
 def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(masks.segmentation_metrics(_mask(spark, sf_dir)))

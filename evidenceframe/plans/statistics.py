@@ -31,28 +31,28 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUM = "c as (select *, row_number() over w as pos, sum(y) over w as tp, count(*) over () as n, sum(y) over () as np from fx_score window w as (order by p desc, doc_id rows unbounded preceding))"
 
 
-@query(f"with {CUM} select 'roc' as curve, pos, round((pos - tp) / greatest(n - np, 1), 6) as x, round(tp / greatest(np, 1), 6) as value from c")
+@query(f"with {CUM} select 'roc' as curve, pos, round((pos - tp) / greatest(n - np, 1), 9) as x, round(tp / greatest(np, 1), 9) as value from c")
 def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.roc_points(_scores(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long")))
 
 
-@query(f"with {CUM} select 'pr' as curve, pos, round(tp / greatest(np, 1), 6) as x, round(tp / pos, 6) as value from c")
+@query(f"with {CUM} select 'pr' as curve, pos, round(tp / greatest(np, 1), 9) as x, round(tp / pos, 9) as value from c")
 def pr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.pr_points(_scores(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long")))
 
 
 @query(f"""with {CUM}, d as (select tp / np as tpr, (pos - tp) / (n - np) as fpr, lag(tp / np, 1, 0) over (order by pos) as tpr0, lag((pos - tp) / (n - np), 1, 0) over (order by pos) as fpr0 from c)
-select round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 6) as roc_auc from d""")
+select round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 9) as roc_auc from d""")
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.roc_auc(_scores(spark, sf_dir)))
 
 
-@query(f"with {CUM} select round(sum(case when y = 1 then tp / pos end) / max(np), 6) as average_precision from c")
+@query(f"with {CUM} select round(sum(case when y = 1 then tp / pos end) / max(np), 9) as average_precision from c")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.average_precision(_scores(spark, sf_dir)))
 
 
-@query("""with c as (select *, least(greatest(p, 1e-6::double), 1 - 1e-6::double) as q from fx_score) select round(avg((p - y) * (p - y)), 6) as brier_score, round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 6) as log_loss from c""")
+@query("""with c as (select *, least(greatest(p, 1e-6::double), 1 - 1e-6::double) as q from fx_score) select round(avg((p - y) * (p - y)), 9) as brier_score, round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 9) as log_loss from c""")
 def brier_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.brier_log_loss(_scores(spark, sf_dir)))
 
@@ -61,19 +61,19 @@ _BINS = """b as (select *, ntile(10) over (order by p, doc_id) as bin from fx_sc
 g as (select bin, count(*) as n, avg(p) as mean_predicted, avg(y) as observed from b group by bin)"""
 
 
-@query(f"with {_BINS.replace('order by p, doc_id', 'order by p, doc_id')} select bin::int as bin, n, round(mean_predicted, 6) as mean_predicted, round(observed, 6) as observed, round(abs(observed - mean_predicted), 6) as error from g")
+@query(f"with {_BINS.replace('order by p, doc_id', 'order by p, doc_id')} select bin::int as bin, n, round(mean_predicted, 9) as mean_predicted, round(observed, 9) as observed, round(abs(observed - mean_predicted), 9) as error from g")
 def ece_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.calibration_bins(_scores(spark, sf_dir)))
 
 
-@query(f"with {_BINS} select round(sum(n * abs(observed - mean_predicted)) / sum(n), 6) as ece from g")
+@query(f"with {_BINS} select round(sum(n * abs(observed - mean_predicted)) / sum(n), 9) as ece from g")
 def expected_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.expected_calibration_error(scoring.calibration_bins(_scores(spark, sf_dir))))
 
 
 @query("""with g as (select count(*) filter (y = 1 and p >= 0.5) as tp, count(*) filter (y = 1 and p < 0.5) as fn, count(*) filter (y = 0 and p < 0.5) as tn, count(*) filter (y = 0 and p >= 0.5) as fp from fx_score)
-select tp, fn, tn, fp, round(tp / greatest(tp + fn, 1), 6) as sensitivity, round(tn / greatest(tn + fp, 1), 6) as specificity, round((tp + tn) / (tp + fn + tn + fp), 6) as accuracy,
-  round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 6) as balanced_accuracy from g""")
+select tp, fn, tn, fp, round(tp / greatest(tp + fn, 1), 9) as sensitivity, round(tn / greatest(tn + fp, 1), 9) as specificity, round((tp + tn) / (tp + fn + tn + fp), 9) as accuracy,
+  round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 9) as balanced_accuracy from g""")
 def threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.threshold_metrics(_scores(spark, sf_dir)))
 
@@ -83,12 +83,12 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.calibration_fit(_scores(spark, sf_dir))
 
 
-@query("select y, round(quantile_cont(p, 0.025), 6) as low, round(quantile_cont(p, 0.5), 6) as mid, round(quantile_cont(p, 0.975), 6) as high from fx_score group by y")
+@query("select y, round(quantile_cont(p, 0.025), 9) as low, round(quantile_cont(p, 0.5), 9) as mid, round(quantile_cont(p, 0.975), 9) as high from fx_score group by y")
 def percentile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.percentiles(_scores(spark, sf_dir), "p", {"low": 0.025, "mid": 0.5, "high": 0.975}, ["y"]))
 
 
-@query("""select seq, round(avg(case when a + b > 0 then a / (a + b) else 0.5::double end), 6) as mean_share from (select seq, vote_score_infection as a, vote_score_tumor as b from fx_slice) group by seq""")
+@query("""select seq, round(avg(case when a + b > 0 then a / (a + b) else 0.5::double end), 9) as mean_share from (select seq, vote_score_infection as a, vote_score_tumor as b from fx_slice) group by seq""")
 def positive_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "fx_slice").select("seq", scoring.positive_share("vote_score_infection", "vote_score_tumor").alias("s"))
     return _short(rows.groupBy("seq").agg(F.avg("s").alias("mean_share")))
@@ -105,7 +105,7 @@ def discordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with d as ({_DISC}), s as (select fold, a_only_correct as b, b_only_correct as c, unnest(range(least(a_only_correct, b_only_correct) + 1)) as i from d),
-t as (select fold, b, c, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) as tail from s group by all) select fold, b, c, round(least(1.0::double, 2 * tail), 6) as p from t""")
+t as (select fold, b, c, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) as tail from s group by all) select fold, b, c, round(least(1.0::double, 2 * tail), 9) as p from t""")
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scoring.discordance(read(spark, sf_dir, "fx_patient"), keys=["fold"]).select("fold", F.col("a_only_correct").alias("b"), F.col("b_only_correct").alias("c"))
     return _short(d.withColumn("p", scoring.mcnemar_p(F.col("b"), F.col("c"))))
@@ -174,12 +174,12 @@ def outer_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.outer_folds(read(spark, sf_dir, "fx_patient").select("patient_id", "gt_label"), 5)
 
 
-@query("""with a as (select fold, gt_label, count(*) as n from fx_patient group by all), q as (select *, 40 * n / sum(n) over (partition by fold) as raw from a),
-w as (select *, floor(raw)::bigint as whole, 40 - sum(floor(raw)) over (partition by fold) as rest, row_number() over (partition by fold order by raw - floor(raw) desc, n desc, gt_label desc) as place from q)
+@query("""with a as (select fold, gt_label, count(*) as n from fx_patient group by all), q as (select *, 20 * n / sum(n) over (partition by fold) as raw from a),
+w as (select *, floor(raw)::bigint as whole, 20 - sum(floor(raw)) over (partition by fold) as rest, row_number() over (partition by fold order by raw - floor(raw) desc, n desc, gt_label desc) as place from q)
 select fold, gt_label, n, (whole + case when place <= rest then 1 else 0 end)::bigint as quota from w""")
 def quota_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "fx_patient").groupBy("fold", "gt_label").agg(F.count(F.lit(1)).alias("n"))
-    return cohort.quotas(n, 40, ["fold"])
+    return cohort.quotas(n, 20, ["fold"])
 
 
 @query(f"""with f as (select patient_id, gt_label, (row_number() over (partition by gt_label {_ORDER}) - 1) % 5 as own from fx_patient), p as (select f.*, k.fold from f, (select unnest(range(5)) as fold) k),
