@@ -28,6 +28,8 @@ from .common import column, materialise, text_or_empty
 from .components import components
 
 WAYS = list(combinations(range(4), 2))
+#: Members of a cell that are compared with as many others at a time.
+BLOCK = 256
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -183,14 +185,126 @@ def _segment(prints: Column, k: int, bits: int) -> Column:
     return out.bitwiseAND((1 << bits) - 1)
 
 
+def _by_task(batches, read):
+    """read(batch) of all rows of a task (a list of its parts), for rows that come in the order of ``task``."""
+    held, open_ = [], None
+    for batch in batches:
+        tasks = column(batch, "task").to_numpy()
+        bounds = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+        for begin, end in zip(bounds, bounds[1:]):
+            if begin == end:
+                continue
+            if held and tasks[begin] != open_:
+                yield open_, held
+                held = []
+            open_ = tasks[begin]
+            held.append(read(batch.slice(begin, end - begin)))
+    if held:
+        yield open_, held
+
+
+def _close_in_tasks(rows: DataFrame, limit: int) -> DataFrame:
+    """(task, a, b): keys of different roots whose fingerprints differ in ``limit`` bits at most, for rows(task, side, key,
+    root, prints). Side 0 meets side 1; rows of side 2 meet each other."""
+
+    def scan(batches):
+        def read(batch):
+            prints = column(batch, "prints")
+            return [*(column(batch, c).to_numpy() for c in ("side", "key", "root")), prints.flatten().to_numpy().reshape(len(prints), -1).view(np.uint64)]
+
+        for task, parts in _by_task(batches, read):
+            side, key, root, prints = (np.concatenate(c) for c in zip(*parts))
+            xs, ys = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            for at in range(0, len(xs), BLOCK):
+                x = xs[at : at + BLOCK]
+                for beside in range(0, len(ys), BLOCK):
+                    y = ys[beside : beside + BLOCK]
+                    apart = np.zeros((len(x), len(y)), np.int64)
+                    for w in range(prints.shape[1]):
+                        apart += np.bitwise_count(prints[x, w][:, None] ^ prints[y, w][None, :])
+                    near = (apart <= limit) & (root[x][:, None] != root[y][None, :])
+                    i, j = np.nonzero(near)
+                    one, two = key[x[i]], key[y[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), task)), pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["task", "a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(scan, "task long, a long, b long")
+
+
+def _alike_in_tasks(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of close(task, a, b) whose sets are similar, or of which one has no set. A task's sets come to it once."""
+    sides = close.select("task", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.withColumnRenamed("key", "a"), "a")
+    rows = sides.select("task", "a", F.lit(None).cast("long").alias("b"), "shingles").union(close.select("task", "a", "b", F.lit(None).cast("array<long>")))
+
+    def scan(batches):
+        def read(batch):
+            a, b, shingles = column(batch, "a").to_numpy(), column(batch, "b"), column(batch, "shingles")
+            if b.null_count == 0:
+                return {}, np.stack([a, b.to_numpy()], axis=1)
+            own = b.is_null().to_numpy(zero_copy_only=False)
+            return {int(a[i]): shingles[i].values.to_numpy() for i in np.flatnonzero(own).tolist()}, np.stack([a, b.fill_null(0).to_numpy()], axis=1)[~own]
+
+        for _, parts in _by_task(batches, read):
+            known = {k: v for p in parts for k, v in p[0].items()}
+            pairs = [(int(a), int(b)) for p in parts for a, b in p[1]]
+            found = []
+            for a, b in pairs:
+                x, y = known.get(a), known.get(b)
+                if x is None or y is None:
+                    found.append((a, b))
+                elif min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common >= similarity * (len(x) + len(y) - common):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task", F.col("b").asc_nulls_first()).mapInArrow(scan, "a long, b long")
+
+
+def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, prints: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """(task, a, b), once each: close pairs of one cell or of met cells that the links of the heads leave in different components.
+
+    held: (key, segment, value); met: (segment, left, right). Cells are cut in blocks of about ``BLOCK`` members, and a
+    task compares two blocks. A component with more members in a cell has blocks of its own, as those needn't meet.
+    """
+    sizes = groups.select("segment", "value", "size")
+    alone = sizes.where("size > 2").select("segment", F.col("value").alias("left"), F.col("value").alias("right"))
+    size_of = lambda c: sizes.select("segment", F.col("value").alias(c), F.col("size").alias(f"{c}_size"))
+    crowd = met.join(size_of("left"), ["segment", "left"]).join(size_of("right"), ["segment", "right"]).where("left_size + right_size > 2").select("segment", "left", "right")
+    pairs = materialise(alone.union(crowd))
+    wanted = pairs.select("segment", F.explode(F.array("left", "right")).alias("value")).distinct()
+    cell = ["segment", "value"]
+    members = held.join(wanted, cell, "left_semi").join(roots, "key", "left").select(*cell, "key", F.coalesce("root", "key").alias("root"))
+    members = materialise(members)
+    own = members.groupBy(*cell, "root").agg(F.count(F.lit(1)).alias("own"))
+    whole = own.groupBy(*cell).agg(F.sum("own").alias("all"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK)
+    block = F.when(F.col("own") > BLOCK, F.xxhash64("root", F.pmod("key", parts("own")))).otherwise(F.pmod(F.xxhash64("root"), parts("all")))
+    members = materialise(members.join(own, [*cell, "root"]).join(whole, cell).select(*cell, "key", "root", block.alias("block")))
+    blocks = members.groupBy(*cell, "block").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    side = lambda c: blocks.select("segment", F.col("value").alias(c), F.col("block").alias(f"{c}_block"), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most"))
+    tasks = pairs.join(side("left"), ["segment", "left"]).join(side("right"), ["segment", "right"])
+    tasks = tasks.where("(left <> right or left_block <= right_block) and least(left_least, right_least) <> greatest(left_most, right_most)")
+    tasks = materialise(tasks.select("segment", "left", "right", "left_block", "right_block").withColumn("task", F.xxhash64("segment", "left", "right", "left_block", "right_block")))
+    itself = (F.col("left") == F.col("right")) & (F.col("left_block") == F.col("right_block"))
+    sides = tasks.select("segment", "task", F.inline(F.array(
+        F.struct(F.col("left").alias("value"), F.col("left_block").alias("block"), F.when(itself, 2).otherwise(0).alias("side")),
+        F.struct(F.col("right").alias("value"), F.col("right_block").alias("block"), F.when(itself, 3).otherwise(1).alias("side")),
+    ))).where("side < 3")
+    rows = sides.join(members, [*cell, "block"]).join(prints, "key").select("task", "side", "key", "root", "prints")
+    return _close_in_tasks(rows, limit).groupBy("a", "b").agg(F.min("task").alias("task")).select("task", "a", "b")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42) -> DataFrame:
     """(id, component_id) for every row, linking texts whose shingle sets have a Jaccard similarity of ``similarity``.
 
     Fingerprints have several segments. For each segment a trie is walked in node pairs with a budget of one bit,
     from either half of the segment equal; what meets there and differs in no more bits over the whole fingerprints
-    than a similarity lower by 0.1 would allow is compared exactly, by shingle sets. Equal segments are compared with
-    the first text that has them, so a large group of copies costs a comparison a segment each. An id names one text;
-    texts whose ids are all null are linked by their bits. Texts without words are linked with each other only.
+    than a similarity lower by 0.1 would allow is compared exactly, by shingle sets. First the texts of a cell (equal
+    segments) are compared with its head, and the heads of cells one bit apart with each other, so a large group of
+    copies is linked by a comparison a segment each. Then all members of these cells that are still in different
+    components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. An id
+    names one text; texts whose ids are all null are linked by their bits. Texts without words are linked with each
+    other only.
     """
     n = docs.count()
     bits, segments = plan_segments(n, similarity, recall)
@@ -208,23 +322,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     steps = [half] if n >> half <= 1024 else [-(-half // 2), half // 2]
     met = _walk(leaves, half, steps, 1)
     back = lambda c: F.when(F.col("way") % 2 == 0, F.col(c)).otherwise(F.shiftright(c, half).bitwiseOR(F.shiftleft(F.col(c).bitwiseAND((1 << half) - 1), half)))
-    met = met.select(F.floor(F.col("way") / 2).cast("int").alias("segment"), back("left").alias("left"), back("right").alias("right"))
+    met = materialise(met.select(F.floor(F.col("way") / 2).cast("int").alias("segment"), back("left").alias("left"), back("right").alias("right")))
     heads = groups.select("segment", "value", "head")
-    met = met.join(heads.select("segment", F.col("value").alias("left"), F.col("head").alias("a")), ["segment", "left"]).join(heads.select("segment", F.col("value").alias("right"), F.col("head").alias("b")), ["segment", "right"])
+    first = met.join(heads.select("segment", F.col("value").alias("left"), F.col("head").alias("a")), ["segment", "left"]).join(heads.select("segment", F.col("value").alias("right"), F.col("head").alias("b")), ["segment", "right"])
     stars = held.join(groups.where("size > 1"), ["segment", "value"]).select(F.col("key").alias("a"), F.col("head").alias("b"))
-    edges = met.select("a", "b").union(stars).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = first.select("a", "b").union(stars).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     p = classes.select("key", "prints")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     close = edges.join(p.select(F.col("key").alias("a"), F.col("prints").alias("x")), "a").join(p.select(F.col("key").alias("b"), F.col("prints").alias("y")), "b").where(apart <= limit).select("a", "b")
     close = materialise(close)
     # The exact check, for what is close: shingle sets of the texts that stand for their classes.
-    named = close.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least").alias("id")), "key").where("id is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sets = shingle_sets(texts.join(named, "id").select("key", "text").dropDuplicates(["key"]), width, seed)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least").alias("id")), "key").where("id is not null")
+        return shingle_sets(texts.join(named, "id").select("key", "text").dropDuplicates(["key"]), width, seed)
+
+    sets = sets_of(close)
     both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "left").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b", "left")
     common = F.size(F.array_intersect("x", "y"))
-    links = both.where(F.coalesce(common >= similarity * (F.size("x") + F.size("y") - common), F.lit(True))).select("a", "b")
-    roots = components(links).select(F.col("vertex").alias("key"), "root")
+    links = materialise(both.where(F.coalesce(common >= similarity * (F.size("x") + F.size("y") - common), F.lit(True))).select("a", "b"))
+    roots = materialise(components(links).select(F.col("vertex").alias("key"), "root"))
+    # What the heads left apart.
+    close = materialise(_rest_of_cells(held, groups, met, p, roots, limit))
+    more = materialise(_alike_in_tasks(close, sets_of(close), similarity))
+    if not more.isEmpty():
+        roots = components(links.union(more)).select(F.col("vertex").alias("key"), "root")
     named = materialise(classes.join(roots, "key", "left").select("prints", "least", F.coalesce("root", "key").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "root").select("prints", "component_id"), "prints").select("id", "component_id")

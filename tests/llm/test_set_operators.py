@@ -135,6 +135,30 @@ def test_similar_documents_by_jaccard(spark):
     assert simhash.similar_documents(documents(spark, rows).where("false")).count() == 0
 
 
+def test_similar_documents_in_a_template(spark):
+    rng = np.random.default_rng(3)
+    fresh = iter(range(10**9))
+    word = lambda: f"w{next(fresh)}"
+    template = [word() for _ in range(300)]
+    rows, pairs = [], 150
+    for k in range(600):
+        own = template + [word() for _ in range(64)]
+        rows.append((k, own))
+        if k < pairs:  # 33 of 360 + 33 shingles differ: a similarity of 0.83
+            at = int(rng.integers(0, len(own) - 28))
+            rows.append((10_000 + k, [*own[:at], *(word() for _ in range(28)), *own[at + 28 :]]))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    alike = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    links = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    assert len(links) >= pairs
+    got = {r.id: r.component_id for r in simhash.similar_documents(documents(spark, [(i, " ".join(w), "s") for i, w in rows])).collect()}
+    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+    graph = {i: {i} for i in sets}
+    for a, b in links:
+        graph[a].add(b), graph[b].add(a)
+    assert all(c in graph[i] or any(c in graph[m] for m in graph[i]) for i, c in got.items())
+
+
 def sainte_lague(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats):
