@@ -143,7 +143,8 @@ def plan_segments(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
-    """(id, prints): fingerprints of ``words`` times 64 bits, from as many mixes of each shingle's hash."""
+    """(id, key, prints): a digest of the shingle set, and fingerprints of ``words`` times 64 bits, from as many mixes of
+    the hash of each distinct shingle."""
 
     def scan(batches):
         salts = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(words)]
@@ -155,14 +156,15 @@ def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_
             return h ^ (h >> np.uint64(32))
 
         for batch in batches:
-            prints = []
+            keys, prints = [], []
             for t in column(batch, "text", pa.binary()):
-                h = shingle_hashes(t.as_py(), width, seed)
+                h = np.unique(shingle_hashes(t.as_py(), width, seed))
+                keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 prints.append([majority(mixed(h, s)) for s in salts])
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(prints, pa.list_(pa.int64()))], ["id", "prints"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "prints"])
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return named.mapInArrow(scan, "id long, prints array<long>")
+    return named.mapInArrow(scan, "id long, key long, prints array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
@@ -302,8 +304,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     than a similarity lower by 0.1 would allow is compared exactly, by shingle sets. First the texts of a cell (equal
     segments) are compared with its head, and the heads of cells one bit apart with each other, so a large group of
     copies is linked by a comparison a segment each. Then all members of these cells that are still in different
-    components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. An id
-    names one text; texts whose ids are all null are linked by their bits. Texts without words are linked with each
+    components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. Texts
+    of equal shingle sets are one. An id names one text; texts whose ids are all null are linked by their bits. Texts without words are linked with each
     other only.
     """
     n = docs.count()
@@ -311,7 +313,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = -(-segments * bits // 64)
     limit = int(bit_error(similarity - 0.1) * 64 * words)
     rows = materialise(wide_fingerprints(docs, words, id_col, text_col, width, seed))
-    classes = materialise(rows.groupBy("prints").agg(F.min("id").alias("least")).withColumn("key", F.xxhash64("prints")))
+    classes = materialise(rows.groupBy("key").agg(F.min("id").alias("least"), F.first("prints").alias("prints")))
     half = bits // 2
     cells = F.array(*(F.struct(F.lit(k).alias("segment"), _segment(F.col("prints"), k, bits).alias("value")) for k in range(segments)))
     held = materialise(classes.select("key", F.inline(cells)))
@@ -331,7 +333,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     close = edges.join(p.select(F.col("key").alias("a"), F.col("prints").alias("x")), "a").join(p.select(F.col("key").alias("b"), F.col("prints").alias("y")), "b").where(apart <= limit).select("a", "b")
     close = materialise(close)
-    # The exact check, for what is close: shingle sets of the texts that stand for their classes.
+    # The exact check, for what is close: shingle sets, of one text each.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -348,9 +350,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = materialise(_alike_in_tasks(close, sets_of(close), similarity))
     if not more.isEmpty():
         roots = components(links.union(more)).select(F.col("vertex").alias("key"), "root")
-    named = materialise(classes.join(roots, "key", "left").select("prints", "least", F.coalesce("root", "key").alias("root")))
+    named = materialise(classes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("prints", "component_id"), "prints").select("id", "component_id")
+    return rows.select("id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 2, seed: int = 42) -> DataFrame:

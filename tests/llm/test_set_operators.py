@@ -159,6 +159,15 @@ def test_similar_documents_in_a_template(spark):
     assert all(c in graph[i] or any(c in graph[m] for m in graph[i]) for i, c in got.items())
 
 
+def test_similar_documents_of_repeated_shingles(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["0"] * 300 + [f"w{x}" for x in rng.integers(0, 10**9, 200)]) for _ in range(6)]
+    words = [f"v{x}" for x in rng.integers(0, 10**9, 200)]
+    texts += [" ".join(words + ["1"] * 400), " ".join(words + ["2"] * 400), " ".join(words + ["1"] * 90)]
+    got = [r.component_id for r in simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("id").collect()]
+    assert got == [0, 1, 2, 3, 4, 5, 6, 6, 6]
+
+
 def sainte_lague(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats):
