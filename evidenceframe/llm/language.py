@@ -7,9 +7,9 @@ context codes it, without the bytes already ruled out; below the empty context a
 language of the shortest code wins.
 
 Contexts are counted by Spark over a bounded sample of labelled rows and the most frequent are kept. Their costs
-make one table of (state, byte) for all languages, in which a state is the longest known context, so a text is
-scored by walking the table; texts are walked side by side in numpy. Sample, contexts and languages are bounded by
-parameters, and so is the table that every task receives.
+make one table of (state, byte) for a group of languages, in which a state is the longest known context, so a text is
+scored by walking the table; texts are walked side by side in numpy. Every language is learnt. Sample and contexts are
+bounded by parameters, and so is a group: tasks receive the tables compressed and open one at a time.
 
 Defined results: A-Z count as a-z; text null or without a letter gives ``und`` and score 0; ties go to the first
 language in code-point order; training ignores null languages, texts and ids; without any training rows every
@@ -18,7 +18,9 @@ text gets ``und``; repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -180,29 +182,79 @@ def build_model(counts: list[tuple[str, int, int, int]], order: int) -> Model:
     return Model(languages, order, kinds, step, bits)
 
 
+@dataclass
+class Models:
+    """Models of groups of languages, in order, each packed; leads: bytes that begin characters of some language."""
+
+    languages: list[str] = field(default_factory=list)
+    packed: list[bytes] = field(default_factory=list)
+    leads: np.ndarray = field(default_factory=lambda: np.zeros(256, bool))
+
+    def add(self, model: Model, counts: list[tuple[str, int, int, int]]) -> None:
+        self.languages += model.languages
+        self.packed.append(zlib.compress(pickle.dumps(model, pickle.HIGHEST_PROTOCOL), 1))
+        for lang in model.languages:
+            own = [(gram, n) for name, depth, gram, n in counts if name == lang and depth == 0]
+            least = sum(n for _, n in own) / 1000
+            self.leads[[gram for gram, n in own if n >= least]] = True
+
+    def opened(self):
+        """A function that gives the code lengths of texts in all languages; a single model stays open."""
+        load = lambda data: pickle.loads(zlib.decompress(data))
+        only = load(self.packed[0]) if len(self.packed) == 1 else None
+
+        def lengths(texts: list[bytes], step: int = 1 << 20) -> np.ndarray:
+            runs, begin = [], 0
+            while begin < len(texts):
+                end, held = begin, 0
+                while end < len(texts) and (end == begin or held < step):
+                    held += len(texts[end])
+                    end += 1
+                runs.append((begin, end))
+                begin = end
+            out = [np.zeros((len(texts), 0))]
+            for data in self.packed:
+                model = only or load(data)
+                out.append(np.concatenate([np.zeros((0, len(model.languages))), *(model.lengths(texts[a:b]) for a, b in runs)]))
+            return np.concatenate(out, axis=1)
+
+        return lengths
+
+    def covers(self, text: bytes) -> bool:
+        """Whether half of the text's letters (other characters beyond ASCII count as such) or more begin like some language's."""
+        n = np.bincount(LOWER[np.frombuffer(text, np.uint8)], minlength=256)
+        n[:97] = n[123:192] = 0
+        return bool(self.languages) and 2 * int(n[self.leads].sum()) >= int(n.sum())
+
+
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4,
-    per_language: int = 1024, contexts: int = 1536, max_languages: int = 32,
-) -> Model:
+    per_language: int = 1024, contexts: int = 1536, group: int = 8,
+) -> Models:
     """Fit on a sample of the rows that aren't held out.
 
-    Bounds: ``per_language`` rows of each of the ``max_languages`` most frequent languages are counted, and
-    ``contexts`` contexts of each, the most frequent first, come to the driver with what follows them.
+    Bounds: ``per_language`` rows of each language are counted, and ``contexts`` contexts of each, the most frequent
+    first, come to the driver with what follows them, for ``group`` languages at a time.
     """
     labelled = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    names = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    counts = materialise(count_contexts(sample_rows(labelled.join(F.broadcast(names), "lang", "left_semi"), per_language), order))
+    counts = materialise(count_contexts(sample_rows(labelled, per_language), order))
     context = F.shiftright("gram", 8)
     totals = counts.groupBy("lang", "depth", context.alias("context")).agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "depth", "context"))
     kept = totals.withColumn("rank", rank).where(F.col("rank") <= contexts).select("lang", "depth", "context")
-    rows = counts.withColumn("context", context).join(kept, ["lang", "depth", "context"]).select("lang", "depth", "gram", "n").collect()
-    return build_model([tuple(r) for r in rows], order)
+    rows = materialise(counts.withColumn("context", context).join(kept, ["lang", "depth", "context"]).select("lang", "depth", "gram", "n"))
+    names = sorted((r.lang for r in rows.select("lang").distinct().collect()), key=lambda x: x.encode())
+    models = Models()
+    for k in range(0, len(names), group):
+        own = [tuple(r) for r in rows.where(F.col("lang").isin(names[k : k + group])).collect()]
+        models.add(build_model(own, order), own)
+    return models
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, text, the columns to carry, lang_pred, score (0 to 1) and bits_per_byte (of the predicted
-    language) for every row; carried columns are named carry_0 onward.
+def identify(docs: DataFrame, model: Models, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, held_out, text, the columns to carry, lang_pred, score (0 to 1), bits_per_byte (of the predicted language) and
+    covered for every row; carried columns are named carry_0 onward. covered is null for a text without a letter, and
+    false where no language learnt has the text's script.
 
     score is the predicted language's share when each language has weight 2 ** -code length.
     """
@@ -210,30 +262,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def score(batches):
         m = shared.value
+        lengths = m.opened()
         for batch in batches:
             texts = [t or b"" for t in column(batch, "text", pa.binary()).to_pylist()]
             letters = column(batch, "letters").to_pylist()
-            names, scores, rates = [], [], []
-            begin = 0
-            while begin < len(texts):
-                end, held = begin, 0
-                while end < len(texts) and (end == begin or held < 1 << 20):
-                    held += len(texts[end])
-                    end += 1
-                bits = m.lengths(texts[begin:end])
-                for text, ok, row in zip(texts[begin:end], letters[begin:end], bits):
-                    if not ok or not len(row):
-                        names.append("und"), scores.append(0.0), rates.append(None)
-                        continue
-                    best = int(row.argmin())
-                    names.append(m.languages[best])
-                    scores.append(float(1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()))
-                    rates.append(float(row[best] / len(text)))
-                begin = end
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], fields)
+            names, scores, rates, covered = [], [], [], []
+            for text, ok, row in zip(texts, letters, lengths(texts)):
+                covered.append(m.covers(text) if ok else None)
+                if not ok or not len(row):
+                    names.append("und"), scores.append(0.0), rates.append(None)
+                    continue
+                best = int(row.argmin())
+                names.append(m.languages[best])
+                scores.append(float(1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()))
+                rates.append(float(row[best] / len(text)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), pa.array(covered, pa.bool_())], fields)
 
     named = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     names = named.columns[:-1]
-    kept, fields = range(len(names)), [*names, "lang_pred", "score", "bits_per_byte"]
+    kept, fields = range(len(names)), [*names, "lang_pred", "score", "bits_per_byte", "covered"]
     kinds = ", ".join(f"{n} {named.schema[n].dataType.simpleString()}" for n in names)
-    return named.mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return named.mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double, covered boolean")

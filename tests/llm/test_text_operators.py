@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from evidenceframe.llm import chunks, language, licenses, repetition
 from evidenceframe.llm.queries import QUERIES
 
@@ -213,3 +214,24 @@ def test_licence_rows(spark):
     assert rows == [(3, 0, "MIT"), (3, 0, "MIT"), (5, 0, "CC-BY-NC-4.0")]
     brute = [(r.doc_id, len(licenses.scan(r.text))) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if licenses.scan(r.text)]
     assert sum(n for _, n in brute) == QUERIES["op10_license_sentences"](spark, SF).count()
+
+
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(4)
+    alphabets = [rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:9].tolist() for _ in range(35)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k], 5)) for _ in range(60))
+    langs = [f"l{k:02d}" for k in range(35) for _ in range(4 if k else 2)]
+    texts = [text(int(x[1:])) for x in langs]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1][: len(texts)]
+    docs = documents(spark, texts, ids, langs)
+    model = language.train(docs)
+    assert model.languages == sorted(set(langs)) and len(model.packed) == 5
+    got = {r.id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert [got[i] for i in ids] == langs
+
+
+def test_the_pipeline_keeps_languages_not_learnt(spark):
+    other = "просто текст на другом языке без разметки"
+    texts, langs = ["the dog sat on the mat and the cat ran " * 9, other, "123"], ["en", None, None]
+    kept = lambda names: sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, documents(spark, texts, [0, 3, 4], names), "").collect())
+    assert kept(langs) == [0, 3] and kept([None] * 3) == [0, 3]
