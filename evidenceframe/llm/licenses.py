@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules.
 
-A text is split into sentences, each normalised (lower case, letters and digits, single spaces) and looked up in a
-table of known licence sentences. A licence is an ordered rule over sentence identifiers; rules are matched,
+A text is split into pieces at lines' ends and closing marks, each normalised (lower case, letters and digits, single
+spaces). A known licence sentence is met where neighbouring pieces together give its words, wherever its lines break or
+marks stand inside; the longest counts. A licence is an ordered rule over sentence identifiers; rules are matched,
 longest first, against the identifiers a text holds in order. Between two sentences of a rule up to ``gap``
 sentences may stand that no rule knows (a copyright line, a heading).
 
@@ -14,6 +15,7 @@ results; null ids stay null; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,33 +100,58 @@ assert all(any(a in s for a in ANCHORS) for s in KNOWN), "a known sentence witho
 ORDERED = sorted(((rule, name) for name, rules in RULES.items() for rule in rules), key=lambda x: (-len(x[0]), x[1]))
 
 
-def sentences(text: str):
-    """(begin, end) of every sentence, in order. A line that goes on in lower case doesn't end one."""
-    text = WRAPPED.sub(lambda m: " " * len(m[0]), text)
+STARTS = {s.split(" ", 1)[0] for s in KNOWN}
+LISTED = sorted(KNOWN)
+FIRST = re.compile(r"[a-z0-9]+")
+
+
+def pieces(text: str, lowered: str):
+    """(begin, end, sentence) of every piece with letters or digits, in order. A line that goes on in lower case stays in its sentence."""
+    wrapped = {m.start() for m in WRAPPED.finditer(text)}
+    at, number = 0, 1
+    for m in (*ENDS.finditer(text), None):
+        end = m.start() if m else len(text)
+        if words := FIRST.search(lowered, at, end):
+            yield at, end, number, words[0]
+        if m:
+            number += end not in wrapped
+            at = m.end()
+
+
+def known_sentences(text: str):
+    """(first sentence, last sentence, key, begin, end) of every known sentence, in order."""
+    lowered = text.lower() if len(text.lower()) == len(text) else re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    cut = list(pieces(text, lowered))
     at = 0
-    for m in ENDS.finditer(text):
-        yield at, m.start()
-        at = m.end()
-    yield at, len(text)
+    while at < len(cut):
+        best = None
+        if cut[at][3] in STARTS:
+            said = ""
+            for k in range(at, len(cut)):
+                said = f"{said} {normalise(lowered[cut[k][0] : cut[k][1]])}".lstrip()
+                place = bisect_left(LISTED, said)
+                if place < len(LISTED) and LISTED[place] == said:
+                    best = k, KNOWN[said]
+                    place += 1
+                if place == bisect_left(LISTED, said + "!"):  # no known sentence goes on from here
+                    break
+        if best:
+            begin, end = cut[at][0], cut[best[0]][1]
+            yield cut[at][2], cut[best[0]][2], best[1], begin + len(text[begin:end]) - len(text[begin:end].lstrip()), end
+            at = best[0]
+        at += 1
 
 
 def scan(text: str, gap: int = 3) -> list[dict]:
     """Licences of a text, in order: license, start, end (characters), sentence_ids."""
-    met, number = [], 0
-    lowered = text.lower() if len(text.lower()) == len(text) else text
-    for begin, end in sentences(text):
-        part = lowered[begin:end]
-        if part.strip():
-            number += 1
-            if any(a in part.lower() for a in ANCHORS) and (key := KNOWN.get(normalise(part))):
-                met.append((number, key, begin + len(part) - len(part.lstrip()), end))
+    met = list(known_sentences(text))
     out, at = [], 0
     while at < len(met):
         for rule, name in ORDERED:
-            if len(rule) <= len(met) - at and all(met[at + i][1] == key for i, key in enumerate(rule)):
+            if len(rule) <= len(met) - at and all(met[at + i][2] == key for i, key in enumerate(rule)):
                 hit = met[at : at + len(rule)]
-                if all(b[0] - a[0] - 1 <= gap for a, b in zip(hit, hit[1:])):
-                    out.append({"license": name, "start": hit[0][2], "end": hit[-1][3], "sentence_ids": list(rule)})
+                if all(b[0] - a[1] - 1 <= gap for a, b in zip(hit, hit[1:])):
+                    out.append({"license": name, "start": hit[0][3], "end": hit[-1][4], "sentence_ids": list(rule)})
                     at += len(rule)
                     break
         else:

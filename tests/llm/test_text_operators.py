@@ -235,3 +235,26 @@ def test_the_pipeline_keeps_languages_not_learnt(spark):
     texts, langs = ["the dog sat on the mat and the cat ran " * 9, other, "123"], ["en", None, None]
     kept = lambda names: sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, documents(spark, texts, [0, 3, 4], names), "").collect())
     assert kept(langs) == [0, 3] and kept([None] * 3) == [0, 3]
+
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_every_known_sentence_is_met():
+    single = {rule[0]: name for name, rules in licenses.RULES.items() for rule in rules if len(rule) == 1}
+    for key, texts in licenses.SENTENCES.items():
+        for text in texts:
+            assert [m[2] for m in licenses.known_sentences(f"Before.\n{text}.\nAfter")] == [key], text
+            assert key not in single or [m["license"] for m in licenses.scan(text)] == [single[key]]
+    for text, name, two in ((GPL3, "GPL-3.0-or-later", "gpl-free"), (GPL2, "GPL-2.0-or-later", "gpl2-free")):
+        assert [(m["license"], m["sentence_ids"]) for m in licenses.scan(text)] == [(name, [two, "gpl-hope"])]
