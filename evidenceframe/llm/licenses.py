@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import column
 
-ANCHORS = ("licen", "permission", "warrant", "redistribut", "copyright", "public domain", "released under", "distributed under")
+ANCHORS = ("licen", "permission", "warrant", "redistribut", "copyright", "domain", "released", "distributed")  # single words: white space may be anything
 
 #: Identifier -> sentences, as licences and their usual notices word them. Fixed values.
 SENTENCES = {
@@ -103,6 +103,8 @@ ORDERED = sorted(((rule, name) for name, rules in RULES.items() for rule in rule
 STARTS = {s.split(" ", 1)[0] for s in KNOWN}
 LISTED = sorted(KNOWN)
 FIRST = re.compile(r"[a-z0-9]+")
+#: What begins a line of a comment.
+LEADER = re.compile(r"^[ \t]*(?:(?:#+|//+|/\*+|\*+/?|--+|;+|%+|>+|<!--+)(?=\s)|(?:dnl|rem|REM)(?=[ \t]))", re.M)
 
 
 def pieces(text: str, lowered: str):
@@ -120,6 +122,7 @@ def pieces(text: str, lowered: str):
 
 def known_sentences(text: str):
     """(first sentence, last sentence, key, begin, end) of every known sentence, in order."""
+    text = LEADER.sub(lambda m: " " * len(m[0]), text)
     lowered = text.lower() if len(text.lower()) == len(text) else re.sub("[A-Z]", lambda m: m[0].lower(), text)
     cut = list(pieces(text, lowered))
     at = 0

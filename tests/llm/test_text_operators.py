@@ -258,3 +258,14 @@ def test_every_known_sentence_is_met():
             assert key not in single or [m["license"] for m in licenses.scan(text)] == [single[key]]
     for text, name, two in ((GPL3, "GPL-3.0-or-later", "gpl-free"), (GPL2, "GPL-2.0-or-later", "gpl2-free")):
         assert [(m["license"], m["sentence_ids"]) for m in licenses.scan(text)] == [(name, [two, "gpl-hope"])]
+
+
+def test_licences_in_comments_and_broken_lines(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    for lead in ("# ", " * ", "// ", "-- ", "dnl "):
+        comment = lambda t: "".join(f"{lead}{line}\n" for line in t.splitlines())  # noqa: B023, E731
+        assert [[m["license"] for m in licenses.scan(comment(t))] for t in (MIT, isc, GPL3)] == [["MIT"], ["ISC"], ["GPL-3.0-or-later"]], lead
+        assert licenses.scan(comment(MIT))[0]["sentence_ids"] == licenses.scan(MIT)[0]["sentence_ids"]
+    texts = ["Released\nunder  CC BY\n4.0.", "# This work is dedicated to the public\n# domain.", "This is free and unencumbered software released into the public\ndomain."]
+    rows = sorted((r.id, r.license) for r in licenses.license_matches(documents(spark, texts)).collect())
+    assert rows == [(0, "CC-BY-4.0"), (1, "CC0-1.0"), (2, "Unlicense")]
