@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_folders: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """A new path in the folder all executors share: spark.checkpoint.dir. What lies there goes when the application ends.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster, whose executors wouldn't
+    see it, that is an error.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidenceframe-"))
         base = sc.getCheckpointDir()
-    return f"{base}/{uuid.uuid4().hex}"
+    own = f"{base}/evidenceframe-{sc.applicationId}"
+    if _folders.get(sc.applicationId) != own:
+        path, fs = _hadoop(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders[sc.applicationId] = own
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -33,6 +55,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path, fs = _hadoop(table.sparkSession, file)
+        fs.delete(path, True)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: list[str], count: str, total: int, how: str = "inner", parts: int = 10_000) -> DataFrame:
+    """rows joined (inner, left or left_semi) to a table of one row per key that says how many rows each key has.
+
+    Keys with more than a ``parts``-th of all rows, which are fewer than ``parts``, are broadcast, so that no task gets
+    the rows of a frequent key; the others meet in a shuffle. Keys have no nulls.
+    """
+    frequent = F.col(count) > max(1, total // parts)
+    heavy, light = table.where(frequent), table.where(~frequent)
+    rest = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key, how)
+    return rows.join(F.broadcast(heavy), key, "inner" if how == "left" else how).unionByName(rest)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,10 +1,11 @@
 """Exact deduplication by progressive refinement.
 
 Texts are compared after each run of ASCII white space becomes one space. Rows are grouped by length, then by a
-hash of the first characters; only rows that still share a group have their full content read and hashed.
+hash of the first characters; only the full hashes of rows that still share a group are grouped.
 
-Only ids, lengths and hashes are shuffled for the grouping; whole texts meet the surviving ids by id, so a text
-that a third of the rows share is no hot key for them.
+A text is read once, where it lies, into a table of its length and hashes (its length can't be read without it), and no
+text is shuffled for the grouping; a full hash only is for survivors. Groups are pre-aggregated and come back to their rows by broadcast where they are large (``join_counted``), so copies that a third
+of the rows share are no hot task.
 
 Defined results: a null text equals an empty one; of equal texts the smallest id stays, a null id only if no
 other is there; of several rows with that id and text one stays; an empty table gives no rows; other columns are
@@ -13,41 +14,37 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, text_or_empty
+from .common import SPACE, join_counted, materialise, text_or_empty
 
 
 def normalised(text_col: str):
     return F.regexp_replace(text_or_empty(text_col), SPACE, " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, digest.
-
-    digest is the SHA-256 of the normalised text for rows that reached the last step, for all with ``digest_all``.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
-    # Steps one and two: a row with its length and prefix hash to itself can have no equal.
-    sketch = base.select("id", F.octet_length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
-    shared = sketch.groupBy("size", "prefix").count().where("count > 1").select("size", "prefix")
-    alive = sketch.join(shared, ["size", "prefix"], "left_semi").groupBy("id", "size", "prefix").count()
-    # Step three: full content, of the survivors.
-    content = base.select("id", "norm", F.octet_length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
-    match = content["id"].eqNullSafe(alive["id"]) & (content["size"] == alive["size"]) & (content["prefix"] == alive["prefix"])
-    joined = content.join(alive.hint("shuffle_hash"), match, "left")
-    full = F.sha2(F.col("norm").cast("binary"), 256)
-    hashed = joined.select(
-        content["id"], content["size"], content["prefix"],
-        F.when(alive["size"].isNotNull(), full).alias("sha"),
-        (full if digest_all else F.when(alive["size"].isNotNull(), full)).alias("digest"),
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, digest (SHA-256 of the normalised text)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
+    rows = materialise(texts.select(
+        "id", F.monotonically_increasing_id().alias("row"), F.octet_length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"),
+        F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
+    ))
+    total = rows.count()
+    # Steps one and two: a row with its length, then its prefix hash, to itself can have no equal.
+    lengths = rows.groupBy("size").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    groups = rows.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    groups = materialise(groups.join(lengths.select("size"), "size", "left_semi"))
+    # Step three: the full hash, of the survivors.
+    alive = join_counted(rows, groups, ["size", "prefix"], "times", total, "left_semi")
+    classes = alive.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).where("group_size > 1")
+    met = join_counted(rows, materialise(classes), ["digest"], "group_size", total, "left")
+    alone = F.col("group_size").isNull()
+    return met.select(
+        "id", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("first.row"))).alias("kept"), "digest",
     )
-    rows = materialise(hashed.groupBy("id", "size", "prefix", "sha").agg(F.count(F.lit(1)).alias("times"), F.max("digest").alias("digest")))
-    groups = rows.groupBy("size", "prefix", "sha").agg(F.sum("times").alias("group_size"), F.min("id").alias("keep_id"))
-    same = (rows["size"] == groups["size"]) & (rows["prefix"] == groups["prefix"]) & rows["sha"].eqNullSafe(groups["sha"])
-    out = rows.join(groups, same).select(rows["id"], "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1), rows["times"].cast("int"))).alias("copy"))
-    return out.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +59,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone = met.where("_one is null").select("_doc.*")
     if fate.where("_one").isEmpty():
         return alone
-    # Rows that repeat whole: id and text of the one that stays.
-    first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.col(f"_doc.`{text_col}`")))
-    again = met.where("_one").withColumn("_place", first).where("_place = 1").select("_doc.*")
+    # Rows that repeat whole: of each id and text the one that stays, chosen where they lie before they meet.
+    again = met.where("_one").groupBy("_id", "_digest").agg(F.min_by("_doc", F.col(f"_doc.`{text_col}`")).alias("_doc")).select("_doc.*")
     return alone.unionByName(again)

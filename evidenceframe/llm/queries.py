@@ -143,7 +143,7 @@ def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), digest_all=True)
+    rows = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

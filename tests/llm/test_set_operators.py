@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidenceframe.llm import components, exact_dedup, mixing, simhash, warc
+from evidenceframe.llm import common, components, exact_dedup, mixing, simhash, warc
 from evidenceframe.llm.queries import ORACLES, QUERIES
 
 from ..conftest import SF, same_rows
@@ -30,7 +30,7 @@ def test_against_sql(spark, duck, name):
 def test_exact_groups(spark):
     long = "same start " * 20
     rows = [(5, "a  b", "s"), (3, "a\tb", "s"), (3, "a b", "s"), (None, "a\n\nb", "s"), (7, None, "s"), (8, "", "s"), (9, long + "x", "s"), (10, long + "y", "s"), (11, "  ", "s"), (12, " ", "s"), (13, "z" * 100_000, "s")]
-    got = exact_dedup.exact_groups(documents(spark, rows), digest_all=True).collect()
+    got = exact_dedup.exact_groups(documents(spark, rows)).collect()
     assert len(got) == len(rows)
     by = collections.defaultdict(list)
     for r in got:
@@ -51,9 +51,26 @@ def test_keep_first_keeps_columns_and_repeated_rows_once(spark):
     assert sorted(r.doc_id for r in exact_dedup.keep_first(documents(spark, [(1, "x", "s"), (2, "x", "s"), (3, "y", "s")])).collect()) == [1, 3]
 
 
-def test_only_survivors_are_hashed(spark):
-    got = {r.id: r.digest for r in exact_dedup.exact_groups(documents(spark, [(1, "abc", "s"), (2, "abd", "s"), (3, "abc", "s")])).collect()}
-    assert got[2] is None and got[1] == got[3] == hashlib.sha256(b"abc").hexdigest()
+def test_frequent_keys_are_broadcast(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)], "key long, v long")
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    for how, want in (("inner", 1000), ("left", 1000), ("left_semi", 1000)):
+        got = common.join_counted(rows, table, ["key"], "n", 1000, how, parts=10)
+        assert got.count() == want and got.select("key", "v").distinct().count() == 1000
+    few = table.where("key in (0, 950)")
+    assert common.join_counted(rows, few, ["key"], "n", 1000, "left", parts=10).where("n is not null").count() == 301
+    assert common.join_counted(rows, few, ["key"], "n", 1000, "left_semi", parts=10).count() == 301
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.scratch_dir(Session)
 
 
 def fingerprint(text, width):
