@@ -94,16 +94,53 @@ def test_repeated_passage_is_found_and_others_left(spark):
     passage = words(60)
     texts = [words(80) + " " + passage + " " + words(70), words(33) + "\n" + passage + words(20), words(150), None, "", "short"]
     rows = chunks.repeated_spans(documents(spark, texts)).collect()
-    assert {r.id for r in rows} == {0, 1} and {r.first_id for r in rows} == {0}
+    assert {r.id for r in rows} == {0, 1} and {r.first_id for r in rows} == {0} and len(rows) == 2
     for r in rows:
         assert texts[r.id].encode()[r.start : r.start + r.length].decode() in passage and r.length > 150
-    assert next(r for r in rows if r.id == 0).removed_bytes == 0 and next(r for r in rows if r.id == 1).removed_bytes > 150
+        assert (r.other_id, r.removed_bytes) == ((1, 0) if r.id == 0 else (0, r.length))
+
+
+def brute_repeats(texts, bits=5, least=16, most=256, span=100):
+    """Every (text, start, end) of whole chunks that reach ``span`` bytes and stand twice or more, by dictionary."""
+    seen = collections.defaultdict(list)
+    for i, t in texts.items():
+        data = (t or "").encode()
+        ends = chunks.cut_points(data, bits, least, most)
+        for a in [0, *ends[:-1]][: len(ends)]:
+            b = next((e for e in ends if e >= a + span), None)
+            if b is not None:
+                seen[data[a:b]].append((i, a, b))
+    return {x for places in seen.values() if len(places) > 1 for x in places}
+
+
+def test_spans_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    data = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = QUERIES["op6_gear_chunk_dedup"](spark, SF).collect()
+    want = brute_repeats({i: t.decode() for i, t in data.items()})
+    inside = {(i, a, b) for i, a, b in want for r in rows if r.doc_id == i and r.start <= a and b <= r.start + r.length}
+    assert want and inside == want  # every repeat lies in a span
+    edges = {(i, a) for i, a, _ in want}, {(i, b) for i, _, b in want}
+    for r in rows:  # every span begins and ends with a repeat, and stands whole at the other place
+        assert (r.doc_id, r.start) in edges[0] and (r.doc_id, r.start + r.length) in edges[1]
+        own, other = data[r.doc_id][r.start : r.start + r.length], data[r.other_doc_id][r.other_start : r.other_start + r.length]
+        assert own == other and len(own) >= 100 and (r.doc_id, r.start) != (r.other_doc_id, r.other_start)
+
+
+def test_neighbours_from_different_places_do_not_join(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    a, b = words(60), words(60)
+    texts = [a + " " + words(40), words(40) + " " + b, a + b]
+    for r in chunks.repeated_spans(documents(spark, texts)).collect():
+        assert texts[r.id][r.start : r.start + r.length] in a or texts[r.id][r.start : r.start + r.length] in b + " "
+    assert {r.other_id for r in chunks.repeated_spans(documents(spark, texts)).where("id = 2").collect()} == {0, 1}
 
 
 def test_equal_rows_and_nulls_in_chunks(spark):
     text = " ".join(f"w{i * 7919 % 1000}" for i in range(100))
     rows = chunks.repeated_spans(documents(spark, [text, text, text], [5, 5, None])).collect()
-    assert {r.id for r in rows} == {5, None} and {r.first_id for r in rows} == {5}
+    assert sorted((str(r.id), r.first_id, r.removed_bytes > 0) for r in rows) == [("5", 5, False), ("5", 5, True), ("None", 5, True)]
     assert chunks.repeated_spans(documents(spark, ["a"]).where("false")).count() == 0
 
 
