@@ -6,10 +6,11 @@ the tree, a byte seen there costs -log2(count / (total + kinds)), else an escape
 context codes it, without the bytes already ruled out; below the empty context all bytes left are alike. The
 language of the shortest code wins.
 
-Contexts are counted by Spark over a bounded sample of labelled rows and the most frequent are kept. Their costs
+Contexts are counted by Spark over a bounded sample of labelled rows; those that make up a given share of a language's
+bytes are kept, all of them with a share of 0 (the exact tree). Their costs
 make one table of (state, byte) for a group of languages, in which a state is the longest known context, so a text is
-scored by walking the table; texts are walked side by side in numpy. Every language is learnt. Sample and contexts are
-bounded by parameters, and so is a group: tasks receive the tables compressed and open one at a time.
+scored by walking the table; texts are walked side by side in numpy. Every language is learnt. The sample is bounded by a
+parameter, and so is a group of languages: tasks receive the tables compressed and open one at a time.
 
 Defined results: A-Z count as a-z; text null or without a letter gives ``und`` and score 0; ties go to the first
 language in code-point order; training ignores null languages, texts and ids; without any training rows every
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, materialise
@@ -33,6 +34,8 @@ ALPHABET = 256
 END = ALPHABET  # stands between texts
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Rows of ids that are broadcast at most.
+BROADCAST_ROWS = 1 << 18
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1):
@@ -40,12 +43,14 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sample_rows(labelled: DataFrame, per_language: int, cells: int = 64) -> DataFrame:
-    """About ``per_language`` rows (id, text, lang) of each language, chosen by a hash: the first of each of ``cells``."""
-    keyed = labelled.select("id", "lang", F.xxhash64("id", "lang").alias("key")).withColumn("cell", F.pmod("key", F.lit(cells)))
-    rank = F.row_number().over(Window.partitionBy("lang", "cell").orderBy("key", "id"))
-    picked = keyed.withColumn("rank", rank).where(F.col("rank") <= max(1, per_language // cells)).select("id", "lang").distinct()
-    return labelled.join(picked, ["id", "lang"])
+def sample_rows(labelled: DataFrame, per_language: int) -> DataFrame:
+    """About ``per_language`` rows (id, text, lang) of each language at most: a hash deals rows to so many cells, and each
+    cell's first is taken. Only ids are grouped; those chosen come back to their texts by broadcast if they are few.
+    """
+    key = F.xxhash64("id", "lang")
+    first = labelled.groupBy("lang", F.pmod(key, F.lit(per_language)).alias("cell")).agg(F.min(F.struct(key.alias("key"), "id")).alias("first"))
+    picked = materialise(first.select("lang", F.col("first.id").alias("id")).distinct())
+    return labelled.join(F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked, ["id", "lang"])
 
 
 def _grams(data: np.ndarray, order: int) -> np.ndarray:
@@ -229,19 +234,20 @@ class Models:
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4,
-    per_language: int = 1024, contexts: int = 1536, group: int = 8,
+    per_language: int = 1024, share: float = 1 / 4096, group: int = 8,
 ) -> Models:
     """Fit on a sample of the rows that aren't held out.
 
-    Bounds: ``per_language`` rows of each language are counted, and ``contexts`` contexts of each, the most frequent
-    first, come to the driver with what follows them, for ``group`` languages at a time.
+    Bounds: ``per_language`` rows of each language are counted. A context is kept if it makes up ``share`` of the bytes counted
+    for its language, so there are no more than 1 / share of each depth; with a share of 0 the tree is exact. The counts
+    come to the driver for ``group`` languages at a time.
     """
     labelled = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     counts = materialise(count_contexts(sample_rows(labelled, per_language), order))
     context = F.shiftright("gram", 8)
     totals = counts.groupBy("lang", "depth", context.alias("context")).agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "depth", "context"))
-    kept = totals.withColumn("rank", rank).where(F.col("rank") <= contexts).select("lang", "depth", "context")
+    whole = totals.where("depth = 0").select("lang", F.col("total").alias("bytes"))
+    kept = totals.join(whole, "lang").where(F.col("total") >= F.col("bytes") * F.lit(float(share))).select("lang", "depth", "context")
     rows = materialise(counts.withColumn("context", context).join(kept, ["lang", "depth", "context"]).select("lang", "depth", "gram", "n"))
     names = sorted((r.lang for r in rows.select("lang").distinct().collect()), key=lambda x: x.encode())
     models = Models()
@@ -251,12 +257,13 @@ def train(
     return models
 
 
-def identify(docs: DataFrame, model: Models, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, text, the columns to carry, lang_pred, score (0 to 1), bits_per_byte (of the predicted language) and
-    covered for every row; carried columns are named carry_0 onward. covered is null for a text without a letter, and
-    false where no language learnt has the text's script.
+def identify(docs: DataFrame, model: Models, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), evidence: int = 8) -> DataFrame:
+    """id, held_out, text, the columns to carry, lang_pred, score (0 to 1), bits_per_byte (of the predicted language), margin (bits a
+    byte by which the next language is longer) and covered for every row; carried columns are named carry_0 onward. covered
+    is null for a text without a letter, and false where no language learnt has the text's script.
 
-    score is the predicted language's share when each language has weight 2 ** -code length.
+    score is the predicted language's share when each language has weight 2 ** -(code length of ``evidence`` bytes at its
+    rate over the text), so it tells languages that are near each other apart from others, however long the text is.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,20 +273,22 @@ def identify(docs: DataFrame, model: Models, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = [t or b"" for t in column(batch, "text", pa.binary()).to_pylist()]
             letters = column(batch, "letters").to_pylist()
-            names, scores, rates, covered = [], [], [], []
+            names, scores, rates, margins, covered = [], [], [], [], []
             for text, ok, row in zip(texts, letters, lengths(texts)):
                 covered.append(m.covers(text) if ok else None)
                 if not ok or not len(row):
-                    names.append("und"), scores.append(0.0), rates.append(None)
+                    names.append("und"), scores.append(0.0), rates.append(None), margins.append(None)
                     continue
-                best = int(row.argmin())
+                best, above = int(row.argmin()), np.sort(row - row.min()) / len(text)
                 names.append(m.languages[best])
-                scores.append(float(1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()))
+                scores.append(float(1 / np.exp2(-min(evidence, len(text)) * above).sum()))
                 rates.append(float(row[best] / len(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64()), pa.array(covered, pa.bool_())], fields)
+                margins.append(float(above[1]) if len(above) > 1 else None)
+            found = [pa.array(names, pa.string()), *(pa.array(c, pa.float64()) for c in (scores, rates, margins)), pa.array(covered, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *found], fields)
 
     named = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     names = named.columns[:-1]
-    kept, fields = range(len(names)), [*names, "lang_pred", "score", "bits_per_byte", "covered"]
+    kept, fields = range(len(names)), [*names, "lang_pred", "score", "bits_per_byte", "margin", "covered"]
     kinds = ", ".join(f"{n} {named.schema[n].dataType.simpleString()}" for n in names)
-    return named.mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double, covered boolean")
+    return named.mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double, margin double, covered boolean")

@@ -71,18 +71,18 @@ def apportion(votes: DataFrame, group: list[str], seats: str, by: list[str], vot
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
-    share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 42, shard_docs: int = 1024,
+    share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 42, shard_docs: int = 1024, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of docs: id, source, row (hash of id and text), size, source_size, target, begin, run, laps, taken.
+    """One row per row of docs: id, source, row (``row_col``, else a hash of id and text), size, source_size, target, begin, run, laps, taken.
 
     ``laps`` whole copies are taken and, if ``run`` > 0, words ``begin`` to ``begin + run`` once more (for a run that
     wraps around the shard's end, ``begin`` counts on from the document's start again).
-    A source's shards hold about ``shard_docs`` documents at most, and 65,536 shards are the most.
+    A source's shards hold about ``shard_docs`` documents at most; null ids are spread by their text.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.col(row_col) if row_col else F.xxhash64(F.col(id_col), F.col(text_col))).alias("row"), F.when(F.col(id_col).isNull(), F.md5(F.col(text_col).cast("binary"))).alias("text_hash"))
     rows = materialise(rows)
-    shards = min(65_536, max(1, -(-rows.count() // shard_docs)))
-    rows = rows.withColumn("key", _number(F.lit(seed), F.col("id"), F.col("size"))).withColumn("shard", F.col("key") % shards)
+    shards = max(1, -(-rows.count() // shard_docs))
+    rows = rows.withColumn("key", _number(F.lit(seed), F.col("id"), F.col("size"), F.col("text_hash"))).withColumn("shard", F.col("key") % shards)
     cells = materialise(rows.groupBy("source", "shard").agg(F.sum("size").alias("words")))
     sized = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     sized = sized.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))

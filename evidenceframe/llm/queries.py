@@ -102,9 +102,9 @@ def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
-n as (select least(65536, greatest(1, cast(ceil(count(*) / 1024) as bigint))) as shards from d),
-k as (select d.*, ('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '') || '|' || size), 1, 8))::bigint as key, shards from d, n),
+with d as (select doc_id, source, case when doc_id is null then coalesce(md5(text), '') else '' end as h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+n as (select greatest(1, cast(ceil(count(*) / 1024) as bigint)) as shards from d),
+k as (select d.*, ('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '') || '|' || size || '|' || h), 1, 8))::bigint as key, shards from d, n),
 r as (select *, key % shards as shard from k),
 s as (select source, sum(size)::bigint as source_size from r group by source),
 w as (select *, row_number() over (order by source is null, source) - 1 as place, 2.0::double * source_size as bound from s),
@@ -134,7 +134,7 @@ select doc_id, size, source_size, target, cast(case when size > 0 then laps * si
 
 
 def op6_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return chunks.repeated_spans(_table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "other_id": "other_doc_id"})
 
 
 def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, text_or_empty
+from .common import column, join_counted, materialise, text_or_empty
 from .components import components
 
 WAYS = list(combinations(range(4), 2))
@@ -143,8 +143,8 @@ def plan_segments(n: int, similarity: float, recall: float) -> tuple[int, int]:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
-    """(id, key, prints): a digest of the shingle set, and fingerprints of ``words`` times 64 bits, from as many mixes of
-    the hash of each distinct shingle."""
+    """(id, row, key, prints): a hash of id and text, a digest of the shingle set, and fingerprints of ``words`` times 64 bits,
+    from as many mixes of the hash of each distinct shingle."""
 
     def scan(batches):
         salts = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF) for k in range(words)]
@@ -159,21 +159,32 @@ def wide_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_
             keys, prints = [], []
             for t in column(batch, "text", pa.binary()):
                 h = np.unique(shingle_hashes(t.as_py(), width, seed))
-                keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                keys.append(set_key(h))
                 prints.append([majority(mixed(h, s)) for s in salts])
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "prints"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "row"), pa.array(keys, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["id", "row", "key", "prints"])
 
-    named = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return named.mapInArrow(scan, "id long, key long, prints array<long>")
+    named = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(id_col, text_col).alias("row"), text_or_empty(text_col).alias("text"))
+    return named.mapInArrow(scan, "id long, row long, key long, prints array<long>")
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    """What tells rows of the same or no id apart: a hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A digest of a shingle set, as a signed number."""
+    return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
 
 
 def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(key, shingles): the distinct shingle hashes of each text."""
+    """(key, shingles) of texts(key, text): the distinct shingle hashes of each text that has this key."""
 
     def scan(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), width, seed)).view(np.int64) for t in column(batch, "text", pa.binary())]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py(), width, seed)) for t in column(batch, "text", pa.binary())]
+            own = [(k, h.view(np.int64)) for k, h in zip(column(batch, "key").to_pylist(), sets) if set_key(h) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.list_(pa.int64()))], ["key", "shingles"])
 
     return texts.mapInArrow(scan, "key long, shingles array<long>")
 
@@ -233,7 +244,7 @@ def _close_in_tasks(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def _alike_in_tasks(close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of close(task, a, b) whose sets are similar, or of which one has no set. A task's sets come to it once."""
+    """(a, b) of close(task, a, b) whose sets are similar. A task's sets come to it once."""
     sides = close.select("task", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.withColumnRenamed("key", "a"), "a")
     rows = sides.select("task", "a", F.lit(None).cast("long").alias("b"), "shingles").union(close.select("task", "a", "b", F.lit(None).cast("array<long>")))
 
@@ -250,10 +261,8 @@ def _alike_in_tasks(close: DataFrame, sets: DataFrame, similarity: float) -> Dat
             pairs = [(int(a), int(b)) for p in parts for a, b in p[1]]
             found = []
             for a, b in pairs:
-                x, y = known.get(a), known.get(b)
-                if x is None or y is None:
-                    found.append((a, b))
-                elif min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                x, y = known[a], known[b]
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if common >= similarity * (len(x) + len(y) - common):
                         found.append((a, b))
@@ -297,7 +306,9 @@ def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, prints: D
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42) -> DataFrame:
-    """(id, component_id) for every row, linking texts whose shingle sets have a Jaccard similarity of ``similarity``.
+    """One row per row of docs: id, row (``row_hash``), component, component_id and kept, linking texts whose shingle sets have
+    a Jaccard similarity of ``similarity``. Of a component the smallest id is kept; of equal ones, or where all are null, one text. Rows that repeat whole
+    share their fate.
 
     Fingerprints have several segments. For each segment a trie is walked in node pairs with a budget of one bit,
     from either half of the segment equal; what meets there and differs in no more bits over the whole fingerprints
@@ -305,7 +316,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     segments) are compared with its head, and the heads of cells one bit apart with each other, so a large group of
     copies is linked by a comparison a segment each. Then all members of these cells that are still in different
     components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. Texts
-    of equal shingle sets are one. An id names one text; texts whose ids are all null are linked by their bits. Texts without words are linked with each
+    of equal shingle sets are one. Texts are told apart by ``row``, so ids may repeat or be null. Texts without words are linked with each
     other only.
     """
     n = docs.count()
@@ -313,7 +324,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = -(-segments * bits // 64)
     limit = int(bit_error(similarity - 0.1) * 64 * words)
     rows = materialise(wide_fingerprints(docs, words, id_col, text_col, width, seed))
-    classes = materialise(rows.groupBy("key").agg(F.min("id").alias("least"), F.first("prints").alias("prints")))
+    classes = materialise(rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"), F.count(F.lit(1)).alias("times"), F.first("prints").alias("prints")))
     half = bits // 2
     cells = F.array(*(F.struct(F.lit(k).alias("segment"), _segment(F.col("prints"), k, bits).alias("value")) for k in range(segments)))
     held = materialise(classes.select("key", F.inline(cells)))
@@ -334,34 +345,37 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     close = edges.join(p.select(F.col("key").alias("a"), F.col("prints").alias("x")), "a").join(p.select(F.col("key").alias("b"), F.col("prints").alias("y")), "b").where(apart <= limit).select("a", "b")
     close = materialise(close)
     # The exact check, for what is close: shingle sets, of one text each.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(row_hash(id_col, text_col).alias("row"), text_or_empty(text_col).alias("text"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least").alias("id")), "key").where("id is not null")
-        return shingle_sets(texts.join(named, "id").select("key", "text").dropDuplicates(["key"]), width, seed)
+        named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least.row").alias("row")), "key")
+        return shingle_sets(texts.join(named, "row").select("key", "text"), width, seed).dropDuplicates(["key"])
 
     sets = sets_of(close)
-    both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "left").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b", "left")
+    both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    links = materialise(both.where(F.coalesce(common >= similarity * (F.size("x") + F.size("y") - common), F.lit(True))).select("a", "b"))
+    links = materialise(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
     roots = materialise(components(links).select(F.col("vertex").alias("key"), "root"))
     # What the heads left apart.
     close = materialise(_rest_of_cells(held, groups, met, p, roots, limit))
     more = materialise(_alike_in_tasks(close, sets_of(close), similarity))
     if not more.isEmpty():
         roots = components(links.union(more)).select(F.col("vertex").alias("key"), "root")
-    named = materialise(classes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("id", "component_id")
+    named = materialise(classes.join(roots, "key", "left").select("key", "times", "least", F.coalesce("root", "key").alias("root")))
+    heads = named.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("keys"))
+    member = materialise(join_counted(named, heads, ["root"], "keys", n).select("key", "times", "root", "head"))
+    out = join_counted(rows.select("id", "row", "key"), member, ["key"], "times", n)
+    return out.select("id", "row", F.col("root").alias("component"), F.col("head.id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 2, seed: int = 42) -> DataFrame:
     """(id, fingerprint, component_id) for every row; component_id is the smallest id reachable over links."""
     prints = materialise(fingerprints(docs, id_col, text_col, width, seed))
-    classes = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    classes = materialise(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times")))
     member = components(near_fingerprints(classes, budget)).withColumnRenamed("vertex", "fingerprint")
-    classes = classes.join(member, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    classes = classes.join(member, "fingerprint", "left").select("fingerprint", "least", "times", F.coalesce("root", "fingerprint").alias("root"))
     classes = materialise(classes)
-    heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(classes.join(heads, "root").select("fingerprint", "component_id"))
-    return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    heads = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    n = prints.count()
+    named = materialise(join_counted(classes, heads, ["root"], "prints", n).select("fingerprint", "times", "component_id"))
+    return join_counted(prints, named, ["fingerprint"], "times", n).select("id", "fingerprint", "component_id")

@@ -152,6 +152,48 @@ def test_similar_documents_by_jaccard(spark):
     assert simhash.similar_documents(documents(spark, rows).where("false")).count() == 0
 
 
+def test_similar_documents_tell_rows_of_one_id_apart(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**9, 200))
+    near = lambda t: t.replace(t.split(" ")[90], "changed")
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, a, "s"), (5, near(a), "s"), (5, b, "s"), (7, c, "s"), (None, d, "s"), (None, near(d), "s"), (None, None, "s"), (None, "", "s"), (9, near(c), "s"), (None, near(b), "s")]
+    got = simhash.similar_documents(documents(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 6 and {r.id for r in got if r.kept} == {3, 5, 7, None}
+    df = documents(spark, rows)
+    kept = corpus_pipeline.drop_near_copies(spark, df, SF).collect()
+    texts = sorted((r.text or "" for r in kept))
+    assert len(kept) == 5 and texts == sorted([a, b, c, next(r.text for r in kept if r.doc_id is None and r.text), ""])
+    again = corpus_pipeline.drop_near_copies(spark, df.union(df).union(df), SF).collect()
+    assert sorted(r.text or "" for r in again) == texts
+
+
+def test_near_copies_are_found_by_jaccard(spark):
+    """Recall of the pipeline's near copies against all pairs."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rng = np.random.default_rng(2)
+    n = max(texts) + 1
+    for k, t in list(texts.items()):
+        words = (t or "").split()
+        if len(words) > 60:  # one to three words are replaced, so the similarity is 0.8 and more
+            for at in rng.integers(0, len(words), 1 + k % 3):
+                words[at] = f"x{rng.integers(10**9)}"
+            texts[n] = " ".join(words)
+            n += 1
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in texts.items() if (w := (t or "").lower().split())}
+    by = collections.defaultdict(set)
+    for i, s in sets.items():
+        for g in s:
+            by[g].add(i)
+    pairs = {(a, b) for group in by.values() for a in group for b in group if a < b}
+    alike = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.id: r.component_id for r in simhash.similar_documents(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert len(alike) > 50 and sum(got[a] == got[b] for a, b in alike) >= 0.95 * len(alike)
+    linked = {x for p in alike for x in p}
+    alone = [i for i in sets if i not in linked]
+    assert all(got[i] == i for i in alone) and len(alone) > 10
+
+
 def test_similar_documents_in_a_template(spark):
     rng = np.random.default_rng(3)
     fresh = iter(range(10**9))
