@@ -1,7 +1,8 @@
 """Cost-balanced packing of documents into training sequences.
 
 Documents are tokenized and cut into pieces of a sequence's length at most. Pieces are dealt by hash into shards
-of a bounded number of bytes. In a shard, pieces go in descending order to the sequence of lowest cost that has
+of a bounded number of bytes; rows that repeat are numbered, so they are dealt apart, and a task that runs again deals
+its rows as before. In a shard, pieces go in descending order to the sequence of lowest cost that has
 room for the whole piece, where a piece of n tokens costs ``linear * n + quadratic * n * n`` (attention). If none
 has room for the whole, the piece is cut at the room of the cheapest sequence and the rest goes on.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,13 @@ def pack(
 
     def cut(batches):
         enc = encoder(tokenizer)
+        place, seen = TaskContext.get().partitionId(), {}
+
+        def numbered(row: int) -> int:
+            """A hash of the row, the task and how often the task has met the row."""
+            seen[row] = times = seen.get(row, -1) + 1
+            return hash((row, place, times))
+
         small = np.uint16 if max(enc.size, end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             ids, rows, texts = column(batch, "id"), column(batch, "row"), column(batch, "text", pa.string())
@@ -83,7 +92,7 @@ def pack(
                 raw = flat.tobytes()
                 k = small().itemsize
                 blobs = [raw[x * k : (x + y) * k] for x, y in zip(begin.tolist(), size.tolist())]
-                row = rows.slice(a, b - a).to_numpy(zero_copy_only=False)[doc]
+                row = np.fromiter(map(numbered, rows.slice(a, b - a).to_pylist()), np.int64, b - a)[doc]
                 # SplitMix-like mixing, so that the pieces of one long document spread over the shards
                 key = (row.astype(np.uint64) ^ (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
                 key ^= key >> np.uint64(29)

@@ -1,15 +1,20 @@
 """Token-id files compressed by Re-Pair grammars.
 
 Documents are dealt into ranges of ascending id; each task writes its ids as shards of a bounded number of
-tokens. In a shard, the most frequent adjacent id pairs are replaced by nonterminals, round after round, while
-that shortens it; the rules and every nonterminal's expansion length are stored, so a run of ids is decoded
+tokens. In a shard, frequent adjacent id pairs are replaced by nonterminals, round after round, until no pair is left that
+pays for a rule; the rules and every nonterminal's expansion length are stored, so a run of ids is decoded
 without expanding what precedes it. No rule holds the end id, so no nonterminal crosses a document's end.
 
+Pairs are counted exactly. A round replaces all pairs that occur ``least`` times or more, the more frequent first where they
+overlap. A count can grow only by a new symbol, so later rounds look at the places beside new symbols and at those of
+frequent pairs that lost to others, not at the whole shard. A pair with a rule is replaced wherever it is left.
+
 A shard is one row of a Parquet table in the shared folder: its place (part, shard), its counts and its bytes.
 
-File format (little-endian), all unsigned 32-bit unless noted: magic ``RPR1``; first nonterminal; number of rules,
-of symbols, of documents; bytes of a symbol (2 or 4); rules as pairs; expansion lengths of the nonterminals;
-tokens of each document; then the symbols.
+File format (little-endian): magic ``RPR2``; then, unsigned 32-bit, first nonterminal, number of rules, of symbols, of documents,
+bits of a symbol (16 or more) and bytes of an expansion length (2 or 4); rules as pairs; expansion lengths of the
+nonterminals; tokens of each document (32-bit); the symbols. Symbols, in rules too, stand as their low 16 bits, then a plane of
+packed bits for each higher bit.
 
 Defined results: a null text is an empty one (its end id alone); null ids come first; repeated rows stay, next to
 each other; an empty table gives no shards; other columns are ignored.
@@ -30,8 +35,9 @@ from .common import column, scratch_dir, slices, text_or_empty, total_bytes
 from .tokens import encoder
 
 SHARDS = "part long, shard long, n_docs long, n_tokens long, doc_ids array<long>, data binary"
-MAGIC = b"RPR1"
-BINS = 18
+MAGIC, HEAD = b"RPR2", "<4s6I"
+#: Bits of the table of counts that tells rare pairs apart before pairs are sorted.
+BINS = 20
 
 
 def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -41,67 +47,91 @@ def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return h >> np.uint32(32 - BINS)
 
 
-def repair(ids: np.ndarray, end_id: int, first: int, rounds: int = 3, per_round: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def _stay(pick: np.ndarray, here: np.ndarray, before: np.ndarray, after: np.ndarray, rank: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which of the pairs that begin ``here`` can be replaced side by side: none beside it is more frequent; of a run of one
+    symbol every second."""
+    rank[here] = pick + 1
+    left, right = rank[before[here]], rank[after[here]]
+    stay = (pick + 1 > left) & (pick + 1 > right)
+    t = np.flatnonzero(twice[pick])
+    if len(t):
+        at, own = here[t], pick[t]
+        begins = np.flatnonzero(np.concatenate([[True], (after[at[:-1]] != at[1:]) | (own[1:] != own[:-1])]))
+        place = np.arange(len(t)) - np.repeat(begins, np.diff(np.append(begins, len(t))))
+        stay[t] = (place % 2 == 0) & (left[t] <= own + 1) & (right[t] <= own + 1)
+    rank[here] = 0
+    return stay
+
+
+def repair(ids: np.ndarray, end_id: int, first: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a Re-Pair grammar; rule k makes nonterminal ``first + k``.
 
-    A round replaces up to ``per_round`` pairs, the most frequent first, each found ``least`` times or more.
-    Where chosen pairs overlap, the more frequent one wins, and of equal ones the leftmost.
+    A rule takes about the room of three symbols, so a pair pays for it from four occurrences on.
     """
-    seq = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    made = first
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        slot = _slot(left, right)
-        slot[(left == end_id) | (right == end_id)] = 0
-        counts = np.bincount(slot, minlength=1 << BINS)
-        counts[0] = 0
-        common = np.flatnonzero(counts >= least)
-        if not len(common):
+    n = len(ids)
+    seq = np.append(ids, end_id).astype(np.uint32)  # an end id stands behind the last place
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    whole, rank = np.ones(n + 1, bool), np.zeros(n + 1, np.int32)
+    whole[n] = False
+    rules, slots = np.zeros(0, np.int64), np.zeros(1 << BINS, bool)
+    alive = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
+    while len(alive):
+        left, right = seq[alive], seq[after[alive]]
+        if len(alive) >= 1 << BINS - 4:
+            slot = _slot(left, right)
+            enough = (np.bincount(slot, minlength=1 << BINS)[slot] >= least) | slots[slot]
+            alive, left, right = alive[enough], left[enough], right[enough]
+        key = (left.astype(np.int64) << 32) | right
+        order = np.argsort(key)
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        pairs, counts = key[begins], np.diff(np.append(begins, len(key)))
+        # Pairs that have a rule already pay at once.
+        sorter = np.argsort(rules)
+        found = np.searchsorted(rules, pairs, sorter=sorter)
+        old = np.append(sorter, -1)[found]
+        old = np.where((old >= 0) & (np.append(rules, -1)[old] == pairs), old, -1)
+        by = np.argsort(counts, kind="stable")
+        by = by[(counts[by] >= least) | (old[by] >= 0)]
+        if not len(by):
             break
-        common = common[np.argsort(-counts[common], kind="stable")][:per_round]
-        # A slot may stand for several pairs; the one met last stands for all, and others are left alone.
-        rank = np.full(1 << BINS, per_round, np.int32)
-        rank[common] = np.arange(len(common))
-        here = np.flatnonzero(rank[slot] < per_round)
-        pick = rank[slot[here]]
-        pair = np.zeros((len(common), 2), np.uint32)
-        pair[pick, 0], pair[pick, 1] = left[here], right[here]
-        same = (pair[pick, 0] == left[here]) & (pair[pick, 1] == right[here])
-        here, pick = here[same], pick[same]
-        # Neighbours compete: a hit stays if no hit beside it has a better rank; equal ranks (aaa) go by parity.
-        run = np.full(len(seq) + 1, per_round, np.int32)
-        run[here + 1] = pick
-        before, after = run[here], run[here + 2] if len(here) else run[:0]
-        stay = (pick < before) & (pick < after)
-        tie = (pick == before) | (pick == after)
-        if tie.any():
-            # runs of one symbol: every second position from the run's first
-            gaps = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(pick) != 0)]))
-            start = np.repeat(here[gaps], np.diff(np.concatenate([gaps, [len(here)]])))
-            size = np.repeat(np.diff(np.concatenate([gaps, [len(here)]])), np.diff(np.concatenate([gaps, [len(here)]])))
-            edge_before = np.repeat(before[gaps], np.diff(np.concatenate([gaps, [len(here)]])))
-            last = np.concatenate([gaps[1:] - 1, [len(here) - 1]])
-            edge_after = np.repeat(after[last], np.diff(np.concatenate([gaps, [len(here)]])))
-            stay = np.where(size > 1, ((here - start) % 2 == 0) & (pick < edge_before) & (pick < edge_after), stay)
-        here, pick = here[stay], pick[stay]
-        hits = np.bincount(pick, minlength=len(common))
-        good = hits >= least
+        place = np.full(len(pairs), -1, np.int32)
+        place[by] = np.arange(len(by))
+        pick = np.empty(len(alive), np.int32)
+        pick[order] = np.repeat(place, counts)
+        here, pick = alive[pick >= 0], pick[pick >= 0]
+        pairs, old = pairs[by], old[by]
+        twice = (pairs >> 32) == (pairs & 0xFFFFFFFF)
+        while True:
+            stay = _stay(pick, here, before, after, rank, twice)
+            hits = np.bincount(pick[stay], minlength=len(pairs))
+            good = (hits >= least) | ((old >= 0) & (hits > 0))
+            apart = ~twice[pick]
+            if good.any() or apart.all():
+                break
+            here, pick = here[apart], pick[apart]  # runs of one symbol kept the others from being replaced
         if not good.any():
             break
-        number = np.cumsum(good) - 1
-        keep = good[pick]
-        here, pick = here[keep], pick[keep]
-        seq = seq.copy()
-        seq[here] = (made + number[pick]).astype(np.uint32)
-        gone = np.ones(len(seq), bool)
-        gone[here + 1] = False
-        seq = seq[gone]
-        rules.append(pair[good])
-        made += int(good.sum())
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        fresh = good & (old < 0)
+        number = np.where(old >= 0, old, len(rules) + np.cumsum(fresh) - 1) + first
+        use = stay & good[pick]
+        at = here[use]
+        seq[at] = number[pick[use]]
+        gone = after[at]
+        whole[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        rules = np.append(rules, pairs[fresh])
+        slots[_slot((pairs[fresh] >> 32).astype(np.uint32), pairs[fresh].astype(np.uint32))] = True
+        look = np.zeros(n + 1, bool)
+        if (again := number[good & (old >= 0)]).size:  # a symbol that is made anew joins those made before
+            is_again = np.zeros(first + len(rules), bool)
+            is_again[again] = True
+            at = np.concatenate([at, np.flatnonzero(is_again[seq] & whole)])
+        look[at] = look[before[at]] = look[here[~use]] = True
+        alive = np.flatnonzero(look & whole)
+        alive = alive[(seq[alive] != end_id) & (seq[after[alive]] != end_id)]
+    return seq[whole], np.stack([rules >> 32, rules & 0xFFFFFFFF], axis=1).astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -112,29 +142,42 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out[first:]
 
 
+def pack_symbols(symbols: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each, then a plane of packed bits for each bit above."""
+    return b"".join([symbols.astype("<u2").tobytes(), *(np.packbits((symbols >> np.uint32(k)) & np.uint32(1)).tobytes() for k in range(16, bits))])
+
+
+def unpack_symbols(data: bytes, at: int, count: int, bits: int) -> tuple[np.ndarray, int]:
+    """The symbols that stand at a place, and where they end."""
+    out, at, plane = np.frombuffer(data, "<u2", count, at).astype(np.uint32), at + 2 * count, -(-count // 8)
+    for k in range(16, bits):
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, plane, at), count=count).astype(np.uint32) << np.uint32(k)
+        at += plane
+    return out, at
+
+
 def pack_shard(ids: np.ndarray, doc_tokens: np.ndarray, end_id: int, vocabulary: int) -> bytes:
     seq, rules = repair(ids, end_id, vocabulary)
-    wide = 2 if vocabulary + len(rules) <= 1 << 16 else 4
-    head = struct.pack("<4s5I", MAGIC, vocabulary, len(rules), len(seq), len(doc_tokens), wide)
+    bits = max(16, (vocabulary + len(rules) - 1).bit_length())
     lengths = expansion_lengths(rules, vocabulary)
-    return head + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + doc_tokens.astype("<u4").tobytes() + seq.astype(f"<u{wide}").tobytes()
+    wide = 2 if not len(rules) or lengths.max() < 1 << 16 else 4
+    head = struct.pack(HEAD, MAGIC, vocabulary, len(rules), len(seq), len(doc_tokens), bits, wide)
+    return head + pack_symbols(rules.ravel(), bits) + lengths.astype(f"<u{wide}").tobytes() + doc_tokens.astype("<u4").tobytes() + pack_symbols(seq, bits)
 
 
 class Shard:
     """A shard's bytes, opened for reading."""
 
     def __init__(self, data: bytes):
-        magic, self.first, n_rules, n_seq, n_docs, wide = struct.unpack_from("<4s5I", data)
+        magic, self.first, n_rules, n_seq, n_docs, bits, wide = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = struct.calcsize("<4s5I")
-        self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at).reshape(-1, 2)
-        at += 8 * n_rules
-        self.lengths = np.frombuffer(data, "<u4", n_rules, at)
-        at += 4 * n_rules
+        rules, at = unpack_symbols(data, struct.calcsize(HEAD), 2 * n_rules, bits)
+        self.rules = rules.reshape(-1, 2)
+        self.lengths = np.frombuffer(data, f"<u{wide}", n_rules, at)
+        at += wide * n_rules
         self.doc_tokens = np.frombuffer(data, "<u4", n_docs, at).astype(np.int64)
-        at += 4 * n_docs
-        self.seq = np.frombuffer(data, f"<u{wide}", n_seq, at).astype(np.uint32)
+        self.seq, _ = unpack_symbols(data, at + 4 * n_docs, n_seq, bits)
         self._ends = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:

@@ -63,13 +63,55 @@ def test_packing_edge_tables(spark):
     assert len(rows) == 2 and {r.id for r in rows} == {None}
 
 
-def test_assignment_is_balanced():
-    lengths = np.array([4096, 3000, 2500, 1500, 900, 800, 700, 600, 500, 300, 200, 100])
+def test_repeated_rows_are_dealt_apart(spark):
+    rows = [(1, "some words that repeat " * 80)] * 300 + [(k, f"number {k} and more words " * 80) for k in range(300)]
+    df = documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    got = packing.pack(df, public_tokenizers.path(FILES[0]), shard_bytes=60_000).collect()
+    shards = {}
+    for r in got:
+        shards[r.sequence_id >> 24] = shards.get(r.sequence_id >> 24, 0) + r.length
+    mean = sum(shards.values()) / len(shards)
+    assert len(shards) >= 10 and max(shards.values()) < 2 * mean
+
+
+def brute_costs(lengths, length):
+    """Descending pieces, each to the cheapest sequence with room for it, else cut at the cheapest's room; plain loops."""
+    rooms = packing.capacities(int(sum(lengths)), length)
+    cost, left = [0.0] * len(rooms), list(rooms)
+    for n in sorted(lengths, reverse=True):
+        while n:
+            fit = [k for k in range(len(rooms)) if left[k] >= n] or [k for k in range(len(rooms)) if left[k]]
+            k = min(fit, key=lambda i: cost[i])
+            part = min(n, left[k])
+            left[k] -= part
+            cost[k] += part + part * part / length
+            n -= part
+    return cost
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_assignment_is_balanced(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(rng.lognormal(5.5, 1.2, 400).astype(np.int64) + 1, 4096 if seed == 4 else 1500)
     plan = packing.assign(lengths, 4096, 1.0, 1 / 4096)
     got = np.zeros(len(lengths), int)
-    for piece, a, b, *_ in plan:
+    rooms = packing.capacities(int(lengths.sum()), 4096)
+    cost = np.zeros(len(rooms))
+    for piece, a, b, at, _ in plan:
         got[piece] += b - a
-    assert (got == lengths).all()
+        cost[at] += (b - a) + (b - a) ** 2 / 4096
+    assert (got == lengths).all() and np.allclose(cost, brute_costs(lengths.tolist(), 4096))
+    # against dealing in the given order: the full sequences' costs are nearer to each other
+    dealt, full = np.zeros(len(rooms)), [k for k, r in enumerate(rooms) if r == 4096]
+    at, room = 0, list(rooms)
+    for n in lengths.tolist():
+        while n:
+            part = min(n, room[at])
+            room[at] -= part
+            dealt[at] += part + part * part / 4096
+            n -= part
+            at += room[at] == 0
+    assert seed == 4 or cost[full].std() < dealt[full].std() / 2  # a piece that fills a sequence costs what it costs
     assert packing.capacities(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1]
 
 
@@ -88,6 +130,24 @@ def test_repair_round_trip_and_random_access():
             assert all(shard.document(k)[-1] == 0 for k in range(len(sizes)))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_repair_leaves_no_pair_that_pays(seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.zipf(1.3, 4000).clip(0, 40).astype(np.uint32) - 1
+    if seed % 3 == 0:
+        ids = np.repeat(ids, rng.integers(1, 9, len(ids)))
+    seq, rules = token_files.repair(ids, 0, 100, least=4)
+    counts, last = {}, {}
+    for i, (a, b) in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
+        if 0 in (a, b) or last.get((a, b)) == i - 1 and a == b:  # side by side, no overlap
+            continue
+        counts[a, b], last[a, b] = counts.get((a, b), 0) + 1, i
+    assert max(counts.values(), default=0) < 4 and len(seq) < len(ids) and not (rules == 0).any()
+    assert len(np.unique(rules, axis=0)) == len(rules) and not {tuple(r) for r in rules.tolist()} & set(counts)
+    shard = token_files.Shard(token_files.pack_shard(ids, np.diff(np.concatenate([[0], np.flatnonzero(ids == 0) + 1])), 0, 65_530))
+    assert (shard.all() == ids).all()
+
+
 def test_repair_shortens_repeats():
     ids = np.tile(np.array([5, 6, 7, 8], np.uint32), 500)
     seq, rules = token_files.repair(ids, 0, 100)
