@@ -12,6 +12,8 @@ NUMBERS = r"\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\]"
 TOKEN = r"\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\]|\[\s*x1\s*,\s*y1\s*,\s*x2\s*,\s*y2\s*\]|\[MASK\]"
 NUMERIC = r"\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\]"
 INFECTION_ZH, TUMOR_ZH = "感染", "肿瘤"
+#: The same words, UTF-8 read as GBK. Fixed values.
+INFECTION_MISREAD, TUMOR_MISREAD = "鎰熸煋", "鑲跨槫"
 START, END = "<|vision_start|>", "<|vision_end|>"
 
 
@@ -42,7 +44,9 @@ def label(text: Column | str) -> Column:
     """infection (looked for first) or tumor; NULL if neither is named."""
     t = col(text)
     low = F.lower(t)
-    return F.when(low.contains("infection") | t.contains(INFECTION_ZH), "infection").when(low.contains("tumor") | low.contains("tumour") | t.contains(TUMOR_ZH), "tumor")
+    infection = low.contains("infection") | t.contains(INFECTION_ZH) | t.contains(INFECTION_MISREAD)
+    tumor = low.contains("tumor") | low.contains("tumour") | t.contains(TUMOR_ZH) | t.contains(TUMOR_MISREAD)
+    return F.when(infection, "infection").when(tumor, "tumor")
 
 
 def sequence_token(text: Column | str) -> Column:
@@ -143,15 +147,41 @@ ASK = "请判断这个病灶属于感染还是肿瘤。只输出感染或肿瘤
 BOX_PROMPT = "这是一幅脊椎的磁共振图像，%s其中病灶的位置按照[x1,y1,x2,y2]的格式在%s。"
 CROP_PROMPT = "这是一幅脊椎磁共振图像中的病灶区域，%s"
 LEGACY_ANSWER = "这个病灶的类型为%s。"
+LEGACY_PROMPT = "现在你是一个骨科专家，这是一幅脊椎的磁共振图像，%s该图像中可能包含了数个病灶，然后我会将最大病灶的坐标位置按照[x1,y1,x2,y2]的格式给出：该张图片中的最大病灶在%s这个位置。请你帮我判断这个病灶属于感染还是肿瘤。"
+REGION = "候选病灶区域%d/%d"
+REGION_NOTE = "\n补充说明：当前仅分析%s，坐标为%s。请忽略其他区域，仅根据这个框内最主要的病灶表现判断属于感染还是肿瘤；如果该框不像有效病灶，请输出'无明确病灶'。"
+REGION_PROMPT = "现在你是一个骨科专家，这是一幅脊椎的磁共振图像。当前仅分析%s，其坐标为%s。请只关注这个框内区域，并判断该区域最可能属于感染还是肿瘤。"
 
 
-def build_prompt(seq: Column | str, b: Column | None = None) -> Column:
-    """A question about a box of an image, or about a cropped region where no box is given."""
+def build_prompt(seq: Column | str, b: Column | None = None, style: str = "clean") -> Column:
+    """A question about a box of an image, or about a cropped region where no box is given; ``legacy`` words the former at length."""
     s = F.coalesce(F.when(col(seq) != "", F.format_string(SEQ_PART, col(seq))), F.lit(""))
+    if b is not None and style == "legacy":
+        return F.format_string(LEGACY_PROMPT, s, box_text(b))
     head = F.format_string(CROP_PROMPT, s) if b is None else F.format_string(BOX_PROMPT, s, box_text(b))
     return F.concat(head, F.lit(ASK))
 
 
+def region_prompt(prompt: Column | str, b: Column, rank: Column, total: Column) -> Column:
+    """A prompt about one of several regions: a given one with its second box replaced and a note, else a question of its own."""
+    where, at = F.format_string(REGION, rank.cast("bigint"), total.cast("bigint")), box_text(b)
+    noted = F.concat(replace_nth_box(prompt, at, 2), F.format_string(REGION_NOTE, where, at))
+    return F.when(F.coalesce(col(prompt), F.lit("")) != "", noted).otherwise(F.format_string(REGION_PROMPT, where, at))
+
+
+def record_image_path(prefix: str, split: Column | str, name: Column | str) -> Column:
+    return F.concat_ws("/", F.lit(prefix.rstrip("/\\")), col(split), F.lit("image"), col(name))
+
+
+def score_text(c: Column | str) -> Column:
+    """A number with twelve significant digits, without closing zeros; with an exponent below 1e-4 and from 1e12."""
+    x = col(c).cast("double")
+    short = F.format_string("%.11e", x).cast("double")
+    plain = F.regexp_replace(F.regexp_replace(short.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    far = F.regexp_replace(F.format_string("%.11e", x), r"\.?0+e", "e")
+    return F.when(short == 0, "0").when(F.abs(short).between(1e-4, 999_999_999_999), plain).otherwise(far)
+
+
 def build_answer(c: Column | str, style: str = "short", original: Column | str | None = None) -> Column:
     zh = label_zh(c)
     if style == "legacy":
@@ -186,13 +216,28 @@ def sample_of_indexed_path(path: Column | str) -> Column:
 
 
 #: Words for one lesion and for several. Fixed values.
-SINGLE = ("single", "solitary", "1", "one", "single_lesion")
-MULTIPLE = ("multiple", "multi", "2", "many", "multiple_lesions", "multifocal")
+SINGLE = ("single", "single_lesion", "unifocal", "solitary", "0")
+MULTIPLE = ("multiple", "multiple_lesions", "multifocal", "multi_lesion", "1")
 
 
 def lesion_pattern(c: Column | str) -> Column:
-    word = F.translate(F.lower(F.trim(col(c))), "- ", "__")
-    return F.when(word.isin(*SINGLE), "single").when(word.isin(*MULTIPLE), "multiple")
+    """single, multiple, or '' for any other word."""
+    word = F.translate(F.lower(F.trim(F.coalesce(col(c).cast("string"), F.lit("")))), "- ", "__")
+    return F.when(word.isin(*SINGLE), "single").when(word.isin(*MULTIPLE), "multiple").otherwise("")
+
+
+def _suffix(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
+
+
+def record_keys(sample_id: Column | str, path: Column | str, index: Column) -> Column:
+    """Keys by which a record's file may be known, in lower case: its name, its stem, and the indexed stem without and with suffix."""
+    p = F.translate(col(path), "\\", "/")
+    name = F.regexp_extract(p, r"([^/]*)$", 1)
+    own = indexed_stem(index, F.coalesce(first_present(sample_id), stem(p)))
+    suffix = _suffix(p)
+    keys = F.array(name, stem(p), own, F.when(suffix != "", F.concat(own, suffix)))
+    return F.array_distinct(F.transform(F.array_compact(keys), F.lower))
 
 
 def file_keys(path: Column | str) -> Column:
@@ -211,6 +256,12 @@ def number_list(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(values, lambda x: x > 0)))
 
 
+def float_list(c: Column | str) -> Column:
+    """Numbers of a comma-separated list, in order; what isn't a number goes."""
+    values = F.transform(F.split(col(c), ","), lambda x: F.trim(x).try_cast("double"))
+    return F.filter(values, lambda x: x.isNotNull())
+
+
 def record_id(c: Column | str, index: Column) -> Column:
     return F.coalesce(first_present(c), F.concat(F.lit("sample_"), index.cast("string")))
 

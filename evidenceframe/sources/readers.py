@@ -8,7 +8,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
@@ -33,12 +33,25 @@ def read_json(spark: SparkSession, path: str | list[str], schema: str | None = N
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def numbered(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """rows as read from files, with their place: files by path, then as they stand in them.
+
+    A file is read by one task and numbered there; what precedes it comes from a table with a row per file.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1
+    return placed.withColumn("_in", inside).join(files, "_file").withColumn(name, F.col("_start") + F.col("_in")).drop("_file", "_at", "_start", "_in")
+
+
 def read_records(spark: SparkSession, path: str | list[str], sizes: DataFrame | None = None, remap: tuple[str, str] | None = None) -> DataFrame:
     """Vision-language records as flat rows. Records without two turns, an image path or a label go.
 
     sizes(image_path, width, height), where given, moves boxes into their images.
     """
-    raw = read_json(spark, path, RECORD_SCHEMA).withColumn("pos", F.monotonically_increasing_id())
+    raw = numbered(read_json(spark, path, RECORD_SCHEMA))
     turns = F.col("conversations")
     raw = raw.where(F.size(turns) >= 2)
     user, answer = F.element_at(turns, 1)["value"], F.element_at(turns, 2)["value"]
@@ -64,7 +77,7 @@ def read_records(spark: SparkSession, path: str | list[str], sizes: DataFrame |
 
 def prompt_records(spark: SparkSession, path: str | list[str], truth: DataFrame | None = None) -> DataFrame:
     """Prompts only; geometry and label come from truth(sample_id, box, label) where given, else a placeholder box."""
-    raw = read_json(spark, path, RECORD_SCHEMA).withColumn("pos", F.monotonically_increasing_id()).where(F.size("conversations") >= 1)
+    raw = numbered(read_json(spark, path, RECORD_SCHEMA)).where(F.size("conversations") >= 1)
     user = F.element_at("conversations", 1)["value"]
     out = raw.select(text.record_id("id", F.col("pos")).alias("sample_id"), text.image_path(user).alias("image_path"), text.prompt_text(user).alias("prompt"))
     return out.withColumn("box", boxes.box(0, 0, 1, 1)) if truth is None else out.join(truth.select("sample_id", "box", "label"), "sample_id")
@@ -74,7 +87,7 @@ def read_cases(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Case manifest; of repeated ids the last one counts."""
     from ..operators.ranking import first_per_key
 
-    rows = read_json(spark, path, CASE_SCHEMA).withColumn("pos", F.monotonically_increasing_id())
+    rows = numbered(read_json(spark, path, CASE_SCHEMA))
     return first_per_key(rows, ["case_id"], [F.desc("pos")])
 
 
@@ -102,17 +115,17 @@ def detections(rows: DataFrame, k: int, phantom: bool = False) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless timestamp, memory, load and power; rows without a memory figure go."""
+    """Headerless timestamp, memory, load and power; a row in which any of the three isn't a number goes, so all means are over the same rows."""
     rows = spark.read.schema("ts string, mem string, util string, power string").option("ignoreLeadingWhiteSpace", True).csv(path)
     out = rows.select("ts", text.first_number("mem").alias("mem_mib"), text.first_number("util").alias("util_pct"), text.first_number("power").alias("power_w"))
-    return out.where("mem_mib is not null")
+    return out.dropna(subset=["mem_mib", "util_pct", "power_w"])
 
 
 def run_report(spark: SparkSession, path: str) -> DataFrame:
-    """key and value of a ``Name: value`` report, one row per line; the last colon with a space separates."""
-    lines = spark.read.text(path)
-    t = F.trim("value")
-    return lines.where(t.contains(": ")).select(F.regexp_extract(t, r"^(.*): (.*)$", 1).alias("key"), F.regexp_extract(t, r"^(.*): (.*)$", 2).alias("value"))
+    """key and value of a ``Name: value`` report, one row per line. The last colon with a space separates, as names may hold colons
+    (``h:mm:ss``); lines without one go."""
+    t = F.btrim("value", F.lit(" \t\r"))
+    return spark.read.text(path).where(t.contains(": ")).select(F.regexp_extract(t, r"^(.*): (.*)$", 1).alias("key"), F.regexp_extract(t, r"^(.*): (.*)$", 2).alias("value"))
 
 
 def metric_document(spark: SparkSession, path: str | list[str], level: str = "patient_level") -> DataFrame:
@@ -207,11 +220,11 @@ def split_table(rows: DataFrame) -> DataFrame:
 
 
 def clinical_labels(rows: DataFrame) -> DataFrame:
-    """patient_id and lesion_pattern (single or multiple); a patient with both raises."""
+    """patient_id and lesion_pattern (single, multiple or ""); a patient with two raises, one without id goes."""
     from ..operators.checks import one_group_per_key, raise_if_any
 
     given = first_present(*(c for c in ("lesion_pattern", "clinical_lesion_pattern") if c in rows.columns))
-    out = rows.select("patient_id", text.lesion_pattern(given).alias("lesion_pattern")).where("lesion_pattern is not null").distinct()
+    out = rows.select("patient_id", text.lesion_pattern(given).alias("lesion_pattern")).where(blank_to_null("patient_id").isNotNull()).distinct()
     raise_if_any(one_group_per_key(out, "patient_id", "lesion_pattern"), "conflicting patterns")
     return out
 

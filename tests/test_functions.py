@@ -94,6 +94,36 @@ def test_names(spark):
         last=text.patient_id(F.lit("a/123456/img_9876543_1.jpg")), none=text.patient_id(F.lit("12345")), z=text.slice_index(F.lit("p/x_slice-12_z3.png")), layer=text.slice_index(F.lit("1_1_layer_7.jpg")),
         t2=text.sequence_of_path(F.lit("x/12_2_a.jpg")), t1=text.sequence_of_path(F.lit("T1/zz.jpg")), blank=text.sequence_of_path(F.lit("q.jpg")), wi=text.sequence_token(F.lit("a T2WI b")), code=text.sequence_code(F.lit("seq_2")), empty=text.sequence_code(F.lit(None).cast("string")),
         nii=text.file_id(F.lit("/a/b.c.nii.gz")), npz=text.file_id(F.lit("/a/b.npz")), slug=text.slug(F.lit(" Ab--C d! ")), mapped=text.remap_path(F.lit("/srv/data/x.jpg"), "/srv/data", "/mnt"), kept=text.remap_path(F.lit("/other/x.jpg"), "/srv/data", "/mnt"),
-        sample=text.sample_of_indexed_path(F.lit("000012_case_7.jpg")), many=text.lesion_pattern(F.lit("Multi")), one=text.lesion_pattern(F.lit(" Single-Lesion ")), numbers=text.number_list(F.lit("3, 1,3,0,x")), number=text.first_number(F.lit("about -2.5 of 7")), path=text.image_path(F.lit("p <|vision_start|> a b.jpg <|vision_end|> q")),
+        sample=text.sample_of_indexed_path(F.lit("000012_case_7.jpg")), many=text.lesion_pattern(F.lit("Multi-Lesion")), one=text.lesion_pattern(F.lit(" Single-Lesion ")), numbers=text.number_list(F.lit("3, 1,3,0,x")), number=text.first_number(F.lit("about -2.5 of 7")), path=text.image_path(F.lit("p <|vision_start|> a b.jpg <|vision_end|> q")),
     )
     assert r == {"last": "9876543", "none": None, "z": 3, "layer": 7, "t2": "T2", "t1": "T1", "blank": "", "wi": "T2WI", "code": "T2", "empty": "", "nii": "b.c", "npz": "b", "slug": "ab_c_d", "mapped": "/mnt/x.jpg", "kept": "/other/x.jpg", "sample": "case_7", "many": "multiple", "one": "single", "numbers": [1, 3], "number": -2.5, "path": "a b.jpg"}
+
+
+def test_lesion_words(spark):
+    words = {"0": "single", "1": "multiple", "unifocal": "single", "Solitary": "single", "multifocal": "multiple", "multiple lesions": "multiple", "2": "", "multi": "", "": "", None: ""}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.lesion_pattern("w").alias("p")).collect()
+    assert {r.w: r.p for r in rows} == words
+
+
+def test_misread_labels(spark):
+    words = [text.INFECTION_ZH.encode().decode("gbk", "ignore"), text.TUMOR_ZH.encode().decode("gbk", "ignore")]
+    assert words == [text.INFECTION_MISREAD, text.TUMOR_MISREAD]
+    assert [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.label("w")).collect()] == ["infection", "tumor"]
+
+
+def test_prompts(spark):
+    b = boxes.box(1, 2, 3, 4)
+    r = one(spark, legacy=text.build_prompt(F.lit("T1"), b, "legacy"), own=text.region_prompt(F.lit(""), b, F.lit(2), F.lit(3)), given=text.region_prompt(F.lit("a [5,6,7,8] b [MASK]"), b, F.lit(1), F.lit(1)), path=text.record_image_path("/d/", F.lit("val"), F.lit("x.jpg")))
+    assert r["legacy"].startswith("现在你是一个骨科专家") and "序列为T1。" in r["legacy"] and "在[1,2,3,4]这个位置" in r["legacy"]
+    assert "候选病灶区域2/3" in r["own"] and r["given"].startswith("a [5,6,7,8] b [1,2,3,4]\n补充说明") and r["path"] == "/d/val/image/x.jpg"
+
+
+def test_score_texts(spark):
+    values = [0.0, 1.0, 0.1, 1 / 3, 2 / 3 * 100, 1.5e-7, 123456789.125, 0.1 + 0.2, 5e20, -2.5, 1e-4, 100.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.score_text("v").alias("t")).collect()
+    assert [r.t.replace("e-07", "e-07") for r in rows] == [f"{v:.12g}" for v in values]
+
+
+def test_lists_and_keys(spark):
+    r = one(spark, floats=text.float_list(F.lit("0.3, x,0.5,")), keys=text.record_keys(F.lit("S 1"), F.lit("a\\B.C.JPG"), F.lit(7)), none=text.record_keys(F.lit(None).cast("string"), F.lit("q"), F.lit(1)))
+    assert r == {"floats": [0.3, 0.5], "keys": ["b.c.jpg", "b.c", "000007_s_1", "000007_s_1.jpg"], "none": ["q", "000001_q"]}

@@ -81,17 +81,36 @@ def test_nifti(spark, folder):
     assert [tuple(r) for r in got] == [("m", 0, 1, 2)]
 
 
-def test_reports_and_metrics(spark, folder):
+def test_run_reports(spark, folder):
     Path(folder, "t.txt").write_text("\tMaximum resident set size (kbytes): 2048\n\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02.5\nnothing\n")
     rows = {r.key: r.value for r in readers.run_report(spark, f"{folder}/t.txt").collect()}
-    assert rows["Maximum resident set size (kbytes)"] == "2048" and len(rows) == 2
-    assert spark.range(1).select(readers.seconds_of(F.lit("1:02.5"))).first()[0] == 62.5
-    Path(folder, "g.csv").write_text("2024/01/01, 100 MiB, 50 %, 80.5 W\nbroken\n2024/01/01, 300 MiB, 70 %, 90 W\n")
-    assert [r.mem_mib for r in readers.telemetry(spark, f"{folder}/g.csv").collect()] == [100.0, 300.0]
+    assert rows == {"Maximum resident set size (kbytes)": "2048", "Elapsed (wall clock) time (h:mm:ss or m:ss)": "1:02.5"}
+
+
+def test_seconds(spark):
+    assert tuple(spark.range(1).select(readers.seconds_of(F.lit("1:02.5")), readers.seconds_of(F.lit("2:00:01"))).first()) == (62.5, 7201.0)
+
+
+def test_telemetry_drops_rows_with_any_bad_number(spark, folder):
+    Path(folder, "g.csv").write_text("2024/01/01, 100 MiB, 50 %, 80.5 W\nbroken\n2024/01/01, 300 MiB, 70 %, 90 W\n2024/01/01, 500 MiB, [N/A], 90 W\n2024/01/01, 7 MiB, 70 %, -\n")
+    assert [(r.mem_mib, r.util_pct, r.power_w) for r in readers.telemetry(spark, f"{folder}/g.csv").collect()] == [(100.0, 50.0, 80.5), (300.0, 70.0, 90.0)]
+
+
+def test_metric_documents(spark, folder):
     Path(folder, "m.json").write_text(json.dumps({"patient_level": {"quality": {"acc": 0.5, "n": 3}}}))
     assert readers.metric_document(spark, f"{folder}/m.json").first().metrics == {"acc": 0.5, "n": 3.0}
 
 
+def test_places_go_on_across_files(spark, folder):
+    for name, ids in (("a", ["", "x"]), ("b", ["", "", "x"]), ("c", [""])):
+        Path(folder, f"{name}.json").write_text(json.dumps([record(i, f"[1,2,3,4] <|vision_start|>{name}{k}.jpg<|vision_end|>") for k, i in enumerate(ids)]))
+    rows = {r.image_path: r.sample_id for r in readers.read_records(spark, f"{folder}/*.json").collect()}
+    assert rows == {"a0.jpg": "sample_0", "a1.jpg": "x", "b0.jpg": "sample_2", "b1.jpg": "sample_3", "b2.jpg": "x", "c0.jpg": "sample_5"}
+    for name, label in (("d", "x"), ("e", "y")):
+        Path(folder, f"{name}.cases").write_text(json.dumps([{"case_id": "k", "label": label}]))
+    assert [r.label for r in readers.read_cases(spark, f"{folder}/*.cases").collect()] == ["y"]
+
+
 def test_sinks(spark, folder):
     a = spark.createDataFrame([(1, True)], "id long, ok boolean")
     b = spark.createDataFrame([(2, "x")], "id long, note string")
@@ -105,7 +124,7 @@ def test_sinks(spark, folder):
 
 
 def test_label_tables(spark):
-    t = spark.createDataFrame([("1", "Single"), ("1", "multi")], "patient_id string, lesion_pattern string")
+    t = spark.createDataFrame([("1", "0"), ("1", "Multi lesion"), (" ", "1")], "patient_id string, lesion_pattern string")
     with pytest.raises(CheckFailed):
         readers.clinical_labels(t)
     s = spark.createDataFrame([("1", "1", "a", "c", "dev")], "patient_id string, seq_id string, label string, case_id string, split string")
