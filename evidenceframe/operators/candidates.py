@@ -74,19 +74,41 @@ def adjacent_slices(slice_areas: DataFrame, radius: int = 3, strategy: str = "ne
     return out.select(*keys, "z", "area", F.col("_b.n").alias("neighbour"), F.col("_b.d").alias("distance"), (-F.col("_b.a")).alias("neighbour_area"))
 
 
+def slice_and_box(pixels: DataFrame, width: int, height: int, slice_strategy: str = "pred_max_area", box_strategy: str = "mask_bbox", ratio: float = 0.0, k: int = 3, min_area: int = 1, oracle: bool = False) -> DataFrame:
+    """Per case: z, the predicted box of the chosen slice (expanded by a ratio), the true one, and their overlap. A slice
+    without predicted or true pixels has an empty box."""
+    chosen = choose_slice(pixels, slice_strategy, oracle)
+    here = pixels.join(chosen, ["case_id", "z"], "left_semi")
+    named = lambda rows, n: rows.select("case_id", box("x1", "y1", "x2", "y2").alias(n))
+    found = named(slice_box(here, box_strategy, k, min_area, width, height, ratio), "pred_box")
+    none = box(0, 0, 0, 0)
+    out = chosen.join(found, "case_id", "left").join(named(masks.boxes(here, "gt"), "gt_box"), "case_id", "left")
+    out = out.select("case_id", F.col("z").cast("bigint").alias("z"), F.coalesce("pred_box", none).alias("pred_box"), F.coalesce("gt_box", none).alias("gt_box"))
+    return out.withColumn("iou", iou(F.col("pred_box"), F.col("gt_box")))
+
+
 def candidate_state(slices: DataFrame) -> DataFrame:
-    """Where each slice's candidates come from.
+    """Where each slice's candidates come from, and what happened on the way.
 
-    slices(case_id, z, area, n_kept, neighbour, neighbour_kept): own filtered components; else, the mask being
-    empty, a neighbour's; else the largest component of the slice or the neighbour; else why there is none.
+    slices(case_id, z, area, n_kept, neighbour, neighbour_kept; n_box and neighbour_box, if there, say whether a region is left
+    for the fallback): own filtered components; else, the mask being empty, a neighbour's; else the largest component of the slice or
+    the neighbour; else why there is none. filtered_empty: the slice used has regions but none passes the filter;
+    used_fallback_component: its largest is taken all the same.
     """
     empty = F.col("area") == 0
     has = F.col("neighbour").isNotNull()
+    box_of = lambda c: F.coalesce(F.col(c) > 0, F.lit(False)) if c in slices.columns else F.lit(True)
+    kept = F.coalesce(F.when(empty, F.col("neighbour_kept") > 0).otherwise(F.col("n_kept") > 0), F.lit(False))
+    boxed = F.when(empty, box_of("neighbour_box")).otherwise(box_of("n_box"))
     source = (
-        F.when(~empty & (F.col("n_kept") > 0), "filtered_components").when(~empty, "largest_component_fallback")
-        .when(has & (F.col("neighbour_kept") > 0), "adjacent_slice_fallback").when(has, "adjacent_slice_largest_component_fallback").otherwise("pred_mask_empty")
+        F.when(~empty & kept, "filtered_components").when(~empty & boxed, "largest_component_fallback").when(~empty, "fallback_empty").when(~has, "pred_mask_empty")
+        .when(kept, "adjacent_slice_fallback").when(boxed, "adjacent_slice_largest_component_fallback").otherwise("adjacent_slice_fallback_empty")
+    )
+    filtered = (~empty | has) & ~kept
+    return slices.select(
+        "*", source.alias("final_candidate_source"), empty.alias("pred_mask_empty"), filtered.alias("filtered_empty"), (filtered & boxed).alias("used_fallback_component"),
+        F.when(empty, F.col("neighbour")).otherwise(F.col("z")).alias("candidate_slice"), F.when(empty & has, F.abs(F.col("neighbour") - F.col("z"))).otherwise(0).alias("candidate_slice_distance"),
     )
-    return slices.select("*", source.alias("final_candidate_source"), empty.alias("pred_mask_empty"), F.when(empty, F.col("neighbour")).otherwise(F.col("z")).alias("candidate_slice"), F.when(empty & has, F.abs(F.col("neighbour") - F.col("z"))).otherwise(0).alias("candidate_slice_distance"))
 
 
 def detector_ranks(detections: DataFrame, key: str = "image_path", conf: str = "conf", k: int = 5, tie: str = "box_pos") -> DataFrame:

@@ -239,3 +239,122 @@ def selection_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every measure for every k and pick."""
     n = _table(spark, sf_dir, "orders").count()
     return _short(reports.selection_metrics(_picked(spark, sf_dir), F.lit(n), [0.3, 0.5], ["top_k", "strategy"]))
+
+
+_TWO_D = """b as (select case_id, z, coalesce(min(x) filter (pred > 0), 0) as px1, coalesce(min(y) filter (pred > 0), 0) as py1, coalesce(max(x + 1) filter (pred > 0), 0) as px2, coalesce(max(y + 1) filter (pred > 0), 0) as py2,
+  coalesce(min(x) filter (gt > 0), 0) as gx1, coalesce(min(y) filter (gt > 0), 0) as gy1, coalesce(max(x + 1) filter (gt > 0), 0) as gx2, coalesce(max(y + 1) filter (gt > 0), 0) as gy2, count(*) filter (pred > 0) as p, count(*) filter (gt > 0) as g from fx_mask group by case_id, z)"""
+_IOU = "case when (px2 - px1) * (py2 - py1) + (gx2 - gx1) * (gy2 - gy1) - i = 0 then 0.0::double else i / ((px2 - px1) * (py2 - py1) + (gx2 - gx1) * (gy2 - gy1) - i) end"
+_OVERLAP = "greatest(0, least(px2, gx2) - greatest(px1, gx1)) * greatest(0, least(py2, gy2) - greatest(py1, gy1)) as i"
+
+
+@query(f"""with {_TWO_D}, s as (select * from b qualify row_number() over (partition by case_id order by p desc, z) = 1), e as (select case_id, z, gx1, gy1, gx2, gy2,
+  case when p > 0 then greatest(0, px1 - round_even((px2 - px1) * 0.2::double, 0)::int) else 0 end as px1, case when p > 0 then greatest(0, py1 - round_even((py2 - py1) * 0.2::double, 0)::int) else 0 end as py1,
+  case when p > 0 then least(8, px2 + round_even((px2 - px1) * 0.2::double, 0)::int) else 0 end as px2, case when p > 0 then least(8, py2 + round_even((py2 - py1) * 0.2::double, 0)::int) else 0 end as py2 from s),
+  o as (select *, {_OVERLAP} from e) select case_id, z::bigint as z, px1 as x1, py1 as y1, px2 as x2, py2 as y2, round({_IOU}, 9) as iou from o""")
+def slice_and_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen slice, its expanded box and how that overlaps the true one."""
+    found = candidates.slice_and_box(read(spark, sf_dir, "fx_mask"), 8, 8, ratio=0.2)
+    return _short(found.select("case_id", "z", "pred_box.*", "iou"))
+
+
+@query(f"""with {_TWO_D}, o as (select *, {_OVERLAP} from b), s as (select case_id, round({_IOU}, 9) as iou from o qualify row_number() over (partition by case_id order by p desc, z) = 1)
+select count(*) as cases, round(count(*) filter (iou >= 0.3) / count(*), 9) as recall_2d_iou03, round(count(*) filter (iou >= 0.5) / count(*), 9) as recall_2d_iou05 from s""")
+def slice_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the chosen slices' boxes."""
+    found = candidates.slice_and_box(read(spark, sf_dir, "fx_mask"), 8, 8)
+    n = F.count(F.lit(1))
+    return _short(found.agg(n.alias("cases"), *((F.count_if(F.round("iou", 9) >= t) / n).alias(f"recall_2d_iou{t}".replace(".", "")) for t in (0.3, 0.5))))
+
+
+@query("""with a as (select case_id, z, count(*) filter (pred > 0) as area from fx_mask group by all), n as (select a.case_id, a.z, a.area, b.z as nz from a left join a b on a.case_id = b.case_id and b.area > 0 and b.z <> a.z and abs(b.z - a.z) <= 3
+  qualify row_number() over (partition by a.case_id, a.z order by abs(b.z - a.z), b.area desc, b.z) = 1),
+c as (select *, case when area > 0 then z else nz end as cz from n), s as (select c.*, coalesce(m.area, 0) as carea from c left join a m on c.case_id = m.case_id and c.cz = m.z),
+q as (select *, carea >= 3 as kept, carea >= 2 as boxed from s)
+select case_id, z, case when area > 0 then case when kept then 'filtered_components' when boxed then 'largest_component_fallback' else 'fallback_empty' end when nz is null then 'pred_mask_empty'
+  when kept then 'adjacent_slice_fallback' when boxed then 'adjacent_slice_largest_component_fallback' else 'adjacent_slice_fallback_empty' end as final_candidate_source,
+  area = 0 as pred_mask_empty, cz is not null and not kept as filtered_empty, cz is not null and not kept and boxed as used_fallback_component from q""")
+def candidate_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources of a slice's candidates, with what happened on the way."""
+    area = masks.areas(read(spark, sf_dir, "fx_mask"))
+    near = candidates.adjacent_slices(area, 3)
+    count = lambda z, p: area.select("case_id", F.col("z").alias(z), (F.col("area") >= 3).cast("int").alias(f"{p}kept"), (F.col("area") >= 2).cast("int").alias(f"{p}box"))
+    rows = near.join(count("z", "n_"), ["case_id", "z"]).join(count("neighbour", "neighbour_"), ["case_id", "neighbour"], "left")
+    return candidates.candidate_state(rows).select("case_id", "z", "final_candidate_source", "pred_mask_empty", "filtered_empty", "used_fallback_component")
+
+
+_DEFINITIONS = """d as (select patient_id, 'multi' as definition, case when n >= 2 then true when n = 0 then false end as positive from (select patient_id, count(*) filter (valid_component_votes >= 2) as n from fx_slice group by patient_id)
+  union all select patient_id, 'fold', fold = 0 from fx_patient union all select patient_id, 'none', false from fx_patient)"""
+_STRATEGIES = """p as (select patient_id, gt_label, 'weighted_top3' as strategy, pred_selected as pred_label from fx_patient union all select patient_id, gt_label, 'top1', pred_baseline from fx_patient union all select patient_id, gt_label, 'majority', 'tumor' from fx_patient),
+k as (select definition from d group by definition having count(*) filter (positive) > 0 and count(*) filter (not positive) > 0), r as (select d.definition, d.positive, p.* from d join k using (definition) join p using (patient_id) where positive is not null)"""
+
+
+def _subgroups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    p, s = read(spark, sf_dir, "fx_patient"), read(spark, sf_dir, "fx_slice")
+    n = F.count_if(F.col("valid_component_votes") >= 2)
+    definitions = s.groupBy("patient_id").agg(F.when(n >= 2, True).when(n == 0, False).alias("positive")).select("patient_id", F.lit("multi").alias("definition"), "positive")
+    definitions = definitions.unionByName(p.select("patient_id", F.lit("fold").alias("definition"), (F.col("fold") == 0).alias("positive"))).unionByName(p.select("patient_id", F.lit("none").alias("definition"), F.lit(False).alias("positive")))
+    of = lambda name, c: F.struct(F.lit(name).alias("strategy"), c.alias("pred_label"))
+    predictions = p.select("patient_id", "gt_label", F.inline(F.array(of("weighted_top3", F.col("pred_selected")), of("top1", F.col("pred_baseline")), of("majority", F.lit("tumor")))))
+    return reports.subgroup_report(predictions, definitions, "weighted_top3", ["top1", "majority"])
+
+
+_ACC = """a as (select definition, positive, strategy, count(*) as total, count(*) filter (gt_label = pred_label) / count(*) as acc, case when count(*) filter (gt_label = 'infection') > 0 and count(*) filter (gt_label = 'tumor') > 0 then
+  (count(*) filter (gt_label = 'infection' and pred_label = gt_label) / count(*) filter (gt_label = 'infection') + count(*) filter (gt_label = 'tumor' and pred_label = gt_label) / count(*) filter (gt_label = 'tumor')) / 2 else 0.0::double end as bal from r group by all)"""
+
+
+@query(f"with {_DEFINITIONS}, {_STRATEGIES}, {_ACC} select definition, positive, strategy, total, round(acc, 9) as acc, round(bal, 9) as balanced_acc from a")
+def subgroup_report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(_subgroups(spark, sf_dir)["metrics"].select("definition", "positive", "strategy", "total", "acc", "balanced_acc"))
+
+
+@query(f"""with {_DEFINITIONS}, {_STRATEGIES}, {_ACC}, g as (select definition, positive, 'weighted_top3_minus_' || c.strategy as comparison, w.acc - c.acc as x, w.bal - c.bal as y from a w join a c using (definition, positive) where w.strategy = 'weighted_top3' and c.strategy <> 'weighted_top3')
+select definition, comparison, {', '.join(f"round(max({c}) filter (positive), 9) as {n}_positive, round(max({c}) filter (not positive), 9) as {n}_negative, round(max({c}) filter (positive) - max({c}) filter (not positive), 9) as {n}_interaction" for c, n in (('x', 'accuracy'), ('y', 'balanced_accuracy')))} from g group by all""")
+def subgroup_report_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(_subgroups(spark, sf_dir)["deltas"])
+
+
+@query(f"""with {_DEFINITIONS}, {_STRATEGIES}, w as (select definition, positive, patient_id, max(gt_label) as g, max(pred_label) filter (strategy = 'weighted_top3') as s0, max(pred_label) filter (strategy = 'top1') as s1, max(pred_label) filter (strategy = 'majority') as s2 from r group by all),
+l as (select definition, positive, g, 'weighted_top3' as reference, 'top1' as comparator, s0 as a, s1 as b from w union all select definition, positive, g, 'weighted_top3', 'majority', s0, s2 from w union all select definition, positive, g, 'top1', 'majority', s1, s2 from w),
+c as (select definition, positive, reference, comparator, count(*) as n, count(*) filter (a <> b) as different_prediction, count(*) filter (a = g and b = g) as both_correct, count(*) filter (a <> g and b <> g) as both_wrong, count(*) filter (a = g and b <> g) as x, count(*) filter (a <> g and b = g) as y from l group by all),
+t as (select c.*, (select sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))) from (select unnest(range(least(x, y) + 1)) as i)) as tail from c)
+select definition, positive, reference, comparator, n, different_prediction, both_correct, both_wrong, x as reference_only_correct, y as comparator_only_correct, round(case when x + y = 0 then 1.0::double else least(1.0::double, 2 * tail) end, 9) as exact_mcnemar_p from t""")
+def subgroup_report_discordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(_subgroups(spark, sf_dir)["discordance"])
+
+
+@query(f"""with {_DEFINITIONS} select definition, count(positive) as num_included, count(*) filter (positive) as num_positive, count(*) filter (not positive) as num_negative,
+  case when count(*) filter (positive) > 0 and count(*) filter (not positive) > 0 then 'completed' else 'skipped' end as status from d group by definition""")
+def subgroup_report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subgroups(spark, sf_dir)["status"]
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    p = read(spark, sf_dir, "fx_patient")
+    rows = lambda c: p.select("patient_id", "gt_label", "fold", F.col(c).alias("pred_label"))
+    selection = p.select("fold").distinct().select("fold", F.when(F.col("fold") % 2 == 0, "adapt10").otherwise("adapt20").alias("selected_config"))
+    baseline = rows("pred_baseline").where("patient_id % 50 <> 7").unionByName(rows("pred_baseline").where("patient_id % 50 = 8").withColumn("fold", (F.col("fold") + 1) % 5))
+    return reports.fold_report(rows("pred_selected"), baseline, selection, p)
+
+
+_BASELINE = "(select patient_id, gt_label, fold, pred_baseline as pred_label from fx_patient where patient_id % 50 <> 7 union all select patient_id, gt_label, (fold + 1) % 5, pred_baseline from fx_patient where patient_id % 50 = 8)"
+_FOLD = """select fold, count(*) as n, count(*) filter (gt_label = 'infection') as ni, count(*) filter (gt_label = 'tumor') as nt, count(*) filter (gt_label = pred_label) / count(*) as acc,
+  (count(*) filter (gt_label = 'infection' and pred_label = gt_label) / count(*) filter (gt_label = 'infection') + count(*) filter (gt_label = 'tumor' and pred_label = gt_label) / count(*) filter (gt_label = 'tumor')) / 2 as bal from {} group by fold"""
+
+
+@query(f"""with s as ({_FOLD.format('(select *, pred_selected as pred_label from fx_patient)')}), b as ({_FOLD.format(_BASELINE)}) select fold, case when fold % 2 = 0 then 'adapt10' else 'adapt20' end as selected_config, s.n as outer_patients, round(s.acc, 9) as selected_outer_accuracy,
+  round(s.bal, 9) as selected_outer_balanced_accuracy, round(b.acc, 9) as baseline_outer_accuracy, round(b.bal, 9) as baseline_outer_balanced_accuracy, s.ni as outer_infection, s.nt as outer_tumor from s join b using (fold)""")
+def fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per outer fold: what was chosen and how it and the baseline did."""
+    return _short(_folds(spark, sf_dir)["folds"])
+
+
+@query(f"""with h as (select distinct fold, patient_id from {_BASELINE}) select 'internal_only lacks' as problem, fold, patient_id from fx_patient where patient_id % 50 = 7
+union all select 'internal_only adds', (fold + 1) % 5, patient_id from fx_patient where patient_id % 50 = 8 union all select 'internal_only repeats', max(fold), patient_id from h group by patient_id having count(*) > 1""")
+def fold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folds(spark, sf_dir)["violations"]
+
+
+@query(f"""with o as (select 'nested_selected' as model, gt_label, pred_selected as pred_label from fx_patient union all select 'internal_only', gt_label, pred_label from {_BASELINE})
+select model, gt_label, pred_label, count(*) as n from o group by all""")
+def oof_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(_folds(spark, sf_dir)["oof"], ["model"])
