@@ -1,7 +1,8 @@
-"""Bootstrap by counter-based draws: a draw is a function of seed, iteration and slot, so results don't depend on partitioning.
+"""Bootstrap by counter-based draws: a draw is a function of seed, stratum, iteration and slot, so results don't depend on partitioning.
 
-Metrics of class decisions need only how often each (truth, decision) cell is drawn, so draws are reduced to cell
-counts per iteration before anything wide is met. A group's members stand in slots; a draw names a slot.
+Metrics of class decisions need only how often each (truth, decision) cell is drawn. A stratum's slots sorted by cell fall
+into few intervals, so draws are made and counted where the small table of intervals is: one row per iteration and
+stratum is shuffled, however many rows a stratum has. A draw is integer arithmetic inside one generated loop.
 """
 
 from __future__ import annotations
@@ -9,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Draws that a row of work makes.
+BLOCK = 1 << 14
+#: The hash behind a draw works on 31 bits, so that no product leaves 64; two of them make a draw.
+BITS = (1 << 31) - 1
+FIRST, SECOND = 0x2C1B3C6D, 0x297A2D39
+
 
 def draw(n: Column, *parts: Column | str | int) -> Column:
     """A number from 0 to n - 1 from the MD5 of the parts."""
@@ -16,6 +23,37 @@ def draw(n: Column, *parts: Column | str | int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("bigint"), n)
 
 
+def stratum_number(strata: list[str]) -> Column:
+    name = F.concat_ws("|", *(F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata))
+    return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("bigint")
+
+
+def _mixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a hash of a number below 2 ** 31; in steps, so that no step is computed twice."""
+    shifted = lambda c, k: c.bitwiseXOR(F.shiftright(c, k))
+    rows = rows.withColumn(name, value)
+    rows = rows.withColumn(name, (shifted(F.col(name), 15) * FIRST).bitwiseAND(BITS))
+    rows = rows.withColumn(name, (shifted(F.col(name), 14) * SECOND).bitwiseAND(BITS))
+    return rows.withColumn(name, shifted(F.col(name), 15))
+
+
+def with_draws(work: DataFrame, seed: int, size: str = "size", name: str = "d") -> DataFrame:
+    """work(stratum number ``_s``, iter, slot, size) with a number from 0 to size - 1."""
+    rows = _mixed(work, "_h", (F.col("_s") + F.lit(seed * 7919)).bitwiseAND(BITS))
+    rows = _mixed(rows, "_h", (F.col("_h") + F.col("iter")).bitwiseAND(BITS))
+    rows = _mixed(rows, "_a", (F.col("_h") + F.col("slot")).bitwiseAND(BITS))
+    rows = _mixed(rows, "_b", (F.col("_a") + 0x5BD1E995).bitwiseAND(BITS))
+    return rows.withColumn(name, (F.shiftleft("_a", 31) + F.col("_b")) % F.col(size)).drop("_h", "_a", "_b")
+
+
+def draw_slots(sizes: DataFrame, iterations: int) -> DataFrame:
+    """A row per iteration and slot of sizes(size, ...); slots come in blocks, which are dealt over the tasks."""
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK))
+    work = sizes.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_block", F.explode(blocks)).repartition("iter", "_block")
+    first = F.col("_block") * BLOCK
+    return work.withColumn("slot", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1))).drop("_block")
+
+
 def slots(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
     """rows with slot (from 0) and size of their stratum; without strata all rows are one.
 
@@ -47,18 +85,22 @@ def cells_of(rows: DataFrame, strata: list[str], cell: list[str], order: str) ->
 def cell_counts(rows: DataFrame, strata: list[str], cell: list[str], iterations: int, seed: int) -> DataFrame:
     """(iter, strata, cell, n): how often each cell is drawn in each iteration, drawing as many rows as a stratum has.
 
-    As equal cells are exchangeable, a draw is looked up in the stratum's few intervals: draws are made where
-    the interval table is, and only counts are shuffled.
+    Cells are few (classes by decisions), so a stratum's intervals stand beside each other in a row and are counted beside
+    each other too.
     """
     runs = cells_of(rows, strata, cell, "slot")
     held = F.struct("low", "high", *cell)
     sizes = runs.groupBy(*strata).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(held)).alias("runs"))
-    work = sizes.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    work = work.repartition("iter").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
-    name = [F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata]
-    drawn = work.withColumn("d", draw(F.col("size"), seed, *name, F.col("iter"), F.col("slot")))
-    hit = F.element_at(F.filter("runs", lambda r: (r["low"] <= F.col("d")) & (F.col("d") < r["high"])), 1)
-    return drawn.select("iter", *strata, hit.alias("_c")).groupBy("iter", *strata, *(F.col(f"_c.{c}").alias(c) for c in cell)).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max(F.size("runs"))).first()[0] or 0
+    ends = [F.coalesce(F.try_element_at("runs", F.lit(k + 1))["high"], F.lit(1 << 62)).alias(f"_e{k}") for k in range(most)]
+    drawn = with_draws(draw_slots(sizes.select(*strata, "size", stratum_number(strata).alias("_s"), *ends), iterations), seed)
+    inside = lambda k: (F.col("d") < F.col(f"_e{k}")) & (F.col("d") >= F.col(f"_e{k - 1}") if k else F.lit(True))
+    counts = drawn.groupBy("iter", *strata).agg(*(F.count_if(inside(k)).alias(f"_n{k}") for k in range(most)))
+    counts = counts.select("iter", *(F.col(s).alias(f"_{s}") for s in strata), F.array(*(F.col(f"_n{k}") for k in range(most))).alias("_ns") if most else F.array().cast("array<bigint>").alias("_ns"))
+    same = [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata]
+    met = counts.join(sizes.select(*strata, "runs"), same)
+    cells = met.select("iter", *strata, "_ns", F.posexplode("runs").alias("_k", "_r")).withColumn("n", F.element_at("_ns", F.col("_k") + 1)).where("n > 0")
+    return cells.select("iter", *strata, *(F.col(f"_r.{c}").alias(c) for c in cell), "n")
 
 
 def _accuracy(truth: str, pred: str) -> list[Column]:

@@ -10,6 +10,7 @@ from ..operators import candidates, checks, fuse, masks, matching, metrics, rank
 from ..operators.aggregate import CLASSES, adapt_detections
 from ..sources import readers, sinks
 from ..sources.fixtures import read
+from ..sources.scratch import scratch_dir
 from .evidence import _short
 from .geometry import O
 
@@ -358,3 +359,258 @@ def fold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 select model, gt_label, pred_label, count(*) as n from o group by all""")
 def oof_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(_folds(spark, sf_dir)["oof"], ["model"])
+
+
+# Files written from the given tables into the shared folder, and read back by the readers.
+
+
+@query("select cast(o_orderkey as varchar) as o_orderkey, case when o_orderkey % 2 = 0 then 'True' else 'False' end as even, case when o_orderkey % 3 > 0 then 'two' || chr(10) || 'lines, \"' || o_orderkey || '\"' end as note from orders")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, n = scratch_dir(spark), F.col("o_orderkey")
+    note = F.when(n % 3 > 0, F.concat(F.lit('two\nlines, "'), n, F.lit('"')))
+    sinks.write_csv(_table(spark, sf_dir, "orders").select("o_orderkey", (n % 2 == 0).alias("even"), note.alias("note")), path)
+    return readers.read_csv(spark, path)
+
+
+@query("select c_custkey, c_acctbal, null::bigint as s_suppkey from customer union all select null, s_acctbal, s_suppkey from supplier")
+def union_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    c, s = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "supplier")
+    sinks.write_union_csv([c.select("c_custkey", F.col("c_acctbal").cast("double").alias("balance")), s.select("s_suppkey", F.col("s_acctbal").cast("double").alias("balance"))], path, ["c_custkey"])
+    return readers.read_csv(spark, path, "c_custkey long, balance double, s_suppkey long").select("c_custkey", F.col("balance").alias("c_acctbal"), "s_suppkey")
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus end as state from orders")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    sinks.write_json(_table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("state")), path)
+    return spark.read.schema("o_orderkey long, state string").json(path)
+
+
+@query("select o_orderkey, o_totalprice::double as o_totalprice from orders where o_orderkey % 2 = 0")
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    sinks.write_parquet(o, path, ["even"])
+    return spark.read.parquet(path).where("even = 'true'").select("o_orderkey", "o_totalprice")
+
+
+def _arrays(rows: DataFrame, path: str, by: str) -> None:
+    """JSON files that each hold an array of records; a file for each value of a column, named by it."""
+    record = F.to_json(F.struct(*(c for c in rows.columns if c != by)))
+    files = rows.groupBy(by).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(record)), ","), F.lit("]")).alias("value"))
+    files.repartition(by).write.partitionBy(by).text(path)
+
+
+@query("""select cast(sample_id as varchar) as sample_id, trim(regexp_extract(user_text, '<\\|vision_start\\|>(.*?)<\\|vision_end\\|>', 1)) as image_path, cast(regexp_extract(user_text, '\\[(\\d+),(\\d+),(\\d+),(\\d+)\\]', 1) as int) as x1,
+  case when lower(assistant_text) like '%infection%' then 'infection' else 'tumor' end as label, cast(patient_id as varchar) as patient_id, upper(regexp_extract(user_text, '\\b(T[12])\\b', 1)) as seq, slice_idx::bigint as slice_idx
+  from fx_record where regexp_matches(lower(assistant_text), 'infection|tumou?r')""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    turn = lambda who, c: F.struct(F.lit(who).alias("from"), F.col(c).alias("value"))
+    rows = read(spark, sf_dir, "fx_record").select(F.col("sample_id").cast("string").alias("id"), F.array(turn("user", "user_text"), turn("assistant", "assistant_text")).alias("conversations"), F.col("patient_id").cast("string").alias("patient_id"), (F.col("sample_id") % 8).alias("part"))
+    _arrays(rows, path, "part")
+    found = readers.read_records(spark, f"{path}/*/*.txt")
+    return found.select("sample_id", "image_path", F.col("box.x1").alias("x1"), "label", "patient_id", "seq", F.col("slice_idx").cast("long").alias("slice_idx"))
+
+
+@query("select cast(sample_id as varchar) as sample_id, sample_id % 7 as x1, '/mnt' || substr(trim(regexp_extract(user_text, '<\\|vision_start\\|>(.*?)<\\|vision_end\\|>', 1)), 4) as image_path from fx_record where sample_id % 2 = 0")
+def prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with the truth's boxes, by id."""
+    path = scratch_dir(spark)
+    rows = read(spark, sf_dir, "fx_record").select(F.col("sample_id").cast("string").alias("id"), F.array(F.struct(F.lit("user").alias("from"), F.col("user_text").alias("value"))).alias("conversations"), (F.col("sample_id") % 3).alias("part"))
+    _arrays(rows, path, "part")
+    truth = read(spark, sf_dir, "fx_record").where("sample_id % 2 = 0").select(F.col("sample_id").cast("string").alias("sample_id"), boxes.box(F.col("sample_id") % 7, 1, 2, 3).alias("box"), F.lit("tumor").alias("label"))
+    found = readers.prompt_records(spark, f"{path}/*/*.txt", truth)
+    return found.select("sample_id", F.col("box.x1").cast("long").alias("x1"), text.remap_path("image_path", "img", "/mnt").alias("image_path"))
+
+
+@query("with c as (select 'case_' || c_custkey % 50 as case_id, c_custkey from customer) select case_id, 'p' || max(c_custkey) as patient_id from c group by case_id")
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a case's rows over several files the last."""
+    path = scratch_dir(spark)
+    k = F.col("c_custkey")
+    records = _table(spark, sf_dir, "customer").select(F.format_string("%012d", k).alias("_order"), F.to_json(F.struct(F.concat(F.lit("case_"), k % 50).alias("case_id"), F.concat(F.lit("p"), k).alias("patient_id"))).alias("r"))
+    files = records.groupBy(F.substring("_order", 1, 9).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_order", "r"))), lambda x: x["r"]).alias("rs"))
+    files.select("part", F.concat(F.lit("["), F.array_join("rs", ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+    return readers.read_cases(spark, f"{path}/*/*.txt").select("case_id", "patient_id")
+
+
+@query("select count(*) as samples, max(mem_mib) as peak_mem, round(avg(util_pct), 9) as mean_util, round(avg(power_w), 9) as mean_power from fx_telemetry where event_id % 5 <> 0")
+def telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    t = read(spark, sf_dir, "fx_telemetry")
+    t.select(F.concat_ws(", ", F.lit("2024/01/01"), F.concat("mem_mib", F.lit(" MiB")), F.when(F.col("event_id") % 5 == 0, "[N/A]").otherwise(F.concat("util_pct", F.lit(" %"))), F.concat("power_w", F.lit(" W"))).alias("value")).write.text(path)
+    return _short(metrics.telemetry_summary(readers.telemetry(spark, path)).select("samples", "peak_mem", "mean_util", "mean_power"))
+
+
+@query("select 'strategy_' || fold as strategy, round(count(*) filter (gt_label = pred_selected) / count(*), 9) as acc, count(*)::double as n from fx_patient group by fold")
+def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    m = metrics.outcome_metrics(read(spark, sf_dir, "fx_patient"), ["fold"], pred="pred_selected")
+    entry = F.struct(F.concat(F.lit("strategy_"), F.col("fold")).alias("k"), F.create_map(F.lit("acc"), F.col("acc"), F.lit("n"), F.col("total").cast("double")).alias("v"))
+    m.groupBy("fold").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("patient_level"))).alias("value")).write.partitionBy("fold").text(path)
+    found = readers.metric_document(spark, f"{path}/*/*.txt")
+    return _short(found.select("strategy", F.col("metrics")["acc"].alias("acc"), F.col("metrics")["n"].alias("n")))
+
+
+@query("select 'Elapsed (h:mm:ss or m:ss)' as key, count(*) as n, round(sum(user_id % 60 + 60 * (user_id % 7)), 9)::double as seconds from events union all select 'Maximum resident set size (kbytes)', count(*), null from events")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, u = scratch_dir(spark), F.col("user_id")
+    lines = F.array(F.format_string("\tElapsed (h:mm:ss or m:ss): %d:%02d", u % 7, u % 60), F.format_string("\tMaximum resident set size (kbytes): %d", u), F.lit("no value"))
+    _table(spark, sf_dir, "events").select(F.explode(lines).alias("value")).write.text(path)
+    r = readers.run_report(spark, path)
+    timed = F.when(F.col("key").startswith("Elapsed"), readers.seconds_of(F.col("value")))
+    return r.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(timed).alias("seconds"))
+
+
+# Functions of files' rows, joins and checks.
+
+
+@query("""with d as (select 'img_' || l_orderkey % 1000 as image_path, l_orderkey % 7 as rank, l_discount::double as conf, l_partkey % 50 as x1, l_suppkey % 50 as y1 from lineitem where l_orderkey % 7 <> 0)
+select image_path, rank as det_rank, conf, x1::int as x1, y1::int as y1, row_number() over (partition by image_path order by rank, conf desc, x1, y1)::int as rank from d qualify row_number() over (partition by image_path order by rank, conf desc, x1, y1) <= 3""")
+def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, x, y = F.col("l_orderkey") % 7, F.col("l_partkey") % 50, F.col("l_suppkey") % 50
+    cell = lambda c: c.cast("string")
+    rows = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("img_"), F.col("l_orderkey") % 1000).alias("image_path"), F.when(n != 0, cell(n)).otherwise("").alias("rank"), cell(F.col("l_discount").cast("double")).alias("conf"), cell(x).alias("x1"), cell(y).alias("y1"), cell(x + 5).alias("x2"), cell(y + 5).alias("y2"))
+    return readers.detections(rows, 3).select("image_path", "det_rank", "conf", F.col("box.x1").alias("x1"), F.col("box.y1").alias("y1"), "rank")
+
+
+@query("select l_orderkey as image, l_linenumber as box_pos, l_quantity::double as conf, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber, l_partkey)::int as rank from lineitem qualify row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber, l_partkey) <= 2")
+def detector_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box_pos"), F.col("l_quantity").cast("double").alias("conf"), F.struct("l_linenumber", "l_partkey").alias("place"))
+    return candidates.detector_ranks(rows, "image", "conf", 2, "place").select("image", "box_pos", "conf", "rank")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, case when l_partkey % 4 < 2 then greatest(px2 - px1 + 1, 0) * greatest(py2 - py1 + 1, 0) else 0 end::double as candidate_slice_area, (l_partkey % 4 < 2)::int as valid_component_votes,
+  case when l_partkey % 4 < 2 then 'filtered_components' else 'pred_mask_empty' end as final_candidate_source from fx_box""")
+def adapted_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_partkey") % 4
+    rows = read(spark, sf_dir, "fx_box").withColumn("pred_label", F.when(n == 0, "infection").when(n == 1, "tumor").otherwise("no_candidate")).withColumnsRenamed({"px1": "pred_x1", "py1": "pred_y1", "px2": "pred_x2", "py2": "pred_y2"})
+    return adapt_detections(rows).select("l_orderkey", "l_linenumber", "l_partkey", "candidate_slice_area", "valid_component_votes", "final_candidate_source")
+
+
+@query("select patient_id, gt_label, patient_id % 3 = 0 as resolved, case when patient_id % 3 = 0 then 'note ' || patient_id end as note from fx_patient")
+def left_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "fx_patient").select("patient_id", "gt_label")
+    notes = p.where("patient_id % 3 = 0").select("patient_id", F.concat(F.lit("note "), F.col("patient_id")).alias("note"))
+    return matching.left_with_missing(p, notes, "patient_id")
+
+
+@query("select patient_id from fx_patient where patient_id % 2 = 0 and patient_id % 3 = 0 and fold < 4")
+def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "fx_patient")
+    return matching.common_to_all([p.where("patient_id % 2 = 0"), p.where("patient_id % 3 = 0"), p.where("fold < 4")], "patient_id")
+
+
+@query("select 'prepared' as route, count(*) as n from fx_slice where patient_id in (select patient_id from fx_patient where fold > 1) union all select 'missing', count(*) from fx_slice where patient_id not in (select patient_id from fx_patient where fold > 1)")
+def routed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there, lost = sinks.routed(read(spark, sf_dir, "fx_slice"), read(spark, sf_dir, "fx_patient").where("fold > 1"), "patient_id")
+    n = lambda rows, name: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("route"), "n")
+    return n(there, "prepared").unionByName(n(lost, "missing"))
+
+
+@query("select patient_id, gt_label, '' as lesion_pattern, '' as comment from fx_patient")
+def review_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.review_template(read(spark, sf_dir, "fx_patient").select("patient_id", "gt_label"), ["lesion_pattern", "comment"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, printf('%d %.6f %.6f %.6f %.6f', 0, ((px1 + px2) / 2) / 1000.0::double, ((py1 + py2) / 2) / 1000.0::double, (px2 - px1) / 1000.0::double, (py2 - py1) / 1000.0::double) as line from fx_box where px2 > px1 and py2 > py1")
+def detector_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "fx_box").where("px2 > px1 and py2 > py1").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("image_path"), boxes.box("px1", "py1", "px2", "py2").alias("box"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    return sinks.detector_labels(rows).select("image_path.*", "line")
+
+
+@query("""select sample_id, 'q<|vision_start|>img/' || sample_id || '.jpg<|vision_end|>' as user_text, case when sample_id % 2 = 0 then '感染' else '肿瘤' end as answer from fx_record""")
+def conversations_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("sample_id") % 2 == 0, "infection").otherwise("tumor")
+    c = text.conversation(F.col("sample_id"), F.lit("q"), F.concat(F.lit("img/"), F.col("sample_id"), F.lit(".jpg")), text.build_answer(label))
+    return read(spark, sf_dir, "fx_record").select("sample_id", c.alias("c")).select("sample_id", F.col("c.conversations")[0]["value"].alias("user_text"), F.col("c.conversations")[1]["value"].alias("answer"))
+
+
+@query("select patient_id, seq_id, split from (select c_custkey as patient_id, c_nationkey as seq_id, case c_custkey % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split from customer)")
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(k.alias("patient_id"), F.col("c_nationkey").alias("seq_id"), F.lit("tumor").alias("label"), F.concat(F.lit("c"), k).alias("case_id"), F.when(k % 3 == 0, "train").when(k % 3 == 1, "val").otherwise("test").alias("split"))
+    return readers.split_table(rows).select("patient_id", "seq_id", "split")
+
+
+@query("select c_custkey as patient_id, case when c_custkey % 2 = 0 then 'single' else 'multiple' end as lesion_pattern from customer")
+def clinical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return readers.clinical_labels(_table(spark, sf_dir, "customer").select(k.alias("patient_id"), F.when(k % 2 == 0, "0").otherwise("Multi-Lesion").alias("clinical_lesion_pattern")))
+
+
+@query("select strategy, pred_label, count(*) as n from (select 'a' as strategy, pred_selected as pred_label from fx_patient union all select 'b', pred_baseline from fx_patient) group by all")
+def strategy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "fx_patient")
+    both = readers.strategy_tables({"a": p.select("patient_id", F.col("pred_selected").alias("pred_label")), "b": p.select("patient_id", F.col("pred_baseline").alias("pred_label"))})
+    return both.groupBy("strategy", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'case_' || c_nationkey as case_id, min(c_custkey) as pos from customer where c_nationkey > 0 group by c_nationkey")
+def case_metadata_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_nationkey")
+    rows = _table(spark, sf_dir, "customer").select(F.when(k > 0, F.concat(F.lit("case_"), k)).otherwise(" ").alias("case_id"), F.col("c_custkey").alias("pos"))
+    return readers.case_metadata(rows).select("case_id", "pos")
+
+
+@query("select vec_id, (unnest(range(len(embedding))))::int as z, cast(unnest(embedding) as double) as slice from embeddings")
+def volume_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("slices", F.transform("embedding", lambda x: x.cast("double")))
+    return reshape.slices_of(rows, ["vec_id"])
+
+
+@query("select vec_id, case when vec_id % 5 = 0 then null when vec_id % 3 = 0 then '  ' else label::varchar end as own from embeddings where vec_id % 5 = 0 or vec_id % 3 = 0")
+def check_present_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("vec_id")
+    return checks.present_ids(_table(spark, sf_dir, "embeddings").select(n, F.when(n % 5 == 0, None).when(n % 3 == 0, "  ").otherwise(F.col("label").cast("string")).alias("own")), "own")
+
+
+@query("select vec_id from embeddings where vec_id % 4 = 0")
+def check_same_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = F.struct(F.size("embedding").alias("n"))
+    other = F.struct((F.size("embedding") - F.when(F.col("vec_id") % 4 == 0, 1).otherwise(0)).alias("n"))
+    return checks.same_shape(_table(spark, sf_dir, "embeddings").select("vec_id", shape.alias("a"), other.alias("b")), "a", "b").select("vec_id")
+
+
+@query("select count(distinct patient_id) as found from fx_slice having count(distinct patient_id) <> -1")
+def check_expected_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.expected_count(read(spark, sf_dir, "fx_slice"), "patient_id", -1)
+
+
+@query("select patient_id from fx_patient where fold = 3")
+def check_coverage_of_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "fx_patient")
+    return checks.covers(p.where("fold <> 3"), p, "patient_id")
+
+
+@query("select patient_id, gt_label from fx_patient where fold = 2")
+def anti_missing_of_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "fx_patient")
+    return matching.missing(p.select("patient_id", "gt_label"), p.where("fold <> 2"), "patient_id")
+
+
+@query("select strategy, count(*) as n from (select unnest(['a', 'b', 'c']) as strategy from fx_patient) where strategy = 'b' group by strategy")
+def one_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "fx_patient").select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("strategy"))
+    return checks.require_rows(matching.only_strategy(rows, "b")).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select case_id, y::bigint as a, x::bigint as b, z::bigint as c, pred from fx_mask")
+def mask_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(z, y, x) as (x, y, z)."""
+    t = masks.transpose(read(spark, sf_dir, "fx_mask"))
+    return t.select("case_id", F.col("y").cast("long").alias("a"), F.col("z").cast("long").alias("b"), F.col("x").cast("long").alias("c"), "pred")
+
+
+_EMPTY = "with g as (select patient_id, count(*) filter (gt_label = 'infection') as ni, count(*) filter (gt_label = 'tumor') as nt, count(*) filter (gt_label = 'infection' and pred_label = gt_label) as ci, count(*) filter (gt_label = 'tumor' and pred_label = gt_label) as ct from fx_slice group by patient_id)"
+
+
+@query(f"{_EMPTY} select patient_id, case when ni > 0 and nt > 0 then (ci / ni + ct / nt) / 2 end as bal_null, round((coalesce(ci / nullif(ni, 0), 0) + coalesce(ct / nullif(nt, 0), 0)) / 2, 9) as bal_half, ni = 0 or nt = 0 as bal_nan from g")
+def absent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced accuracy of groups that lack a class, by each of its definitions."""
+    s = read(spark, sf_dir, "fx_slice")
+    of = lambda empty, name: metrics.outcome_metrics(s, ["patient_id"], empty=empty).select("patient_id", F.col("balanced_acc").alias(name))
+    nan = of("nan", "x").select("patient_id", F.isnan("x").alias("bal_nan"))
+    return _short(of("null", "bal_null").join(of("half", "bal_half"), "patient_id").join(nan, "patient_id"))

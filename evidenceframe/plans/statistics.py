@@ -11,7 +11,8 @@ from .evidence import _short
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-ITERATIONS = 100
+#: As many as the analyses take by default.
+ITERATIONS, SUBGROUP_ITERATIONS = 10_000, 2_000
 
 
 def query(sql: str | None = None):
@@ -111,53 +112,76 @@ def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(d.withColumn("p", scoring.mcnemar_p(F.col("b"), F.col("c"))))
 
 
-def _draw_sql(strata: str, cell: str, name: str) -> str:
+def _hash_sql(name: str, value: str) -> str:
+    """Columns that hash a number below 2 ** 31, as the operator does; a later column may use an earlier one."""
+    a, b = f"{name}x", f"{name}y"
+    return f"{value} as {name}v, (xor({name}v, {name}v >> 15) * {resample.FIRST}) & {resample.BITS} as {a}, (xor({a}, {a} >> 14) * {resample.SECOND}) & {resample.BITS} as {b}, xor({b}, {b} >> 15) as {name}"
+
+
+def _pick_sql(name: str, rows: str, iterations: int, seed: int = 42) -> str:
+    """rows(slot, size, ...) with iter and pick: one draw for each slot and iteration."""
+    bits = resample.BITS
+    return f"""(select *, (ha * {1 << 31} + hb) % size as pick from (select i.i as iter, o.*, {_hash_sql('hs', f"(('0x' || substr(md5({name}), 1, 7))::bigint + {seed * 7919}) & {bits}")},
+  {_hash_sql('hi', f'(hs + i.i) & {bits}')}, {_hash_sql('ha', f'(hi + slot) & {bits}')}, {_hash_sql('hb', f'(ha + {0x5BD1E995}) & {bits}')} from {rows} o, (select unnest(range({iterations}))::bigint as i) i))"""
+
+
+def _draw_sql(strata: str, cell: str, name: str, iterations: int) -> str:
     """Draws as the operator makes them: a stratum's rows sorted by cell, a slot for each."""
+    keys = strata.split(", ")
     return f"""r as (select *, 'all' as every from fx_patient), o as (select *, row_number() over (partition by {strata} order by {cell}) - 1 as slot, count(*) over (partition by {strata}) as size from r),
-d as (select i.i as iter, o.*, ('0x' || substr(md5('42|' || {name} || '|' || i.i || '|' || slot), 1, 8))::bigint % size as pick from o, (select unnest(range({ITERATIONS})) as i) i),
-m as (select d.iter, x.* from d join o x on {' and '.join(f'd.{c.strip()} = x.{c.strip()}' for c in strata.split(','))} and x.slot = d.pick)"""
+d as (select iter, {strata}, pick, count(*) as times from {_pick_sql(name, 'o', iterations)} group by all),
+m as (select d.iter, d.times, x.* from d join o x on {' and '.join(f'd.{c} = x.{c}' for c in keys)} and x.slot = d.pick)"""
 
 
 _SPREAD = "round(avg(value), 9) as mean, round(quantile_cont(value, 0.025), 9) as low, round(quantile_cont(value, 0.975), 9) as high"
 
 
+def _share(truth: str, pred: str) -> str:
+    return f"sum(case when gt_label = '{truth}' and {pred} = '{truth}' then times else 0 end) / sum(case when gt_label = '{truth}' then times end)"
+
+
+def _hits(pred: str) -> str:
+    return f"sum(case when gt_label = {pred} then times else 0 end) / sum(times)"
+
+
+def _balance(pred: str) -> str:
+    return f"({_share('infection', pred)} + {_share('tumor', pred)}) / 2"
+
+
 def _metric(c: str, per: str = "iter") -> str:
-    return f"""a as (select {per}, avg((gt_label = {c})::int) as acc, (count(*) filter (gt_label = 'infection' and {c} = 'infection') / count(*) filter (gt_label = 'infection')
-  + count(*) filter (gt_label = 'tumor' and {c} = 'tumor') / count(*) filter (gt_label = 'tumor')) / 2 as bal from m group by {per})"""
+    return f"a as (select {per}, {_hits(c)} as acc, {_balance(c)} as bal from m group by {per})"
 
 
-@query(f"""with {_draw_sql('gt_label', 'pred_selected', 'gt_label')}, {_metric('pred_selected')}, l as (select 'accuracy' as metric, acc as value from a union all select 'balanced_accuracy', bal from a)
+@query(f"""with {_draw_sql('gt_label', 'pred_selected', 'gt_label', ITERATIONS)}, {_metric('pred_selected')}, l as (select 'accuracy' as metric, acc as value from a union all select 'balanced_accuracy', bal from a)
 select metric, {_SPREAD} from l group by metric""")
 def bootstrap_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_single(read(spark, sf_dir, "fx_patient"), ITERATIONS)
 
 
-_DELTA = """a as (select iter, avg((gt_label = pred_selected)::int) - avg((gt_label = pred_baseline)::int) as acc,
-  (count(*) filter (gt_label = 'infection' and pred_selected = 'infection') / count(*) filter (gt_label = 'infection') + count(*) filter (gt_label = 'tumor' and pred_selected = 'tumor') / count(*) filter (gt_label = 'tumor')) / 2
-  - (count(*) filter (gt_label = 'infection' and pred_baseline = 'infection') / count(*) filter (gt_label = 'infection') + count(*) filter (gt_label = 'tumor' and pred_baseline = 'tumor') / count(*) filter (gt_label = 'tumor')) / 2 as bal from m group by iter),
+_DELTA = f"""a as (select iter, {_hits('pred_selected')} - {_hits('pred_baseline')} as acc, {_balance('pred_selected')} - {_balance('pred_baseline')} as bal from m group by iter),
 l as (select 'delta_accuracy' as metric, acc as value from a union all select 'delta_balanced_accuracy', bal from a)"""
 
 
-@query(f"with {_draw_sql('gt_label', 'pred_selected, pred_baseline', 'gt_label')}, {_DELTA} select metric, {_SPREAD} from l group by metric")
+@query(f"with {_draw_sql('gt_label', 'pred_selected, pred_baseline', 'gt_label', ITERATIONS)}, {_DELTA} select metric, {_SPREAD} from l group by metric")
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_paired(read(spark, sf_dir, "fx_patient"), ITERATIONS)
 
 
-@query(f"with {_draw_sql('every', 'gt_label, pred_selected, pred_baseline', 'every')}, {_DELTA} select metric, {_SPREAD} from l group by metric")
+@query(f"with {_draw_sql('every', 'gt_label, pred_selected, pred_baseline', 'every', ITERATIONS)}, {_DELTA} select metric, {_SPREAD} from l group by metric")
 def bootstrap_unstratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_paired(read(spark, sf_dir, "fx_patient"), ITERATIONS, stratified=False)
 
 
-@query(f"""with {_draw_sql('fold, gt_label', 'pred_selected', "fold || '|' || gt_label")}, {_metric('pred_selected', 'iter, fold')}, l as (select fold, 'accuracy' as metric, acc as value from a union all select fold, 'balanced_accuracy', bal from a)
+@query(f"""with {_draw_sql('fold, gt_label', 'pred_selected', "fold || '|' || gt_label", SUBGROUP_ITERATIONS)}, {_metric('pred_selected', 'iter, fold')}, l as (select fold, 'accuracy' as metric, acc as value from a union all select fold, 'balanced_accuracy', bal from a)
 select fold, metric, {_SPREAD} from l group by fold, metric""")
 def bootstrap_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap_subgroups(read(spark, sf_dir, "fx_patient"), "fold", ITERATIONS)
+    return resample.bootstrap_subgroups(read(spark, sf_dir, "fx_patient"), "fold", SUBGROUP_ITERATIONS)
 
 
-@query(f"""with {_draw_sql('fold, gt_label', 'pred_selected, pred_baseline', "fold || '|' || gt_label")}, a as (select iter, fold, avg((gt_label = pred_selected)::int) - avg((gt_label = pred_baseline)::int) as d from m where fold in (0, 1) group by all),
+@query(f"""with {_draw_sql('fold, gt_label', 'pred_selected, pred_baseline', "fold || '|' || gt_label", SUBGROUP_ITERATIONS)}, a as (select iter, fold, {_hits('pred_selected')} - {_hits('pred_baseline')} as d from m where fold in (0, 1) group by all),
 l as (select 'interaction' as metric, max(d) filter (fold = 0) - max(d) filter (fold = 1) as value from a group by iter) select metric, {_SPREAD} from l group by metric""")
 def bootstrap_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap_interaction(read(spark, sf_dir, "fx_patient"), "fold", 0, 1, ITERATIONS)
+    return resample.bootstrap_interaction(read(spark, sf_dir, "fx_patient"), "fold", 0, 1, SUBGROUP_ITERATIONS)
 
 
 _ORDER = "order by md5('42|' || patient_id), patient_id"
