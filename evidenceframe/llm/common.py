@@ -2,52 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import hadoop_path, scratch_dir
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_folders: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder all executors share: spark.checkpoint.dir. What lies there goes when the application ends.
-
-    Where that is unset, a local session (tests) gets a temporary folder; on a cluster, whose executors wouldn't
-    see it, that is an error.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidenceframe-"))
-        base = sc.getCheckpointDir()
-    own = f"{base}/evidenceframe-{sc.applicationId}"
-    if _folders.get(sc.applicationId) != own:
-        path, fs = _hadoop(spark, own)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _folders[sc.applicationId] = own
-    return f"{own}/{uuid.uuid4().hex}"
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """A path and its file system."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to a scratch table and read it back: later readers neither recompute it nor depend on its lineage."""
     path = scratch_dir(df.sparkSession)
@@ -58,7 +25,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def discard(table: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path, fs = _hadoop(table.sparkSession, file)
+        path, fs = hadoop_path(table.sparkSession, file)
         fs.delete(path, True)
 
 
