@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ranked, round_robin, seeded_order
+from .ranking import ranked_by_hash
 
 
 def stratified_split(subjects: DataFrame, ratio: float, seed: int = 42, key: str = "patient_id", label: str = "gt_label") -> DataFrame:
     """subjects with split: in each label round(n * ratio), one at least, go to ``val``."""
-    r = ranked(subjects, [label], [seeded_order(seed, key), F.col(key)], "_r").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(label)))
+    r = ranked_by_hash(subjects, [label], seed, key, "_r", "_n")
     quota = F.greatest(F.lit(1), F.rint(F.col("_n") * F.lit(float(ratio))))
     return r.withColumn("split", F.when(F.col("_r") <= quota, "val").otherwise("train")).drop("_r", "_n")
 
 
 def outer_folds(subjects: DataFrame, folds: int, seed: int = 42, key: str = "patient_id", label: str = "gt_label") -> DataFrame:
     """subjects with fold, dealt in turn within each label."""
-    return round_robin(subjects, [label], [seeded_order(seed, key), F.col(key)], folds)
+    return ranked_by_hash(subjects, [label], seed, key, "_r").withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(folds)).cast("int")).drop("_r")
 
 
 def quotas(available: DataFrame, total: int, groups: list[str] | None = None, label: str = "gt_label", n: str = "n") -> DataFrame:
@@ -39,8 +39,8 @@ def stratified_sample(subjects: DataFrame, total: int, seed: int = 42, groups: l
     """``total`` subjects (of each group), by quotas; a smaller sample of the same seed and shares lies inside a larger one."""
     groups = groups or []
     q = quotas(subjects.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n")), total, groups, label).select(*groups, label, "quota")
-    r = ranked(subjects, [*groups, label], [seeded_order(seed, key), F.col(key)], "_r")
-    return r.join(F.broadcast(q), [*groups, label]).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
+    r = ranked_by_hash(subjects, [*groups, label], seed, key, "_r")
+    return r.join(q, [*groups, label]).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
 
 
 def nested_protocol(subjects: DataFrame, folds: int, small: int, large: int, seed: int = 42, key: str = "patient_id", label: str = "gt_label") -> DataFrame:

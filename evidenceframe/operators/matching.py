@@ -94,7 +94,7 @@ def common_to_all(tables: list[DataFrame], key: str) -> DataFrame:
 
 def select_by_fold(predictions: DataFrame, selection: DataFrame, keys: tuple[str, ...] = ("fold", "config")) -> DataFrame:
     """Predictions of the configuration chosen for each fold."""
-    return predictions.join(F.broadcast(selection.select(*keys).distinct()), list(keys), "left_semi")
+    return predictions.join(selection.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def strategy_pairs(rows: DataFrame, pairs: list[tuple[str, str]], key: str = "patient_id", strategy: str = "strategy", value: str = "pred_label", truth: str = "gt_label") -> DataFrame:

@@ -10,6 +10,23 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def ranked_by_hash(rows: DataFrame, keys: list[str], seed: int, key: str, name: str = "rank", size: str | None = None) -> DataFrame:
+    """rows with rank in their group by ``seeded_order`` (then by key), and the group's size.
+
+    Groups may be few and large: rows are ranked within ranges of the hash, and what precedes a range comes from a table with a
+    row per group and range.
+    """
+    base = rows.withColumn("_o", seeded_order(seed, key)).withColumn("_block", F.substring("_o", 1, 3))
+    counts = base.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    before = F.sum("_n").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(w).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_o", key))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_block") == F.col("_b")]
+    out = base.withColumn("_r", inside).join(starts, same).withColumn(name, F.col("_start") + F.col("_r"))
+    return out.select(*rows.columns, name, *([F.col("_size").alias(size)] if size else []))
+
+
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k (one at least) rows of each group; groups are cut before they are shuffled."""
     return ranked(rows, keys, order, "rank").where(F.col("rank") <= max(k, 1))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked_by_hash
+
 #: Draws that a row of work makes.
 BLOCK = 1 << 14
 #: The hash behind a draw works on 31 bits, so that no product leaves 64; two of them make a draw.
@@ -37,37 +39,26 @@ def _mixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.withColumn(name, shifted(F.col(name), 15))
 
 
-def with_draws(work: DataFrame, seed: int, size: str = "size", name: str = "d") -> DataFrame:
-    """work(stratum number ``_s``, iter, slot, size) with a number from 0 to size - 1."""
-    rows = _mixed(work, "_h", (F.col("_s") + F.lit(seed * 7919)).bitwiseAND(BITS))
-    rows = _mixed(rows, "_h", (F.col("_h") + F.col("iter")).bitwiseAND(BITS))
-    rows = _mixed(rows, "_a", (F.col("_h") + F.col("slot")).bitwiseAND(BITS))
-    rows = _mixed(rows, "_b", (F.col("_a") + 0x5BD1E995).bitwiseAND(BITS))
-    return rows.withColumn(name, (F.shiftleft("_a", 31) + F.col("_b")) % F.col(size)).drop("_h", "_a", "_b")
+def draws(sizes: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """sizes(stratum number ``_s``, size, ...) with iter, slot and d, a number from 0 to size - 1: a row per iteration and slot.
 
-
-def draw_slots(sizes: DataFrame, iterations: int) -> DataFrame:
-    """A row per iteration and slot of sizes(size, ...); slots come in blocks, which are dealt over the tasks."""
+    Slots come in blocks, which are dealt over the tasks; what doesn't depend on the slot is hashed before.
+    """
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK))
     work = sizes.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_block", F.explode(blocks)).repartition("iter", "_block")
+    work = _mixed(work, "_h", (F.col("_s") + F.lit(seed * 7919)).bitwiseAND(BITS))
+    work = _mixed(work, "_h", (F.col("_h") + F.col("iter")).bitwiseAND(BITS))
     first = F.col("_block") * BLOCK
-    return work.withColumn("slot", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1))).drop("_block")
+    rows = work.withColumn("slot", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1))).drop("_block", "_s")
+    rows = _mixed(rows, "_a", (F.col("_h") + F.col("slot")).bitwiseAND(BITS))
+    rows = _mixed(rows, "_b", (F.col("_a") + 0x5BD1E995).bitwiseAND(BITS))
+    return rows.withColumn("d", (F.shiftleft("_a", 31) + F.col("_b")) % F.col("size")).drop("_h", "_a", "_b")
 
 
 def slots(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
-    """rows with slot (from 0) and size of their stratum; without strata all rows are one.
-
-    The unstratified form ranks within hash buckets whose starts come from a small table, so no task gets all rows.
-    """
-    if strata:
-        w = Window.partitionBy(*strata)
-        return rows.withColumn("slot", (F.row_number().over(w.orderBy(order)) - 1).cast("bigint")).withColumn("size", F.count(F.lit(1)).over(w))
-    bucketed = rows.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(64)))
-    starts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("size"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return bucketed.withColumn("_r", rank).join(F.broadcast(starts), "_b").withColumn("slot", (F.col("_r") + F.col("_start")).cast("bigint")).drop("_b", "_r", "_start")
+    """rows with slot (from 0, by a hash of ``order``) and size of their stratum; without strata all rows are one."""
+    ranks = ranked_by_hash(rows, strata, 0, order, "slot", "size")
+    return ranks.withColumn("slot", (F.col("slot") - 1).cast("bigint"))
 
 
 def cells_of(rows: DataFrame, strata: list[str], cell: list[str], order: str) -> DataFrame:
@@ -92,11 +83,13 @@ def cell_counts(rows: DataFrame, strata: list[str], cell: list[str], iterations:
     held = F.struct("low", "high", *cell)
     sizes = runs.groupBy(*strata).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(held)).alias("runs"))
     most = sizes.agg(F.max(F.size("runs"))).first()[0] or 0
-    ends = [F.coalesce(F.try_element_at("runs", F.lit(k + 1))["high"], F.lit(1 << 62)).alias(f"_e{k}") for k in range(most)]
-    drawn = with_draws(draw_slots(sizes.select(*strata, "size", stratum_number(strata).alias("_s"), *ends), iterations), seed)
-    inside = lambda k: (F.col("d") < F.col(f"_e{k}")) & (F.col("d") >= F.col(f"_e{k - 1}") if k else F.lit(True))
-    counts = drawn.groupBy("iter", *strata).agg(*(F.count_if(inside(k)).alias(f"_n{k}") for k in range(most)))
-    counts = counts.select("iter", *(F.col(s).alias(f"_{s}") for s in strata), F.array(*(F.col(f"_n{k}") for k in range(most))).alias("_ns") if most else F.array().cast("array<bigint>").alias("_ns"))
+    ends = [F.coalesce(F.try_element_at("runs", F.lit(k + 1))["high"], F.lit(1 << 62)).alias(f"_e{k}") for k in range(most - 1)]
+    drawn = draws(sizes.select(*strata, "size", stratum_number(strata).alias("_s"), *ends), iterations, seed)
+    # draws below each interval's end; an interval has those below its end but not below the one before
+    below = [*(F.sum((F.col("d") < F.col(f"_e{k}")).cast("int")).alias(f"_n{k}") for k in range(most - 1)), F.count(F.lit(1)).alias("_c")]
+    counts = drawn.groupBy("iter", *strata).agg(*below)
+    upto = [F.lit(0), *(F.col(f"_n{k}") for k in range(most - 1)), F.col("_c")]
+    counts = counts.select("iter", *(F.col(s).alias(f"_{s}") for s in strata), F.array(*(b - a for a, b in zip(upto, upto[1:]))).cast("array<bigint>").alias("_ns"))
     same = [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata]
     met = counts.join(sizes.select(*strata, "runs"), same)
     cells = met.select("iter", *strata, "_ns", F.posexplode("runs").alias("_k", "_r")).withColumn("n", F.element_at("_ns", F.col("_k") + 1)).where("n > 0")

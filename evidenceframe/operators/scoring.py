@@ -1,15 +1,16 @@
 """Discrimination and calibration of scores, percentiles and exact tests.
 
-Global orderings run in two steps, so that no task receives the whole table: rows are grouped by score (equal scores
-need only their counts where ties don't matter) or ranked within blocks of the score's range whose totals
-are few.
+Global orderings run in two steps, so that no task receives the whole table: rows are ranked within blocks of about equally
+many rows, and what precedes a block comes from a table of one row per block. Blocks lie between quantiles of the score; a score
+that many rows share has blocks of its own, by quantiles of the tie.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +25,29 @@ def positive_share(positive: str = "score_infection", negative: str = "score_tum
     return F.when(a + b > 0, a / (a + b)).otherwise(0.5)
 
 
-def cumulative(rows: DataFrame, y: str, p: str, tie: str, blocks: int = 256) -> DataFrame:
-    """rows with pos, tp, fp, n_pos, n_neg: place and counts up to it, by descending score, ties by ``tie``.
+def _bucket(rows: DataFrame, name: str, value: str, cuts: list[float]) -> DataFrame:
+    """rows with the number of cuts at or below a value, by binary search."""
+    splits = [-math.inf, *(cuts or [0.0]), math.inf]
+    numbered = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep").transform(rows.withColumn("_value", F.col(value).cast("double")))
+    return numbered.drop("_value")
 
-    Rows are ranked within blocks of scores; what precedes a block comes from a table of one row per block.
-    """
-    base = rows.select("*", F.least(F.greatest(F.floor((1 - F.col(p)) * blocks), F.lit(0)), F.lit(blocks - 1)).cast("int").alias("_block"))
+
+def _with_blocks(rows: DataFrame, p: str, tie: str, blocks: int) -> DataFrame:
+    """rows with _block, ascending along descending score, then tie."""
+    at, error = [i / blocks for i in range(1, blocks)], 0.25 / blocks
+    found = rows.select(F.col(p).cast("double").alias("p")).approxQuantile("p", at, error)
+    shared = sorted(x for x, n in Counter(found).items() if n > 1)
+    cuts = sorted({*found, *(math.nextafter(x, math.inf) for x in shared)})
+    out = _bucket(rows, "_p", p, cuts).withColumn("_t", F.lit(0.0))
+    if shared and rows.schema[tie].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        ties = sorted(set(rows.select(F.col(tie).cast("double").alias("t")).approxQuantile("t", at, error)))
+        out = _bucket(out, "_place", tie, ties).withColumn("_t", F.when(F.col(p).isin(shared), F.col("_place")).otherwise(0.0)).drop("_place")
+    return out.withColumn("_block", ((len(cuts) + 2 - F.col("_p")) * (blocks + 2) + F.col("_t")).cast("int")).drop("_p", "_t")
+
+
+def cumulative(rows: DataFrame, y: str, p: str, tie: str, blocks: int = 256) -> DataFrame:
+    """rows with pos, tp, fp, n_pos, n_neg: place and counts up to it, by descending score, ties by ``tie``."""
+    base = _with_blocks(rows, p, tie, blocks)
     sums = base.groupBy("_block").agg(F.count(F.lit(1)).alias("_bn"), F.sum(y).alias("_by"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy()
@@ -99,40 +117,20 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.col("error")) / F.sum("n")).alias("ece"))
 
 
-def _newton_sums_local(cells: list[tuple[float, float, int]]):
-    x, y, n = (np.array(c, float) for c in zip(*cells)) if cells else (np.zeros(0),) * 3
-
-    def sums(a: float, b: float) -> tuple[float, ...]:
-        fitted = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        w, g = np.maximum(fitted * (1 - fitted), EPS) * n, (y - fitted) * n
-        return tuple(float(v) for v in (g.sum(), (g * x).sum(), w.sum(), (w * x).sum(), (w * x * x).sum()))
-
-    return sums
-
-
-def _newton_sums_spark(cells: DataFrame):
-    def sums(a: float, b: float) -> tuple[float, ...]:
-        linear = F.least(F.greatest(F.lit(a) + F.lit(b) * F.col("x"), F.lit(-30.0)), F.lit(30.0))
-        fitted = 1 / (1 + F.exp(-linear))
-        w, g = F.greatest(fitted * (1 - fitted), F.lit(EPS)) * F.col("n"), (F.col("y") - fitted) * F.col("n")
-        return tuple(cells.agg(F.sum(g), F.sum(g * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x"))).first())
-
-    return sums
-
-
-def calibration_fit(rows: DataFrame, y: str = "y", p: str = "p", steps: int = 100, local_cells: int = 50_000) -> DataFrame:
+def calibration_fit(rows: DataFrame, y: str = "y", p: str = "p", steps: int = 100) -> DataFrame:
     """Intercept and slope of a logistic recalibration, by Newton steps; NULLs if it fails or runs off.
 
-    Steps need five sums over the distinct (score, outcome) pairs with their counts. Up to ``local_cells`` pairs the
-    pairs come to the driver; with more, each step is an aggregation and the sums do.
+    A step needs five sums over the distinct (score, outcome) pairs with their counts: one aggregation, of which the sums come to the driver.
     """
     clipped = F.least(F.greatest(F.col(p), F.lit(EPS)), F.lit(1 - EPS))
     cells = rows.groupBy(F.ln(clipped / (1 - clipped)).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).persist()
-    few = cells.limit(local_cells + 1).count() <= local_cells
-    sums = _newton_sums_local([tuple(r) for r in cells.collect()]) if few else _newton_sums_spark(cells)
+    x, n = F.col("x"), F.col("n")
     a, b, ok = 0.0, 1.0, True
     for _ in range(steps):
-        s = sums(a, b)
+        linear = F.least(F.greatest(F.lit(a) + F.lit(b) * x, F.lit(-30.0)), F.lit(30.0))
+        fitted = 1 / (1 + F.exp(-linear))
+        w, g = F.greatest(fitted * (1 - fitted), F.lit(EPS)) * n, (F.col("y") - fitted) * n
+        s = cells.agg(F.sum(g), F.sum(g * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()
         if s[0] is None or not all(map(math.isfinite, s)) or (det := s[2] * s[4] - s[3] * s[3]) == 0:
             ok = False
             break

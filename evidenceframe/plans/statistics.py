@@ -79,9 +79,15 @@ def threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(scoring.threshold_metrics(_scores(spark, sf_dir)))
 
 
-@query()
+@query("""with recursive c as (select ln(q / (1 - q)) as x, y::double as y, count(*)::double as n from (select (doc_id * 7919 % 97 < 20 + 60 * p)::int as y, least(greatest(p, 1e-6::double), 1 - 1e-6::double) as q from fx_score) group by all),
+f(step, a, b, moved) as (select 0, 0.0::double, 1.0::double, 1.0::double union all
+  select step + 1, a + da, b + db, greatest(abs(da), abs(db)) from (select step, a, b, (s4 * s0 - s3 * s1) / (s2 * s4 - s3 * s3) as da, (s2 * s1 - s3 * s0) / (s2 * s4 - s3 * s3) as db from (
+    select step, a, b, sum(g) as s0, sum(g * x) as s1, sum(w) as s2, sum(w * x) as s3, sum(w * x * x) as s4 from (
+      select step, a, b, x, (y - h) * n as g, greatest(h * (1 - h), 1e-6::double) * n as w from (select step, a, b, x, y, n, 1 / (1 + exp(-least(greatest(a + b * x, -30), 30))) as h from f, c where step < 100 and moved >= 1e-8)) group by step, a, b)))
+select case when greatest(abs(a), abs(b)) <= 20 then round(a, 6) end as intercept, case when greatest(abs(a), abs(b)) <= 20 then round(b, 6) end as slope from f order by step desc limit 1""")
 def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.calibration_fit(_scores(spark, sf_dir))
+    y = (F.col("doc_id") * 7919 % 97 < 20 + 60 * F.col("p")).cast("long")
+    return scoring.calibration_fit(_scores(spark, sf_dir).withColumn("y", y))
 
 
 @query("select y, round(quantile_cont(p, 0.025), 9) as low, round(quantile_cont(p, 0.5), 9) as mid, round(quantile_cont(p, 0.975), 9) as high from fx_score group by y")
@@ -221,7 +227,7 @@ def nested_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.nested_protocol(read(spark, sf_dir, "fx_patient").select("patient_id", "gt_label"), 5, 30, 60)
 
 
-@query("""with o as (select patient_id, gt_label, row_number() over (partition by gt_label order by patient_id) - 1 as slot, count(*) over (partition by gt_label) as n from fx_patient), z as (select gt_label, max(n) as n, max(max(n)) over () as most from o group by gt_label),
+@query("""with o as (select patient_id, gt_label, row_number() over (partition by gt_label order by md5('0|' || patient_id), patient_id) - 1 as slot, count(*) over (partition by gt_label) as n from fx_patient), z as (select gt_label, max(n) as n, max(max(n)) over () as most from o group by gt_label),
 x as (select gt_label, n, unnest(range(1, most - n + 1)) as i from z where most > n), e as (select gt_label, ('0x' || substr(md5('42|' || gt_label || '|' || i), 1, 8))::bigint % n as slot, count(*) as times from x group by all),
 m as (select o.patient_id, o.gt_label, coalesce(times, 0) as times from o left join e using (gt_label, slot)) select patient_id, gt_label, unnest(range(times + 1)) as copy from m""")
 def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
