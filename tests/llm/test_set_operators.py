@@ -105,11 +105,13 @@ def test_near_fingerprints_are_all_found(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_components_of_paths_and_stars(spark):
+def test_components_of_paths_and_stars(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(200, 201), (7, 7)]
     got = {r.vertex: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[x] == 100 for x in range(100, 140)) and got[201] == 200
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    monkeypatch.setattr(components, "HUB", 10)
+    assert {r.vertex: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == got
 
 
 def test_simhash_query_against_brute_force(spark):
