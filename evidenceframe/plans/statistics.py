@@ -118,17 +118,21 @@ def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(d.withColumn("p", scoring.mcnemar_p(F.col("b"), F.col("c"))))
 
 
-def _hash_sql(name: str, value: str) -> str:
-    """Columns that hash a number below 2 ** 31, as the operator does; a later column may use an earlier one."""
-    a, b = f"{name}x", f"{name}y"
-    return f"{value} as {name}v, (xor({name}v, {name}v >> 15) * {resample.FIRST}) & {resample.BITS} as {a}, (xor({a}, {a} >> 14) * {resample.SECOND}) & {resample.BITS} as {b}, xor({b}, {b} >> 15) as {name}"
+def _hash_sql(rows: str, name: str, value: str) -> str:
+    """rows with a hash of a number below 2 ** 31, in the operator's steps."""
+    for step in (value, f"(xor({name}, {name} >> 15) * {resample.FIRST}) & {resample.BITS}", f"(xor({name}, {name} >> 14) * {resample.SECOND}) & {resample.BITS}", f"xor({name}, {name} >> 15)"):
+        kept = "*" if step == value else f"* exclude ({name})"
+        rows = f"(select {kept}, {step} as {name} from {rows})"
+    return rows
 
 
 def _pick_sql(name: str, rows: str, iterations: int, seed: int = 42) -> str:
     """rows(slot, size, ...) with iter and pick: one draw for each slot and iteration."""
     bits = resample.BITS
-    return f"""(select *, (ha * {1 << 31} + hb) % size as pick from (select i.i as iter, o.*, {_hash_sql('hs', f"(('0x' || substr(md5({name}), 1, 7))::bigint + {seed * 7919}) & {bits}")},
-  {_hash_sql('hi', f'(hs + i.i) & {bits}')}, {_hash_sql('ha', f'(hi + slot) & {bits}')}, {_hash_sql('hb', f'(ha + {0x5BD1E995}) & {bits}')} from {rows} o, (select unnest(range({iterations}))::bigint as i) i))"""
+    out = _hash_sql(f"(select * from {rows})", "hs", f"(('0x' || substr(md5({name}), 1, 7))::bigint + {seed * 7919}) & {bits}")
+    out = _hash_sql(f"(select o.*, i.i as iter from {out} o, (select unnest(range({iterations}))::bigint as i) i)", "hi", f"(hs + iter) & {bits}")
+    out = _hash_sql(_hash_sql(out, "ha", f"(hi + slot) & {bits}"), "hb", f"(ha + {0x5BD1E995}) & {bits}")
+    return f"(select *, (ha * {1 << 31} + hb) % size as pick from {out})"
 
 
 def _draw_sql(strata: str, cell: str, name: str, iterations: int) -> str:
@@ -239,3 +243,29 @@ select patient_id, c.copy, 'external' from (select patient_id from fx_patient wh
 def mix_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "fx_patient").select("patient_id", "fold")
     return cohort.mix_repeated(p.where("fold <> 0").select("patient_id"), p.where("fold = 0").select("patient_id"), 3)
+
+
+_SCORED = "s as (select doc_id, y, p, p_baseline from fx_score)"
+_METRICS = ("roc_auc", "average_precision", "brier_score", "log_loss", "ece", "accuracy", "balanced_accuracy", "sensitivity", "specificity")
+
+
+def _score_sql(p: str) -> str:
+    """Every metric of each iteration, from the draws m(iter, y, p, times)."""
+    return f"""(select iter, auc / (np * nn) as roc_auc, ap / np as average_precision, brier / (np + nn) as brier_score, -loss / (np + nn) as log_loss, ece, (tp + tn) / (np + nn) as accuracy, (tp / greatest(np, 1) + tn / greatest(nn, 1)) / 2 as balanced_accuracy, tp / greatest(np, 1) as sensitivity, tn / greatest(nn, 1) as specificity
+  from (select iter, sum(case when y = 0 then n * (tb) else 0 end) as auc, sum(case when y = 1 then list_sum(list_transform(range(1, n + 1), lambda i: (tb + i) / (tb + i + fb))) else 0 end) as ap, sum(n * (v - y) * (v - y)) as brier,
+      sum(n * (y * ln(q) + (1 - y) * ln(1 - q))) as loss, sum(case when y = 1 then n else 0 end) as np, sum(case when y = 0 then n else 0 end) as nn, sum(case when y = 1 and v >= 0.5 then n else 0 end) as tp, sum(case when y = 0 and v < 0.5 then n else 0 end) as tn
+    from (select *, least(greatest(v, 1e-6::double), 1 - 1e-6::double) as q, coalesce(sum(case when y = 1 then n else 0 end) over w, 0) as tb, coalesce(sum(case when y = 0 then n else 0 end) over w, 0) as fb
+      from (select iter, y, {p} as v, sum(times)::bigint as n from m group by all) window w as (partition by iter order by v desc, y desc rows between unbounded preceding and 1 preceding)) group by iter) a
+  join (select iter, sum(abs(sy - sp)) / max(total) as ece from (select iter, bin, max(total) as total, sum(k * v) as sp, sum(k * y) as sy from (
+      select *, case when b < rest then greatest(0, least(stop, (b + 1) * (size + 1)) - greatest(start, b * (size + 1))) else greatest(0, least(stop, rest * (size + 1) + (b - rest + 1) * size) - greatest(start, rest * (size + 1) + (b - rest) * size)) end as k, b as bin
+      from (select *, unnest(range(10)) as b, total // 10 as size, total % 10 as rest from (select iter, y, v, n, sum(n) over (partition by iter order by v, y desc rows unbounded preceding) as stop, sum(n) over (partition by iter order by v, y desc rows unbounded preceding) - n as start, sum(n) over (partition by iter) as total
+        from (select iter, y, {p} as v, sum(times)::bigint as n from m group by all)))) where k > 0 group by iter, bin) group by iter) e using (iter))"""
+
+
+@query(f"""with {_SCORED}, o as (select *, row_number() over (partition by y order by md5('0|' || doc_id), doc_id) - 1 as slot, count(*) over (partition by y) as size from s),
+d as (select iter, y, pick, count(*) as times from {_pick_sql("y || ''", "o", ITERATIONS)} group by all), m as (select d.iter, d.times, o.y, o.p, o.p_baseline from d join o on d.y = o.y and o.slot = d.pick),
+x as {_score_sql('p')}, z as {_score_sql('p_baseline')}, l as (select * from ({' union all '.join(f"select 'selected' as model, '{n}' as metric, {n} as value from x union all select 'baseline', '{n}', {n} from z union all select 'delta', '{n}', x.{n} - z.{n} from x join z using (iter)" for n in _METRICS)}))
+select model, metric, {_SPREAD} from l group by model, metric""")
+def bootstrap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of every score metric of two models and of their differences, over the same draws."""
+    return _short(resample.bootstrap_scores(_scores(spark, sf_dir), ("selected", "p"), ("baseline", "p_baseline"), ITERATIONS))
