@@ -297,6 +297,68 @@ def test_every_known_sentence_is_met():
         assert [(m["license"], m["sentence_ids"]) for m in licenses.scan(text)] == [(name, [two, "gpl-hope"])]
 
 
+def test_every_identifier_stands_in_a_rule():
+    used = {k for rules in licenses.RULES.values() for rule in rules for k in rule}
+    assert used == set(licenses.SENTENCES) and len(licenses.KNOWN) == sum(len({licenses.normalise(t) for t in texts}) for texts in licenses.SENTENCES.values())
+
+
+BSD3 = """Copyright (c) 2019, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+
+
+def brute_scan(text, gap=3):
+    """Licences by trying every run of pieces as a sentence and every rule at every place."""
+    text = licenses.LEADER.sub(lambda m: " " * len(m[0]), text)
+    cut = list(licenses.pieces(text, text.lower()))
+    met, at = [], 0
+    while at < len(cut):
+        runs = [(k, " ".join(licenses.normalise(text[a:b]) for a, b, *_ in cut[at : k + 1])) for k in range(at, min(len(cut), at + 60))]
+        known = [(k, key) for k, said in runs for key, texts in licenses.SENTENCES.items() if said in {licenses.normalise(t) for t in texts}]
+        if known:
+            k, key = known[-1]
+            met.append((cut[at][2], cut[k][2], key))
+            at = k
+        at += 1
+    out, at = [], 0
+    while at < len(met):
+        fits = [(len(rule), name) for name, rules in licenses.RULES.items() for rule in rules if [m[2] for m in met[at : at + len(rule)]] == list(rule) and all(b[0] - a[1] - 1 <= gap for a, b in zip(met[at : at + len(rule)], met[at + 1 : at + len(rule)]))]
+        if fits:
+            n, name = min(fits, key=lambda x: (-x[0], x[1]))
+            out.append(name)
+            at += n - 1
+        at += 1
+    return out
+
+
+def test_licences_equal_brute_force(spark):
+    spdx = "// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: MIT\nCopyright. All rights reserved."
+    texts = [MIT, GPL3, GPL2, BSD3, spdx, MIT + BSD3, "Apache License\nVersion 2.0, January 2004\n", "Distributed under the Boost Software License, Version 1.0.\n"]
+    assert [brute_scan(t) for t in texts[3:5]] == [["BSD-3-Clause"], ["GPL-2.0-or-later", "MIT", "All-Rights-Reserved"]] and [brute_scan(t) for t in texts[6:]] == [["Apache-2.0"], ["BSL-1.0"]]
+    texts += [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts = [t for t in texts if any(a in t.lower() for a in licenses.ANCHORS)]
+    assert [[m["license"] for m in licenses.scan(t)] for t in texts] == [brute_scan(t) for t in texts] and len(texts) > 10
+
+
 def test_licences_in_comments_and_broken_lines(spark):
     isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
     for lead in ("# ", " * ", "// ", "-- ", "dnl "):
