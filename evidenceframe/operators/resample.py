@@ -52,7 +52,8 @@ def draws(sizes: DataFrame, iterations: int, seed: int) -> DataFrame:
     rows = work.withColumn("slot", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1))).drop("_block", "_s")
     rows = _mixed(rows, "_a", (F.col("_h") + F.col("slot")).bitwiseAND(BITS))
     rows = _mixed(rows, "_b", (F.col("_a") + 0x5BD1E995).bitwiseAND(BITS))
-    return rows.withColumn("d", (F.shiftleft("_a", 31) + F.col("_b")) % F.col("size")).drop("_h", "_a", "_b")
+    # never null, so that no filter on it is moved below the steps, where it would be written out in full
+    return rows.withColumn("d", F.coalesce((F.shiftleft("_a", 31) + F.col("_b")) % F.col("size"), F.lit(0))).drop("_h", "_a", "_b")
 
 
 def slots(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
@@ -149,48 +150,44 @@ SCORE_METRICS = ("roc_auc", "average_precision", "brier_score", "log_loss", "ece
 
 
 def drawn_rows(rows: DataFrame, strata: list[str], order: str, iterations: int, seed: int) -> DataFrame:
-    """(iter, the columns of rows, n): how often each row is drawn in each iteration.
-
-    Draws are counted where they are made, then looked up by slot.
-    """
+    """(iter, the columns of rows): the rows drawn in each iteration, as often as they are drawn; draws are looked up by slot."""
     placed = slots(rows, strata, order)
     sizes = placed.groupBy(*strata).agg(F.max("size").alias("size")).select(*strata, "size", stratum_number(strata).alias("_s"))
-    times = draws(sizes, iterations, seed).groupBy("iter", *strata, F.col("d").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    return times.join(placed.drop("size"), [*strata, "slot"]).drop("slot")
+    return draws(sizes, iterations, seed).select("iter", *strata, F.col("d").alias("slot")).join(placed.drop("size"), [*strata, "slot"]).drop("slot")
 
 
 def weighted_scores(drawn: DataFrame, keys: list[str], y: str = "y", p: str = "p", bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """Every score metric of each group of drawn(keys, y, p, n).
+    """Every score metric of each group of drawn(keys, y, p).
 
-    Rows of equal score and truth are one weighted cell. In order of falling score, positives before negatives of the same
-    score, a negative adds the positives before it to the area under the curve, and a cell of positives the precision at each of
-    its rows. Calibration bins hold equally many rows; a cell may lie in several.
+    Rows of equal score are one row with its positives and negatives, and one window runs over a group's scores, falling; positives
+    come before negatives of the same score. A negative adds the positives before it to the area under the curve, a positive the
+    precision at its place. Calibration bins hold equally many rows, by rising score; a score may lie in several.
     """
-    cells = drawn.groupBy(*keys, F.col(y).alias("y"), F.col(p).cast("double").alias("v")).agg(F.sum("n").alias("n"))
-    n, v, pos = F.col("n"), F.col("v"), F.col("y") == 1
-    w = Window.partitionBy(*keys)
-    before = w.orderBy(F.desc("v"), F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
-    part = lambda c: F.coalesce(F.sum(F.when(c, n)).over(before), F.lit(0))
-    cells = cells.withColumns({"_t": part(pos), "_f": part(~pos), "_all": F.sum("n").over(w)})
+    cells = drawn.groupBy(*keys, F.col(p).cast("double").alias("v")).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) != 1).alias("b"))
+    a, b, v = F.col("a"), F.col("b"), F.col("v")
+    w = Window.partitionBy(*keys).orderBy(F.desc("v"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = cells.withColumns({"_t": F.coalesce(F.sum("a").over(before), F.lit(0)), "_f": F.coalesce(F.sum("b").over(before), F.lit(0)), "_all": F.sum(a + b).over(whole)})
     q = F.least(F.greatest(v, F.lit(eps)), F.lit(1 - eps))
-    precision = F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), F.lit(0.0), lambda s, i: s + (F.col("_t") + i) / (F.col("_t") + i + F.col("_f")))
-    of = lambda c, x=n: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    precision = F.aggregate(F.sequence(F.lit(1).cast("bigint"), a), F.lit(0.0), lambda s, i: s + (F.col("_t") + i) / (F.col("_t") + i + F.col("_f")))
+    of = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
     g = cells.groupBy(*keys).agg(
-        of(~pos, n * F.col("_t")).alias("auc"), of(pos, precision).alias("ap"), F.sum(n * F.pow(v - F.col("y"), 2)).alias("brier"), F.sum(n * (F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("loss"),
-        of(pos).alias("np"), of(~pos).alias("nn"), of(pos & (v >= 0.5)).alias("tp"), of(~pos & (v < 0.5)).alias("tn"),
+        F.sum(b * (F.col("_t") + a)).alias("auc"), of(a > 0, precision).alias("ap"), F.sum(a * F.pow(v - 1, 2) + b * F.pow(v, 2)).alias("brier"), F.sum(a * F.ln(q) + b * F.ln(1 - q)).alias("loss"),
+        F.sum("a").alias("np"), F.sum("b").alias("nn"), of(v >= 0.5, a).alias("tp"), of(v < 0.5, b).alias("tn"),
     )
-    # Bins go by rising score, the first ones holding a row more; positives come first there too.
     size, rest = F.floor(F.col("_all") / bins), F.col("_all") % bins
-    edge = lambda b: b * size + F.least(b, rest)
+    edge = lambda k: k * size + F.least(k, rest)
     place = lambda x: F.when(x < rest * (size + 1), F.floor(x / (size + 1))).otherwise(rest + F.floor((x - rest * (size + 1)) / F.greatest(size, F.lit(1))))
-    rising = w.orderBy("v", F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
-    ends = cells.withColumn("_stop", F.sum("n").over(rising)).withColumn("bin", F.explode(F.sequence(place(F.col("_stop") - n), place(F.col("_stop") - 1))))
-    k = F.least(F.col("_stop"), edge(F.col("bin") + 1)) - F.greatest(F.col("_stop") - n, edge(F.col("bin")))
-    binned = ends.groupBy(*keys, "bin").agg((F.sum(k * F.col("y")) - F.sum(k * v)).alias("gap"), F.max("_all").alias("total"))
+    ends = cells.withColumn("_start", F.col("_all") - F.col("_t") - F.col("_f") - a - b)
+    ends = ends.withColumn("bin", F.explode(F.sequence(place(F.col("_start")), place(F.col("_start") + a + b - 1))))
+    inside = lambda low, high: F.greatest(F.lit(0), F.least(high, edge(F.col("bin") + 1)) - F.greatest(low, edge(F.col("bin"))))
+    ends = ends.withColumn("_ka", inside(F.col("_start"), F.col("_start") + a)).withColumn("_kb", inside(F.col("_start") + a, F.col("_start") + a + b))
+    binned = ends.groupBy(*keys, "bin").agg((F.sum("_ka") - F.sum((F.col("_ka") + F.col("_kb")) * v)).alias("gap"), F.max("_all").alias("total"))
     ece = binned.groupBy(*keys).agg((F.sum(F.abs("gap")) / F.max("total")).alias("ece"))
     sens, spec = F.col("tp") / F.greatest("np", F.lit(1)), F.col("tn") / F.greatest("nn", F.lit(1))
-    whole = F.col("np") + F.col("nn")
-    g = g.select(*keys, (F.col("auc") / (F.col("np") * F.col("nn"))).alias("roc_auc"), (F.col("ap") / F.col("np")).alias("average_precision"), (F.col("brier") / whole).alias("brier_score"), (-F.col("loss") / whole).alias("log_loss"), ((F.col("tp") + F.col("tn")) / whole).alias("accuracy"), ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"))
+    n = F.col("np") + F.col("nn")
+    g = g.select(*keys, (F.col("auc") / (F.col("np") * F.col("nn"))).alias("roc_auc"), (F.col("ap") / F.col("np")).alias("average_precision"), (F.col("brier") / n).alias("brier_score"), (-F.col("loss") / n).alias("log_loss"), ((F.col("tp") + F.col("tn")) / n).alias("accuracy"), ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"))
     return g.join(ece, keys).select(*keys, *SCORE_METRICS)
 
 
@@ -198,7 +195,7 @@ def bootstrap_scores(rows: DataFrame, first: tuple[str, str], second: tuple[str,
     """Intervals of every score metric of two models (name and score column), and of the first less the second (``delta``), over the same
     draws within each class. Both models go through one pass."""
     scored = F.array(*(F.struct(F.lit(m).alias("model"), F.col(p).cast("double").alias("p")) for m, p in (first, second)))
-    drawn = drawn_rows(rows.select(order, y, scored.alias("_scores")), [y], order, iterations, seed).select("iter", F.col(y).alias("y"), "n", F.inline("_scores"))
+    drawn = drawn_rows(rows.select(order, y, scored.alias("_scores")), [y], order, iterations, seed).select("iter", F.col(y).alias("y"), F.inline("_scores"))
     per = weighted_scores(drawn, ["iter", "model"])
     side = lambda m, k: F.max(F.when(F.col("model") == m, F.col(k)))
     long = per.groupBy("iter").agg(*(F.array(side(first[0], m), side(second[0], m), side(first[0], m) - side(second[0], m)).alias(m) for m in SCORE_METRICS))
