@@ -11,8 +11,9 @@ from ..operators.reshape import union_rows
 MODE = "errorifexists"  # results are written once
 
 
-def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, mode: str = MODE) -> None:
-    """CSV with a header; ``columns`` orders and limits them, those missing are blank. Booleans read True and False."""
+def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, mode: str = MODE, bom: bool = False) -> None:
+    """CSV with a header; ``columns`` orders and limits them, those missing are blank. Booleans read True and False. With ``bom``
+    every file begins with a byte-order mark."""
     have = {f.name: f.dataType.simpleString() for f in rows.schema}
     cells = []
     for c in columns or rows.columns:
@@ -24,7 +25,10 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, mode
             cells.append(F.to_json(c).alias(c))
         else:
             cells.append(F.col(c))
-    rows.select(*cells).write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    out = rows.select(*cells)
+    if bom:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    out.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
 def write_union_csv(tables: list[DataFrame], path: str, first: list[str] | None = None, mode: str = MODE) -> None:
@@ -39,6 +43,19 @@ def write_json(rows: DataFrame, path: str, mode: str = MODE) -> None:
     rows.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_document(rows: DataFrame, path: str, mode: str = MODE) -> None:
+    """One JSON document, an array of the rows as records: for summaries, whose rows are few."""
+    record = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    one = rows.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(record)), ",\n"), F.lit("]")).alias("value"))
+    one.write.mode(mode).text(path)
+
+
+def write_assignments(rows: DataFrame, path: str, order: tuple[str, ...] = ("fold", "role", "patient_id"), mode: str = MODE) -> None:
+    """A protocol's table of who has which role in which fold, in order across the files."""
+    lead = [c for c in order if c in rows.columns]
+    write_csv(rows.orderBy(*lead), path, lead + sorted(set(rows.columns) - set(lead)), mode)
+
+
 def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = MODE) -> None:
     rows.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
 

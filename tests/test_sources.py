@@ -123,6 +123,19 @@ def test_sinks(spark, folder):
     assert spark.read.json(f"{folder}/json").first().note == "x"
 
 
+def test_marked_csv_documents_and_assignments(spark, folder):
+    rows = spark.createDataFrame([(2, "b", "adapt"), (1, "a", None), (1, "0", "outer_test")], "fold int, patient_id string, role string")
+    sinks.write_csv(rows, f"{folder}/bom", bom=True)
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbffold") for f in Path(folder, "bom").glob("*.csv"))
+    assert sorted(readers.read_csv(spark, f"{folder}/bom").columns) == ["fold", "patient_id", "role"]
+    sinks.write_document(rows, f"{folder}/doc")
+    text = "".join(f.read_text() for f in sorted(Path(folder, "doc").glob("*.txt")))
+    assert json.loads(text)[0] == {"fold": 1, "patient_id": "0", "role": "outer_test"} and len(json.loads(text)) == 3
+    sinks.write_assignments(rows, f"{folder}/roles")
+    got = [tuple(r) for r in readers.read_csv(spark, f"{folder}/roles").select("fold", "role", "patient_id").collect()]
+    assert sorted(got, key=str) == sorted([("1", None, "a"), ("1", "outer_test", "0"), ("2", "adapt", "b")], key=str)
+
+
 def test_label_tables(spark):
     t = spark.createDataFrame([("1", "0"), ("1", "Multi lesion"), (" ", "1")], "patient_id string, lesion_pattern string")
     with pytest.raises(CheckFailed):
