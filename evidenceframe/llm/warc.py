@@ -11,12 +11,15 @@ holds a third of all records is spread over the blocks. Payloads are never shuff
 
 Defined results: a record without URL resolves to nothing (``no_url``); of responses at one time the largest id is
 the latest; a response at the revisit's own time is not earlier; a null time comes first; a validator that
-either side lacks is passed over; no validator in common gives ``unverified`` and no target; repeated rows are
-resolved each; an empty table gives no rows; other columns are ignored.
+either side lacks is passed over; no validator in common gives ``unverified`` and no target; a record of null kind is
+neither and gives no row; repeated rows are resolved each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +53,11 @@ def resolve_revisits(records: DataFrame, blocks: int | None = None, block_rows:
         "record_id", canonical_url(F.col("url")).alias("url_key"), F.unix_micros("time").alias("at"), (F.col("kind") == "response").alias("full"), "etag", "last_modified", "digest", "headers",
     ).where("full is not null")
     if blocks is None:
-        blocks = min(4096, 1 + rows.count() // block_rows)
-    bounds = rows.approxQuantile("at", [i / blocks for i in range(1, blocks)], 0.001) if blocks > 1 else []
-    cuts = sorted({int(b) for b in bounds})
-    block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("at"))) if cuts else F.lit(0)
-    rows = rows.withColumn("block", F.coalesce(block, F.lit(0)))
+        blocks = 1 + rows.count() // block_rows
+    bounds = rows.approxQuantile("at", [i / blocks for i in range(1, blocks)], min(0.001, 0.25 / blocks)) if blocks > 1 else []
+    splits = [-math.inf, *sorted(set(bounds) or {0.0}), math.inf]
+    timed = Bucketizer(splits=splits, inputCol="_at", outputCol="_block", handleInvalid="keep").transform(rows.withColumn("_at", F.col("at").cast("double")))
+    rows = timed.withColumn("block", F.when(F.col("at").isNull(), 0).otherwise(F.col("_block")).cast("int")).drop("_at", "_block")
     response = F.when(F.col("full"), F.struct("record_id", "etag", "last_modified", "digest", "headers"))
     # Last response of each URL and block; then that of the blocks before.
     last = rows.where("full and url_key is not null").groupBy("url_key", "block").agg(F.max_by(F.struct("record_id", "etag", "last_modified", "digest", "headers"), F.struct("at", "record_id")).alias("own"))
