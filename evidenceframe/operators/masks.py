@@ -7,7 +7,8 @@ the slice's set pixels; a slice is one image, so a group is bounded by its size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,34 +55,67 @@ def largest_slice(pixels: DataFrame, value: str = "pred") -> DataFrame:
     return a.groupBy("case_id").agg(best.alias("b")).select("case_id", "b.z", "b.area")
 
 
-def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """4-connected components of a slice's set pixels, numbered from 1 in the order of their first pixel, row by row."""
-    p = group[group["value"] > 0].sort_values(["y", "x"])
-    ys, xs = p["y"].to_numpy(), p["x"].to_numpy()
-    label = np.zeros(len(p), np.int64)
-    place = {(y, x): i for i, (y, x) in enumerate(zip(ys.tolist(), xs.tolist()))}
-    number = 0
-    for i in range(len(p)):
-        if label[i]:
-            continue
-        number += 1
-        label[i], todo = number, [i]
-        while todo:
-            k = todo.pop()
-            y, x = int(ys[k]), int(xs[k])
-            for side in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                j = place.get(side)
-                if j is not None and not label[j]:
-                    label[j] = number
-                    todo.append(j)
-    return pd.DataFrame({"case_id": p["case_id"].to_numpy(), "z": p["z"].to_numpy(), "y": ys, "x": xs, "component": label})
+def _slice_starts(table: pa.Table) -> np.ndarray:
+    """Whether a row begins a slice; slices stand together."""
+    starts = np.ones(table.num_rows, bool)
+    same = np.ones(max(table.num_rows - 1, 0), bool)
+    for name in SLICE:
+        c = table[name].combine_chunks()
+        same &= pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+    starts[1:] = ~same
+    return starts
+
+
+def _numbered(table: pa.Table) -> pa.RecordBatch:
+    """4-connected components of whole slices, whose pixels come row by row, numbered from 1 in the order of their first pixel.
+
+    Pixels beside each other in a row are a run; runs that touch across rows are joined, the earlier standing for both.
+    """
+    starts = _slice_starts(table)
+    own = np.cumsum(starts) - 1
+    y, x = table["y"].to_numpy(), table["x"].to_numpy()
+    width = int(x.max()) + 2
+    code = (own * (int(y.max()) + 2) + y) * width + x
+    begins = np.concatenate([[True], code[1:] != code[:-1] + 1])
+    run = np.cumsum(begins) - 1
+    below = np.searchsorted(code, code + width)
+    touching = np.flatnonzero(code[np.minimum(below, len(code) - 1)] == code + width)
+    one, two = run[touching], run[below[touching]]
+    head = np.arange(int(run[-1]) + 1)
+    while len(one):
+        a, b = head[one], head[two]
+        apart = a != b
+        if not apart.any():
+            break
+        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+        np.minimum.at(head, np.maximum(a, b), np.minimum(a, b))
+        while (head[head] != head).any():
+            head = head[head]
+    count = np.cumsum(head == np.arange(len(head)))
+    first = run[starts]  # first run of each slice
+    number = count[head[run]] - (count[first] - 1)[own]
+    return pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("case_id", "z", "y", "x")), pa.array(number, pa.int64())], ["case_id", "z", "y", "x", "component"])
 
 
 def components(pixels: DataFrame, value: str = "pred") -> DataFrame:
-    """(case_id, z, y, x, component) for every set pixel."""
+    """(case_id, z, y, x, component) for every set pixel. Slices are packed: a task labels all of a batch's at once."""
     kind = pixels.schema["case_id"].dataType.simpleString()
-    rows = pixels.where(_set(value)).select("case_id", F.col("z").cast("long").alias("z"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.lit(1).alias("value"))
-    return rows.groupBy(*SLICE).applyInPandas(_fill, f"case_id {kind}, z long, y long, x long, component long")
+
+    def label(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            begins = np.flatnonzero(_slice_starts(table))
+            last = int(begins[-1]) if len(begins) else 0
+            if last:
+                yield _numbered(table.slice(0, last).combine_chunks())
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield _numbered(held.combine_chunks())
+
+    rows = pixels.where(_set(value)).select("case_id", *(F.col(c).cast("long").alias(c) for c in ("z", "y", "x")))
+    return rows.repartition(*SLICE).sortWithinPartitions(*SLICE, "y", "x").mapInArrow(label, f"case_id {kind}, z long, y long, x long, component long")
 
 
 def component_stats(found: DataFrame, width: int, height: int, border_penalty: float = 0.15) -> DataFrame:

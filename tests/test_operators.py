@@ -192,3 +192,24 @@ def test_wide_and_long(spark):
 def test_last_wins(spark):
     r = spark.createDataFrame([("a", 0, 1), ("a", 5, 2), ("b", 1, 3)], "k string, pos long, v long")
     assert {x.k: x.v for x in ranking.first_per_key(r, ["k"], [F.desc("pos")]).collect()} == {"a": 2, "b": 3}
+
+
+def test_components_equal_a_flood_fill():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [(f"c{s // 3}", s % 3, y, x) for s in range(9) for y in range(24) for x in range(31) if rng.random() < (0.3, 0.55, 0.65)[s % 3]]
+    table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("case_id", "z", "y", "x"))})
+    got = {tuple(r.values())[:4]: r["component"] for r in pa.Table.from_batches([masks._numbered(table)]).to_pylist()}
+    want, number = {}, {}
+    for c, z, y, x in rows:
+        if (c, z, y, x) in want:
+            continue
+        number[c, z] = number.get((c, z), 0) + 1
+        todo = [(y, x)]
+        while todo:
+            p = todo.pop()
+            if (c, z, *p) in got and (c, z, *p) not in want:
+                want[c, z, *p] = number[c, z]
+                todo += [(p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)]
+    assert got == want and len(got) == len(rows)
