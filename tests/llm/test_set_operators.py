@@ -3,11 +3,13 @@ import hashlib
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from evidenceframe.llm import common, components, exact_dedup, mixing, simhash, warc
@@ -352,4 +354,22 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_over_the_tables(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 100
+    """Every stage works on what the one before kept, and each token of the mixture is packed once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, SF))
+        kept.append(docs.count())
+    assert kept[0] >= kept[1] > kept[2] >= kept[3] > 50
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    want, got = collections.Counter(), collections.Counter()
+    for r in docs.collect():
+        want[r.doc_id] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    ends = collections.Counter()
+    for r in sorted(rows, key=lambda r: r.offset):
+        got[r.doc_id] += r.length
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert got == want and all(n <= 4096 and n & (n - 1) == 0 for n in ends.values())
