@@ -191,7 +191,3 @@ def rescale(b: Column, width, height, to_width, to_height, mode: str = "identity
         w, h = h, w
     sx, sy = _number(to_width) / F.greatest(w.cast("double"), F.lit(1.0)), _number(to_height) / F.greatest(h.cast("double"), F.lit(1.0))
     return box(*(F.rint(t[n] * s).cast("int") for n, s in (("x1", sx), ("y1", sy), ("x2", sx), ("y2", sy))))
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -34,11 +34,6 @@ def quality_rest(distance="candidate_slice_distance", votes="valid_component_vot
     return factor * by_votes / (1.0 + F.abs(safe_float(distance)))
 
 
-def area_factor(area: Column, most: Column) -> Column:
-    """log-area by the log of the group's largest; 1 where that is 0."""
-    return F.when(most > 0, F.log1p(area) / F.log1p(most)).otherwise(1.0)
-
-
 def decide(infection: Column, tumor: Column, no_candidate: Column | None = None, tie: str = "uncertain") -> Column:
     """The class with the higher score; without any score no_candidate (if voted for) or uncertain; ties by policy."""
     none = F.when(no_candidate > 0, "no_candidate").otherwise("uncertain") if no_candidate is not None else F.lit("no_candidate")

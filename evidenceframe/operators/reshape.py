@@ -28,11 +28,6 @@ def with_literals(rows: DataFrame, **values) -> DataFrame:
     return rows.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
-def sorted_json(counts: Column) -> Column:
-    """A map column as JSON with its keys in order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(counts))))
-
-
 def slices_of(volumes: DataFrame, keys: list[str], slices: str = "slices") -> DataFrame:
     """One row per slice of an array of slices, with its number z."""
     return volumes.select(*keys, F.posexplode(slices).alias("z", "slice"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, text
 from ..operators import candidates, checks, fuse, masks, matching, metrics, ranking, reports, reshape
-from ..operators.aggregate import CLASSES, adapt_detections
+from ..operators.aggregate import CLASSES, adapt_detections, aggregate_levels
 from ..sources import readers, sinks
 from ..sources.fixtures import read
 from ..sources.scratch import scratch_dir
+from .evidence import ORACLES as VOTES
 from .evidence import _short
 from .geometry import O
 
@@ -614,3 +615,14 @@ def absent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda empty, name: metrics.outcome_metrics(s, ["patient_id"], empty=empty).select("patient_id", F.col("balanced_acc").alias(name))
     nan = of("nan", "x").select("patient_id", F.isnan("x").alias("bal_nan"))
     return _short(of("null", "bal_null").join(of("half", "bal_half"), "patient_id").join(nan, "patient_id"))
+
+
+@query(f"""select *, null::varchar as seq, 'patient' as level from ({VOTES['majority_vote_patient']}) union all by name select *, 'sequence' as level from ({VOTES['majority_vote_sequence']})""")
+def majority_vote_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patient and sequence decisions in one table."""
+    return _short(aggregate_levels(read(spark, sf_dir, "fx_slice"), "majority_vote"))
+
+
+@query("select sample_id, ((row_number() over (partition by patient_id order by sample_id) - 1) % 3)::int as reader from fx_slice")
+def slices_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.round_robin(read(spark, sf_dir, "fx_slice"), ["patient_id"], [F.col("sample_id")], 3, "reader").select("sample_id", "reader")

@@ -60,11 +60,6 @@ def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = N
     rows.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
 
 
-def metrics_json(rows: DataFrame) -> DataFrame:
-    """Each row as one JSON document."""
-    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
-
-
 def detector_labels(records: DataFrame, class_id: int = 0) -> DataFrame:
     """image_path and a line ``class cx cy w h`` with six digits."""
     r = to_relative(F.col("box"), "width", "height")
