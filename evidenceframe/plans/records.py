@@ -102,20 +102,21 @@ def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.pair_records(patients, first, "patient_id")
 
 
-@query("""with c as (select c_nationkey % 5 as patient_id, case when c_custkey % 2 = 0 then 'T1' else 'T2' end as seq, 'case_' || c_custkey as case_id, c_custkey as pos from customer where c_custkey % 7 = 0),
+@query("""with c as (select c_custkey // 3 as patient_id, case when c_custkey % 2 = 0 then 'T1' else 'T2' end as seq, 'case_' || c_custkey as case_id, c_custkey as pos from customer),
 g as (select patient_id, seq, list(case_id order by pos) as ids from c group by all),
-r as (select o_orderkey as sample_id, o_orderkey % 6 as patient_id, case when o_orderkey % 2 = 0 then 'T1' else 'T2' end as seq, case when o_orderkey % 3 = 0 then 'case_' || o_custkey end as case_id,
+r as (select o_orderkey as sample_id, o_custkey // 3 + case when o_orderkey % 13 = 0 then 1000000 else 0 end as patient_id, case when o_orderkey % 2 = 0 then 'T1' else 'T2' end as seq, case when o_orderkey % 3 = 0 then 'case_' || o_custkey end as case_id,
   case when o_orderkey % 3 = 1 then 'img case_' || o_custkey || '.png' else '' end as image_name from orders),
 m as (select r.*, ids, list_filter(ids, lambda x: contains(image_name, x)) as named, coalesce(list_contains(ids, r.case_id), false) as explicit from r left join g using (patient_id, seq))
 select sample_id, patient_id, seq, case when ids is null then null when explicit then case_id when len(ids) = 1 then ids[1] when len(named) > 0 then named[1] else ids[1] end as matched_case,
   case when ids is null then 'missing_patient_seq' when explicit then 'explicit_case_id' when len(ids) = 1 then 'patient_seq_single' when len(named) > 0 then 'name_match' else 'patient_seq_first' end as match_method from m""")
 def case_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k = F.col("c_custkey")
-    cases = c.select((F.col("c_nationkey") % 5).alias("patient_id"), F.when(k % 2 == 0, "T1").otherwise("T2").alias("seq"), F.concat(F.lit("case_"), k).alias("case_id"), k.alias("pos"))
+    cases = c.select(F.floor(k / 3).alias("patient_id"), F.when(k % 2 == 0, "T1").otherwise("T2").alias("seq"), F.concat(F.lit("case_"), k).alias("case_id"), k.alias("pos"))
     o, n = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
     name = F.concat(F.lit("case_"), F.col("o_custkey"))
-    records = o.select(n.alias("sample_id"), (n % 6).alias("patient_id"), F.when(n % 2 == 0, "T1").otherwise("T2").alias("seq"), F.when(n % 3 == 0, name).alias("case_id"), F.when(n % 3 == 1, F.concat(F.lit("img "), name, F.lit(".png"))).otherwise("").alias("image_name"))
+    patient = F.floor(F.col("o_custkey") / 3) + F.when(n % 13 == 0, 1_000_000).otherwise(0)
+    records = o.select(n.alias("sample_id"), patient.alias("patient_id"), F.when(n % 2 == 0, "T1").otherwise("T2").alias("seq"), F.when(n % 3 == 0, name).alias("case_id"), F.when(n % 3 == 1, F.concat(F.lit("img "), name, F.lit(".png"))).otherwise("").alias("image_name"))
     return matching.match_case(records, cases)
 
 
