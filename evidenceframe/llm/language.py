@@ -45,12 +45,14 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1):
 
 def sample_rows(labelled: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows (id, text, lang) of each language at most: a hash deals rows to so many cells, and each
-    cell's first is taken. Only ids are grouped; those chosen come back to their texts by broadcast if they are few.
+    cell's first is taken. Only ids are grouped; those chosen come back to their texts by broadcast if they are few. Rows that
+    repeat an id in a language count once, with the least text.
     """
     key = F.xxhash64("id", "lang")
     first = labelled.groupBy("lang", F.pmod(key, F.lit(per_language)).alias("cell")).agg(F.min(F.struct(key.alias("key"), "id")).alias("first"))
     picked = materialise(first.select("lang", F.col("first.id").alias("id")).distinct())
-    return labelled.join(F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked, ["id", "lang"])
+    chosen = labelled.join(F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked, ["id", "lang"])
+    return chosen.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
 
 def _grams(data: np.ndarray, order: int) -> np.ndarray:

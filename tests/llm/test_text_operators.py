@@ -253,6 +253,13 @@ def test_licence_rows(spark):
     assert sum(n for _, n in brute) == QUERIES["op10_license_sentences"](spark, SF).count()
 
 
+def test_the_sample_is_bounded(spark):
+    rows = documents(spark, [f"text {k % 7}" for k in range(600)], [k % 300 if k % 3 else 5 for k in range(600)], ["en" if k % 4 else "fr" for k in range(600)])
+    got = language.sample_rows(rows.select(*(rows[c].alias(n) for c, n in (("doc_id", "id"), ("text", "text"), ("lang", "lang")))), 16).collect()
+    n = collections.Counter(r.lang for r in got)
+    assert set(n) == {"en", "fr"} and max(n.values()) <= 16 and len({(r.id, r.lang) for r in got}) == len(got)
+
+
 def test_every_language_is_learnt(spark):
     rng = np.random.default_rng(4)
     alphabets = [rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:9].tolist() for _ in range(35)]
