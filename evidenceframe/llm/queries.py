@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, exact_dedup, language, licenses, mixing, packing, repetition, simhash, token_files, warc, whitening
+from . import chunks, exact_dedup, language, licenses, mixing, novelty, packing, repetition, simhash, token_files, warc, whitening
 from .common import scratch_dir
 
 
@@ -169,6 +169,10 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "match", "license", "start", "end", F.array_join("sentence_ids", " ").alias("sentence_ids"))
 
 
+def op11_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.digests(novelty.secrets(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op13_polynomial_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -177,7 +181,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_cost_balanced_packing, op2_revisit_resolution, op3_repair_token_files, op4_repetition_coverage, op5_sainte_lague_mixing,
-        op6_gear_chunk_dedup, op7_ppm_language, op8_progressive_exact_dedup, op9_simhash_trie, op10_license_sentences, op13_polynomial_whitening,
+        op6_gear_chunk_dedup, op7_ppm_language, op8_progressive_exact_dedup, op9_simhash_trie, op10_license_sentences,
+        op11_zstd_novelty_secrets, op13_polynomial_whitening,
     )
 }
 ORACLES = {"op2_revisit_resolution": OP2_SQL, "op5_sainte_lague_mixing": OP5_SQL, "op8_progressive_exact_dedup": OP8_SQL}
