@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, exact_dedup, language, licenses, mixing, novelty, packing, repetition, simhash, token_files, warc, whitening
+from . import chunks, exact_dedup, language, licenses, mixing, novelty, packing, repetition, simhash, token_files, variants, warc, whitening
 from .common import scratch_dir
 
 
@@ -173,6 +173,41 @@ def op11_zstd_novelty_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return novelty.digests(novelty.secrets(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op12_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.document_words(_table(spark, sf_dir, "documents")).where("n >= 5")
+    return variants.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP12_SQL = r"""
+with recursive tab as (
+  select list(v order by b) as t from (select b, list_reduce(list_prepend(b, range(8)), lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from range(256) r(b))
+), runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as times
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) where length(run) >= 6 group by all
+), bytes as (
+  select doc_id, run, times, list_concat([4294967295], list_transform(string_split(coalesce(doc_id::varchar, '') || ':', ''), lambda x: unicode(x)::bigint),
+    flatten(list_transform(string_split(run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x) - 64] end))) as b from runs
+), hashes as (
+  select run, times, xor(4294967295, list_reduce(b, lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]))) as h from bytes, tab
+), counted as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(times)::bigint as n from hashes group by 1
+), words as (select word, n from counted where length(word) >= 6 and n >= 5),
+less as (select word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i::int - 1) || substr(word, i::int + 1)), word))) as part from words),
+near as (
+  select distinct a.word, a.n, b.word as other, b.n as other_n from less a join less b using (part)
+  where a.word <> b.word and levenshtein(a.word, b.word) = 1
+), best as (select word, n, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by all),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form, case when other_n >= 5 * w.n then other_n end as form_n
+  from words w left join best b on w.word = b.word
+), chain as (
+  select word, form as goal, 1 as step from formed where form is not null
+  union all select c.word, f.form, step + 1 from chain c join formed f on c.goal = f.word where f.form is not null
+), ends as (select word, last(goal order by step) as root from chain group by word)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from formed f left join ends e on f.word = e.word
+"""
+
+
 def op13_polynomial_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -182,7 +217,7 @@ QUERIES = {
     for f in (
         op1_cost_balanced_packing, op2_revisit_resolution, op3_repair_token_files, op4_repetition_coverage, op5_sainte_lague_mixing,
         op6_gear_chunk_dedup, op7_ppm_language, op8_progressive_exact_dedup, op9_simhash_trie, op10_license_sentences,
-        op11_zstd_novelty_secrets, op13_polynomial_whitening,
+        op11_zstd_novelty_secrets, op12_pivotal_variants, op13_polynomial_whitening,
     )
 }
-ORACLES = {"op2_revisit_resolution": OP2_SQL, "op5_sainte_lague_mixing": OP5_SQL, "op8_progressive_exact_dedup": OP8_SQL}
+ORACLES = {"op2_revisit_resolution": OP2_SQL, "op5_sainte_lague_mixing": OP5_SQL, "op8_progressive_exact_dedup": OP8_SQL, "op12_pivotal_variants": OP12_SQL}
