@@ -147,7 +147,7 @@ ASK = "请判断这个病灶属于感染还是肿瘤。只输出感染或肿瘤
 BOX_PROMPT = "这是一幅脊椎的磁共振图像，%s其中病灶的位置按照[x1,y1,x2,y2]的格式在%s。"
 CROP_PROMPT = "这是一幅脊椎磁共振图像中的病灶区域，%s"
 LEGACY_ANSWER = "这个病灶的类型为%s。"
-LEGACY_PROMPT = "现在你是一个骨科专家，这是一幅脊椎的磁共振图像，%s该图像中可能包含了数个病灶，然后我会将最大病灶的坐标位置按照[x1,y1,x2,y2]的格式给出：该张图片中的最大病灶在%s这个位置。请你帮我判断这个病灶属于感染还是肿瘤。"
+LEGACY_PROMPT = "现在你是一个骨科专家，这是一幅脊椎的磁共振图像,%s该图像中可能包含了数个病灶，然后我会将最大病灶的坐标位置按照[x1,y1,x2,y2]的格式给出：该张图片中的最大病灶在%s这个位置。请你帮我判断这个病灶属于感染还是肿瘤。"
 REGION = "候选病灶区域%d/%d"
 REGION_NOTE = "\n补充说明：当前仅分析%s，坐标为%s。请忽略其他区域，仅根据这个框内最主要的病灶表现判断属于感染还是肿瘤；如果该框不像有效病灶，请输出'无明确病灶'。"
 REGION_PROMPT = "现在你是一个骨科专家，这是一幅脊椎的磁共振图像。当前仅分析%s，其坐标为%s。请只关注这个框内区域，并判断该区域最可能属于感染还是肿瘤。"

@@ -66,7 +66,7 @@ def _slice_starts(table: pa.Table) -> np.ndarray:
     return starts
 
 
-def _numbered(table: pa.Table) -> pa.RecordBatch:
+def numbered_components(table: pa.Table) -> pa.RecordBatch:
     """4-connected components of whole slices, whose pixels come row by row, numbered from 1 in the order of their first pixel.
 
     Pixels beside each other in a row are a run; runs that touch across rows are joined, the earlier standing for both.
@@ -109,10 +109,10 @@ def components(pixels: DataFrame, value: str = "pred") -> DataFrame:
             begins = np.flatnonzero(_slice_starts(table))
             last = int(begins[-1]) if len(begins) else 0
             if last:
-                yield _numbered(table.slice(0, last).combine_chunks())
+                yield numbered_components(table.slice(0, last).combine_chunks())
             held = table.slice(last)
         if held is not None and held.num_rows:
-            yield _numbered(held.combine_chunks())
+            yield numbered_components(held.combine_chunks())
 
     rows = pixels.where(_set(value)).select("case_id", *(F.col(c).cast("long").alias(c) for c in ("z", "y", "x")))
     return rows.repartition(*SLICE).sortWithinPartitions(*SLICE, "y", "x").mapInArrow(label, f"case_id {kind}, z long, y long, x long, component long")

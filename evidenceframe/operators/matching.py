@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou
+from ..functions.boxes import clamp, iou
 from .checks import raise_if_any, same_keys, unique_key
 from .ranking import first_per_key
 
 
-def only_strategy(rows: DataFrame, strategy: str, column: str = "strategy") -> DataFrame:
-    return rows.where(F.col(column) == strategy)
+def only_strategy(rows: DataFrame, strategy: str, column: str = "strategy", required: bool = False) -> DataFrame:
+    """Rows of a strategy; with ``required`` none is an error once the rows are computed, and no job runs before."""
+    found = rows.where(F.col(column) == strategy)
+    if not required:
+        return found
+    there = found.agg(F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit(f"no rows of strategy {strategy}"))).otherwise(F.lit(True)).alias("_there"))
+    return there.join(found, F.col("_there"), "left").drop("_there")
 
 
 def members(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -29,6 +34,32 @@ def split_valid(rows: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame,
     return named.where("reason is null").drop("reason"), named.where("reason is not null")
 
 
+#: Files a detector reads, by suffix. Fixed values.
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
+
+
+def detector_records(records: DataFrame, available: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """records(image_path, box, width, height) a detector can use, their boxes clamped, and the others with a reason.
+
+    available(image_path), where given, says which images are there.
+    """
+    clamped = clamp(F.col("box"), F.col("width"), F.col("height"))
+    rows = records.withColumn("_clamped", clamped)
+    if available is not None:
+        rows = left_with_missing(rows, available.select("image_path").distinct(), "image_path", "_there")
+    suffix = F.lower(F.regexp_extract("image_path", r"(\.[^./]+)$", 1))
+    b = F.col("_clamped")
+    reasons = {"unsupported image extension": ~suffix.isin(*IMAGE_SUFFIXES), "empty bbox": (b["x2"] <= b["x1"]) | (b["y2"] <= b["y1"])}
+    lost = {} if available is None else {"image not found": ~F.col("_there")}
+    good, bad = split_valid(rows, {"missing image path or bbox": F.col("image_path").isNull() | F.col("box").isNull(), **lost, **reasons})
+    return good.withColumn("box", b).drop("_clamped", "_there"), bad.drop("_clamped", "_there")
+
+
+def detections_of_records(found: DataFrame, records: DataFrame, key: str = "image_path") -> DataFrame:
+    """Detector candidates with the columns of their records; those of no record go."""
+    return found.join(records, key)
+
+
 def split_membership(rows: DataFrame, train: DataFrame, val: DataFrame, keys: list[str], missing_policy: str = "skip") -> DataFrame:
     """rows with split: val if listed there (even if in train too), else train, else the policy (skip, train or val)."""
     mark = lambda t, n: t.select(*keys).distinct().withColumn(n, F.lit(True))

@@ -124,3 +124,9 @@ def throughput(slices: DataFrame, seconds: float, patient: str = "patient_id") -
     g = slices.agg(F.count(F.lit(1)).alias("slices"), F.count_distinct(patient).alias("patients"))
     s = F.lit(float(seconds))
     return g.select("slices", "patients", F.try_divide(F.col("slices").cast("double"), s).alias("slices_per_second"), F.try_divide(s, F.col("slices").cast("double")).alias("seconds_per_slice"), F.try_divide(s, F.col("patients").cast("double")).alias("seconds_per_patient"))
+
+
+def means_of(rows: DataFrame, groups: list[str], conditions: dict[str, Column], count: str = "n") -> DataFrame:
+    """Per group: rows, and for each condition the share of rows that meet it; rows for which it is null don't count."""
+    share = {name: F.round(F.avg(c.cast("int")), 9).alias(name) for name, c in conditions.items()}
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias(count), *share.values())

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import with_views
-from . import evidence, geometry, records, reports, statistics
+from . import evidence, files, geometry, records, reports, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evidence, geometry, records, reports, statistics)
+MODULES = (evidence, geometry, records, reports, statistics, files)
 
 
 def all_queries() -> dict[str, Query]:

@@ -54,7 +54,7 @@ def label_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with r as (select sample_id, '[1,2,' || sample_id || ',4]' as b from fx_record)
-select sample_id, '现在你是一个骨科专家，这是一幅脊椎的磁共振图像，序列为T2。该图像中可能包含了数个病灶，然后我会将最大病灶的坐标位置按照[x1,y1,x2,y2]的格式给出：该张图片中的最大病灶在' || b || '这个位置。请你帮我判断这个病灶属于感染还是肿瘤。' as legacy,
+select sample_id, '现在你是一个骨科专家，这是一幅脊椎的磁共振图像,序列为T2。该图像中可能包含了数个病灶，然后我会将最大病灶的坐标位置按照[x1,y1,x2,y2]的格式给出：该张图片中的最大病灶在' || b || '这个位置。请你帮我判断这个病灶属于感染还是肿瘤。' as legacy,
   'a [5,6,7,8] b ' || b || chr(10) || '补充说明：当前仅分析候选病灶区域1/3，坐标为' || b || '。请忽略其他区域，仅根据这个框内最主要的病灶表现判断属于感染还是肿瘤；如果该框不像有效病灶，请输出''无明确病灶''。' as noted,
   '现在你是一个骨科专家，这是一幅脊椎的磁共振图像。当前仅分析候选病灶区域2/3，其坐标为' || b || '。请只关注这个框内区域，并判断该区域最可能属于感染还是肿瘤。' as own,
   '/data/val/image/' || sample_id || '.jpg' as path from r""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
-import struct
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, text
 from ..functions.coerce import blank_to_null, first_present, safe_float, safe_int
+from . import volumes
 
 RECORD_SCHEMA = (
     "id string, conversations array<struct<`from`:string, value:string>>, bbox array<int>, label string, patient_id string, case_id string, seq string, slice_idx string, source_dataset string, "
@@ -142,11 +143,42 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return rows.select("path", text.file_id("path").alias("case_id"), "length", "content")
 
 
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, name, folder, length and time of a folder's files, in the order of their paths; no content is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    at = F.regexp_extract("path", r"^(.*)/([^/]*)$", 1)
+    return found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), at.alias("folder"), "length", F.col("modificationTime").alias("time")).orderBy("path")
+
+
+#: Files that make a checkpoint whole: all of the first, and one of the second. Fixed values.
+CHECKPOINT_FILES = ("trainer_state.json", "optimizer.pt", "scheduler.pt", "adapter_config.json")
+CHECKPOINT_WEIGHTS = ("adapter_model.safetensors", "adapter_model.bin")
+
+
+def checkpoints(listed: DataFrame) -> DataFrame:
+    """folder, step, whole and missing of each folder checkpoint-<step> in a listing."""
+    step = F.regexp_extract("folder", r"(?:^|/)checkpoint-(\d+)$", 1)
+    there = F.array_distinct(F.collect_list(F.when(F.col("name").isin(*CHECKPOINT_FILES, *CHECKPOINT_WEIGHTS), F.col("name"))))
+    found = listed.where(step != "").groupBy("folder", step.cast("long").alias("step")).agg(there.alias("there"))
+    missing = F.array_except(F.array(*map(F.lit, CHECKPOINT_FILES)), "there")
+    weights = F.arrays_overlap("there", F.array(*map(F.lit, CHECKPOINT_WEIGHTS)))
+    missing = F.when(weights, missing).otherwise(F.array_append(missing, CHECKPOINT_WEIGHTS[0]))
+    return found.select("folder", "step", (F.size(missing) == 0).alias("whole"), F.array_sort(missing).alias("missing"))
+
+
+def latest_checkpoint(listed: DataFrame) -> DataFrame:
+    """folder and step of the whole checkpoint with the greatest step; no row if there is none."""
+    return checkpoints(listed).where("whole").agg(F.max(F.struct("step", "folder")).alias("c")).where("c is not null").select("c.folder", "c.step")
+
+
 VOLUME = "case_id string, depth int, height int, width int, image array<float>, mask array<byte>, error string"
 
 
-def npz_volumes(found: DataFrame) -> DataFrame:
-    """``image`` and ``mask`` arrays [D, H, W] of .npz files as flat rows; a file that doesn't hold both in one shape has an error."""
+def npz_volumes(found: DataFrame, image_key: str = "image", mask_key: str = "mask") -> DataFrame:
+    """Image and mask [D, H, W] of .npz files that Spark has read, as flat rows; a file that can't be used has an error.
+
+    ``volumes.read_volumes`` reads slice by slice; this is for stores that only Spark opens.
+    """
 
     def decode(batches):
         for batch in batches:
@@ -154,11 +186,12 @@ def npz_volumes(found: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 try:
                     z = np.load(io.BytesIO(r["content"]), allow_pickle=False)
-                    image, mask = z["image"], z["mask"]
-                    if image.ndim != 3 or mask.shape != image.shape:
-                        raise ValueError(f"shapes {image.shape} and {mask.shape}")
-                    rows.append((r["case_id"], *image.shape, image.astype(np.float32).ravel(), (mask > 0).astype(np.int8).ravel(), None))
-                except (KeyError, ValueError, OSError) as e:
+                    image, mask = z[image_key], z[mask_key]
+                    depth, height, width = volumes.checked(volumes.Stream(image.shape), volumes.Stream(mask.shape))
+                    if mask.shape != image.shape:
+                        mask = np.stack([volumes.nearest(m, height, width) for m in mask])
+                    rows.append((r["case_id"], depth, height, width, image.astype(np.float32).ravel(), (mask > 0).astype(np.int8).ravel(), None))
+                except (KeyError, ValueError, OSError, EOFError, zipfile.BadZipFile) as e:
                     rows.append((r["case_id"], None, None, None, None, None, str(e)[:200]))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.int8()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["case_id", "depth", "height", "width", "image", "mask", "error"])
@@ -166,23 +199,12 @@ def npz_volumes(found: DataFrame) -> DataFrame:
     return found.select("case_id", "content").mapInArrow(decode, VOLUME)
 
 
-NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
-
-
 def nifti_array(content: bytes) -> np.ndarray:
     """The array [X, Y, Z] of a NIfTI-1 file, scaled as its header says."""
     raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    order = "<" if struct.unpack_from("<i", raw)[0] == 348 else ">"
-    if struct.unpack_from(order + "i", raw)[0] != 348:
-        raise ValueError("not a NIfTI-1 file")
-    n, *shape = struct.unpack_from(order + "8h", raw, 40)
-    kind = NIFTI_TYPES[struct.unpack_from(order + "h", raw, 70)[0]]
-    offset, slope, shift = struct.unpack_from(order + "3f", raw, 108)
-    shape = shape[:n]
-    flat = np.frombuffer(raw, order + kind, int(np.prod(shape)), int(offset)).astype(np.float64)
-    if slope not in (0.0, 1.0) or shift:
-        flat = flat * (slope or 1.0) + shift
-    return flat.reshape(shape, order="F")
+    shape, kind, offset, slope, shift = volumes.nifti_header(raw)
+    flat = np.frombuffer(raw, kind, int(np.prod(shape)), offset).astype(np.float64)
+    return (flat * slope + shift).reshape(shape, order="F")
 
 
 def nifti_masks(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import to_relative
 from ..operators.reshape import union_rows
+from .staging import write_named
 
 MODE = "errorifexists"  # results are written once
 
@@ -56,6 +57,31 @@ def write_assignments(rows: DataFrame, path: str, order: tuple[str, ...] = ("fol
     write_csv(rows.orderBy(*lead), path, lead + sorted(set(rows.columns) - set(lead)), mode)
 
 
+def write_ordered(rows: DataFrame, path: str, keys: list[str], form: str = "csv", mode: str = MODE) -> DataFrame:
+    """Files in the order of the keys, each sorted: read by name they give the order. Returns the manifest: file, rows, least and greatest keys.
+
+    Rows are dealt by ranges of the keys, and rows with equal keys by a hash of themselves, so that one frequent key fills several files.
+    """
+    cells = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+    ordered = rows.orderBy(*(F.col(k) for k in keys), cells)
+    if form == "csv":
+        write_csv(ordered, path, mode=mode)
+        found = rows.sparkSession.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+    else:
+        ordered.write.mode(mode).format(form).save(path)
+        found = rows.sparkSession.read.schema(rows.schema).format(form).load(path)
+    key = F.struct(*keys)
+    return found.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("least"), F.max(key).alias("greatest"))
+
+
+def write_ordered_arrays(rows: DataFrame, path: str, record: str, number: str, chunk: int = 10_000) -> None:
+    """JSON files that each hold an array of up to ``chunk`` records, JSON texts, in the order of their numbers from 1; file names follow it."""
+    part = F.floor((F.col(number) - 1) / chunk)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(number, record))), lambda x: x[record])
+    files = rows.groupBy(part.alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(texts, ",\n"), F.lit("\n]\n")).alias("content"))
+    write_named(files.select(F.format_string("records-%08d.json", "part").alias("name"), "content"), path)
+
+
 def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = MODE) -> None:
     rows.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
 
@@ -66,6 +92,18 @@ def detector_labels(records: DataFrame, class_id: int = 0) -> DataFrame:
     return records.select("image_path", F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(class_id), r["cx"], r["cy"], r["w"], r["h"]).alias("line"))
 
 
+def write_detector_set(records: DataFrame, path: str, name: str = "lesion", class_id: int = 0) -> None:
+    """A detector's data set: labels/<split>/<stem>.txt with a line per box, and the document that names the folders.
+
+    records(split, stem, box, width, height); the images themselves are not copied.
+    """
+    lines = detector_labels(records.withColumn("image_path", F.concat_ws("/", F.lit("labels"), "split", F.concat("stem", F.lit(".txt")))), class_id)
+    files = lines.groupBy(F.col("image_path").alias("name")).agg(F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n")).alias("content"))
+    document = f"path: {path}\ntrain: images/train\nval: images/val\nnames:\n  {class_id}: {name}\n"
+    one = records.sparkSession.createDataFrame([(f"{name}.yaml", document)], "name string, content string")
+    write_named(files.unionByName(one), path)
+
+
 def review_template(patients: DataFrame, blanks: list[str]) -> DataFrame:
     """A table to be filled in by hand."""
     return patients.withColumns({b: F.lit("") for b in blanks})

@@ -200,7 +200,7 @@ def test_components_equal_a_flood_fill():
     rng = np.random.default_rng(3)
     rows = [(f"c{s // 3}", s % 3, y, x) for s in range(9) for y in range(24) for x in range(31) if rng.random() < (0.3, 0.55, 0.65)[s % 3]]
     table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("case_id", "z", "y", "x"))})
-    got = {tuple(r.values())[:4]: r["component"] for r in pa.Table.from_batches([masks._numbered(table)]).to_pylist()}
+    got = {tuple(r.values())[:4]: r["component"] for r in pa.Table.from_batches([masks.numbered_components(table)]).to_pylist()}
     want, number = {}, {}
     for c, z, y, x in rows:
         if (c, z, y, x) in want:
