@@ -1,12 +1,13 @@
 """Bootstrap by counter-based draws: a draw is a function of seed, stratum, iteration and slot, so results don't depend on partitioning.
 
-Metrics of class decisions need only how often each (truth, decision) cell is drawn. A stratum's slots sorted by cell fall
-into few intervals, so draws are made and counted where the small table of intervals is: one row per iteration and
-stratum is shuffled, however many rows a stratum has. A draw is integer arithmetic inside one generated loop.
+Metrics of class decisions need only how often each (truth, decision) cell is drawn, which is multinomial: each count is
+a binomial number among the draws that are left, made in constant time. Work follows cells and iterations, however many rows a stratum has.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,39 +63,70 @@ def slots(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
     return ranks.withColumn("slot", (F.col("slot") - 1).cast("bigint"))
 
 
-def cells_of(rows: DataFrame, strata: list[str], cell: list[str], order: str) -> DataFrame:
-    """One row per run of equal cells in slot order: a stratum's slots sorted by cell fall into few intervals.
+#: What Stirling's formula lacks of the logarithm of k!, for the smallest k.
+STIRLING = [math.lgamma(k + 1) - ((k + 0.5) * math.log(k + 1) - (k + 1) + 0.5 * math.log(2 * math.pi)) for k in range(10)]
+#: Least mean for the rejection method, terms that inversion sums below it, and proposals after which the mode is taken (fewer than one in 10^13 are left).
+MEAN, TERMS, TRIES = 10, 60, 16
 
-    (strata, cell, low, high, size): slots low to high - 1 hold rows of that cell.
-    """
-    counts = rows.groupBy(*strata, *cell).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*strata)
-    upto = w.orderBy(*(F.col(c).asc_nulls_first() for c in cell)).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("high", F.sum("n").over(upto)).withColumn("size", F.sum("n").over(w))
-    return out.withColumn("low", F.col("high") - F.col("n")).drop("n")
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of a body in which a name stands for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def uniform(digest: str, start: int) -> str:
+    """SQL of a number between 0 and 1 from 52 bits of an MD5."""
+    return f"((bigint(conv(substring({digest}, {start}, 13), 16, 10)) + 0.5D) / {1 << 52}D)"
+
+
+def _stirling(k: str) -> str:
+    near = ", ".join(f"{v!r}D" for v in STIRLING)
+    far = f"(1D / 12 - (1D / 360 - 1D / 1260 / (({k} + 1D) * ({k} + 1D))) / (({k} + 1D) * ({k} + 1D))) / ({k} + 1D)"
+    return f"if({k} < {len(STIRLING)}, element_at(array({near}), int({k}) + 1), {far})"
+
+
+def _inverted(n: str, p: str, key: str) -> str:
+    """The first count at which the distribution function reaches a uniform number: for means below ``MEAN``."""
+    step = f"(s, k) -> named_struct('term', s.term * ({n} - k) / (k + 1) * {p} / (1 - {p}), 'sum', s.sum + s.term, 'x', s.x + if(s.sum + s.term < u0, 1L, 0L))"
+    found = f"aggregate(sequence(0L, least({n}, {TERMS}L) - 1), named_struct('term', exp({n} * ln(1 - {p})), 'sum', 0D, 'x', 0L), {step}, s -> s.x)"
+    return let("h0", f"md5(concat({key}, '|0'))", let("u0", uniform("h0", 1), found))
+
+
+def _rejected(n: str, p: str, key: str) -> str:
+    """Transformed rejection with a squeeze (Hoermann 1993): the first of some proposals that is accepted; for p up to a half and means from ``MEAN``."""
+    bound = f"c.top + ({n} + 1) * ln(({n} - c.m + 1) / ({n} - k + 1)) + (k + 0.5D) * ln(c.r * ({n} - k + 1) / (k + 1)) - {_stirling('k')} - {_stirling(f'({n} - k)')}"
+    judge = f"case when w.us >= 0.07D and w.v <= c.vr then k when k < 0 or k > {n} then null when ln(w.v * c.alpha / (c.a / (w.us * w.us) + c.b)) <= {bound} then k end"
+    pair = let("h", f"md5(concat({key}, '|', t))", f"named_struct('u', {uniform('h', 1)} - 0.5D, 'v', {uniform('h', 14)}, 'us', 0.5D - abs({uniform('h', 1)} - 0.5D))")
+    attempt = let("w", pair, let("k", f"floor((2 * c.a / w.us + c.b) * w.u + {n} * {p} + 0.5D)", judge))
+    first = f"coalesce(aggregate(sequence(0, {TRIES - 1}), bigint(null), (found, t) -> coalesce(found, {attempt})), c.m)"
+    more = f"named_struct('b', d.b, 'a', d.a, 'm', d.m, 'r', d.r, 'vr', 0.92D - 4.2D / d.b, 'alpha', (2.83D + 5.1D / d.b) * d.s, 'top', (d.m + 0.5D) * ln((d.m + 1) / (d.r * ({n} - d.m + 1))) + {_stirling('d.m')} + {_stirling(f'({n} - d.m)')})"
+    shape = f"named_struct('s', s, 'b', 1.15D + 2.53D * s, 'a', -0.0873D + 0.0248D * (1.15D + 2.53D * s) + 0.01D * {p}, 'm', floor(({n} + 1) * {p}), 'r', {p} / (1 - {p}))"
+    return let("s", f"sqrt({n} * {p} * (1 - {p}))", let("d", shape, let("c", more, first)))
+
+
+def binomial(n: str, p: str, key: str) -> str:
+    """SQL of how many of n trials succeed with probability p, a function of the key, a text: exact, in work that doesn't grow with n."""
+    x = f"case when bn <= 0 or q <= 0 then 0L when bn * q < {MEAN} then {_inverted('bn', 'q', 'bk')} else {_rejected('bn', 'q', 'bk')} end"
+    return let("bn", f"bigint({n})", let("bp", p, let("bk", key, let("q", "least(bp, 1 - bp)", let("bx", x, "if(bp > 0.5D, bn - bx, bx)")))))
 
 
 def cell_counts(rows: DataFrame, strata: list[str], cell: list[str], iterations: int, seed: int) -> DataFrame:
     """(iter, strata, cell, n): how often each cell is drawn in each iteration, drawing as many rows as a stratum has.
 
-    Cells are few (classes by decisions), so a stratum's intervals stand beside each other in a row and are counted beside
-    each other too.
+    The counts of a stratum's cells are multinomial: one after the other is binomial among the draws that are left, so work follows
+    cells and iterations, not rows. A stratum's cells (classes by decisions) stand in an array.
     """
-    runs = cells_of(rows, strata, cell, "slot")
-    held = F.struct("low", "high", *cell)
-    sizes = runs.groupBy(*strata).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(held)).alias("runs"))
-    most = sizes.agg(F.max(F.size("runs"))).first()[0] or 0
-    ends = [F.coalesce(F.try_element_at("runs", F.lit(k + 1))["high"], F.lit(1 << 62)).alias(f"_e{k}") for k in range(most - 1)]
-    drawn = draws(sizes.select(*strata, "size", stratum_number(strata).alias("_s"), *ends), iterations, seed)
-    # draws below each interval's end; an interval has those below its end but not below the one before
-    below = [*(F.sum((F.col("d") < F.col(f"_e{k}")).cast("int")).alias(f"_n{k}") for k in range(most - 1)), F.count(F.lit(1)).alias("_c")]
-    counts = drawn.groupBy("iter", *strata).agg(*below)
-    upto = [F.lit(0), *(F.col(f"_n{k}") for k in range(most - 1)), F.col("_c")]
-    counts = counts.select("iter", *(F.col(s).alias(f"_{s}") for s in strata), F.array(*(b - a for a, b in zip(upto, upto[1:]))).cast("array<bigint>").alias("_ns"))
-    same = [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata]
-    met = counts.join(sizes.select(*strata, "runs"), same)
-    cells = met.select("iter", *strata, "_ns", F.posexplode("runs").alias("_k", "_r")).withColumn("n", F.element_at("_ns", F.col("_k") + 1)).where("n > 0")
-    return cells.select("iter", *strata, *(F.col(f"_r.{c}").alias(c) for c in cell), "n")
+    counts = rows.groupBy(*strata, *cell).agg(F.count(F.lit(1)).alias("_n"))
+    held = F.array_sort(F.collect_list(F.struct(*(F.struct(F.col(c).isNotNull().alias("given"), F.col(c).alias("value")).alias(c) for c in cell), F.col("_n").alias("n"))))
+    sizes = counts.groupBy(*strata).agg(held.alias("_cells"), F.sum("_n").alias("_size"))
+    work = sizes.withColumn("_key", stratum_number(strata)).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    # few bytes but much work: by number, so that the rows aren't gathered into few tasks
+    work = work.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "iter", *strata)
+    key = f"concat_ws('|', '{int(seed)}', _key, iter, size(a.out))"
+    step = let("x", binomial("a.left", "e.n / a.mass", key), "named_struct('left', a.left - x, 'mass', a.mass - e.n, 'out', array_append(a.out, x))")
+    drawn = work.withColumn("_ns", F.expr(f"aggregate(_cells, named_struct('left', _size, 'mass', _size, 'out', cast(array() as array<bigint>)), (a, e) -> {step}, a -> a.out)"))
+    found = drawn.select("iter", *strata, F.explode(F.arrays_zip("_cells", "_ns")).alias("_r"))
+    return found.where("_r._ns > 0").select("iter", *strata, *(F.col(f"_r._cells.{c}.value").alias(c) for c in cell), F.col("_r._ns").alias("n"))
 
 
 def _accuracy(truth: str, pred: str) -> list[Column]:

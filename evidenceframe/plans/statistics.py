@@ -135,12 +135,43 @@ def _pick_sql(name: str, rows: str, iterations: int, seed: int = 42) -> str:
     return f"(select *, (ha * {1 << 31} + hb) % size as pick from {out})"
 
 
-def _draw_sql(strata: str, cell: str, name: str, iterations: int) -> str:
-    """Draws as the operator makes them: a stratum's rows sorted by cell, a slot for each."""
-    keys = strata.split(", ")
-    return f"""r as (select *, 'all' as every from fx_patient), o as (select *, row_number() over (partition by {strata} order by {cell}) - 1 as slot, count(*) over (partition by {strata}) as size from r),
-d as (select iter, {strata}, pick, count(*) as times from {_pick_sql(name, 'o', iterations)} group by all),
-m as (select d.iter, d.times, x.* from d join o x on {' and '.join(f'd.{c} = x.{c}' for c in keys)} and x.slot = d.pick)"""
+def _stirling_sql(k: str) -> str:
+    near = ", ".join(repr(v) for v in resample.STIRLING)
+    return f"case when {k} < 10 then list_extract([{near}], ({k})::int + 1) else (1.0::double / 12 - (1.0::double / 360 - 1.0::double / 1260 / (({k} + 1) ** 2)) / (({k} + 1) ** 2)) / ({k} + 1) end"
+
+
+def _binomial_sql(rows: str, key: str) -> str:
+    """rows(id, n, p) with x, a binomial number: inversion below a mean of ten, else transformed rejection; key is the text that a proposal's number t is put after."""
+    number = lambda k: f"((('0x' || substr(h, {k}, 13))::bigint + 0.5::double) / {1 << 52})"
+    return f"""(select id, any_value(n) as n, case when any_value(p) > 0.5 then any_value(n) - any_value(y) else any_value(y) end as x from (
+  select id, any_value(n) as n, any_value(p) as p, case when any_value(n) <= 0 or any_value(q) <= 0 then 0 when any_value(small) then count(*) filter (t < least(n_, {resample.TERMS}) and cdf < u0)
+    else coalesce(arg_min(k, t) filter (ok), any_value(m)) end::bigint as y from (
+    select *, coalesce((us >= 0.07 and v <= vr) or (k >= 0 and k <= n and ln(v * alpha / (a / (us * us) + b)) <= top + (n + 1) * ln((n - m + 1)::double / (n - k + 1)) + (k + 0.5) * ln(r * (n - k + 1) / (k + 1)) - ({_stirling_sql('k')}) - ({_stirling_sql('(n - k)')})), false) and not small as ok,
+      sum(case when small and t <= n then exp(lgamma(n + 1.0::double) - lgamma(t + 1.0::double) - lgamma(greatest(n - t, 0) + 1.0::double) + t * ln(greatest(q, 1e-300::double)) + (n - t) * ln(1 - q)) end) over (partition by id order by t rows unbounded preceding) as cdf, first(u) over (partition by id order by t) as u0, n as n_ from (
+      select *, floor((2 * a / us + b) * (u - 0.5) + n * q + 0.5)::bigint as k from (
+        select *, 0.5 - abs(u - 0.5) as us from (select *, {number(1)} as u, {number(14)} as v from (
+          select *, md5({key} || '|' || t) as h, 0.92 - 4.2 / b as vr, (2.83 + 5.1 / b) * s as alpha, (m + 0.5) * ln((m + 1) / (r * (n - m + 1))) + ({_stirling_sql('m')}) + ({_stirling_sql('(n - m)')}) as top from (
+            select *, -0.0873 + 0.0248 * b + 0.01 * q as a, unnest(range(case when small then {resample.TERMS} else {resample.TRIES} end)) as t from (
+              select *, 1.15 + 2.53 * s as b from (select *, sqrt(n * q * (1 - q)) as s, floor((n + 1) * q)::bigint as m, q / (1 - q) as r, n * q < {resample.MEAN} as small from (select *, least(p, 1 - p) as q from {rows})))))))))
+  group by id, n_) group by id)"""
+
+
+def _draw_sql(strata: str, cell: str, name: str, iterations: int, most: int = 12, seed: int = 42) -> str:
+    """Counts m(iter, strata, cell, times) of each cell and iteration: one cell after the other is binomial among what is left."""
+    keys, cells = strata.split(", "), cell.split(", ")
+    on = lambda t: " and ".join(f"{t}.{c} = g.{c}" for c in keys)
+    parts = [f"""r as (select *, 'all' as every from fx_patient), c as (select {strata}, {cell}, count(*) as size, row_number() over (partition by {strata} order by {cell}) - 1 as place from r group by {strata}, {cell}),
+g as (select {strata}, sum(size)::bigint as size, ('0x' || substr(md5({name}), 1, 7))::bigint as code from c group by {strata}),
+s0 as (select i.i as iter, {', '.join(f'g.{c}' for c in keys)}, g.code, g.size as rest, g.size as mass from g, (select unnest(range({iterations}))::bigint as i) i)"""]
+    for k in range(most):
+        rows = f"(select struct_pack({', '.join(f'{c} := g.{c}' for c in keys)}, iter := g.iter, code := g.code, mass := g.mass, cut := c.size) as id, g.rest as n, c.size / g.mass::double as p from s{k} g join c on {on('c')} and c.place = {k})"
+        key = f"'{seed}|' || id.code || '|' || id.iter || '|{k}'"
+        parts.append(f"x{k} as (select id, n, x from {_binomial_sql(rows, key)})")
+        parts.append(f"s{k + 1} as (select id.iter as iter, {', '.join(f'id.{c} as {c}' for c in keys)}, id.code as code, n - x as rest, id.mass - id.cut as mass from x{k})")
+    taken = " union all ".join(f"select id.iter as iter, {', '.join(f'id.{c} as {c}' for c in keys)}, {k} as place, x as times from x{k}" for k in range(most))
+    named = ", ".join([*(f"g.{c}" for c in keys), *(f"c.{c}" for c in cells)])
+    parts.append(f"t as ({taken}), m as (select g.iter, g.times, {named} from t g join c on {on('c')} and c.place = g.place where g.times > 0)")
+    return ",\n".join(parts)
 
 
 _SPREAD = "round(avg(value), 9) as mean, round(quantile_cont(value, 0.025), 9) as low, round(quantile_cont(value, 0.975), 9) as high"
