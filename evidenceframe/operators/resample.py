@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked_by_hash
 
-#: Draws that a row of work makes.
-BLOCK = 1 << 14
-#: The hash behind a draw works on 31 bits, so that no product leaves 64; two of them make a draw.
+#: The hash behind a draw works on 31 bits, so that no product leaves 64.
 BITS = (1 << 31) - 1
 FIRST, SECOND = 0x2C1B3C6D, 0x297A2D39
 
@@ -31,7 +29,7 @@ def stratum_number(strata: list[str]) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("bigint")
 
 
-def _mixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+def hashed(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """rows with a hash of a number below 2 ** 31; in steps, so that no step is computed twice."""
     shifted = lambda c, k: c.bitwiseXOR(F.shiftright(c, k))
     rows = rows.withColumn(name, value)
@@ -40,29 +38,6 @@ def _mixed(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.withColumn(name, shifted(F.col(name), 15))
 
 
-def draws(sizes: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """sizes(stratum number ``_s``, size, ...) with iter, slot and d, a number from 0 to size - 1: a row per iteration and slot.
-
-    Slots come in blocks, which are dealt over the tasks; what doesn't depend on the slot is hashed before.
-    """
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK))
-    work = sizes.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_block", F.explode(blocks)).repartition("iter", "_block")
-    work = _mixed(work, "_h", (F.col("_s") + F.lit(seed * 7919)).bitwiseAND(BITS))
-    work = _mixed(work, "_h", (F.col("_h") + F.col("iter")).bitwiseAND(BITS))
-    first = F.col("_block") * BLOCK
-    rows = work.withColumn("slot", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1))).drop("_block", "_s")
-    rows = _mixed(rows, "_a", (F.col("_h") + F.col("slot")).bitwiseAND(BITS))
-    rows = _mixed(rows, "_b", (F.col("_a") + 0x5BD1E995).bitwiseAND(BITS))
-    # never null, so that no filter on it is moved below the steps, where it would be written out in full
-    return rows.withColumn("d", F.coalesce((F.shiftleft("_a", 31) + F.col("_b")) % F.col("size"), F.lit(0))).drop("_h", "_a", "_b")
-
-
-def slots(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
-    """rows with slot (from 0, by a hash of ``order``) and size of their stratum; without strata all rows are one."""
-    ranks = ranked_by_hash(rows, strata, 0, order, "slot", "size")
-    return ranks.withColumn("slot", (F.col("slot") - 1).cast("bigint"))
-
-
 #: What Stirling's formula lacks of the logarithm of k!, for the smallest k.
 STIRLING = [math.lgamma(k + 1) - ((k + 0.5) * math.log(k + 1) - (k + 1) + 0.5 * math.log(2 * math.pi)) for k in range(10)]
 #: Least mean for the rejection method, terms that inversion sums below it, and proposals after which the mode is taken (fewer than one in 10^13 are left).
@@ -176,61 +151,3 @@ def bootstrap_interaction(rows: DataFrame, group: str, first, second, iterations
     per = n.groupBy("iter", group).agg(d.alias("d"))
     both = per.groupBy("iter").agg(F.max(F.when(F.col(group) == first, F.col("d"))).alias("x"), F.max(F.when(F.col(group) == second, F.col("d"))).alias("y"))
     return interval(both.select("iter", (F.col("x") - F.col("y")).alias("interaction")), ["interaction"])
-
-
-SCORE_METRICS = ("roc_auc", "average_precision", "brier_score", "log_loss", "ece", "accuracy", "balanced_accuracy", "sensitivity", "specificity")
-
-
-def drawn_rows(rows: DataFrame, strata: list[str], order: str, iterations: int, seed: int) -> DataFrame:
-    """(iter, the columns of rows): the rows drawn in each iteration, as often as they are drawn; draws are looked up by slot."""
-    placed = slots(rows, strata, order)
-    sizes = placed.groupBy(*strata).agg(F.max("size").alias("size")).select(*strata, "size", stratum_number(strata).alias("_s"))
-    return draws(sizes, iterations, seed).select("iter", *strata, F.col("d").alias("slot")).join(placed.drop("size"), [*strata, "slot"]).drop("slot")
-
-
-def weighted_scores(drawn: DataFrame, keys: list[str], y: str = "y", p: str = "p", bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """Every score metric of each group of drawn(keys, y, p).
-
-    Rows of equal score are one row with its positives and negatives, and one window runs over a group's scores, falling; positives
-    come before negatives of the same score. A negative adds the positives before it to the area under the curve, a positive the
-    precision at its place. Calibration bins hold equally many rows, by rising score; a score may lie in several.
-    """
-    cells = drawn.groupBy(*keys, F.col(p).cast("double").alias("v")).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) != 1).alias("b"))
-    a, b, v = F.col("a"), F.col("b"), F.col("v")
-    w = Window.partitionBy(*keys).orderBy(F.desc("v"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = cells.withColumns({"_t": F.coalesce(F.sum("a").over(before), F.lit(0)), "_f": F.coalesce(F.sum("b").over(before), F.lit(0)), "_all": F.sum(a + b).over(whole)})
-    q = F.least(F.greatest(v, F.lit(eps)), F.lit(1 - eps))
-    precision = F.aggregate(F.sequence(F.lit(1).cast("bigint"), a), F.lit(0.0), lambda s, i: s + (F.col("_t") + i) / (F.col("_t") + i + F.col("_f")))
-    of = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
-    g = cells.groupBy(*keys).agg(
-        F.sum(b * (F.col("_t") + a)).alias("auc"), of(a > 0, precision).alias("ap"), F.sum(a * F.pow(v - 1, 2) + b * F.pow(v, 2)).alias("brier"), F.sum(a * F.ln(q) + b * F.ln(1 - q)).alias("loss"),
-        F.sum("a").alias("np"), F.sum("b").alias("nn"), of(v >= 0.5, a).alias("tp"), of(v < 0.5, b).alias("tn"),
-    )
-    size, rest = F.floor(F.col("_all") / bins), F.col("_all") % bins
-    edge = lambda k: k * size + F.least(k, rest)
-    place = lambda x: F.when(x < rest * (size + 1), F.floor(x / (size + 1))).otherwise(rest + F.floor((x - rest * (size + 1)) / F.greatest(size, F.lit(1))))
-    ends = cells.withColumn("_start", F.col("_all") - F.col("_t") - F.col("_f") - a - b)
-    ends = ends.withColumn("bin", F.explode(F.sequence(place(F.col("_start")), place(F.col("_start") + a + b - 1))))
-    inside = lambda low, high: F.greatest(F.lit(0), F.least(high, edge(F.col("bin") + 1)) - F.greatest(low, edge(F.col("bin"))))
-    ends = ends.withColumn("_ka", inside(F.col("_start"), F.col("_start") + a)).withColumn("_kb", inside(F.col("_start") + a, F.col("_start") + a + b))
-    binned = ends.groupBy(*keys, "bin").agg((F.sum("_ka") - F.sum((F.col("_ka") + F.col("_kb")) * v)).alias("gap"), F.max("_all").alias("total"))
-    ece = binned.groupBy(*keys).agg((F.sum(F.abs("gap")) / F.max("total")).alias("ece"))
-    sens, spec = F.col("tp") / F.greatest("np", F.lit(1)), F.col("tn") / F.greatest("nn", F.lit(1))
-    n = F.col("np") + F.col("nn")
-    g = g.select(*keys, (F.col("auc") / (F.col("np") * F.col("nn"))).alias("roc_auc"), (F.col("ap") / F.col("np")).alias("average_precision"), (F.col("brier") / n).alias("brier_score"), (-F.col("loss") / n).alias("log_loss"), ((F.col("tp") + F.col("tn")) / n).alias("accuracy"), ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"))
-    return g.join(ece, keys).select(*keys, *SCORE_METRICS)
-
-
-def bootstrap_scores(rows: DataFrame, first: tuple[str, str], second: tuple[str, str], iterations: int = 10_000, seed: int = 42, y: str = "y", order: str = "doc_id") -> DataFrame:
-    """Intervals of every score metric of two models (name and score column), and of the first less the second (``delta``), over the same
-    draws within each class. Both models go through one pass."""
-    scored = F.array(*(F.struct(F.lit(m).alias("model"), F.col(p).cast("double").alias("p")) for m, p in (first, second)))
-    drawn = drawn_rows(rows.select(order, y, scored.alias("_scores")), [y], order, iterations, seed).select("iter", F.col(y).alias("y"), F.inline("_scores"))
-    per = weighted_scores(drawn, ["iter", "model"])
-    side = lambda m, k: F.max(F.when(F.col("model") == m, F.col(k)))
-    long = per.groupBy("iter").agg(*(F.array(side(first[0], m), side(second[0], m), side(first[0], m) - side(second[0], m)).alias(m) for m in SCORE_METRICS))
-    names = F.array(F.lit(first[0]), F.lit(second[0]), F.lit("delta"))
-    both = long.select(F.explode(F.arrays_zip(names.alias("model"), *SCORE_METRICS)).alias("r")).select("r.*")
-    return interval(both, list(SCORE_METRICS), ["model"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cohort, resample, scoring
+from ..operators import cohort, resample, score_bootstrap, scoring
 from ..sources.fixtures import read
 from .evidence import _short
 
@@ -126,13 +126,21 @@ def _hash_sql(rows: str, name: str, value: str) -> str:
     return rows
 
 
-def _pick_sql(name: str, rows: str, iterations: int, seed: int = 42) -> str:
-    """rows(slot, size, ...) with iter and pick: one draw for each slot and iteration."""
+def _sampled_sql(rows: str, name: str, iterations: int, seed: int = 42) -> str:
+    """m(iter, times, columns of rows): rows(y, slot, size, ...) drawn Poisson times, by a hash of row and iteration, and single draws up to the size of each class."""
     bits = resample.BITS
-    out = _hash_sql(f"(select * from {rows})", "hs", f"(('0x' || substr(md5({name}), 1, 7))::bigint + {seed * 7919}) & {bits}")
-    out = _hash_sql(f"(select o.*, i.i as iter from {out} o, (select unnest(range({iterations}))::bigint as i) i)", "hi", f"(hs + iter) & {bits}")
-    out = _hash_sql(_hash_sql(out, "ha", f"(hi + slot) & {bits}"), "hb", f"(ha + {0x5BD1E995}) & {bits}")
-    return f"(select *, (ha * {1 << 31} + hb) % size as pick from {out})"
+    base = _hash_sql(f"(select distinct y, size from {rows})", "hs", f"(('0x' || substr(md5({name}), 1, 7))::bigint + {seed * 7919}) & {bits}")
+    of_iter = _hash_sql(f"(select b.*, i.i as iter from {base} b, (select unnest(range({iterations}))::bigint as i) i)", "hi", f"(hs + iter) & {bits}")
+    drawn = _hash_sql("(select hi.*, o.slot from hi join o on hi.y = o.y)", "ha", f"(hi + slot) & {bits}")
+    single = _hash_sql(_hash_sql("e", "hb", f"(hi + {score_bootstrap.APART} + j) & {bits}"), "hc", f"(hb + {0x5BD1E995}) & {bits}")
+    return f"""hi as materialized (select * from {of_iter}),
+mean as (select y, greatest(0.0::double, 1 - {score_bootstrap.BELOW}::double / sqrt(size)) as mean from (select distinct y, size from {rows})),
+th as (select y, list(ceil(cdf * {1 << 31})::bigint order by k) as ts from (select y, k, sum(case when mean > 0 then exp(-mean + k * ln(greatest(mean, 1e-300::double)) - lgamma(k + 1.0::double)) when k = 0 then 1.0::double else 0 end) over (partition by y order by k rows unbounded preceding) as cdf
+  from mean, (select unnest(range({score_bootstrap.TIMES})) as k)) group by y),
+x as materialized (select d.iter, d.y, d.slot, list_sum(list_transform(ts, lambda t: (ha >= t)::int))::bigint as times from {drawn} d join th on d.y = th.y),
+e as (select hi.*, unnest(range(size - total)) as j from hi join (select iter, y, sum(times)::bigint as total from x group by all) s on hi.iter = s.iter and hi.y = s.y),
+t as (select iter, y, slot, sum(times)::bigint as times from (select iter, y, slot, times from x where times > 0 union all select iter, y, (hb * {1 << 31} + hc) % size, 1 from {single}) group by all),
+m as (select t.iter, t.times, o.* from t join o on t.y = o.y and t.slot = o.slot)"""
 
 
 def _stirling_sql(k: str) -> str:
@@ -294,9 +302,9 @@ def _score_sql(p: str) -> str:
 
 
 @query(f"""with {_SCORED}, o as (select *, row_number() over (partition by y order by md5('0|' || doc_id), doc_id) - 1 as slot, count(*) over (partition by y) as size from s),
-d as (select iter, y, pick, count(*) as times from {_pick_sql("y || ''", "o", ITERATIONS)} group by all), m as (select d.iter, d.times, o.y, o.p, o.p_baseline from d join o on d.y = o.y and o.slot = d.pick),
-x as {_score_sql('p')}, z as {_score_sql('p_baseline')}, l as (select * from ({' union all '.join(f"select 'selected' as model, '{n}' as metric, {n} as value from x union all select 'baseline', '{n}', {n} from z union all select 'delta', '{n}', x.{n} - z.{n} from x join z using (iter)" for n in _METRICS)}))
+{_sampled_sql('o', "y || ''", ITERATIONS)},
+sx as {_score_sql('p')}, sz as {_score_sql('p_baseline')}, l as (select * from ({' union all '.join(f"select 'selected' as model, '{n}' as metric, {n} as value from sx union all select 'baseline', '{n}', {n} from sz union all select 'delta', '{n}', sx.{n} - sz.{n} from sx join sz using (iter)" for n in _METRICS)}))
 select model, metric, {_SPREAD} from l group by model, metric""")
 def bootstrap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of every score metric of two models and of their differences, over the same draws."""
-    return _short(resample.bootstrap_scores(_scores(spark, sf_dir), ("selected", "p"), ("baseline", "p_baseline"), ITERATIONS))
+    return _short(score_bootstrap.bootstrap_scores(_scores(spark, sf_dir), ("selected", "p"), ("baseline", "p_baseline"), ITERATIONS))
