@@ -103,8 +103,8 @@ def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 with d as (select doc_id, source, case when doc_id is null then coalesce(md5(text), '') else '' end as h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
-n as (select greatest(1, cast(ceil(count(*) / 1024) as bigint)) as shards from d),
-k as (select d.*, ('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '') || '|' || size || '|' || h), 1, 8))::bigint as key, shards from d, n),
+n as (select source, greatest(1, ceil(count(*) / 16384), least(ceil(count(*) / 1024), ceil(sum(size) / 16384)))::bigint as shards from d group by source),
+k as (select d.*, ('0x' || substr(md5('42|' || coalesce(doc_id::varchar, '') || '|' || size || '|' || h), 1, 8))::bigint as key, shards from d join n on d.source is not distinct from n.source),
 r as (select *, key % shards as shard from k),
 s as (select source, sum(size)::bigint as source_size from r group by source),
 w as (select *, row_number() over (order by source is null, source) - 1 as place, 2.0::double * source_size as bound from s),
@@ -119,7 +119,7 @@ u as (select place, row_number() over (order by target / (2 * i - 1) desc, place
 a as (select place, count(*) as seats from u, b where rank <= blocks group by place),
 c as (select source, shard, sum(size)::bigint as words from r group by all),
 m as (select c.*, t.place, t.source_size, t.target, coalesce(a.seats, 0) as seats from c join t on c.source is not distinct from t.source left join a on t.place = a.place),
-x as (select place, shard, seats, words, unnest(range(1, cast(ceil(seats * words / source_size) as bigint) + 50)) as i from m where words > 0 and seats > 0),
+x as (select place, shard, seats, words, unnest(range(1, cast(ceil(2 * words / 16) as bigint) + 1)) as i from m where words > 0 and seats > 0),
 y as (select place, shard, seats, row_number() over (partition by place order by words / (2 * i - 1) desc, shard, i) as rank from x),
 z as (select place, shard, count(*) as quota from y where rank <= seats group by all),
 g as (select m.*, least(coalesce(quota, 0) * 16, 2 * words) as take, cast(ceil(words / 16) as bigint) as blocks from m left join z using (place, shard)),

@@ -222,6 +222,31 @@ def test_similar_documents_in_a_template(spark):
     assert all(c in graph[i] or any(c in graph[m] for m in graph[i]) for i, c in got.items())
 
 
+def test_single_links_to_a_large_component(spark):
+    """Texts that are near one member of a component of 700 each, and hardly to another."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 30, n)]
+    base = word(120)
+    members = []
+    for _ in range(700):
+        t = list(base)
+        at = int(rng.integers(20, 110))
+        t[at : at + 1] = word(1)
+        members.append(t)
+    probes = []
+    for t in members[:24]:
+        t = list(t)
+        t[:4] = word(4)
+        t[-3:] = word(3)
+        probes.append(t)
+    grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    sets, near = [grams(t) for t in members], lambda x, y: len(x & y) / len(x | y)
+    wanted = [k for k, t in enumerate(probes) if max(near(grams(t), s) for s in sets) >= 0.8]
+    rows = [(k, " ".join(t), "s") for k, t in enumerate(members)] + [(10_000 + k, " ".join(t), "s") for k, t in enumerate(probes)]
+    found = {r.id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert len(wanted) > 12 and sum(found[10_000 + k] == 0 for k in wanted) >= 0.95 * len(wanted)
+
+
 def test_similar_documents_of_repeated_shingles(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(["0"] * 300 + [f"w{x}" for x in rng.integers(0, 10**9, 200)]) for _ in range(6)]
@@ -243,10 +268,31 @@ def sainte_lague(votes, seats):
 @given(votes=st.lists(st.integers(0, 1000), min_size=1, max_size=9).filter(any), seats=st.integers(0, 200))
 def test_apportionment(spark, votes, seats):
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(votes)], "g int, i int, v double").withColumn("seats", F.lit(seats).cast("long"))
-    got = [r.quota for r in mixing.apportion(df, ["g"], "seats", ["i"], "v").orderBy("i").collect()]
+    got = [r.quota for r in mixing.apportion(df, "g", "seats", "i", "v").orderBy("i").collect()]
     assert sum(got) == seats and got == sainte_lague(votes, seats)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_apportionment_with_bounds(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(g, i, int(rng.integers(0, 40)), int(rng.integers(0, 12))) for g in range(4) for i in range(25)]
+    seats = [30, 10_000, 0, 90]
+    df = spark.createDataFrame([(*r, seats[r[0]]) for r in rows], "g int, i int, v int, b long, seats long")
+    got = {(r.g, r.i): r.quota for r in mixing.apportion(df, "g", "seats", "i", "v", "b").collect()}
+    for g in range(4):
+        own = [r for r in rows if r[0] == g]
+        tries = sorted(((-v / (2 * k - 1), i, k) for _, i, v, b in own for k in range(1, b + 1) if v), key=lambda t: t)[: seats[g]]
+        assert [got[g, r[1]] for r in own] == [sum(i == r[1] for _, i, _ in tries) for r in own]
+
+
+def test_small_sources_get_their_words(spark):
+    """One large source and twenty small ones, of short documents: each within a block and half a hundredth of its target."""
+    large = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 30).alias("text"), F.lit("a").alias("source"))
+    small = spark.range(20 * 600).select((F.col("id") + 1_000_000).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 20 + 1).cast("int")).alias("text"), F.format_string("b%02d", F.col("id") % 20).alias("source"))
+    out = mixing.mix(large.unionByName(small)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("above")).collect()
+    assert len(out) == 21 and all(abs(r.taken - r.target) <= 16 + 0.005 * r.target and r.above <= 0 for r in out)
+
+
 def filled(sizes):
     """Targets by sharing and resharing, step by step."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
