@@ -275,8 +275,8 @@ def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, prints: D
     """(task, a, b), once each: close pairs of one cell or of met cells that the links of the heads leave in different components.
 
     held: (key, segment, value); met: (segment, left, right). Cells are cut in blocks of about ``BLOCK`` members, and a
-    task compares two blocks. A component with more members in a cell has blocks of its own, as those needn't meet. Of one with
-    more than ``stand`` members in a cell, about so many stand for it there, others in every cell.
+    task compares two blocks. A component with more members in a cell has blocks of its own, as those needn't meet. With ``stand``, of one
+    with more members in a cell about so many stand for it there, others in every cell.
     """
     sizes = groups.select("segment", "value", "size")
     alone = sizes.where("size > 2").select("segment", F.col("value").alias("left"), F.col("value").alias("right"))
@@ -310,7 +310,7 @@ def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, prints: D
     return _close_in_tasks(rows, limit).groupBy("a", "b").agg(F.min("task").alias("task")).select("task", "a", "b")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, stand: int | None = BLOCK) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, stand: int | None = None) -> DataFrame:
     """One row per row of docs: id, row (``row_hash``), component, component_id and kept, linking texts whose shingle sets have
     a Jaccard similarity of ``similarity``. Of a component the smallest id is kept; of equal ones, or where all are null, one text. Rows that repeat whole
     share their fate.
@@ -320,8 +320,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     than a similarity lower by 0.1 would allow is compared exactly, by shingle sets. First the texts of a cell (equal
     segments) are compared with its head, and the heads of cells one bit apart with each other, so a large group of
     copies is linked by a comparison a segment each. Then all members of these cells that are still in different
-    components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. A component with more than
-    ``stand`` texts in a cell is met there through so many of them, picked anew in each cell (None: through all). Texts
+    components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. With ``stand`` a component with more
+    texts in a cell is met there through so many of them, picked anew in each cell: less work, and links may be lost. Texts
     of equal shingle sets are one. Texts are told apart by ``row``, so ids may repeat or be null. Texts without words are linked with each
     other only.
     """
