@@ -188,7 +188,7 @@ def subgroup_report(predictions: DataFrame, definitions: DataFrame, reference: s
     inside = definitions.where("positive is not null")
     n = definitions.groupBy("definition").agg(F.count("positive").alias("num_included"), F.count_if("positive").alias("num_positive"), F.count_if(~F.col("positive")).alias("num_negative"))
     status = n.withColumn("status", F.when((F.col("num_positive") > 0) & (F.col("num_negative") > 0), "completed").otherwise("skipped"))
-    whole = inside.join(F.broadcast(status.where("status = 'completed'").select("definition")), "definition", "left_semi")
+    whole = inside.join(status.where("status = 'completed'").select("definition"), "definition", "left_semi")
     rows = whole.join(predictions, patient)
     metrics = outcome_metrics(rows, ["definition", "positive", "strategy"])
     acc = metrics.select("definition", "positive", "strategy", "acc", "balanced_acc")

@@ -2,7 +2,7 @@
 
 A multinomial sample of N rows is made in two parts: each row is drawn Poisson times, from a hash of row and iteration, with a mean so little below one
 that the total stays below N, and what is missing to N is drawn one by one. The first part is made where a row lies, as
-often as needed; only the second, some 8 sqrt(N) draws an iteration, is shuffled. So no row per iteration and row ever is.
+often as needed; only the second, some 7 sqrt(N) draws an iteration, is shuffled. So no row per iteration and row ever is.
 
 Rows lie in blocks by falling score, for each model. A first pass counts each block's positives and negatives in every iteration, sums
 over the blocks before say where a block begins, and a second pass adds up what every metric needs. Rows of one score may lie in several blocks.
@@ -22,10 +22,10 @@ from .ranking import ranked_by_hash
 from .resample import BITS, FIRST, SECOND, hashed, interval, stratum_number
 
 SCORE_METRICS = ("roc_auc", "average_precision", "brier_score", "log_loss", "ece", "accuracy", "balanced_accuracy", "sensitivity", "specificity")
-#: Rows of a block, and numbers of a task's matrix (rows by iterations).
-ROWS, MATRIX = 1 << 15, 1 << 21
-#: Standard deviations by which the Poisson totals stay below the sample's size (beyond: once in 10^15), counts that a row can be drawn, and what keeps the single draws' hashes apart.
-BELOW, TIMES, APART = 8.0, 20, 0x3C6EF372
+#: Least and most rows of a block (fewer blocks than tasks would leave some idle), and numbers of a task's matrix (rows by iterations).
+LEAST, MOST, MATRIX = 1 << 9, 1 << 15, 1 << 20
+#: Standard deviations by which the Poisson totals stay below the sample's size (beyond: once in 10^12), counts that a row can be drawn, and what keeps the single draws' hashes apart.
+BELOW, TIMES, APART = 7.0, 20, 0x3C6EF372
 BINS, EPS = 10, 1e-6
 SUMS = ["auc", "ap", "brier", "loss", "pos", "neg", "tp", "tn", *(f"gap{k}" for k in range(BINS))]
 
@@ -146,7 +146,7 @@ def _scratch(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed: int = 42, y: str = "y", order: str = "doc_id", block: int = ROWS) -> DataFrame:
+def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed: int = 42, y: str = "y", order: str = "doc_id", block: int | None = None) -> DataFrame:
     """(model, iter, every score metric) of stratified samples of as many rows as each class has; scores names each model's column.
 
     A class with no rows leaves metrics that need it null; rows without score or class go.
@@ -156,7 +156,8 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
     strata = Strata(placed.groupBy("y").agg(F.max("size").alias("size")).withColumn("_s", stratum_number(["y"])).collect(), seed)  # a row per class
     models = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"_{i}").alias("v")) for i, m in enumerate(scores)))
     long = placed.select("y", "slot", F.inline(models))
-    parts = max(1, math.ceil(len(scores) * sum(strata.size.values()) / block))
+    long_rows, tasks = len(scores) * sum(strata.size.values()), 2 * rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(long_rows / (block or min(MOST, max(LEAST, long_rows // tasks)))))
     ranged = long.repartitionByRange(parts, "model", F.desc("v"), F.desc(F.col("y") == 1), "slot").withColumn("part", F.spark_partition_id())
     blocks = _scratch(ranged)
     key = ["model", "part"]
@@ -171,12 +172,13 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
         n = len(a)
         yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()] * n), pa.array([group[1].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(a), pa.array(b)], ["model", "part", "iter", "a", "b"])
 
-    grouped = blocks.groupBy(*key)
+    # few bytes but much work: by number, so that blocks aren't gathered into few tasks
+    grouped = blocks.repartition(parts, *key).groupBy(*key)
     drawn = _scratch(grouped.applyInArrow(_tables(count), "model string, part int, iter int, a long, b long"))
     totals = drawn.where(F.col("model") == next(iter(scores))).groupBy("iter").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sizes = F.array(*(F.struct(F.lit(c).cast("bigint").alias("y"), F.lit(n).cast("bigint").alias("size"), (F.lit(n) - F.col("a" if c == 1 else "b")).cast("bigint").alias("n")) for c, n in strata.size.items()))
     missing = totals.select("iter", F.inline(sizes)) if strata.size else totals.select("iter", F.lit(0).alias("y"), F.lit(0).alias("n"), F.lit(0).alias("size")).where("false")
-    singles = _singles(missing.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "iter"), strata) if strata.size else missing.select("iter", "y", F.lit(0).cast("bigint").alias("slot"))
+    singles = _singles(missing.repartition(tasks, "iter"), strata) if strata.size else missing.select("iter", "y", F.lit(0).cast("bigint").alias("slot"))
     singles = _scratch(singles.join(blocks.select("y", "slot", *key), ["y", "slot"]).select(*key, "iter", "y", "slot"))
     more = singles.groupBy(*key, "iter").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b"))
     counts = drawn.unionByName(more).groupBy(*key, "iter").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -199,8 +201,10 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
         single = others.filter(pa.array(~is_start)).sort_by("iter")
         a0, b0, total = (begin[c].to_numpy() for c in ("a0", "b0", "total"))
         cut = (begin["cut0"][0].as_py(), begin["cut1"][0].as_py())
-        at = {k: i for i, k in enumerate(zip(y_.tolist(), slot_.tolist()))}
-        when, where = single["iter"].to_numpy(), np.array([at[k] for k in zip(single["y"].to_pylist(), single["slot"].to_pylist())], np.int64)
+        code = slot_ * 2 + (y_ == 1)
+        order = np.argsort(code)
+        drawn = single["slot"].to_numpy() * 2 + (single["y"].to_numpy() == 1)
+        when, where = single["iter"].to_numpy(), order[np.searchsorted(code[order], drawn)] if len(drawn) else np.zeros(0, np.int64)
         for lo, hi in _chunks(len(y_), iterations):
             x = strata.counts(y_, slot_, lo, hi)
             i, j = np.searchsorted(when, [lo, hi])
@@ -214,7 +218,7 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
                 yield pa.RecordBatch.from_arrays([names, its, *(pa.nulls(n, pa.float64()) for _ in SUMS), pa.array(np.full(n, value)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *sides], OUT)
 
     schema = "model string, iter int, " + ", ".join(f"{c} double" for c in SUMS) + ", v double, a long, b long, a0 long, b0 long"
-    found = _scratch(grouped.cogroup(given.unionByName(extra).groupBy(*key)).applyInArrow(_cogrouped(measure), schema))
+    found = _scratch(grouped.cogroup(given.unionByName(extra).repartition(parts, *key).groupBy(*key)).applyInArrow(_cogrouped(measure), schema))
     all_ = sum(strata.size.values())
     shared = found.where("v is not null").groupBy("model", "iter", "v").agg(*(F.sum(c).alias(c) for c in ("a", "b")), *(F.max(c).alias(c) for c in ("a0", "b0")))
     begin = F.lit(all_) - F.col("a0") - F.col("b0") - F.col("a") - F.col("b")

@@ -117,28 +117,63 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.col("error")) / F.sum("n")).alias("ece"))
 
 
+#: Bins of the logit, by outcome, on which the recalibration begins.
+LOGIT_BINS = 4096
+
+
+def _newton(s: list[float]) -> tuple[float, float] | None:
+    """The change of intercept and slope from a step's five sums; none if they have none."""
+    if s[0] is None or not all(map(math.isfinite, s)) or (det := s[2] * s[4] - s[3] * s[3]) == 0:
+        return None
+    return (s[4] * s[0] - s[3] * s[1]) / det, (s[2] * s[1] - s[3] * s[0]) / det
+
+
+def _first_fit(bins: list, steps: int) -> tuple[float, float]:
+    """Newton's steps over bins (mean logit, outcome, rows), on the driver: near the solution, in no job."""
+    a, b = 0.0, 1.0
+    for _ in range(steps):
+        s = [0.0] * 5
+        for x, y, n in bins:
+            h = 1 / (1 + math.exp(-min(max(a + b * x, -30.0), 30.0)))
+            w, g = max(h * (1 - h), EPS) * n, (y - h) * n
+            s = [t + v for t, v in zip(s, (g, g * x, w, w * x, w * x * x))]
+        change = _newton(s)
+        if change is None or not math.isfinite(sum(change)):
+            return 0.0, 1.0
+        a, b = a + change[0], b + change[1]
+        if max(map(abs, change)) < 1e-8:
+            return a, b
+    return 0.0, 1.0
+
+
 def calibration_fit(rows: DataFrame, y: str = "y", p: str = "p", steps: int = 100) -> DataFrame:
     """Intercept and slope of a logistic recalibration, by Newton steps; NULLs if it fails or runs off.
 
-    A step needs five sums over the distinct (score, outcome) pairs with their counts: one aggregation, of which the sums come to the driver.
+    The steps begin where those over a histogram of the logits end, so two or three are left, each an aggregation of five sums over the
+    distinct (score, outcome) pairs with their counts. The histogram and the sums come to the driver.
     """
     clipped = F.least(F.greatest(F.col(p), F.lit(EPS)), F.lit(1 - EPS))
     cells = rows.groupBy(F.ln(clipped / (1 - clipped)).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).persist()
     x, n = F.col("x"), F.col("n")
-    a, b, ok = 0.0, 1.0, True
-    for _ in range(steps):
-        linear = F.least(F.greatest(F.lit(a) + F.lit(b) * x, F.lit(-30.0)), F.lit(30.0))
-        fitted = 1 / (1 + F.exp(-linear))
-        w, g = F.greatest(fitted * (1 - fitted), F.lit(EPS)) * n, (F.col("y") - fitted) * n
-        s = cells.agg(F.sum(g), F.sum(g * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()
-        if s[0] is None or not all(map(math.isfinite, s)) or (det := s[2] * s[4] - s[3] * s[3]) == 0:
-            ok = False
-            break
-        da, db = (s[4] * s[0] - s[3] * s[1]) / det, (s[2] * s[1] - s[3] * s[0]) / det
-        a, b = a + da, b + db
-        if max(abs(da), abs(db)) < 1e-8:
-            break
-    cells.unpersist()
+    ok = True
+    try:
+        edge = math.log(1 / EPS)
+        place = F.floor((x + edge) / (2 * edge) * LOGIT_BINS)
+        bins = cells.dropna().groupBy(place.alias("bin"), "y").agg((F.sum(n * x) / F.sum(n)).alias("x"), F.sum(n).alias("n")).select("x", "y", "n").collect()  # two a bin at most, for two outcomes
+        a, b = _first_fit([tuple(r) for r in bins], steps)
+        for _ in range(steps):
+            linear = F.least(F.greatest(F.lit(a) + F.lit(b) * x, F.lit(-30.0)), F.lit(30.0))
+            fitted = 1 / (1 + F.exp(-linear))
+            w, g = F.greatest(fitted * (1 - fitted), F.lit(EPS)) * n, (F.col("y") - fitted) * n
+            change = _newton(list(cells.agg(F.sum(g), F.sum(g * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()))
+            if change is None:
+                ok = False
+                break
+            a, b = a + change[0], b + change[1]
+            if max(map(abs, change)) < 1e-8:
+                break
+    finally:
+        cells.unpersist()
     ok = ok and math.isfinite(a) and math.isfinite(b) and max(abs(a), abs(b)) <= 20
     return rows.sparkSession.createDataFrame([(round(a, 6) if ok else None, round(b, 6) if ok else None)], "intercept double, slope double")
 
