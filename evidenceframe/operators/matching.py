@@ -91,16 +91,38 @@ def match_case(records: DataFrame, cases: DataFrame, key: str = "sample_id") ->
     return r.select(key, "patient_id", "seq", chosen.alias("matched_case"), method.alias("match_method"))
 
 
-def best_overlap(cases: DataFrame, records: DataFrame, keys: list[str], case_key: str, record_key: str, z: str = "z", record_z: str = "slice_idx", box: str = "box", record_box: str = "record_box") -> DataFrame:
-    """For each case one record of the same keys: the only one at its slice, else the only one, else the one with most overlap (the first of equals)."""
-    met = cases.join(records, keys)
-    at = F.coalesce(F.col(z) == F.col(record_z), F.lit(False))
-    overlap = F.struct(F.round(iou(F.col(box), F.col(record_box)), 9).alias("iou"), (-F.col(record_key)).alias("o"))
-    g = met.groupBy(*keys, case_key).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(at).alias("_at"), F.min(F.when(at, F.col(record_key))).alias("_same"), F.max_by(record_key, overlap).alias("_best"),
-    )
+def _cells(box: Column, side: int) -> Column:
+    """Squares of a grid that a box covers; none for one that is empty or null."""
+    span = lambda a, b: F.when(box[b] >= box[a], F.sequence(F.floor(box[a] / side), F.floor(box[b] / side)))
+    rows = F.transform(span("y1", "y2"), lambda y: F.transform(span("x1", "x2"), lambda x: F.struct(x.alias("cx"), y.alias("cy"))))
+    return F.flatten(rows)
+
+
+def best_overlap(
+    cases: DataFrame, records: DataFrame, keys: list[str], case_key: str, record_key: str, z: str = "z", record_z: str = "slice_idx", box: str = "box", record_box: str = "record_box", side: int = 32,
+) -> DataFrame:
+    """For each case one record of the same keys: the only one at its slice, else the only one, else the one with most overlap (the first of equals).
+
+    Boxes meet in the squares of a grid, so comparisons follow overlaps, and a key with many cases and records is spread over its squares; a pair counts in the
+    square that holds the corner of its intersection. What needs no overlap (how many records, the first, the one at a slice) is aggregated
+    before it meets the cases; where nothing overlaps, all are equal and the first counts.
+    """
+    r = records.select(*keys, F.col(record_key).alias("_k"), F.col(record_z).alias("_rz"), F.col(record_box).alias("_rb"))
+    c = cases.select(*keys, F.col(case_key).alias("_case"), F.col(z).alias("_z"), F.col(box).alias("_b"))
+    whole = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_first"))
+    sliced = r.groupBy(*keys, F.col("_rz").alias("_z")).agg(F.count(F.lit(1)).alias("_at"), F.min("_k").alias("_same"))
+    per = c.drop("_b").join(whole, keys).join(sliced, [*keys, "_z"], "left")
+    per = per.groupBy(*keys, "_case").agg(F.sum("_n").alias("_n"), F.sum("_at").alias("_at"), F.min("_same").alias("_same"), F.min("_first").alias("_first"))
+    dealt = lambda rows, b: rows.withColumn("_s", F.explode(_cells(F.col(b), side))).select("*", "_s.cx", "_s.cy").drop("_s")
+    met = dealt(c.drop("_z"), "_b").join(dealt(r.drop("_rz"), "_rb"), [*keys, "cx", "cy"])
+    corner = lambda e: F.greatest(F.col("_b")[e], F.col("_rb")[e])
+    met = met.where((F.floor(corner("x1") / side) == F.col("cx")) & (F.floor(corner("y1") / side) == F.col("cy")))
+    overlap = F.round(iou(F.col("_b"), F.col("_rb")), 9)
+    over = met.withColumn("_o", overlap).where("_o > 0").groupBy(*keys, "_case").agg(F.max_by("_k", F.struct("_o", (-F.col("_k")).alias("o"))).alias("_best"))
+    out = per.join(over, [*keys, "_case"], "left")
     method = F.when(F.col("_at") == 1, "patient_seq_slice").when(F.col("_n") == 1, "patient_seq_single").otherwise("patient_seq_best_bbox")
-    return g.select(*keys, case_key, F.when(F.col("_at") == 1, F.col("_same")).otherwise(F.col("_best")).alias(record_key), method.alias("match_method"))
+    found = F.when(F.col("_at") == 1, F.col("_same")).otherwise(F.coalesce("_best", "_first"))
+    return out.select(*keys, F.col("_case").alias(case_key), found.alias(record_key), method.alias("match_method"))
 
 
 def first_key_match(left: DataFrame, left_keys: Column, left_id: str, right: DataFrame, right_keys: Column, right_id: str) -> DataFrame:

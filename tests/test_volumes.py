@@ -206,3 +206,39 @@ def test_detector_records(spark):
     assert {r.image_path: r.reason for r in bad.collect()} == {"b.gif": "unsupported image extension", "c.PNG": "empty bbox", None: "missing image path or bbox", "d.jpg": "missing image path or bbox", "e.jpg": "image not found"}
     good, _ = matching.detector_records(rows.where("image_path = 'e.jpg'"))
     assert tuple(good.first().box) == (0, 5, 5, 9)
+
+
+def test_best_overlap_equals_all_pairs(spark):
+    draw = np.random.default_rng(4)
+
+    def boxes(n, groups):
+        out = []
+        for k in range(n):
+            x, y, w, h = (int(v) for v in (*draw.integers(-40, 300, 2), *draw.integers(-3, 90, 2)))
+            box = None if k % 17 == 0 else (x, y, x + w, y + h)
+            out.append((int(draw.integers(0, groups)), k, int(draw.integers(0, 6)) if k % 11 else None, box))
+        return out
+
+    a, b = boxes(120, 5), boxes(200, 6)
+    kind = "struct<x1:int,y1:int,x2:int,y2:int>"
+    cases = spark.createDataFrame(a, f"g int, id int, z int, box {kind}")
+    records = spark.createDataFrame(b, f"g int, rec int, slice_idx int, record_box {kind}")
+    got = {r.id: (r.rec, r.match_method) for r in matching.best_overlap(cases, records, ["g"], "id", "rec").collect()}
+
+    def iou(p, q):
+        if p is None or q is None:
+            return 0
+        side = lambda u, v: max(0, v - u)
+        inter = side(max(p[0], q[0]), min(p[2], q[2])) * side(max(p[1], q[1]), min(p[3], q[3]))
+        total = sum(side(t[0], t[2]) * side(t[1], t[3]) for t in (p, q)) - inter
+        return round(inter / total, 9) if total else 0
+
+    want = {}
+    for g, i, z, p in a:
+        own = [r for r in b if r[0] == g]
+        at = [r for r in own if z is not None and r[2] == z]
+        if len(at) == 1:
+            want[i] = (at[0][1], "patient_seq_slice")
+        elif own:
+            want[i] = (min(own, key=lambda r: (-iou(p, r[3]), r[1]))[1], "patient_seq_single" if len(own) == 1 else "patient_seq_best_bbox")
+    assert got == want
