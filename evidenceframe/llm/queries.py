@@ -195,7 +195,7 @@ with recursive tab as (
 less as (select word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i::int - 1) || substr(word, i::int + 1)), word))) as part from words),
 near as (
   select distinct a.word, a.n, b.word as other, b.n as other_n from less a join less b using (part)
-  where a.word <> b.word and levenshtein(a.word, b.word) = 1
+  where a.word <> b.word and (length(a.word) <> length(b.word) or len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i::int, 1) <> substr(b.word, i::int, 1))) = 1)
 ), best as (select word, n, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by all),
 formed as (
   select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form, case when other_n >= 5 * w.n then other_n end as form_n
