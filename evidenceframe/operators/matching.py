@@ -129,7 +129,10 @@ def first_key_match(left: DataFrame, left_keys: Column, left_id: str, right: Dat
     """For each left row the right row met by the earliest of its keys (then by the right's earliest, then the smallest id)."""
     a = left.select(left_id, F.posexplode(left_keys).alias("_i", "_k"))
     b = right.select(right_id, F.posexplode(right_keys).alias("_j", "_k"))
-    return a.join(b, "_k").groupBy(left_id).agg(F.min_by(F.struct(right_id, F.col("_k").alias("key")), F.struct("_i", "_j", right_id)).alias("m")).select(left_id, "m.*")
+    # the best right row of a key is the same for every left row, so a key has one before it meets them
+    b = b.groupBy("_k").agg(F.min(F.struct("_j", right_id)).alias("_b"))
+    met = F.struct(F.col(f"_b.{right_id}").alias(right_id), F.col("_k").alias("key"))
+    return a.join(b, "_k").groupBy(left_id).agg(F.min_by(met, F.struct("_i", "_b")).alias("m")).select(left_id, "m.*")
 
 
 def left_with_missing(rows: DataFrame, others: DataFrame, key: str, mark: str = "resolved") -> DataFrame:
