@@ -97,9 +97,7 @@ _MODE_SQL = {
     for m, s in _MODE_SQL.items()
 ))
 def box_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _boxes(spark, sf_dir)
-    ways = F.array(*(F.struct(F.lit(m).alias("mode"), boxes.rescale(F.col("p"), 200, 300, 280, 140, m).alias("b")) for m in boxes.MODES))
-    return rows.select(*KEY, F.inline(ways)).select(*KEY, "mode", "b.*")
+    return boxes.rescaled(_boxes(spark, sf_dir), F.col("p"), 200, 300, 280, 140).select(*KEY, "mode", "x1", "y1", "x2", "y2")
 
 
 @query(f"""with r as (select *, greatest(1, px2 - px1) as bw, greatest(1, py2 - py1) as bh from fx_box), n as (select *, (px1 + bw / 2) / 280 as cx, (py1 + bh / 2) / 280 as cy, bw / 280 as w, bh / 280 as h from r),
