@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.boxes import clamp, iou
+from ..functions.boxes import clamp, empty_inside, iou
 from .checks import raise_if_any, same_keys, unique_key
 from .ranking import first_per_key
 
@@ -43,16 +43,14 @@ def detector_records(records: DataFrame, available: DataFrame | None = None) ->
 
     available(image_path), where given, says which images are there.
     """
-    clamped = clamp(F.col("box"), F.col("width"), F.col("height"))
-    rows = records.withColumn("_clamped", clamped)
+    rows, b = records, F.col("box")
     if available is not None:
         rows = left_with_missing(rows, available.select("image_path").distinct(), "image_path", "_there")
     suffix = F.lower(F.regexp_extract("image_path", r"(\.[^./]+)$", 1))
-    b = F.col("_clamped")
-    reasons = {"unsupported image extension": ~suffix.isin(*IMAGE_SUFFIXES), "empty bbox": (b["x2"] <= b["x1"]) | (b["y2"] <= b["y1"])}
+    reasons = {"unsupported image extension": ~suffix.isin(*IMAGE_SUFFIXES), "empty bbox": empty_inside(b, "width", "height")}
     lost = {} if available is None else {"image not found": ~F.col("_there")}
-    good, bad = split_valid(rows, {"missing image path or bbox": F.col("image_path").isNull() | F.col("box").isNull(), **lost, **reasons})
-    return good.withColumn("box", b).drop("_clamped", "_there"), bad.drop("_clamped", "_there")
+    good, bad = split_valid(rows, {"missing image path or bbox": F.col("image_path").isNull() | b.isNull(), **lost, **reasons})
+    return good.withColumn("box", clamp(b, "width", "height")).drop("_there"), bad.drop("_there")
 
 
 def detections_of_records(found: DataFrame, records: DataFrame, key: str = "image_path") -> DataFrame:
