@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.boxes import clamp, empty_inside, iou
+from ..functions.boxes import area, clamp, empty_inside, intersection
+from ..functions.coerce import safe_div
 from .checks import raise_if_any, same_keys, unique_key
 from .ranking import first_per_key
 
@@ -97,30 +98,44 @@ def _cells(box: Column, side: int) -> Column:
 
 
 def best_overlap(
-    cases: DataFrame, records: DataFrame, keys: list[str], case_key: str, record_key: str, z: str = "z", record_z: str = "slice_idx", box: str = "box", record_box: str = "record_box", side: int = 32,
+    cases: DataFrame, records: DataFrame, keys: list[str], case_key: str, record_key: str, z: str = "z", record_z: str = "slice_idx", box: str = "box", record_box: str = "record_box", side: int = 32, few: int = 256,
 ) -> DataFrame:
     """For each case one record of the same keys: the only one at its slice, else the only one, else the one with most overlap (the first of equals).
 
-    Boxes meet in the squares of a grid, so comparisons follow overlaps, and a key with many cases and records is spread over its squares; a pair counts in the
+    A key with up to ``few`` records meets its cases as it is, so a case is compared ``few`` times at most. Boxes of the other keys meet in the squares of
+    a grid, so comparisons follow overlaps, and a key with many cases and records is spread over its squares; a pair counts in the
     square that holds the corner of its intersection. What needs no overlap (how many records, the first, the one at a slice) is aggregated
-    before it meets the cases; where nothing overlaps, all are equal and the first counts.
+    before it meets their cases; where nothing overlaps, all are equal and the first counts.
     """
     r = records.select(*keys, F.col(record_key).alias("_k"), F.col(record_z).alias("_rz"), F.col(record_box).alias("_rb"))
     c = cases.select(*keys, F.col(case_key).alias("_case"), F.col(z).alias("_z"), F.col(box).alias("_b"))
     whole = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_first"))
-    sliced = r.groupBy(*keys, F.col("_rz").alias("_z")).agg(F.count(F.lit(1)).alias("_at"), F.min("_k").alias("_same"))
-    per = c.drop("_b").join(whole, keys).join(sliced, [*keys, "_z"], "left")
+    large = whole.where(F.col("_n") > few).select(*keys)  # no more than a record in ``few``
+    small, much = r.join(large, keys, "left_anti"), r.join(large, keys, "left_semi")
+    over = lambda met: _overlaps(met).groupBy(*keys, "_case")
+    best = F.max_by("_k", F.when(F.col("_o") > 0, F.struct("_o", (-F.col("_k")).alias("o")))).alias("_best")
+    there = F.col("_rz") == F.col("_z")
+    near = over(c.join(small, keys)).agg(F.count(F.lit(1)).alias("_n"), F.count_if(there).alias("_at"), F.min(F.when(there, F.col("_k"))).alias("_same"), F.min("_k").alias("_first"), best)
+    # the others, through the grid
+    sliced = much.groupBy(*keys, F.col("_rz").alias("_z")).agg(F.count(F.lit(1)).alias("_at"), F.min("_k").alias("_same"))
+    held = c.join(large, keys, "left_semi")
+    per = held.drop("_b").join(whole.where(F.col("_n") > few), keys).join(sliced, [*keys, "_z"], "left")
     per = per.groupBy(*keys, "_case").agg(F.sum("_n").alias("_n"), F.sum("_at").alias("_at"), F.min("_same").alias("_same"), F.min("_first").alias("_first"))
     dealt = lambda rows, b: rows.withColumn("_s", F.explode(_cells(F.col(b), side))).select("*", "_s.cx", "_s.cy").drop("_s")
-    met = dealt(c.drop("_z"), "_b").join(dealt(r.drop("_rz"), "_rb"), [*keys, "cx", "cy"])
+    met = dealt(held.drop("_z"), "_b").join(dealt(much.drop("_rz"), "_rb"), [*keys, "cx", "cy"])
     corner = lambda e: F.greatest(F.col("_b")[e], F.col("_rb")[e])
     met = met.where((F.floor(corner("x1") / side) == F.col("cx")) & (F.floor(corner("y1") / side) == F.col("cy")))
-    overlap = F.round(iou(F.col("_b"), F.col("_rb")), 9)
-    over = met.withColumn("_o", overlap).where("_o > 0").groupBy(*keys, "_case").agg(F.max_by("_k", F.struct("_o", (-F.col("_k")).alias("o"))).alias("_best"))
-    out = per.join(over, [*keys, "_case"], "left")
+    far = per.join(over(met).agg(best), [*keys, "_case"], "left")
     method = F.when(F.col("_at") == 1, "patient_seq_slice").when(F.col("_n") == 1, "patient_seq_single").otherwise("patient_seq_best_bbox")
     found = F.when(F.col("_at") == 1, F.col("_same")).otherwise(F.coalesce("_best", "_first"))
-    return out.select(*keys, F.col("_case").alias(case_key), found.alias(record_key), method.alias("match_method"))
+    return near.unionByName(far).select(*keys, F.col("_case").alias(case_key), found.alias(record_key), method.alias("match_method"))
+
+
+def _overlaps(met: DataFrame) -> DataFrame:
+    """Pairs with their overlap ``_o``; in steps, so that no step is computed twice."""
+    b, rb = F.col("_b"), F.col("_rb")
+    rows = met.withColumn("_i", intersection(b, rb)).withColumn("_u", area(b) + area(rb) - F.col("_i"))
+    return rows.withColumn("_o", F.round(safe_div("_i", "_u"), 9))
 
 
 def first_key_match(left: DataFrame, left_keys: Column, left_id: str, right: DataFrame, right_keys: Column, right_id: str) -> DataFrame:

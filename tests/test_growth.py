@@ -1,8 +1,14 @@
 """Steps whose work must not grow faster than their input."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from evidenceframe.functions import boxes
 from evidenceframe.operators import matching
+from evidenceframe.plans.registry import all_queries
+
+from .conftest import SF
 
 
 def optimized(df):
@@ -16,3 +22,33 @@ def test_alternative_keys_meet_one_row_each(spark):
     assert plan.count("Aggregate") == 2 and plan.index("Join") < plan.rindex("Aggregate")
     got = {r.a: (r.b, r.key) for r in df.collect()}
     assert got == {a: ((a % 3 - 1), a % 3) if a % 3 else (0, 9) for a in range(40)}
+
+
+def largest_method(df):
+    """Bytes of the largest method generated for a query; beyond 8,000 the JVM interprets it."""
+    debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    found = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.length()))
+
+
+def test_code_of_boxes_is_compiled(spark):
+    for name in ("box_remap", "detector_rejects"):
+        assert largest_method(all_queries()[name](spark, SF)) <= 8000, name
+
+
+def test_rescaled_boxes_by_mode(spark):
+    rows = spark.createDataFrame([(1, 5, 9, 30, 4), (2, -3, 0, 7, 7), (3, None, 1, 2, 3)], "k long, a long, b long, c long, d long").select("k", boxes.box("a", "b", "c", "d").alias("p"))
+    got = {(r.k, r.mode): (r.x1, r.y1, r.x2, r.y2) for r in boxes.rescaled(rows, F.col("p"), 40, 60, 17, 23).collect()}
+    for mode in boxes.MODES:
+        for r in rows.select("k", boxes.rescale(F.col("p"), 40, 60, 17, 23, mode).alias("b")).select("k", "b.*").collect():
+            assert got.pop((r.k, mode)) == (r.x1, r.y1, r.x2, r.y2)
+    assert not got
+
+
+def test_best_overlap_of_small_and_large_keys(spark):
+    draw = random.Random(5)
+    at = lambda n: [(draw.randrange(3), i, draw.randrange(4), draw.randrange(90), draw.randrange(90), draw.randrange(1, 60), draw.randrange(1, 60)) for i in range(n)]
+    table = lambda n, *names: spark.createDataFrame(at(n), "g int, i int, s int, x int, y int, w int, h int").select("g", F.col("i").alias(names[0]), F.col("s").alias(names[1]), boxes.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias(names[2]))
+    cases, records = table(60, "id", "z", "box"), table(14, "rec", "slice_idx", "record_box")
+    found = [sorted(map(tuple, matching.best_overlap(cases, records, ["g"], "id", "rec", few=few).collect())) for few in (0, 4, 256)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
