@@ -1,7 +1,9 @@
 """Bootstrap by counter-based draws: a draw is a function of seed, stratum, iteration and slot, so results don't depend on partitioning.
 
-Metrics of class decisions need only how often each (truth, decision) cell is drawn, which is multinomial: each count is
-a binomial number among the draws that are left, made in constant time. Work follows cells and iterations, however many rows a stratum has.
+Metrics of class decisions need only how often each (truth, decision) cell is drawn. ``drawn_counts`` draws every row of every iteration: a stratum's
+slots sorted by cell fall into few intervals, so draws are made and counted where the small table of intervals is, by integer arithmetic
+inside one generated loop. ``cell_counts`` makes the counts themselves, which are multinomial: each is a binomial number among the draws that
+are left, made in constant time.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .ranking import ranked_by_hash
 #: The hash behind a draw works on 31 bits, so that no product leaves 64.
 BITS = (1 << 31) - 1
 FIRST, SECOND = 0x2C1B3C6D, 0x297A2D39
+#: Draws that a row of work makes, and those that stand beside each other in a row of its loop.
+BLOCK, BESIDE = 1 << 16, 4
 
 
 def draw(n: Column, *parts: Column | str | int) -> Column:
@@ -110,6 +114,52 @@ def cell_counts(rows: DataFrame, strata: list[str], cell: list[str], iterations:
     return found.where("_r._ns > 0").select("iter", *strata, *(F.col(f"_r._cells.{c}.value").alias(c) for c in cell), F.col("_r._ns").alias("n"))
 
 
+def intervals_of(rows: DataFrame, strata: list[str], cell: list[str]) -> DataFrame:
+    """(strata, cell, low, high, size): a stratum's slots sorted by cell fall into few intervals; slots low to high - 1 hold rows of that cell."""
+    counts = rows.groupBy(*strata, *cell).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*strata)
+    upto = w.orderBy(*(F.col(c).asc_nulls_first() for c in cell)).rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.withColumn("high", F.sum("n").over(upto)).withColumn("size", F.sum("n").over(w))
+    return out.withColumn("low", F.col("high") - F.col("n")).drop("n")
+
+
+def drawn_counts(rows: DataFrame, strata: list[str], cell: list[str], iterations: int, seed: int) -> DataFrame:
+    """(iter, strata, cell, n): how often each cell is drawn in each iteration, with a draw for every row of a stratum.
+
+    A draw is a slot from 0 to size - 1 by a hash of seed, stratum, iteration and number. Numbers come in blocks, which are dealt over
+    the tasks, and a row of the loop holds a few draws, so that the search for its group is shared.
+    """
+    runs = intervals_of(rows, strata, cell)
+    sizes = runs.groupBy(*strata).agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("low", "high", *cell))).alias("runs"))
+    most = sizes.agg(F.max(F.size("runs"))).first()[0] or 0
+    never = 1 << 62
+    ends = [F.coalesce(F.try_element_at("runs", F.lit(k + 1))["high"], F.lit(never)).alias(f"_e{k}") for k in range(most - 1)]
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / BLOCK))
+    work = sizes.select(*strata, "size", stratum_number(strata).alias("_s"), *ends)
+    work = work.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_block", F.explode(blocks))
+    # few bytes but much work: by number, so that the rows aren't gathered into few tasks
+    work = work.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "iter", "_block", *strata)
+    work = hashed(work, "_h", (F.col("_s") + F.lit(seed * 7919)).bitwiseAND(BITS))
+    work = hashed(work, "_h", (F.col("_h") + F.col("iter")).bitwiseAND(BITS))
+    first = F.col("_block") * BLOCK
+    work = work.withColumn("_end", F.least(first + BLOCK, F.col("size")))
+    drawn = work.withColumn("_slot", F.explode(F.sequence(first, F.col("_end") - 1, F.lit(BESIDE).cast("bigint"))))
+    for j in range(BESIDE):
+        drawn = hashed(drawn, f"_a{j}", (F.col("_h") + F.col("_slot") + j).bitwiseAND(BITS))
+        drawn = hashed(drawn, f"_b{j}", (F.col(f"_a{j}") + 0x5BD1E995).bitwiseAND(BITS))
+        # never null, so that no filter on it is moved below the steps, where it would be written out in full; none beyond the end
+        pick = F.coalesce((F.shiftleft(f"_a{j}", 31) + F.col(f"_b{j}")) % F.col("size"), F.lit(0))
+        drawn = drawn.withColumn(f"_d{j}", F.when(F.col("_slot") + j < F.col("_end"), pick).otherwise(never))
+    below = lambda e: sum((F.col(f"_d{j}") < e).cast("int") for j in range(BESIDE))
+    # draws below each interval's end; an interval has those below its end but not below the one before
+    counts = drawn.groupBy("iter", *strata).agg(*(F.sum(below(F.col(f"_e{k}"))).alias(f"_n{k}") for k in range(most - 1)), F.sum(below(F.lit(never))).alias("_c"))
+    upto = [F.lit(0), *(F.col(f"_n{k}") for k in range(most - 1)), F.col("_c")]
+    counts = counts.select("iter", *(F.col(s).alias(f"_{s}") for s in strata), F.array(*(b - a for a, b in zip(upto, upto[1:]))).cast("array<bigint>").alias("_ns"))
+    met = counts.join(sizes.select(*strata, "runs"), [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata])
+    cells = met.select("iter", *strata, "_ns", F.posexplode("runs").alias("_k", "_r")).withColumn("n", F.element_at("_ns", F.col("_k") + 1)).where("n > 0")
+    return cells.select("iter", *strata, *(F.col(f"_r.{c}").alias(c) for c in cell), "n")
+
+
 def _accuracy(truth: str, pred: str) -> list[Column]:
     n = F.col("n")
     own = lambda c: F.sum(F.when(F.col(truth) == c, n))
@@ -138,7 +188,7 @@ def bootstrap_paired(rows: DataFrame, iterations: int = 200, seed: int = 42, tru
     """Intervals of the differences a - b over the same draws for both."""
     base = rows if stratified else rows.withColumn("_all", F.lit("all"))
     strata, cell = ([truth], [a, b]) if stratified else (["_all"], [truth, a, b])
-    n = cell_counts(base, strata, cell, iterations, seed)
+    n = drawn_counts(base, strata, cell, iterations, seed)
     (acc_a, bal_a), (acc_b, bal_b) = _accuracy(truth, a), _accuracy(truth, b)
     return interval(n.groupBy("iter").agg((acc_a - acc_b).alias("delta_accuracy"), (bal_a - bal_b).alias("delta_balanced_accuracy")), ["delta_accuracy", "delta_balanced_accuracy"])
 

@@ -182,6 +182,23 @@ s0 as (select i.i as iter, {', '.join(f'g.{c}' for c in keys)}, g.code, g.size a
     return ",\n".join(parts)
 
 
+def _pick_sql(name: str, rows: str, iterations: int, seed: int = 42) -> str:
+    """rows(slot, size, ...) with iter and pick: one draw for each slot and iteration."""
+    bits = resample.BITS
+    out = _hash_sql(f"(select * from {rows})", "hs", f"(('0x' || substr(md5({name}), 1, 7))::bigint + {seed * 7919}) & {bits}")
+    out = _hash_sql(f"(select o.*, i.i as iter from {out} o, (select unnest(range({iterations}))::bigint as i) i)", "hi", f"(hs + iter) & {bits}")
+    out = _hash_sql(_hash_sql(out, "ha", f"(hi + slot) & {bits}"), "hb", f"(ha + {0x5BD1E995}) & {bits}")
+    return f"(select *, (ha * {1 << 31} + hb) % size as pick from {out})"
+
+
+def _rows_sql(strata: str, cell: str, name: str, iterations: int) -> str:
+    """Draws as the operator makes them: a stratum's rows sorted by cell, a slot for each."""
+    keys = strata.split(", ")
+    return f"""r as (select *, 'all' as every from fx_patient), o as (select *, row_number() over (partition by {strata} order by {cell}) - 1 as slot, count(*) over (partition by {strata}) as size from r),
+d as (select iter, {strata}, pick, count(*) as times from {_pick_sql(name, 'o', iterations)} group by all),
+m as (select d.iter, d.times, x.* from d join o x on {' and '.join(f'd.{c} = x.{c}' for c in keys)} and x.slot = d.pick)"""
+
+
 _SPREAD = "round(avg(value), 9) as mean, round(quantile_cont(value, 0.025), 9) as low, round(quantile_cont(value, 0.975), 9) as high"
 
 
@@ -211,12 +228,12 @@ _DELTA = f"""a as (select iter, {_hits('pred_selected')} - {_hits('pred_baseline
 l as (select 'delta_accuracy' as metric, acc as value from a union all select 'delta_balanced_accuracy', bal from a)"""
 
 
-@query(f"with {_draw_sql('gt_label', 'pred_selected, pred_baseline', 'gt_label', ITERATIONS)}, {_DELTA} select metric, {_SPREAD} from l group by metric")
+@query(f"with {_rows_sql('gt_label', 'pred_selected, pred_baseline', 'gt_label', ITERATIONS)}, {_DELTA} select metric, {_SPREAD} from l group by metric")
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_paired(read(spark, sf_dir, "fx_patient"), ITERATIONS)
 
 
-@query(f"with {_draw_sql('every', 'gt_label, pred_selected, pred_baseline', 'every', ITERATIONS)}, {_DELTA} select metric, {_SPREAD} from l group by metric")
+@query(f"with {_rows_sql('every', 'gt_label, pred_selected, pred_baseline', 'every', ITERATIONS)}, {_DELTA} select metric, {_SPREAD} from l group by metric")
 def bootstrap_unstratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_paired(read(spark, sf_dir, "fx_patient"), ITERATIONS, stratified=False)
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidenceframe.functions import boxes
-from evidenceframe.operators import matching
+from evidenceframe.operators import matching, resample
 from evidenceframe.plans.registry import all_queries
 
 from .conftest import SF
@@ -52,3 +52,32 @@ def test_best_overlap_of_small_and_large_keys(spark):
     cases, records = table(60, "id", "z", "box"), table(14, "rec", "slice_idx", "record_box")
     found = [sorted(map(tuple, matching.best_overlap(cases, records, ["g"], "id", "rec", few=few).collect())) for few in (0, 4, 256)]
     assert found[0] == found[1] == found[2] and len(found[0]) == 60
+
+
+def test_every_row_of_every_iteration_is_drawn(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 12)  # several blocks, and a last one that isn't full
+    cells = {("a", None): 5, ("a", "x"): 21, ("a", "y"): 13, ("b", "x"): 1, ("b", "z"): 9}
+    rows = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "s string, c string")
+    got = {(r.iter, r.s, r.c): r.n for r in resample.drawn_counts(rows, ["s"], ["c"], 4, 42).collect()}
+
+    def mixed(x):
+        x = ((x ^ (x >> 15)) * resample.FIRST) & resample.BITS
+        x = ((x ^ (x >> 14)) * resample.SECOND) & resample.BITS
+        return x ^ (x >> 15)
+
+    want = {}
+    for s in "ab":
+        held = [k for k, n in cells.items() if k[0] == s for _ in range(n)]
+        code = spark.createDataFrame([(s,)], "s string").select(resample.stratum_number(["s"])).first()[0]
+        for i in range(4):
+            h = mixed((mixed((code + 42 * 7919) & resample.BITS) + i) & resample.BITS)
+            for slot in range(len(held)):
+                a = mixed((h + slot) & resample.BITS)
+                k = (i, *held[((a << 31) + mixed((a + 0x5BD1E995) & resample.BITS)) % len(held)])
+                want[k] = want.get(k, 0) + 1
+    assert got == want
+
+
+def test_draws_are_compiled(spark):
+    rows = spark.createDataFrame([(c, a, b) for c in "ab" for a in "abc" for b in "ab"], "t string, a string, b string")
+    assert largest_method(resample.drawn_counts(rows.withColumn("s", F.lit("all")), ["s"], ["t", "a", "b"], 9, 1)) <= 8000
