@@ -195,7 +195,7 @@ def bootstrap_paired(rows: DataFrame, iterations: int = 200, seed: int = 42, tru
 
 def bootstrap_subgroups(rows: DataFrame, group: str, iterations: int = 200, seed: int = 42, truth: str = "gt_label", pred: str = "pred_selected") -> DataFrame:
     """Intervals per subgroup, drawn within subgroup and class."""
-    n = cell_counts(rows, [group, truth], [pred], iterations, seed)
+    n = drawn_counts(rows, [group, truth], [pred], iterations, seed)
     acc, bal = _accuracy(truth, pred)
     return interval(n.groupBy("iter", group).agg(acc.alias("accuracy"), bal.alias("balanced_accuracy")), ["accuracy", "balanced_accuracy"], [group])
 

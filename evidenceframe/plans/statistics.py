@@ -238,7 +238,7 @@ def bootstrap_unstratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_paired(read(spark, sf_dir, "fx_patient"), ITERATIONS, stratified=False)
 
 
-@query(f"""with {_draw_sql('fold, gt_label', 'pred_selected', "fold || '|' || gt_label", SUBGROUP_ITERATIONS)}, {_metric('pred_selected', 'iter, fold')}, l as (select fold, 'accuracy' as metric, acc as value from a union all select fold, 'balanced_accuracy', bal from a)
+@query(f"""with {_rows_sql('fold, gt_label', 'pred_selected', "fold || '|' || gt_label", SUBGROUP_ITERATIONS)}, {_metric('pred_selected', 'iter, fold')}, l as (select fold, 'accuracy' as metric, acc as value from a union all select fold, 'balanced_accuracy', bal from a)
 select fold, metric, {_SPREAD} from l group by fold, metric""")
 def bootstrap_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_subgroups(read(spark, sf_dir, "fx_patient"), "fold", SUBGROUP_ITERATIONS)
