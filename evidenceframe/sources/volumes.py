@@ -295,7 +295,7 @@ class VolumeWriter(StagedWriter):
                 volume.add(a.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False) > 0)
                 z += 1
         close()
-        return done
+        return self.end(done)
 
     def finish(self, fs, root: str, counts: dict[str, int]) -> None:
         if self.form != "nifti":

@@ -1,12 +1,16 @@
 """Steps whose work must not grow faster than their input."""
 
+import os
+import pickle
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidenceframe.functions import boxes
 from evidenceframe.operators import matching, resample
 from evidenceframe.plans.registry import all_queries
+from evidenceframe.sources import readers, staging
 
 from .conftest import SF
 
@@ -78,6 +82,13 @@ def test_every_row_of_every_iteration_is_drawn(spark, monkeypatch):
     assert got == want
 
 
-def test_draws_are_compiled(spark):
-    rows = spark.createDataFrame([(c, a, b) for c in "ab" for a in "abc" for b in "ab"], "t string, a string, b string")
-    assert largest_method(resample.drawn_counts(rows.withColumn("s", F.lit("all")), ["s"], ["t", "a", "b"], 9, 1)) <= 8000
+def test_what_tasks_tell_the_driver_about_files_does_not_grow(spark, tmp_path):
+    batch = pa.RecordBatch.from_pydict({"name": [f"labels/train/{i}.txt" for i in range(3000)], "content": [b"1\r\n2\n"] * 3000})
+    writer = staging.NamedFilesWriter(str(tmp_path / "out"))
+    message = writer.write([batch])
+    assert len(pickle.dumps(message)) < 500
+    writer.commit([message, None])
+    assert len(os.listdir(tmp_path / "out/labels/train")) == 3000 and os.listdir(tmp_path / "out") == ["labels"]
+    names = spark.range(3000).select(F.format_string("labels/train/%d.txt", "id").alias("name"))
+    got = readers.lines_of(names, str(tmp_path / "out")).groupBy("value").count().collect()
+    assert {(r.value, r["count"]) for r in got} == {("1", 3000), ("2", 3000)}
