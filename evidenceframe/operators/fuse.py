@@ -34,8 +34,24 @@ def pick_candidate(rows: DataFrame, keys: list[str], strategy: str, label: str =
 
     Majority ties go to the class of the earliest valid candidate; within a class the most confident, then first.
     """
+    g, chosen = _candidates_of(rows, keys, label, conf, rank, [])
+    pick, scores = chosen(strategy)
+    g = g.withColumn("_pick", pick)
+    return g.select(*keys, F.col("_pick.rank").alias("selected_rank"), F.col("_pick.label").alias("pred_label"), F.col("_pick.conf").alias("selected_conf"), scores[0].alias("vote_score_infection"), scores[1].alias("vote_score_tumor"))
+
+
+def pick_candidates(rows: DataFrame, keys: list[str], strategies: tuple[str, ...], kept: list[str], label: str = "pred_label", conf: str = "conf", rank: str = "component_rank") -> DataFrame:
+    """What each strategy picks (``pick_candidate``), from one aggregation: keys, strategy, selected_rank, pred_label, selected_conf and the picked rows' ``kept`` columns."""
+    g, chosen = _candidates_of(rows, keys, label, conf, rank, kept)
+    g = g.select(*keys, *(chosen(s)[0].alias(f"_{s}") for s in strategies))
+    picks = F.array(*(F.struct(F.lit(s).alias("strategy"), F.col(f"_{s}").alias("_pick")) for s in strategies))
+    return g.select(*keys, F.inline(picks)).select(*keys, "strategy", F.col("_pick.rank").alias("selected_rank"), F.col("_pick.label").alias("pred_label"), F.col("_pick.conf").alias("selected_conf"), *(F.col(f"_pick.{c}") for c in kept))
+
+
+def _candidates_of(rows: DataFrame, keys: list[str], label: str, conf: str, rank: str, kept: list[str]) -> tuple[DataFrame, Callable[[str], tuple[Column, tuple[Column, Column]]]]:
+    """What the strategies choose among, per group, and a strategy's choice and class scores there."""
     valid = F.col(label).isin(*CLASSES)
-    item = F.struct(F.col(rank).alias("rank"), F.col(label).alias("label"), F.col(conf).alias("conf"))
+    item = F.struct(F.col(rank).alias("rank"), F.col(label).alias("label"), F.col(conf).alias("conf"), *kept)
     first = F.min_by(item, F.col(rank)).alias("_first")
     first_valid = F.min_by(item, F.when(valid, F.col(rank))).alias("_first_valid")
     strongest = lambda when: F.max_by(item, F.when(when, F.struct(F.col(conf).alias("c"), (-F.col(rank)).alias("r"))))
@@ -46,20 +62,23 @@ def pick_candidate(rows: DataFrame, keys: list[str], strategy: str, label: str =
     g = rows.groupBy(*keys).agg(*stats)
     none = F.lit(0.0)
     n_i, n_t, s_i, s_t = (F.col(x) for x in ("_n_infection", "_n_tumor", "_s_infection", "_s_tumor"))
-    if strategy == "top1_conf":
-        pick, scores = F.col("_first"), (none, none)
-    elif strategy == "first_valid":
-        pick, scores = F.coalesce("_first_valid", "_first"), (none, none)
-    elif strategy == "majority_vote":
-        lead = (n_i > n_t) | ((n_i == n_t) & (F.col("_rank_infection") < F.col("_rank_tumor")))
-        pick, scores = F.when(n_i + n_t == 0, F.col("_first")).when(lead, F.col("_best_infection")).otherwise(F.col("_best_tumor")), (n_i, n_t)
-    elif strategy == "conf_weighted_vote":
-        pick = F.when(n_i + n_t == 0, F.col("_first")).when((n_i > 0) & (n_t > 0) & (s_i == s_t), F.col("_any")).when((n_t == 0) | ((n_i > 0) & (s_i > s_t)), F.col("_best_infection")).otherwise(F.col("_best_tumor"))
-        scores = (s_i, s_t)
-    else:
-        raise ValueError(f"unknown strategy {strategy}")
-    g = g.withColumn("_pick", pick)
-    return g.select(*keys, F.col("_pick.rank").alias("selected_rank"), F.col("_pick.label").alias("pred_label"), F.col("_pick.conf").alias("selected_conf"), scores[0].alias("vote_score_infection"), scores[1].alias("vote_score_tumor"))
+
+    def chosen(strategy: str) -> tuple[Column, tuple[Column, Column]]:
+        if strategy == "top1_conf":
+            pick, scores = F.col("_first"), (none, none)
+        elif strategy == "first_valid":
+            pick, scores = F.coalesce("_first_valid", "_first"), (none, none)
+        elif strategy == "majority_vote":
+            lead = (n_i > n_t) | ((n_i == n_t) & (F.col("_rank_infection") < F.col("_rank_tumor")))
+            pick, scores = F.when(n_i + n_t == 0, F.col("_first")).when(lead, F.col("_best_infection")).otherwise(F.col("_best_tumor")), (n_i, n_t)
+        elif strategy == "conf_weighted_vote":
+            pick = F.when(n_i + n_t == 0, F.col("_first")).when((n_i > 0) & (n_t > 0) & (s_i == s_t), F.col("_any")).when((n_t == 0) | ((n_i > 0) & (s_i > s_t)), F.col("_best_infection")).otherwise(F.col("_best_tumor"))
+            scores = (s_i, s_t)
+        else:
+            raise ValueError(f"unknown strategy {strategy}")
+        return pick, scores
+
+    return g, chosen
 
 
 PICKS = ("top1_conf", "first_valid", "majority_vote", "conf_weighted_vote")

@@ -210,17 +210,10 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pick for every k, from one ranking at the largest k."""
-    rows = _candidates(spark, sf_dir).where("rank <= 5")
-    prefix = ranking.prefixes(rows, [1, 3, 5], "rank").withColumnRenamed("rank", "component_rank")
-    keys = ["top_k", "sample_id"]
-    parts = []
-    for strategy in ("top1_conf", "first_valid", "majority_vote", "conf_weighted_vote"):
-        parts.append(fuse.pick_candidate(prefix, keys, strategy).select(*keys, F.lit(strategy).alias("strategy"), "selected_rank"))
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
-    return chosen.join(rows.withColumnRenamed("rank", "selected_rank"), ["sample_id", "selected_rank"])
+    """Every pick for every k, from one ranking at the largest k and one aggregation, which needs no exchange of its own."""
+    prefix = ranking.prefixes(_candidates(spark, sf_dir).where("rank <= 5"), [1, 3, 5], "rank").withColumnRenamed("rank", "component_rank")
+    kept = ["iou", "iom", "coverage", "precision", "center_hit", "relaxed_hit", "gt_label"]
+    return fuse.pick_candidates(prefix, ["top_k", "sample_id"], fuse.PICKS, kept)
 
 
 _PICKS = f"""{_CAND}, k as (select unnest([1, 3, 5]) as top_k), t as (select top_k, c.* from c join k on rank <= top_k),

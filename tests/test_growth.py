@@ -92,3 +92,8 @@ def test_what_tasks_tell_the_driver_about_files_does_not_grow(spark, tmp_path):
     names = spark.range(3000).select(F.format_string("labels/train/%d.txt", "id").alias("name"))
     got = readers.lines_of(names, str(tmp_path / "out")).groupBy("value").count().collect()
     assert {(r.value, r["count"]) for r in got} == {("1", 3000), ("2", 3000)}
+
+
+def test_all_picks_come_from_one_ranking(spark):
+    plan = all_queries()["selection_cube"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") == 1 and "Join" not in plan
