@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .resample import BITS, FIRST, SECOND, hashed, interval, stratum_number
 
 SCORE_METRICS = ("roc_auc", "average_precision", "brier_score", "log_loss", "ece", "accuracy", "balanced_accuracy", "sensitivity", "specificity")
 #: Least and most rows of a block (fewer blocks than tasks would leave some idle), and numbers of a task's matrix (rows by iterations).
-LEAST, MOST, MATRIX = 1 << 9, 1 << 15, 1 << 20
+LEAST, MOST, MATRIX = 1 << 9, 1 << 15, 1 << 18
 #: Standard deviations by which the Poisson totals stay below the sample's size (beyond: once in 10^12), counts that a row can be drawn, and what keeps the single draws' hashes apart.
 BELOW, TIMES, APART = 7.0, 20, 0x3C6EF372
 BINS, EPS = 10, 1e-6
@@ -179,7 +180,8 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
     sizes = F.array(*(F.struct(F.lit(c).cast("bigint").alias("y"), F.lit(n).cast("bigint").alias("size"), (F.lit(n) - F.col("a" if c == 1 else "b")).cast("bigint").alias("n")) for c, n in strata.size.items()))
     missing = totals.select("iter", F.inline(sizes)) if strata.size else totals.select("iter", F.lit(0).alias("y"), F.lit(0).alias("n"), F.lit(0).alias("size")).where("false")
     singles = _singles(missing.repartition(tasks, "iter"), strata) if strata.size else missing.select("iter", "y", F.lit(0).cast("bigint").alias("slot"))
-    singles = _scratch(singles.join(blocks.select("y", "slot", *key), ["y", "slot"]).select(*key, "iter", "y", "slot"))
+    # both sides are dealt: files of numbers are small, but as a table sent through the driver they are a multiple of that
+    singles = _scratch(singles.hint("merge").join(blocks.select("y", "slot", *key), ["y", "slot"]).select(*key, "iter", "y", "slot"))
     more = singles.groupBy(*key, "iter").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") != 1).alias("b"))
     counts = drawn.unionByName(more).groupBy(*key, "iter").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = Window.partitionBy("model", "iter").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,21 +192,23 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
     ends = blocks.groupBy(*key).agg(F.max("v").alias("high"), F.min("v").alias("low"))
     beside = Window.partitionBy("model").orderBy("part")
     cuts = ends.select(*key, F.coalesce(F.lag("low").over(beside) == F.col("high"), F.lit(False)).alias("cut0"), F.coalesce(F.lead("high").over(beside) == F.col("low"), F.lit(False)).alias("cut1"))
-    given = starts.join(cuts, key).select(*key, "iter", "a0", "b0", "total", "cut0", "cut1", F.lit(None).cast("bigint").alias("y"), F.lit(None).cast("bigint").alias("slot"))
-    extra = singles.select(*key, "iter", *(F.lit(None).cast(t).alias(c) for c, t in (("a0", "bigint"), ("b0", "bigint"), ("total", "bigint"), ("cut0", "boolean"), ("cut1", "boolean"))), "y", "slot")
+    # a row per block and iteration, with what is drawn singly there as a list: a row per draw is a multiple of that in a task
+    extra = singles.groupBy(*key, "iter").agg(F.collect_list(F.col("slot") * 2 + (F.col("y") == 1).cast("bigint")).alias("drawn"))
+    given = starts.join(cuts, key).join(extra, [*key, "iter"], "left").select(*key, "iter", "a0", "b0", "total", "cut0", "cut1", "drawn")
 
     def measure(group, table, others):
         name = group[0].as_py()
         y_, slot_, v_ = _sorted(table)
-        is_start = others["y"].is_null().to_numpy()
-        begin = others.filter(pa.array(is_start)).sort_by("iter")
-        single = others.filter(pa.array(~is_start)).sort_by("iter")
+        begin = others.sort_by("iter")
         a0, b0, total = (begin[c].to_numpy() for c in ("a0", "b0", "total"))
         cut = (begin["cut0"][0].as_py(), begin["cut1"][0].as_py())
         code = slot_ * 2 + (y_ == 1)
         order = np.argsort(code)
-        drawn = single["slot"].to_numpy() * 2 + (single["y"].to_numpy() == 1)
-        when, where = single["iter"].to_numpy(), order[np.searchsorted(code[order], drawn)] if len(drawn) else np.zeros(0, np.int64)
+        lists = begin["drawn"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        drawn = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        when = np.repeat(begin["iter"].to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        where = order[np.searchsorted(code[order], drawn)] if len(drawn) else np.zeros(0, np.int64)
         for lo, hi in _chunks(len(y_), iterations):
             x = strata.counts(y_, slot_, lo, hi)
             i, j = np.searchsorted(when, [lo, hi])
@@ -218,7 +222,7 @@ def draw_metrics(rows: DataFrame, scores: dict[str, str], iterations: int, seed:
                 yield pa.RecordBatch.from_arrays([names, its, *(pa.nulls(n, pa.float64()) for _ in SUMS), pa.array(np.full(n, value)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *sides], OUT)
 
     schema = "model string, iter int, " + ", ".join(f"{c} double" for c in SUMS) + ", v double, a long, b long, a0 long, b0 long"
-    found = _scratch(grouped.cogroup(given.unionByName(extra).repartition(parts, *key).groupBy(*key)).applyInArrow(_cogrouped(measure), schema))
+    found = _scratch(grouped.cogroup(given.repartition(parts, *key).groupBy(*key)).applyInArrow(_cogrouped(measure), schema))
     all_ = sum(strata.size.values())
     shared = found.where("v is not null").groupBy("model", "iter", "v").agg(*(F.sum(c).alias(c) for c in ("a", "b")), *(F.max(c).alias(c) for c in ("a0", "b0")))
     begin = F.lit(all_) - F.col("a0") - F.col("b0") - F.col("a") - F.col("b")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidenceframe.functions import boxes
-from evidenceframe.operators import matching, resample
+from evidenceframe.operators import matching, resample, score_bootstrap
 from evidenceframe.plans.registry import all_queries
 from evidenceframe.sources import readers, staging
 
@@ -97,3 +97,12 @@ def test_what_tasks_tell_the_driver_about_files_does_not_grow(spark, tmp_path):
 def test_all_picks_come_from_one_ranking(spark):
     plan = all_queries()["selection_cube"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") == 1 and "Join" not in plan
+
+
+def test_single_draws_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, scratch = [], score_bootstrap._scratch
+    monkeypatch.setattr(score_bootstrap, "_scratch", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or scratch(rows))
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("y"), (F.col("id") / 60).alias("p"))
+    assert score_bootstrap.draw_metrics(rows, {"one": "p"}, 2).count() == 2
+    met = [p for p in plans if "slot" in p and "Join [y" in p and "_j" in p]
+    assert met and all("SortMergeJoin [y" in p for p in met)
