@@ -28,8 +28,10 @@ from .common import column, join_counted, materialise, text_or_empty
 from .components import components
 
 WAYS = list(combinations(range(4), 2))
-#: Members of a cell that are compared with as many others at a time.
-BLOCK = 256
+#: Members that are compared with as many others at a time, and those that a task compares with as many others.
+BLOCK, TASK = 256, 1024
+#: Least and most counts of a text's shingles.
+COUNTS = 256, 8192
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -216,29 +218,72 @@ def _by_task(batches, read):
         yield open_, held
 
 
-def _close_in_tasks(rows: DataFrame, limit: int) -> DataFrame:
-    """(task, a, b): keys of different roots whose fingerprints differ in ``limit`` bits at most, for rows(task, side, key,
-    root, prints). Side 0 meets side 1; rows of side 2 meet each other."""
+def shingle_counts(sets: DataFrame) -> DataFrame:
+    """(key, size, counts) of sets(key, shingles): how many hashes end in the same bits, a byte each, at 255 most. There are about as many counts
+    as hashes, ``COUNTS`` at most."""
+
+    def scan(batches):
+        for batch in batches:
+            sizes, counts = [], []
+            for h in column(batch, "shingles"):
+                h = h.values.to_numpy()
+                wide = min(max(1 << len(h).bit_length(), COUNTS[0]), COUNTS[1])
+                sizes.append(len(h))
+                counts.append(np.minimum(np.bincount(h & (wide - 1), minlength=wide), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())], ["key", "size", "counts"])
+
+    return sets.mapInArrow(scan, "key long, size long, counts binary")
+
+
+def _can_be_similar(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, counts: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the pairs of places x, y may have a Jaccard similarity of ``similarity``: sets whose counts differ by d in all differ in d
+    hashes at least, so none is lost."""
+    out = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])
+    most = (1 - similarity) / (1 + similarity) * (sizes[x] + sizes[y]) + 1e-6
+    wide = np.fromiter(map(len, counts), np.int64, len(counts))
+    level = np.minimum(wide[x], wide[y])
+    for m in np.unique(level[out]).tolist():
+        own = np.flatnonzero(out & (level == m))
+        used = np.unique(np.concatenate([x[own], y[own]]))
+        table = np.stack([counts[k].reshape(-1, m).sum(axis=0, dtype=np.int16) for k in used.tolist()])
+        for at in range(0, len(own), step := max(1, (1 << 21) // m)):
+            part = own[at : at + step]
+            apart = np.abs(table[np.searchsorted(used, x[part])] - table[np.searchsorted(used, y[part])]).sum(axis=1, dtype=np.int64)
+            out[part] = apart <= most[part]
+    return out
+
+
+def _close_in_tasks(rows: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """(task, a, b): keys of different roots, in cells one bit apart at most, whose fingerprints differ in ``limit`` bits at most and whose counts
+    don't rule the similarity out, for rows(task, side, way, rest, key, root, prints, size, counts). Side 0 meets side 1; rows of side 2 meet each other."""
 
     def scan(batches):
         def read(batch):
-            prints = column(batch, "prints")
-            return [*(column(batch, c).to_numpy() for c in ("side", "key", "root")), prints.flatten().to_numpy().reshape(len(prints), -1).view(np.uint64)]
+            prints, counts = column(batch, "prints"), [np.frombuffer(c.as_buffer(), np.uint8) for c in column(batch, "counts")]
+            return [*(column(batch, c).to_numpy() for c in ("side", "way", "rest", "key", "root", "size")), prints.flatten().to_numpy().reshape(len(prints), -1).view(np.uint64)], counts
 
         for task, parts in _by_task(batches, read):
-            side, key, root, prints = (np.concatenate(c) for c in zip(*parts))
+            side, way, rest, key, root, size, prints = (np.concatenate(c) for c in zip(*(p[0] for p in parts)))
+            counts = [c for p in parts for c in p[1]]
             xs, ys = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             for at in range(0, len(xs), BLOCK):
                 x = xs[at : at + BLOCK]
                 for beside in range(0, len(ys), BLOCK):
                     y = ys[beside : beside + BLOCK]
-                    apart = np.zeros((len(x), len(y)), np.int64)
+                    bits = np.bitwise_count(rest[x][:, None] ^ rest[y][None, :])
+                    # members of one cell meet where the first half is shared
+                    i, j = np.nonzero((bits <= 1) & (bits >= way[0]) & (root[x][:, None] != root[y][None, :]))
+                    one, two = x[i], y[j]
+                    once = (side[one] != 2) | (one < two)
+                    one, two = one[once], two[once]
+                    apart = np.zeros(len(one), np.int64)
                     for w in range(prints.shape[1]):
-                        apart += np.bitwise_count(prints[x, w][:, None] ^ prints[y, w][None, :])
-                    near = (apart <= limit) & (root[x][:, None] != root[y][None, :])
-                    i, j = np.nonzero(near)
-                    one, two = key[x[i]], key[y[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), task)), pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["task", "a", "b"])
+                        apart += np.bitwise_count(prints[one, w] ^ prints[two, w])
+                    one, two = one[apart <= limit], two[apart <= limit]
+                    alike = _can_be_similar(one, two, size, counts, similarity)
+                    if alike.any():
+                        a, b = key[one[alike]], key[two[alike]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), task)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["task", "a", "b"])
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(scan, "task long, a long, b long")
 
@@ -271,12 +316,12 @@ def _alike_in_tasks(close: DataFrame, sets: DataFrame, similarity: float) -> Dat
     return rows.repartition("task").sortWithinPartitions("task", F.col("b").asc_nulls_first()).mapInArrow(scan, "a long, b long")
 
 
-def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, prints: DataFrame, roots: DataFrame, limit: int, stand: int | None) -> DataFrame:
-    """(task, a, b), once each: close pairs of one cell or of met cells that the links of the heads leave in different components.
+def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, roots: DataFrame, half: int, stand: int | None) -> DataFrame:
+    """(segment, way, shared, rest, key, root): members of cells that meet, or of one cell, and that the links of the heads leave in different components.
 
-    held: (key, segment, value); met: (segment, left, right). Cells are cut in blocks of about ``BLOCK`` members, and a
-    task compares two blocks. A component with more members in a cell has blocks of its own, as those needn't meet. With ``stand``, of one
-    with more members in a cell about so many stand for it there, others in every cell.
+    held: (key, segment, value); met: (segment, left, right). Cells that meet have the first or the second half of their bits in common (way 0
+    or 1), so those that share a half come together, and a member stands there once a way, however many cells its own meets. With ``stand``, of
+    a component with more members in a cell about so many stand for it there, others in every cell.
     """
     sizes = groups.select("segment", "value", "size")
     alone = sizes.where("size > 2").select("segment", F.col("value").alias("left"), F.col("value").alias("right"))
@@ -291,23 +336,36 @@ def _rest_of_cells(held: DataFrame, groups: DataFrame, met: DataFrame, prints: D
         large = members.groupBy(*cell, "root").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > stand)
         chosen = F.pmod(F.xxhash64("segment", "key"), F.ceil(F.col("own") / stand)) == 0
         members = materialise(members.join(large, [*cell, "root"], "left").where(F.col("own").isNull() | chosen).drop("own"))
-    own = members.groupBy(*cell, "root").agg(F.count(F.lit(1)).alias("own"))
-    whole = own.groupBy(*cell).agg(F.sum("own").alias("all"))
-    parts = lambda c: F.ceil(F.col(c) / BLOCK)
-    block = F.when(F.col("own") > BLOCK, F.xxhash64("root", F.pmod("key", parts("own")))).otherwise(F.pmod(F.xxhash64("root"), parts("all")))
-    members = materialise(members.join(own, [*cell, "root"]).join(whole, cell).select(*cell, "key", "root", block.alias("block")))
-    blocks = members.groupBy(*cell, "block").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    side = lambda c: blocks.select("segment", F.col("value").alias(c), F.col("block").alias(f"{c}_block"), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most"))
-    tasks = pairs.join(side("left"), ["segment", "left"]).join(side("right"), ["segment", "right"])
-    tasks = tasks.where("(left <> right or left_block <= right_block) and least(left_least, right_least) <> greatest(left_most, right_most)")
-    tasks = materialise(tasks.select("segment", "left", "right", "left_block", "right_block").withColumn("task", F.xxhash64("segment", "left", "right", "left_block", "right_block")))
-    itself = (F.col("left") == F.col("right")) & (F.col("left_block") == F.col("right_block"))
-    sides = tasks.select("segment", "task", F.inline(F.array(
-        F.struct(F.col("left").alias("value"), F.col("left_block").alias("block"), F.when(itself, 2).otherwise(0).alias("side")),
-        F.struct(F.col("right").alias("value"), F.col("right_block").alias("block"), F.when(itself, 3).otherwise(1).alias("side")),
-    ))).where("side < 3")
-    rows = sides.join(members, [*cell, "block"]).join(prints, "key").select("task", "side", "key", "root", "prints")
-    return _close_in_tasks(rows, limit).groupBy("a", "b").agg(F.min("task").alias("task")).select("task", "a", "b")
+    spread = materialise(members.groupBy(*cell).agg(F.min("root").alias("least"), F.max("root").alias("most")))
+    side = lambda c: spread.select("segment", F.col("value").alias(c), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most"))
+    pairs = pairs.join(side("left"), ["segment", "left"]).join(side("right"), ["segment", "right"]).where("least(left_least, right_least) <> greatest(left_most, right_most)")
+    first, second = (lambda c: F.shiftright(c, half)), (lambda c: F.col(c).bitwiseAND((1 << half) - 1))
+    way = F.when(first("left") == first("right"), 0).otherwise(1)
+    wanted = pairs.select("segment", way.alias("way"), F.explode(F.array("left", "right")).alias("value")).distinct()
+    shared, rest = (F.when(F.col("way") == k, first("value")).otherwise(second("value")) for k in (0, 1))
+    return materialise(members.join(wanted, cell).select("segment", "way", shared.alias("shared"), rest.alias("rest"), "key", "root"))
+
+
+def _tasks_of(members: DataFrame) -> DataFrame:
+    """(task, side, way, rest, key, root) of members(segment, way, shared, rest, key, root): what shares a half of a segment meets in a task.
+
+    More than ``TASK`` members are cut in blocks, and a task compares two of them. A component with more members there has blocks of its own, as
+    those needn't meet, and the blocks of the others are counted without it.
+    """
+    group = ["segment", "way", "shared"]
+    own = materialise(members.groupBy(*group, "root").agg(F.count(F.lit(1)).alias("own")))
+    others = own.groupBy(*group).agg(F.sum(F.when(F.col("own") <= TASK, F.col("own")).otherwise(0)).alias("others"))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / TASK), F.lit(1))
+    block = F.when(F.col("own") > TASK, F.xxhash64("root", F.pmod("key", parts("own")))).otherwise(F.pmod(F.xxhash64("root"), parts("others")))
+    members = materialise(members.join(own.join(others, group), [*group, "root"]).select(*group, "rest", "key", "root", block.alias("block")))
+    blocks = materialise(members.groupBy(*group, "block").agg(F.min("root").alias("least"), F.max("root").alias("most")))
+    side = lambda c: blocks.select(*group, F.col("block").alias(c), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most"))
+    pairs = side("left").join(side("right"), group).where("left <= right and least(left_least, right_least) <> greatest(left_most, right_most)")
+    itself = F.col("left") == F.col("right")
+    sides = pairs.withColumn("task", F.xxhash64(*group, "left", "right")).select(*group, "task", F.inline(F.when(itself, F.array(F.struct(F.col("left").alias("block"), F.lit(2).alias("side")))).otherwise(
+        F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")), F.struct(F.col("right").alias("block"), F.lit(1).alias("side")))
+    )))
+    return sides.join(members, [*group, "block"]).select("task", "side", "way", "rest", "key", "root")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95, seed: int = 42, stand: int | None = None) -> DataFrame:
@@ -320,7 +378,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     than a similarity lower by 0.1 would allow is compared exactly, by shingle sets. First the texts of a cell (equal
     segments) are compared with its head, and the heads of cells one bit apart with each other, so a large group of
     copies is linked by a comparison a segment each. Then all members of these cells that are still in different
-    components are compared, in blocks: as many comparisons as a cell has pairs, if few of its texts are similar. With ``stand`` a component with more
+    components are compared: as many comparisons as a cell has pairs, if few of its texts are similar, but all of it in tasks that get a member twice a
+    segment (in blocks where more than ``TASK`` share a half of it) and give back only pairs that counts of the shingles don't rule out. With ``stand`` a component with more
     texts in a cell is met there through so many of them, picked anew in each cell: less work, and links may be lost. Texts
     of equal shingle sets are one. Texts are told apart by ``row``, so ids may repeat or be null. Texts without words are linked with each
     other only.
@@ -353,18 +412,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # The exact check, for what is close: shingle sets, of one text each.
     texts = docs.select(row_hash(id_col, text_col).alias("row"), text_or_empty(text_col).alias("text"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("least.row").alias("row")), "key")
+    def sets_of(keys: DataFrame) -> DataFrame:
+        named = keys.distinct().join(classes.select("key", F.col("least.row").alias("row")), "key")
         return shingle_sets(texts.join(named, "row").select("key", "text"), width, seed).dropDuplicates(["key"])
 
-    sets = sets_of(close)
+    sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("key")))
     both = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = materialise(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
     roots = materialise(components(links).select(F.col("vertex").alias("key"), "root"))
     # What the heads left apart.
-    close = materialise(_rest_of_cells(held, groups, met, p, roots, limit, stand))
-    more = materialise(_alike_in_tasks(close, sets_of(close), similarity))
+    apart = _rest_of_cells(held, groups, met, roots, half, stand)
+    sets = materialise(sets_of(apart.select("key")))
+    known = materialise(p.join(shingle_counts(sets), "key"))
+    close = _close_in_tasks(_tasks_of(apart).join(known, "key"), limit, similarity)
+    close = materialise(close.groupBy("a", "b").agg(F.min("task").alias("task")).select("task", "a", "b"))
+    more = materialise(_alike_in_tasks(close, sets, similarity))
     if not more.isEmpty():
         roots = components(links.union(more)).select(F.col("vertex").alias("key"), "root")
     named = materialise(classes.join(roots, "key", "left").select("key", "times", "least", F.coalesce("root", "key").alias("root")))
