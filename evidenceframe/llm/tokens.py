@@ -26,8 +26,11 @@ SPACED = re.compile(r" (?=\S)")
 ODD = "[ ](?:[\\x00-\\x20\\x7f-\\x{a0}]|[^\\x00-\\x{24f}]|$)"
 #: Strings that no normalizer changes but for case (U+0130 becomes two characters).
 LATIN = re.compile("[\x00-\x7f\xa1-\u012f\u0131-\u024f]*")
-#: The pattern of byte-level pre-tokenizers; a fixed value of that format.
+#: Parts that Arrow can cut: printable, without white space.
+PLAIN = "^[\\x21-\\x7e\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]+$"
+#: The pattern of byte-level pre-tokenizers; a fixed value of that format. The second is what is left of it where a plain part follows a space.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_PIECE = BYTE_LEVEL.removesuffix(r"|\s+(?!\S)|\s+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -130,12 +133,33 @@ class Encoder:
             return texts, np.ones(len(texts), np.int64)
         return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
+    def _cut_plain(self, parts: list) -> tuple[np.ndarray, pa.Array | None]:
+        """Which parts follow a space and hold printable Latin characters only, and the pre-tokens of each."""
+        after = np.flatnonzero(np.fromiter((type(p) is str for p in parts), bool, len(parts)))
+        if not len(after):
+            return after, None
+        texts = pa.array([parts[k] for k in after.tolist()], pa.string())
+        plain = pc.match_substring_regex(texts, PLAIN)
+        texts = pc.binary_join_element_wise(" ", texts.filter(plain), "")
+        marked = pc.replace_substring_regex(texts, PLAIN_PIECE, "\\0\x1f")
+        return after[plain.to_numpy(zero_copy_only=False)], pc.split_pattern(pc.utf8_rtrim(marked, "\x1f"), "\x1f")
+
+    def _shown(self, piece: str) -> str:
+        """A pre-token in the byte-level alphabet."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.characters[32])
+        return piece.encode().decode("latin-1").translate(self.characters)
+
     def _learn(self, parts: list) -> None:
         """Find the ids of new parts. Parts of Latin letters and ASCII marks are cut into pre-tokens, which recur most."""
         byte, simple = self.kind == "byte", self.kind != "whole"
         found: list[str] = []
         counts, whole = np.zeros(len(parts), np.int64), []
-        for k, p in enumerate(parts):
+        plain, plain_pieces = self._cut_plain(parts) if byte else (np.zeros(0, np.int64), None)
+        rest = np.ones(len(parts), bool)
+        rest[plain] = False
+        for k in np.flatnonzero(rest).tolist():
+            p = parts[k]
             s = p.decode("utf-8") if isinstance(p, bytes) else " " + p if byte else p
             if simple and (s.isascii() or LATIN.fullmatch(s)):
                 pieces = self.pattern.findall(s if byte else s.lower())
@@ -146,8 +170,16 @@ class Encoder:
         if len(self.pieces) > self.limit:
             self.pieces = _Store()
         at = self.pieces.find(found, len(found))
+        if len(plain):
+            seen = plain_pieces.flatten().dictionary_encode()
+            own = self.pieces.find(seen.dictionary.to_pylist(), len(seen.dictionary))[seen.indices.to_numpy()]
+            counts[plain] = np.diff(plain_pieces.offsets.to_numpy())
+            is_plain = np.repeat(~rest, counts)
+            both = np.empty(len(is_plain), np.int64)
+            both[is_plain], both[~is_plain] = own, at
+            at = both
         if new := self.pieces.new:
-            ids = [[t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.characters))] for x in new]
+            ids = [[t.id for t in self.model.tokenize(self._shown(x))] for x in new]
             self.pieces.learn(*_flat(ids))
         flat, ends = self.pieces.gather(at)
         lens = _bounds(ends, counts)
