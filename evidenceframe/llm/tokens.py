@@ -1,7 +1,8 @@
 """Fast exact encoding of many texts with a tokenizers file.
 
-A text is cut where no token can cross, the parts met before are looked up, and only new parts go through the
-tokenizers library. The cuts hold for two pre-tokenizers, recognised from the file:
+A text is cut where no token can cross, and each different part is encoded once for an array of texts. Parts of Latin
+letters and marks are cut into pre-tokens, of which those met before are looked up; only new ones, and other parts, go
+through the tokenizers library. The cuts hold for two pre-tokenizers, recognised from the file:
 
 * byte-level with the usual pattern and no normalizer: a token never crosses into a space that is followed by
   a character that isn't white space;
@@ -15,6 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +29,22 @@ SPACED = re.compile(r" (?=\S)")
 ODD = "[ ](?:[\\x00-\\x20\\x7f-\\x{a0}]|[^\\x00-\\x{24f}]|$)"
 #: Strings that no normalizer changes but for case (U+0130 becomes two characters).
 LATIN = re.compile("[\x00-\x7f\xa1-\u012f\u0131-\u024f]*")
-#: Parts that Arrow can cut: printable, without white space.
-PLAIN = "^[\\x21-\\x7e\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]+$"
+#: Parts that Arrow can cut: printable, without white space but for single line feeds.
+PLAIN = "^(?:{0}\\n?)+$".format("[\\x21-\\x7e\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]")
 #: The pattern of byte-level pre-tokenizers; a fixed value of that format. The second is what is left of it where a plain part follows a space.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN_PIECE = BYTE_LEVEL.removesuffix(r"|\s+(?!\S)|\s+")
+PLAIN_PIECE = BYTE_LEVEL.removesuffix(r"|\s+(?!\S)|\s+") + r"|\n"
+#: Stands between pieces; no piece holds it.
+MARK = "\ue000"
 
 
-def _byte_characters() -> dict[int, str]:
+def _byte_characters() -> np.ndarray:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    out = np.arange(256, dtype="<u4")
+    out[hidden] = 256 + np.arange(len(hidden))
+    return out
 
 
 class _Store(dict):
@@ -49,14 +56,16 @@ class _Store(dict):
         self.pool, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def __missing__(self, part):
-        at = self[part] = len(self)
-        self.new.append(part)
+    def find(self, parts: list, count: int) -> np.ndarray:
+        at = np.fromiter(map(self.get, parts, repeat(-1)), np.int64, count)
+        if len(lost := np.flatnonzero(at < 0)):
+            missing = [parts[k] for k in lost.tolist()]
+            new = list(dict.fromkeys(missing))
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.new += new
+            at[lost] = np.fromiter(map(self.__getitem__, missing), np.int64, len(missing))
         return at
 
-    def find(self, parts, count: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, parts), np.int64, count)
-
     def learn(self, flat: np.ndarray, lens: np.ndarray) -> None:
         """The ids of the parts in ``new``."""
         n, begin, end = len(self), len(self) - len(lens), self.used + len(flat)
@@ -71,11 +80,20 @@ class _Store(dict):
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these parts in a row, and where each part's ids end."""
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        where = np.repeat(self.starts[at] - (ends - lens), lens)
+        return _gather(self.pool, self.starts, self.lens, at)
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, all_lens: np.ndarray, at: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of parts in a row, and where each part's ids end; block after block, as places take more room than ids."""
+    lens = all_lens.take(at)
+    ends = np.cumsum(lens)
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    for k in range(0, len(at), block):
+        size, done = lens[k : k + block], int(ends[k] - lens[k])
+        where = np.repeat(starts.take(at[k : k + block]) - (ends[k : k + block] - size) + done, size)
         where += np.arange(len(where))
-        return self.pool[where], ends
+        flat[done : done + len(where)] = pool[where]
+    return flat, ends
 
 
 def _bounds(ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -133,54 +151,70 @@ class Encoder:
             return texts, np.ones(len(texts), np.int64)
         return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
-    def _cut_plain(self, parts: list) -> tuple[np.ndarray, pa.Array | None]:
-        """Which parts follow a space and hold printable Latin characters only, and the pre-tokens of each."""
-        after = np.flatnonzero(np.fromiter((type(p) is str for p in parts), bool, len(parts)))
-        if not len(after):
-            return after, None
-        texts = pa.array([parts[k] for k in after.tolist()], pa.string())
-        plain = pc.match_substring_regex(texts, PLAIN)
-        texts = pc.binary_join_element_wise(" ", texts.filter(plain), "")
+    def _spaced(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts that follow a space: an array of ids, where each part's begin there, and how many they are."""
+        plain = pc.match_substring_regex(parts, PLAIN)
+        texts = pc.binary_join_element_wise(" ", parts.filter(plain), "")
         marked = pc.replace_substring_regex(texts, PLAIN_PIECE, "\\0\x1f")
-        return after[plain.to_numpy(zero_copy_only=False)], pc.split_pattern(pc.utf8_rtrim(marked, "\x1f"), "\x1f")
-
-    def _shown(self, piece: str) -> str:
-        """A pre-token in the byte-level alphabet."""
-        if piece.isascii() and piece.isprintable():
-            return piece.replace(" ", self.characters[32])
-        return piece.encode().decode("latin-1").translate(self.characters)
+        pieces = pc.split_pattern(pc.utf8_rtrim(marked, "\x1f"), "\x1f")
+        seen = pieces.flatten().dictionary_encode()
+        names = seen.dictionary.to_pylist()
+        at = self._find_pieces(names)
+        if len(self.pieces) > self.limit:  # these go on, as what is frequent is among them
+            known, self.pieces = self.pieces, _Store()
+            flat, ends = known.gather(at)
+            at = self.pieces.find(names, len(names))
+            self.pieces.learn(flat, np.diff(ends, prepend=0))
+        flat, ends = self.pieces.gather(at.take(seen.indices.to_numpy()))
+        lens, is_plain = np.zeros(len(parts), np.int64), plain.to_numpy(zero_copy_only=False)
+        lens[is_plain] = _bounds(ends, np.diff(pieces.offsets.to_numpy()))
+        flats = [flat]
+        if not is_plain.all():
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in parts.filter(pc.invert(plain)).to_pylist()], add_special_tokens=False)]
+            other, lens[~is_plain] = _flat(ids)
+            flats.append(other)
+        starts = np.zeros(len(parts), np.int64)
+        for those in (is_plain, ~is_plain):
+            starts[those] = np.cumsum(lens[those]) - lens[those]
+        starts[~is_plain] += len(flat)
+        return np.concatenate(flats), starts, lens
+
+    def _shown(self, pieces: list[str]) -> list[str]:
+        """Pre-tokens in the byte-level alphabet."""
+
+        def shown(text: str) -> str:
+            return self.characters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+        return shown(MARK.join(pieces)).split(shown(MARK))
+
+    def _find_pieces(self, pieces: list[str]) -> np.ndarray:
+        """Where pre-tokens stand among those known; new ones are given to the model."""
+        at = self.pieces.find(pieces, len(pieces))
+        if new := self.pieces.new:
+            flats, lens = [], []
+            for k in range(0, len(new), 10_000):
+                tokens = list(map(self.model.tokenize, self._shown(new[k : k + 10_000])))
+                lens.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                flats.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), np.uint32, int(lens[-1].sum())))
+            self.pieces.learn(np.concatenate(flats), np.concatenate(lens))
+        return at
 
     def _learn(self, parts: list) -> None:
-        """Find the ids of new parts. Parts of Latin letters and ASCII marks are cut into pre-tokens, which recur most."""
+        """Find the ids of new parts: strings, or bytes for those that begin a text."""
         byte, simple = self.kind == "byte", self.kind != "whole"
         found: list[str] = []
         counts, whole = np.zeros(len(parts), np.int64), []
-        plain, plain_pieces = self._cut_plain(parts) if byte else (np.zeros(0, np.int64), None)
-        rest = np.ones(len(parts), bool)
-        rest[plain] = False
-        for k in np.flatnonzero(rest).tolist():
-            p = parts[k]
-            s = p.decode("utf-8") if isinstance(p, bytes) else " " + p if byte else p
+        for k, p in enumerate(parts):
+            s = p.decode("utf-8") if isinstance(p, bytes) else p
             if simple and (s.isascii() or LATIN.fullmatch(s)):
                 pieces = self.pattern.findall(s if byte else s.lower())
                 counts[k] = len(pieces)
                 found += pieces
             else:
                 whole.append((k, s))
-        if len(self.pieces) > self.limit:
+        if not byte and len(self.pieces) > self.limit:
             self.pieces = _Store()
-        at = self.pieces.find(found, len(found))
-        if len(plain):
-            seen = plain_pieces.flatten().dictionary_encode()
-            own = self.pieces.find(seen.dictionary.to_pylist(), len(seen.dictionary))[seen.indices.to_numpy()]
-            counts[plain] = np.diff(plain_pieces.offsets.to_numpy())
-            is_plain = np.repeat(~rest, counts)
-            both = np.empty(len(is_plain), np.int64)
-            both[is_plain], both[~is_plain] = own, at
-            at = both
-        if new := self.pieces.new:
-            ids = [[t.id for t in self.model.tokenize(self._shown(x))] for x in new]
-            self.pieces.learn(*_flat(ids))
+        at = self._find_pieces(found)
         flat, ends = self.pieces.gather(at)
         lens = _bounds(ends, counts)
         if whole:
@@ -200,17 +234,30 @@ class Encoder:
         if len(self.parts) > self.limit or self.parts.used > 20 * self.limit:
             self.parts = _Store()
         cut, counts = self._cut(texts)
+        if self.kind == "byte" and len(texts):
+            return self._encode_bytes(cut, counts)
         seen = cut.dictionary_encode()
         at = self.parts.find(seen.dictionary.to_pylist(), len(seen.dictionary))[seen.indices.to_numpy()]
-        if self.kind == "byte" and len(texts):
-            # The first part of a text has no space before it; as bytes it differs from the same word after a space.
-            first = (np.cumsum(counts) - counts)[counts > 0]
-            at[first] = self.parts.find((x.encode() for x in cut.take(pa.array(first)).to_pylist()), len(first))
         if self.parts.new:
             self._learn(self.parts.new)
         flat, ends = self.parts.gather(at)
         return flat, _bounds(ends, counts)
 
+    def _encode_bytes(self, cut: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # The first part of a text has no space before it; these are kept apart.
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        at_first = self.parts.find([x.encode() for x in cut.take(pa.array(first)).to_pylist()], len(first))
+        if self.parts.new:
+            self._learn(self.parts.new)
+        seen = cut.dictionary_encode()
+        flat, starts, lens = self._spaced(seen.dictionary)
+        at = seen.indices.to_numpy().copy()
+        at[first] = len(lens) + at_first
+        n, used = len(self.parts), self.parts.used
+        pool = np.concatenate([flat, self.parts.pool[:used]])
+        flat, ends = _gather(pool, np.concatenate([starts, len(flat) + self.parts.starts[:n]]), np.concatenate([lens, self.parts.lens[:n]]), at)
+        return flat, _bounds(ends, counts)
+
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
