@@ -272,6 +272,16 @@ def test_apportionment(spark, votes, seats):
     assert sum(got) == seats and got == sainte_lague(votes, seats)
 
 
+def test_apportionment_of_no_seats(spark):
+    df = spark.createDataFrame([(g, i, float(i), 5 * g) for g in range(2) for i in range(3)], "g int, i int, v double, seats long")
+    assert [r.quota for r in mixing.apportion(df, "g", "seats", "i", "v").orderBy("g", "i").collect()] == [0, 0, 0, *sainte_lague([0, 1, 2], 5)]
+
+
+def test_words_of_less_than_half_a_block(spark):
+    rows = mixing.mix(documents(spark, [(1, "two words", "a"), (2, None, "b")])).orderBy("id").collect()
+    assert [(r.id, r.size, r.target, r.taken) for r in rows] == [(1, 2, 3.0, 0), (2, 0, 0.0, 0)]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_apportionment_with_bounds(spark, seed):
     rng = np.random.default_rng(seed)
